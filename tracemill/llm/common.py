@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iter
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index("text"))
-        lengths = np.asarray(pa.compute.binary_length(column).fill_null(0)).astype(np.int64)
+        lengths = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
         part = np.cumsum(lengths) // most_bytes
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracemill.llm import langid, license_scan, mixing, quality
+from tracemill.llm import block_dedup, decontaminate, langid, license_scan, minhash, mixing, quality
 from tracemill.llm.common import table
 
 
@@ -22,12 +23,26 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op7_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_quality_rules, op5_language_id, op9_license_scan)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_quality_rules, op5_language_id, op7_block_dedup, op8_decontaminate, op9_license_scan, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
