@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WordHashes, binaries, buckets_for, gram_hashes, grouped_positions, outer_id, per_document, positions, runs, slices, texts
+from tracemill.llm.common import PACKED, WordHashes, buckets_for, dealt, gathered, gram_hashes, grouped_positions, outer_id, per_document, positions, slices, texts
 
 WINDOW = 13
 #: Entries that a bucket gets; the number of buckets grows with the corpus.
@@ -28,26 +28,6 @@ PER_BUCKET = 1_000_000
 POSITIONS = "_id long, pos binary"
 
 
-def dealt(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, buckets: int, names: tuple[str, ...] = ("bucket", "docs", "counts", "places", "hashes")) -> pa.RecordBatch:
-    """One row per bucket with its entries in order of document and place, the document once for all its entries."""
-    bits = buckets.bit_length() - 1
-    bucket = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, ids, places, hashes = bucket[order], ids[order], places[order], hashes[order]
-    starts = runs(bucket)
-    docs = np.union1d(runs(ids), starts)  # starts of the runs of one document in one bucket
-    inner = np.searchsorted(docs, starts)
-    columns = [pa.array(bucket[starts[:-1]].astype(np.int32)), binaries(ids[docs[:-1]], inner), binaries(np.diff(docs).astype(np.uint32), inner), binaries(places.astype(np.uint32), starts), binaries(hashes, starts)]
-    return pa.RecordBatch.from_arrays(columns, list(names))
-
-
-def gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, places and hashes of a bucket."""
-    join = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
-    ids = np.repeat(join("docs", np.int64), join("counts", np.uint32))
-    return ids, join("places", np.uint32).astype(np.int64), join("hashes", np.uint64)
-
-
 def probes(block: int, buckets: int):
     """All rolling windows of a batch; those at multiples of ``block`` are the indexed blocks."""
 
@@ -166,10 +146,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     block = (window + 1) // 2
     rows = texts(docs, id_col, text_col)
     buckets = buckets_for(rows, "text", PER_BUCKET, 6.0)
-    packed = "bucket int, docs binary, counts binary, places binary, hashes binary"
-    hits = rows.mapInArrow(probes(block, buckets), packed).groupBy("bucket").applyInArrow(hit(block), POSITIONS)
+    hits = rows.mapInArrow(probes(block, buckets), PACKED).groupBy("bucket").applyInArrow(hit(block), POSITIONS)
     placed = rows.repartition("_id")
     around = placed.join(per_document(hits), "_id").select("_id", "pos", "text")
-    found = around.mapInArrow(extended(window, block, buckets), f"{packed}, pos binary, _id long").groupBy("bucket").applyInArrow(repeated, POSITIONS)
+    found = around.mapInArrow(extended(window, block, buckets), f"{PACKED}, pos binary, _id long").groupBy("bucket").applyInArrow(repeated, POSITIONS)
     result = placed.join(per_document(found), "_id", "left").select("_id", "pos", "text").mapInArrow(trimmed(window), "_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return result.select(outer_id().alias("doc_id"), "n_words", "n_removed", "kept_text", "kept_sha256")

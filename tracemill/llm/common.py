@@ -134,3 +134,26 @@ def per_document(found: DataFrame) -> DataFrame:
 
 def positions(packed: list[bytes] | None) -> np.ndarray:
     return np.frombuffer(b"".join(packed or ()), np.uint32).astype(np.int64)
+
+
+PACKED = "bucket int, docs binary, counts binary, places binary, hashes binary"
+
+
+def dealt(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row per bucket with its entries in order of document and place, the document once for all its entries."""
+    bits = buckets.bit_length() - 1
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, ids, places, hashes = bucket[order], ids[order], places[order], hashes[order]
+    starts = runs(bucket)
+    docs = np.union1d(runs(ids), starts)  # starts of the runs of one document in one bucket
+    inner = np.searchsorted(docs, starts)
+    columns = [pa.array(bucket[starts[:-1]].astype(np.int32)), binaries(ids[docs[:-1]], inner), binaries(np.diff(docs).astype(np.uint32), inner), binaries(places.astype(np.uint32), starts), binaries(hashes, starts)]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "docs", "counts", "places", "hashes"])
+
+
+def gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, places and hashes of a bucket."""
+    join = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
+    ids = np.repeat(join("docs", np.int64), join("counts", np.uint32))
+    return ids, join("places", np.uint32).astype(np.int64), join("hashes", np.uint64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import block_dedup, decontaminate, langid, license_scan, minhash, mixing, quality
+from tracemill.llm import block_dedup, decontaminate, langid, license_scan, minhash, mixing, quality, suffix_dedup
 from tracemill.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_spans(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_quality_rules, op5_language_id, op7_block_dedup, op8_decontaminate, op9_license_scan, op10_minhash)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_quality_rules, op4_suffix_dedup, op5_language_id, op7_block_dedup, op8_decontaminate, op9_license_scan, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
