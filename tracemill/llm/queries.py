@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import block_dedup, decontaminate, langid, license_scan, minhash, mixing, quality, suffix_dedup
+from tracemill.llm import block_dedup, decontaminate, langid, license_scan, minhash, mixing, ngram_lm, quality, suffix_dedup
 from tracemill.llm.common import table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents")).drop("perplexity")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_quality_rules, op4_suffix_dedup, op5_language_id, op7_block_dedup, op8_decontaminate, op9_license_scan, op10_minhash)}
+    return {f.__name__: f for f in (op1_lm_score, op2_mix_sources, op3_quality_rules, op4_suffix_dedup, op5_language_id, op7_block_dedup, op8_decontaminate, op9_license_scan, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
