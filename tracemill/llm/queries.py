@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import block_dedup, decontaminate, langid, license_scan, minhash, mixing, ngram_lm, quality, suffix_dedup
+from tracemill.llm import block_dedup, decontaminate, html_tree, langid, license_scan, minhash, mixing, ngram_lm, quality, suffix_dedup
 from tracemill.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -50,7 +54,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_mix_sources, op3_quality_rules, op4_suffix_dedup, op5_language_id, op7_block_dedup, op8_decontaminate, op9_license_scan, op10_minhash)}
+    return {f.__name__: f for f in (op1_lm_score, op2_mix_sources, op3_quality_rules, op4_suffix_dedup, op5_language_id, op6_main_text, op7_block_dedup, op8_decontaminate, op9_license_scan, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
