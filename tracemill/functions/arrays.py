@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once for a row, not again for each element of an inner lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strict_mean(x: Column) -> Column:
     """Mean of an array; NULL if it is empty or an element is NULL."""
     total = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
@@ -20,8 +27,7 @@ def mean_of(x: Column) -> Column:
 def sample_std(x: Column) -> Column:
     """Standard deviation (n - 1) of the elements that are there; 0 for one."""
     there = F.filter(x, lambda v: v.isNotNull())
-    mean = strict_mean(there)
-    squares = F.aggregate(there, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
+    squares = let(strict_mean(there), lambda mean: F.aggregate(there, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean)))
     return F.when(F.size(there) == 1, F.lit(0.0)).otherwise(F.sqrt(F.try_divide(squares, F.size(there) - 1)))
 
 
@@ -29,7 +35,7 @@ def dff(trace: Column, first: Column | int, last: Column | int) -> Column:
     """Change relative to the mean of frames first..last, from ``first`` on; NULL throughout where that mean is missing or 0."""
     first, last = (F.lit(x) if isinstance(x, int) else x for x in (first, last))
     base = strict_mean(F.slice(trace, first, last - first + 1))
-    return F.transform(F.slice(trace, first, F.size(trace) - first + 1), lambda v: F.try_divide(v - base, base))
+    return let(base, lambda f0: F.transform(F.slice(trace, first, F.size(trace) - first + 1), lambda v: F.try_divide(v - f0, f0)))
 
 
 def peak(trace: Column, start: Column | int, frames: Column | int, sd: float = 2.0) -> Column:
@@ -39,11 +45,15 @@ def peak(trace: Column, start: Column | int, frames: Column | int, sd: float = 2
     sd deviations of frames 1..start, and no threshold if that is 0.
     """
     start, frames = (F.lit(x) if isinstance(x, int) else x for x in (start, frames))
-    window, base = F.slice(trace, start, frames), F.slice(trace, F.lit(1), start)
-    pk = F.array_max(window)
-    threshold = F.nullif(mean_of(base) + F.lit(float(sd)) * sample_std(base), F.lit(0.0))
-    sig = F.coalesce(pk >= threshold, F.lit(False))
-    return F.struct(pk.alias("pk"), F.array_position(window, pk).cast("int").alias("idx"), threshold.alias("threshold"), sig.alias("sig"), F.when(sig, pk).alias("sig_pk"))
+
+    def judged(x: Column) -> Column:
+        window, base = F.slice(x, start, frames), F.slice(x, F.lit(1), start)
+        limit = F.nullif(mean_of(base) + F.lit(float(sd)) * sample_std(base), F.lit(0.0))
+        found = F.struct(F.array_max(window).alias("pk"), limit.alias("threshold"))
+        sig = lambda p: F.coalesce(p["pk"] >= p["threshold"], F.lit(False))
+        return let(found, lambda p: F.struct(p["pk"].alias("pk"), F.array_position(window, p["pk"]).cast("int").alias("idx"), p["threshold"].alias("threshold"), sig(p).alias("sig"), F.when(sig(p), p["pk"]).alias("sig_pk")))
+
+    return let(trace, judged)
 
 
 def frame_times(frames: Column, rate: Column, delay: Column | float = 0.0) -> Column:
@@ -63,6 +73,11 @@ def window_mean(trace: Column, times: Column, start: float, end: float) -> Colum
     return mean_of(F.transform(there, lambda x: x["f"]))
 
 
+def less_mean(trace: Column, start: Column | int, frames: Column | int) -> Column:
+    """The trace less its mean over ``frames`` frames from ``start``."""
+    return let(trace, lambda x: let(mean_of(F.slice(x, start, frames)), lambda base: F.transform(x, lambda v: v - base)))
+
+
 def first_frame(flags: Column) -> Column:
     """The first frame that holds, NULL if none does."""
     return F.nullif(F.array_position(flags, F.lit(True)), F.lit(0).cast("bigint"))
@@ -96,9 +111,8 @@ def scaled(a: Column, b: Column, share: float = 0.8) -> Column:
 
 def zero_to_one(x: Column, shifted: bool = True) -> Column:
     """(x - min) / (max - min); not ``shifted``: divided by the plain max."""
-    low, high = F.array_min(x), F.array_max(x)
-    span = high - low if shifted else high
-    return F.transform(x, lambda v: F.try_divide(v - low, span))
+    ends = F.struct(F.array_min(x).alias("low"), F.array_max(x).alias("high"))
+    return let(ends, lambda e: F.transform(x, lambda v: F.try_divide(v - e["low"], e["high"] - e["low"] if shifted else e["high"])))
 
 
 def linear_index(i: Column, j: Column, rows: Column | int) -> Column:

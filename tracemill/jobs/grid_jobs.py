@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.jobs.registry import query, r6, rounded, table
+from tracemill.jobs.registry import query, rounded, table
 from tracemill.operators import grids, statistics
 
 CELL = ["cell"]
@@ -51,17 +51,17 @@ def fra_bf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {GRID}, ax AS (SELECT cell, sig_pk AS v, dense_rank() OVER (PARTITION BY cell ORDER BY db) AS i, dense_rank() OVER (PARTITION BY cell ORDER BY freq) AS j FROM grid),
 top AS (SELECT cell, i AS ti, j AS tj FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY v DESC NULLS LAST, j, i) AS k FROM ax WHERE v IS NOT NULL) WHERE k = 1)
-SELECT a.cell, round(avg(v) FILTER (abs(i - ti) + abs(j - tj) <= 1) - avg(v), 6) + 0.0 AS dprime FROM ax a LEFT JOIN top USING (cell) GROUP BY a.cell"""
+SELECT a.cell, round(avg(v) FILTER (abs(i - ti) + abs(j - tj) <= 1) - avg(v), 2) + 0.0 AS dprime FROM ax a LEFT JOIN top USING (cell) GROUP BY a.cell"""
 )
 def fra_dprime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selectivity of each cell: its peak's neighbourhood less the mean of its grid."""
-    return rounded(grids.selectivity(grids.response_grid(trials(spark, sf_dir), CELL), CELL), "dprime")
+    return rounded(grids.selectivity(grids.response_grid(trials(spark, sf_dir), CELL), CELL), "dprime", digits=2)
 
 
-@query(f"WITH {GRID}, p AS (SELECT db, freq, avg(sig_pk) AS r FROM grid GROUP BY ALL) SELECT freq::INT AS freq, round(avg(r), 6) + 0.0 AS r FROM p GROUP BY freq")
+@query(f"WITH {GRID}, p AS (SELECT db, freq, avg(sig_pk) AS r FROM grid GROUP BY ALL) SELECT freq::INT AS freq, round(avg(r), 2) + 0.0 AS r FROM p GROUP BY freq")
 def fra_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tuning curve over all cells."""
-    return rounded(grids.tuning_curve(grids.response_grid(trials(spark, sf_dir), CELL), CELL), "r")
+    return rounded(grids.tuning_curve(grids.response_grid(trials(spark, sf_dir), CELL), CELL), "r", digits=2)
 
 
 @query(f"WITH {GRID} SELECT cell, db, freq::INT AS freq, round(pk, 6) + 0.0 AS pk FROM grid WHERE db IN (2, 4, 6) OR (SELECT count(DISTINCT db) FROM grid g WHERE g.cell = grid.cell) <= 3")
@@ -109,7 +109,7 @@ def prepost_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {GRID}, curve AS (SELECT cell, freq, avg(sig_pk) AS r FROM grid GROUP BY ALL), bf AS (SELECT cell, coalesce(arg_max(freq, r), min(freq)) AS bf FROM (SELECT * FROM curve ORDER BY cell, freq) GROUP BY cell)
-SELECT t.cell, abs(log2(t.freq / b.bf)) > 1 AS outside_octave, count(*) AS n, round(avg(pk), 6) + 0.0 AS mean FROM trials t JOIN bf b USING (cell) GROUP BY ALL"""
+SELECT t.cell, abs(log2(t.freq / b.bf)) > 1 AS outside_octave, count(*) AS n, round(avg(pk), 4) + 0.0 AS mean FROM trials t JOIN bf b USING (cell) GROUP BY ALL"""
 )
 def octave_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses within and outside one octave of each cell's best frequency."""
@@ -118,7 +118,7 @@ def octave_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trials(spark, sf_dir)
     bf = grids.best_frequency(grids.response_grid(rows, CELL), CELL)
     outside = F.abs(octaves(F.col("bf"), F.col("freq"))) > 1
-    return rows.join(bf, "cell").groupBy("cell", outside.alias("outside_octave")).agg(F.count("*").alias("n"), r6(F.avg("pk")).alias("mean"))
+    return rows.join(bf, "cell").groupBy("cell", outside.alias("outside_octave")).agg(F.count("*").alias("n"), F.round(F.avg("pk"), 4).alias("mean"))
 
 
 @query(

@@ -21,7 +21,9 @@ def named(spark: SparkSession, sf_dir: str, *parts: str | Column) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts]).alias("name"))
 
 
-KEY, SIZE = F.col("p_partkey"), F.col("p_size")
+def part_columns() -> tuple[Column, Column]:
+    """A part's key and size, of which names are made."""
+    return F.col("p_partkey"), F.col("p_size")
 
 
 @query(
@@ -29,7 +31,8 @@ KEY, SIZE = F.col("p_partkey"), F.col("p_size")
 SELECT id, {num(r'_(\d+(?:\.\d+)?)sOnset')} AS onset_s, {num(r'_(\d+)dB')} AS db, {num(r'_(\d+)msPulse')} AS pulse_ms, {num(r'_(\d+)msTotal')} AS stim_ms, nullif(regexp_extract(name, 'BPN_(\\d+-\\d+)kHz', 1), '') AS band_khz FROM t""".replace("\\\\d", "\\d")
 )
 def stim_parse_bpn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = named(spark, sf_dir, "BPN_", 5 + KEY % 5, "-", 10 + SIZE, "kHz_x_", 10 + SIZE, "dB_x_", 100 * (1 + KEY % 4), "msPulse_", 500 + SIZE, "msTotal_", 1 + KEY % 3, F.when(KEY % 2 == 0, ".5").otherwise(""), "sOnset")
+    key, size = part_columns()
+    rows = named(spark, sf_dir, "BPN_", 5 + key % 5, "-", 10 + size, "kHz_x_", 10 + size, "dB_x_", 100 * (1 + key % 4), "msPulse_", 500 + size, "msTotal_", 1 + key % 3, F.when(key % 2 == 0, ".5").otherwise(""), "sOnset")
     return rows.select("id", *[v.alias(k) for k, v in stimnames.noise_burst(F.col("name")).items()])
 
 
@@ -38,8 +41,9 @@ def stim_parse_bpn(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, coalesce({num(r'(\d{4,5})Hz').replace('{', '{')}, 1000 * {num(r'stim_(\d{1,2})kHz_')}) AS freq_hz, {num(r'_(\d{1,2})dB_\d{2,3}ms_at')} AS db, try_cast(nullif(replace(regexp_extract(name, '_at_(\\d(?:pt\\d)?)s', 1), 'pt', '.'), '') AS DOUBLE) AS onset_s, {num(r'(\d{2,3})ms_at')} AS tone_ms FROM t""".replace("\\\\d", "\\d")
 )
 def stim_parse_pt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tone = F.when(KEY % 3 == 0, F.concat(F.lit("_stim_"), (1 + SIZE).cast("string"), F.lit("kHz_"))).otherwise(F.concat(F.lit("_stim_"), (4000 + 10 * SIZE).cast("string"), F.lit("Hz_")))
-    rows = named(spark, sf_dir, tone, 20 + SIZE, "dB_", 100 + SIZE, "ms_at_", KEY % 8, F.when(KEY % 2 == 0, "pt5").otherwise(""), "s_2")
+    key, size = part_columns()
+    tone = F.when(key % 3 == 0, F.concat(F.lit("_stim_"), (1 + size).cast("string"), F.lit("kHz_"))).otherwise(F.concat(F.lit("_stim_"), (4000 + 10 * size).cast("string"), F.lit("Hz_")))
+    rows = named(spark, sf_dir, tone, 20 + size, "dB_", 100 + size, "ms_at_", key % 8, F.when(key % 2 == 0, "pt5").otherwise(""), "s_2")
     return rows.select("id", *[v.alias(k) for k, v in stimnames.pure_tone(F.col("name")).items()])
 
 
@@ -54,8 +58,9 @@ SELECT id, range_db, {DELTA.format('range_db')} AS delta_db, coalesce(nullif(reg
 {num(r'_(\d{1,2})s_')} * CASE WHEN contains(name, 'sEach') THEN 2 ELSE 1 END AS total_s FROM p""".replace("\\\\d", "\\d")
 )
 def stim_parse_drc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = F.when(KEY % 3 == 0, "50-60").when(KEY % 3 == 1, "40-70").otherwise("45-55")
-    rows = named(spark, sf_dir, 20 + SIZE, "msDRC", F.when(KEY % 2 == 0, "_5-52kHz").otherwise(""), "_", levels, "dB_", 1 + KEY % 12, "s_", F.when(KEY % 5 == 0, "sEach").otherwise("stim"))
+    key, size = part_columns()
+    levels = F.when(key % 3 == 0, "50-60").when(key % 3 == 1, "40-70").otherwise("45-55")
+    rows = named(spark, sf_dir, 20 + size, "msDRC", F.when(key % 2 == 0, "_5-52kHz").otherwise(""), "_", levels, "dB_", 1 + key % 12, "s_", F.when(key % 5 == 0, "sEach").otherwise("stim"))
     return rows.select("id", *[v.alias(k) for k, v in stimnames.noise_contrast(F.col("name")).items()])
 
 
@@ -65,8 +70,9 @@ p AS (SELECT id, regexp_extract_all(name, '(\\d{{2}}-\\d{{2}})dB', 1) AS r FROM
 SELECT id, array_to_string(r, ',') AS ranges_db, {DELTA.format('r[1]')} AS first_db, {DELTA.format('r[2]')} AS second_db, {DELTA.format('r[2]')} > {DELTA.format('r[1]')} AS increase FROM p""".replace("\\\\d", "\\d")
 )
 def stim_parse_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = F.when(KEY % 3 == 0, "50-60").when(KEY % 3 == 1, "40-70").otherwise("45-55")
-    rows = named(spark, sf_dir, 20 + SIZE, "msDRC_5-52kHz_", levels, "dB_to_", F.when(KEY % 2 == 0, "50-60").otherwise("40-70"), "dB_10s")
+    key, size = part_columns()
+    levels = F.when(key % 3 == 0, "50-60").when(key % 3 == 1, "40-70").otherwise("45-55")
+    rows = named(spark, sf_dir, 20 + size, "msDRC_5-52kHz_", levels, "dB_to_", F.when(key % 2 == 0, "50-60").otherwise("40-70"), "dB_10s")
     return rows.select("id", *[v.alias(k) for k, v in stimnames.contrast_change(F.col("name")).items()])
 
 
@@ -75,7 +81,8 @@ def stim_parse_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, {num(r'(\d{4,5})Hz_')} AS freq_hz, {num(r'_(\d{2})dB_')} AS db, {num(r'_at_(\d(?:\.\d)?)s_')} AS onset_s, {num(r'_(\d+)msPulse_')} AS pulse_ms, {num(r'_(\d+)msTotal_')} AS stim_ms, {num(r'_(\d+)msRamp_')} AS ramp_ms, {num(r'_Fs(\d+)kHz')} AS rate_khz FROM t"""
 )
 def stim_parse_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = named(spark, sf_dir, "x_", 4000 + 1000 * (SIZE % 30), "Hz_", 30 + 20 * (KEY % 3), "dB_", 100 * (1 + KEY % 4), "msPulse_1000msTotal_", 1 + SIZE, "msRamp_at_", KEY % 3, ".5s_Fs250kHz")
+    key, size = part_columns()
+    rows = named(spark, sf_dir, "x_", 4000 + 1000 * (size % 30), "Hz_", 30 + 20 * (key % 3), "dB_", 100 * (1 + key % 4), "msPulse_1000msTotal_", 1 + size, "msRamp_at_", key % 3, ".5s_Fs250kHz")
     return rows.select("id", *[v.alias(k) for k, v in stimnames.map_tone(F.col("name")).items()])
 
 

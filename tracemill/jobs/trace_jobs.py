@@ -117,8 +117,7 @@ def onset_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EMB}, b AS (SELECT *, avg(f) FILTER (frame BETWEEN 5 AND 10) OVER (PARTITION BY vec_id) AS base FROM emb) SELECT vec_id, label, round(max(f - base) FILTER (frame BETWEEN 11 AND 14), 6) + 0.0 AS pk, round(avg(f - base) FILTER (frame BETWEEN 20 AND 30), 6) + 0.0 AS late FROM b GROUP BY ALL")
 def additive_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peak and late mean of each trial less its own baseline, all inside the array."""
-    rows = array_traces(spark, sf_dir).withColumn("base", arrays.mean_of(F.slice("trace", 5, 6)))
-    rows = rows.withColumn("trace", F.transform("trace", lambda v: v - F.col("base")))
+    rows = array_traces(spark, sf_dir).withColumn("trace", arrays.less_mean(F.col("trace"), 5, 6))
     return rows.select("vec_id", "label", r6(F.array_max(F.slice("trace", 11, 4))).alias("pk"), r6(arrays.mean_of(F.slice("trace", 20, 11))).alias("late"))
 
 
