@@ -33,12 +33,12 @@ def probes(block: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch, found in slices(batches, 16 << 20):
+        for batch, found in slices(batches):
             grams = [gram_hashes(memo.of(x.split()), block) for x in found]
             n = np.array([len(x) for x in grams], np.int64)
             if n.sum():
                 place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                yield dealt(np.repeat(batch.column(0).to_numpy(), n), place, np.concatenate(grams), buckets)
+                yield dealt(np.repeat(batch.column(0).to_numpy(), n), place, np.concatenate(grams), buckets, exact=False)
 
     return run
 
@@ -47,7 +47,7 @@ def hit(block: int):
     """Places where a probe meets a block of a smaller document, or a block is met by a larger one's probe."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, places, hashes = gathered(group)
+        ids, places, hashes = gathered(group, exact=False)
         indexed = places % block == 0
         _, key = np.unique(hashes, return_inverse=True)
         n = int(key.max()) + 1
@@ -65,7 +65,7 @@ def extended(window: int, block: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch, found in slices(batches, 16 << 20):
+        for batch, found in slices(batches):
             ids, places, hashes = [], [], []
             for doc, hits, text in zip(batch.column(0).to_pylist(), batch.column("pos").to_pylist(), found, strict=True):
                 words = memo.of(text.split())

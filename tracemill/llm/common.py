@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,21 +140,54 @@ def positions(packed: list[bytes] | None) -> np.ndarray:
 PACKED = "bucket int, docs binary, counts binary, places binary, hashes binary"
 
 
-def dealt(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row per bucket with its entries in order of document and place, the document once for all its entries."""
-    bits = buckets.bit_length() - 1
-    bucket = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
-    order = np.argsort(bucket, kind="stable")
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers as zstd of their byte planes, so that the high bytes of small ones cost nothing."""
+    width = values.dtype.itemsize
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes(), 1)
+
+
+def restored(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
+
+
+def dealt(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, buckets: int, exact: bool = True) -> pa.RecordBatch:
+    """One row per bucket with its entries in order of document and place, the document once for all its entries.
+
+    Places travel as differences. Not ``exact``: of a hash the 32 bits below the
+    bucket's are sent, which is enough to rule most entries out.
+    """
+    bucket = bucket_of(hashes, buckets)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     bucket, ids, places, hashes = bucket[order], ids[order], places[order], hashes[order]
     starts = runs(bucket)
     docs = np.union1d(runs(ids), starts)  # starts of the runs of one document in one bucket
+    steps = np.diff(places, prepend=0)
+    steps[docs[:-1]] = places[docs[:-1]]
+    if not exact:
+        hashes = (hashes >> np.uint64(64 - buckets.bit_length() + 1 - 32)).astype(np.uint32)
     inner = np.searchsorted(docs, starts)
-    columns = [pa.array(bucket[starts[:-1]].astype(np.int32)), binaries(ids[docs[:-1]], inner), binaries(np.diff(docs).astype(np.uint32), inner), binaries(places.astype(np.uint32), starts), binaries(hashes, starts)]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "docs", "counts", "places", "hashes"])
+    rows = []
+    for a, b, i, j in zip(starts, starts[1:], inner, inner[1:], strict=False):
+        own = ids[docs[i:j]].astype(np.int64)
+        rows.append((int(bucket[a]), squeezed(np.diff(own, prepend=np.int64(0))), squeezed(np.diff(docs[i : j + 1]).astype(np.uint32)), squeezed(steps[a:b].astype(np.uint32)), squeezed(hashes[a:b])))
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
 
 
-def gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gathered(group: pa.Table, exact: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, places and hashes of a bucket."""
-    join = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
-    ids = np.repeat(join("docs", np.int64), join("counts", np.uint32))
-    return ids, join("places", np.uint32).astype(np.int64), join("hashes", np.uint64)
+    ids, places, hashes = [], [], []
+    for row in group.select(["docs", "counts", "places", "hashes"]).to_pylist():
+        own, counts = np.cumsum(restored(row["docs"], np.int64)), restored(row["counts"], np.uint32).astype(np.int64)
+        steps = restored(row["places"], np.uint32).astype(np.int64)
+        first = np.cumsum(counts) - counts
+        total = np.cumsum(steps)
+        places.append(total - np.repeat(total[first] - steps[first], counts))
+        ids.append(np.repeat(own, counts))
+        hashes.append(restored(row["hashes"], np.uint64 if exact else np.uint32))
+    return np.concatenate(ids), np.concatenate(places), np.concatenate(hashes)

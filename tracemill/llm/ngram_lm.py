@@ -18,11 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WordHashes, buckets_for, inner_id, mixed, outer_id, runs, shared_dir, slices, stage
+from tracemill.llm.common import WordHashes, bucket_of, buckets_for, inner_id, mixed, outer_id, restored, runs, shared_dir, slices, squeezed, stage
 
 PER_BUCKET = 1_000_000
 #: Tokens that a task holds before it sends on what is distinct among them.
@@ -55,15 +54,13 @@ def mapped(path: str) -> np.ndarray:
     return np.load(path, mmap_mode="r")
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    """Sorted numbers as zstd of the byte planes of their differences."""
-    steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
-    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def ascending(values: np.ndarray) -> bytes:
+    """Sorted numbers, packed by their differences."""
+    return squeezed(np.diff(values.astype(np.uint64), prepend=np.uint64(0)))
 
 
-def restored(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+def climbed(data: bytes) -> np.ndarray:
+    return np.cumsum(restored(data, np.uint64), dtype=np.uint64)
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -90,9 +87,9 @@ def word_counts(buckets: int):
 
         def sent() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            bucket = (keys >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int32)
+            bucket = bucket_of(keys, buckets)
             edge = runs(bucket)
-            rows = [(int(bucket[a]), squeezed(keys[a:b]), zstandard.compress(counts[a:b].astype(np.uint32).tobytes(), 1)) for a, b in zip(edge, edge[1:], strict=False)]
+            rows = [(int(bucket[a]), ascending(keys[a:b]), squeezed(counts[a:b].astype(np.uint32))) for a, b in zip(edge, edge[1:], strict=False)]
             return counted_batch(rows)
 
         for _, found in slices(batches):
@@ -108,8 +105,8 @@ def word_counts(buckets: int):
 
 
 def gathered_counts(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([restored(x) for x in group.column("keys").to_pylist()])
-    counts = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint32) for x in group.column("counts").to_pylist()])
+    keys = np.concatenate([climbed(x) for x in group.column("keys").to_pylist()])
+    counts = np.concatenate([restored(x, np.uint32) for x in group.column("counts").to_pylist()])
     return summed(keys, counts.astype(np.int64))
 
 
@@ -143,7 +140,7 @@ class Vocabulary:
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of sorted distinct hashes, or -1."""
         out = np.full(len(hashes), -1, np.int64)
-        bucket = (hashes >> np.uint64(64 - self.buckets.bit_length() + 1)).astype(np.int64)
+        bucket = bucket_of(hashes, self.buckets)
         edge = runs(bucket)
         for a, b in zip(edge, edge[1:], strict=False):
             k = int(bucket[a])
@@ -197,7 +194,7 @@ def pair_counts(vocabulary: Vocabulary, buckets: int):
             order = np.argsort(cell, kind="stable")
             pairs, counts, cell = pairs[order], counts[order].astype(np.uint32), cell[order]
             edge = runs(cell)
-            rows = [(int(cell[a]), squeezed(pairs[a:b]), zstandard.compress(counts[a:b].tobytes(), 1)) for a, b in zip(edge, edge[1:], strict=False)]
+            rows = [(int(cell[a]), ascending(pairs[a:b]), squeezed(counts[a:b])) for a, b in zip(edge, edge[1:], strict=False)]
             return counted_batch(rows)
 
         for _, found in slices(batches):
@@ -233,7 +230,7 @@ def pair_part(vocabulary: Vocabulary):
         rows = []
         for p, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
             if b > a:
-                rows.append([p, squeezed(words[a:b]), *[zstandard.compress(v[a:b].astype(np.uint64 if i == 0 else np.uint32).tobytes(), 1) for i, v in enumerate(values)], 0, 0, 0, 0, 0])
+                rows.append([p, ascending(words[a:b]), *[squeezed(v[a:b].astype(np.uint64 if i == 0 else np.uint32)) for i, v in enumerate(values)], 0, 0, 0, 0, 0])
         rows[0][-5:] = [*(int((counts == c).sum()) for c in (1, 2, 3, 4)), len(pairs)]
         kinds = [pa.int32(), *[pa.binary()] * 6, *[pa.int64()] * 5]
         names = [x.split()[0] for x in KNOWN.split(", ")]
@@ -259,9 +256,9 @@ def word_part(vocabulary: Vocabulary, less: tuple[float, float, float]):
         n = vocabulary.offsets[k + 1] - vocabulary.offsets[k]
         sums = {c: np.zeros(n, np.float64) for c in ("total", "one", "two", "more", "before")}
         for row in group.select(["words", *sums]).to_pylist():
-            at = restored(row["words"]).astype(np.int64) - vocabulary.offsets[k]
+            at = climbed(row["words"]).astype(np.int64) - vocabulary.offsets[k]
             for i, c in enumerate(sums):
-                sums[c][at] += np.frombuffer(zstandard.decompress(row[c]), np.uint64 if i == 0 else np.uint32)
+                sums[c][at] += restored(row[c], np.uint64 if i == 0 else np.uint32)
         kept = less[0] * sums["one"] + less[1] * sums["two"] + less[2] * sums["more"]
         save(f"{vocabulary.folder}/total-{k}.npy", sums["total"])
         save(f"{vocabulary.folder}/weight-{k}.npy", np.where(sums["total"] > 0, kept / np.maximum(sums["total"], 1), 1.0))
