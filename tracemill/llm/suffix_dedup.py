@@ -12,6 +12,7 @@ that share the gram are then compared window by window, on both sides of it.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,12 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-from tracemill.llm.common import PACKED, binaries, buckets_for, dealt, gathered, grouped_positions, mixed, outer_id, per_document, positions, runs, slices, texts
+from tracemill.llm.common import PACKED, binaries, bucket_of, buckets_for, dealt, gathered, grouped_positions, mixed, outer_id, per_document, positions, runs, slices, texts
 
 LEAST, GRAM = 100, 32
 PER_BUCKET = 250_000
 #: Suffixes that a task sorts at a time.
-RUN = 100_000
+RUN = 60_000
 BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 INDEX = np.uint64((1 << 31) - 1)
 
@@ -74,14 +75,14 @@ def marked(least: int, buckets: int):
         for batch, found in slices(batches, 2 << 20):
             own = Anchors(found, least)
             if len(own.place):
-                yield dealt(batch.column(0).to_numpy()[own.row], own.place - own.start[own.row], own.hashes, buckets)
+                yield dealt(batch.column(0).to_numpy()[own.row], own.place - own.start[own.row], own.hashes, buckets, exact=False)
 
     return run
 
 
 def twice(group: pa.Table) -> pa.Table:
-    """Documents and places of the grams that occur more than once."""
-    ids, places, hashes = gathered(group)
+    """Documents and places of the grams that occur more than once (and of a few whose short hashes agree by chance)."""
+    ids, places, hashes = gathered(group, exact=False)
     _, key, count = np.unique(hashes, return_inverse=True, return_counts=True)
     again = count[key] > 1
     return pa.Table.from_batches([grouped_positions(ids[again], places[again])])
@@ -116,8 +117,8 @@ def coded(bucket: int, records: list[Record]) -> list:
 def decoded(row: dict) -> Iterator[tuple[int, Record]]:
     """(prefix shared with the suffix before, record) in order."""
     body, at, last = zstandard.decompress(row["bytes"]), 0, b""
-    take = lambda k, kind: np.frombuffer(row[k], kind).tolist()
-    for shared, right, left, doc, low in zip(take("shared", np.uint16), take("rights", np.uint16), take("lefts", np.uint16), take("docs", np.int64), take("lows", np.uint32), strict=True):
+    take = lambda k, kind: memoryview(row[k]).cast(kind)
+    for shared, right, left, doc, low in zip(take("shared", "H"), take("rights", "H"), take("lefts", "H"), take("docs", "q"), take("lows", "I"), strict=True):
         last = last[:shared] + body[at : at + right - shared]
         at += right - shared
         yield shared, (last, body[at : at + left], doc, low)
@@ -181,23 +182,29 @@ def window_spans(group: list[Record], least: int) -> Iterator[tuple[int, int, in
         places[:] = [first]
     if len(variants) < 2:
         return
-    earliest: dict[bytes, tuple[int, int]] = {}
-    for (left, right), [(doc, low)] in variants.items():
-        whole = left + right
-        for j in range(len(whole) - least + 1):
-            piece, here = whole[j : j + least], (doc, low + j)
+    rows = [(left, right, doc, low, bytearray(len(left) + len(right) - least + 1)) for (left, right), [(doc, low)] in variants.items()]
+    for before in range(least - GRAM + 1):  # equal windows have as many bytes before the gram
+        earliest: dict[bytes, tuple[int, int]] = {}
+        inside = [(x[0][len(x[0]) - before :] + x[1][: least - before], x) for x in rows if 0 <= len(x[0]) - before < len(x[4])]
+        for piece, (left, _, doc, low, _) in inside:
+            here = (doc, low + len(left) - before)
             if earliest.setdefault(piece, here) > here:
                 earliest[piece] = here
-    for (left, right), [(doc, low)] in variants.items():
-        whole = left + right
-        for j in range(len(whole) - least + 1):
-            if earliest[whole[j : j + least]] < (doc, low + j):
-                yield doc, low + j, low + j
-
-
-def spans_batch(spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        if len(earliest) < len(inside):
+            for piece, (left, _, doc, low, again) in inside:
+                again[len(left) - before] = earliest[piece] < (doc, low + len(left) - before)
+    for _, _, doc, low, again in rows:
+        at = again.find(1)
+        while at >= 0:
+            end = again.find(0, at)
+            end = len(again) if end < 0 else end
+            yield doc, low + at, low + end - 1
+            at = again.find(1, end)
+
+
+def spans_batch(spans: array) -> pa.RecordBatch:
     """One row (_id, pos) per document with pairs of first and last window starts."""
-    values = np.array(spans, np.int64).reshape(-1, 3)
+    values = np.frombuffer(spans, np.int64).reshape(-1, 3)
     values = values[np.argsort(values[:, 0], kind="stable")]
     starts = runs(values[:, 0]) if len(values) else np.zeros(1, np.int64)
     ids = values[starts[:-1], 0]
@@ -206,17 +213,15 @@ def spans_batch(spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 def sorted_runs(least: int, buckets: int):
     """Front-coded runs of the suffixes at repeated grams. Of equal contexts in a run only the earliest goes on; the others' windows are settled."""
-    bits = buckets.bit_length() - 1
-
     def emitted(records: list[tuple[int, bytes, bytes, int, int]]) -> Iterator[pa.RecordBatch]:
         records.sort()
-        rows, own, settled, last = [], [], [], None
+        rows, own, settled, last = [], [], array("q"), None
         for bucket, right, left, doc, low in records:
             if last and last[0] != bucket:
                 rows.append(coded(last[0], own))
                 own = []
             if last == (bucket, right, left):
-                settled.append((doc, low, low + len(left) + len(right) - least))
+                settled.extend((doc, low, low + len(left) + len(right) - least))
                 continue
             own.append((right, left, doc, low))
             last = (bucket, right, left)
@@ -239,7 +244,7 @@ def sorted_runs(least: int, buckets: int):
                 repeated[start + positions(hits)] = True
             some = np.flatnonzero(repeated[own.place])
             ids, row = batch.column(0).to_numpy(), own.row[some]
-            bucket = (own.hashes[some] >> np.uint64(64 - bits)).astype(np.int64).tolist()
+            bucket = bucket_of(own.hashes[some], buckets).tolist()
             for b, place, low, high, doc, start in zip(bucket, own.place[some].tolist(), own.low[some].tolist(), own.high[some].tolist(), ids[row].tolist(), own.start[row].tolist(), strict=True):
                 records.append((b, own.data[place : high + least], own.data[low:place], doc, low - start))
             if len(records) >= RUN:
@@ -257,17 +262,19 @@ def merged(least: int):
     def run(group: pa.Table) -> pa.Table:
         settled = group.filter(pc.is_valid(group.column("pos"))).select(["_id", "pos"])
         sources = [decoded(x) for x in group.filter(pc.is_null(group.column("pos"))).to_pylist()]
-        spans: list[tuple[int, int, int]] = []
+        spans = array("q")
         if sources:
             together: list[Record] = []
             for shared, record in LoserTree(sources):
                 if shared < GRAM:
                     if len(together) > 1:
-                        spans.extend(window_spans(together, least))
+                        for span in window_spans(together, least):
+                            spans.extend(span)
                     together = []
                 together.append(record)
             if len(together) > 1:
-                spans.extend(window_spans(together, least))
+                for span in window_spans(together, least):
+                    spans.extend(span)
         return pa.concat_tables([settled, pa.Table.from_batches([spans_batch(spans)])])
 
     return run
