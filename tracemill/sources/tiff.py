@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.shipping import ship
+
 FRAMES = "path string, dir int, h int, w int, px array<short>"
 #: Tags of the TIFF format that uncompressed grey stacks use.
 WIDTH, HEIGHT, BITS, DESCRIPTION, OFFSETS, COUNTS, SOFTWARE = 256, 257, 258, 270, 273, 279, 305
@@ -71,6 +73,7 @@ def typed(rows: list[tuple]) -> list[pa.Array]:
 def frames(spark: SparkSession, folder: str, channels: int = 1, pattern: str = "*.tif") -> DataFrame:
     """(path, chan, frame, h, w, px): one row per image of every file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    ship(spark)
     read = files.select("path", "content").mapInArrow(decoded, FRAMES)
     chan, frame = channel_of(F.col("dir"), channels)
     return read.select("path", chan.alias("chan"), frame.alias("frame"), "h", "w", "px")

@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracemill.shipping import ship
+
 PEAKS = "cell long, stim string, n long, pk double, threshold double, sig boolean"
 STATE = "n long, total double, squares double, pk double"
 
 
 def samples(spark: SparkSession, folder: str, pattern: str, schema: str) -> DataFrame:
     """New Parquet files of a folder as a stream."""
+    ship(spark)
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
