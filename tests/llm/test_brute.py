@@ -5,7 +5,7 @@ from __future__ import annotations
 import brute
 import brute_lm
 import pytest
-from conftest import DOCS, at_the_edges, ordinary, sentence
+from cases import DOCS, at_the_edges, ordinary, sentence
 
 from tracemill.llm import block_dedup, decontaminate, license_scan, minhash, ngram_lm, suffix_dedup
 
@@ -30,10 +30,10 @@ def test_block_dedup(spark, seed):
     assert got(found, "n_words", "n_removed", "kept_sha256") == brute.block_dedup(pairs(rows))
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_suffix_dedup(spark, seed):
+@pytest.mark.parametrize(("seed", "common"), [(3, 2000), (4, 2000), (3, 2), (4, 5)])  # with few places, grams count as common
+def test_suffix_dedup(spark, seed, common):
     rows = ordinary(seed) + [(100 + i, *r[1:]) for i, r in enumerate(whole_edges())] + [(200, "abc" * 90, "", "", 0), (201, "x" * 250, "", "", 0), (202, "x" * 99, "", "", 0), (203, "y" + "x" * 100, "", "", 0)]
-    found = suffix_dedup.remove_repeated_spans(spark.createDataFrame(rows, DOCS))
+    found = suffix_dedup.remove_repeated_spans(spark.createDataFrame(rows, DOCS), common=common)
     assert got(found, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix_dedup(pairs(rows))
 
 

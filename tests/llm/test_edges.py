@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import at_the_edges
+from cases import at_the_edges
 
 from tracemill.llm import block_dedup, decontaminate, html_tree, langid, license_scan, minhash, mixing, ngram_lm, quality, suffix_dedup
 
