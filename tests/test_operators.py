@@ -183,3 +183,18 @@ def test_stream(spark, tmp_path):
     online.append_batches(online.running_peaks(stream, 3), f"{tmp_path}/p", f"{tmp_path}/pc", "update")
     last = {r.cell: r for r in spark.read.parquet(f"{tmp_path}/p").orderBy("n").collect()}
     assert last[1].n == 12 and last[1].pk == 22.0 and last[1].threshold == pytest.approx(2 + 2 * 2) and last[1].sig
+
+
+def test_raw_movie_and_waveform(spark, tmp_path):
+    from tracemill.sources import movies
+
+    frames = np.arange(2 * 2 * 3, dtype="<u2").reshape(2, 2, 3)
+    head = b"QCamRaw-Version: 1\r\nFixed-Header-Size: 128 [bytes]\r\nROI: 0, 0, 3, 2\r\nFrame-Size: 12 [bytes]\r\n\r\n".ljust(128, b"\0")
+    (tmp_path / "a.qcamraw").write_bytes(head + frames.tobytes())
+    got = {r.frame: r for r in movies.movies(spark, str(tmp_path)).collect()}
+    assert {k: r.px for k, r in got.items()} == {1: list(range(6)), 2: list(range(6, 12))} and (got[1].h, got[1].w) == (2, 3)
+    (tmp_path / "b.qcamraw").write_bytes(head + frames.tobytes()[:-2])
+    with pytest.raises(Exception, match="do not fill the file"):
+        movies.movies(spark, str(tmp_path)).collect()
+    wave = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0], 2.0)], "v array<double>, rate double")
+    assert [tuple(x) for x in wave.select(movies.waveform_window(F.col("v"), F.col("rate"), 0.5, 1.0)).first()[0]] == [(0.5, 1.0), (1.0, 2.0)]
