@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tracemill.llm.common import PACKED, WordHashes, buckets_for, dealt, gathered, gram_hashes, grouped_positions, outer_id, per_document, positions, slices, texts
 
@@ -28,8 +27,46 @@ PER_BUCKET = 1_000_000
 POSITIONS = "_id long, pos binary"
 
 
+def met(ids: np.ndarray, indexed: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries meet their counterpart, and which stand for all of their hash.
+
+    A probe meets a block of a smaller document, a block is met by the probe of a
+    larger one; so of a hash the smallest block and the largest probe tell all.
+    """
+    _, key = np.unique(hashes, return_inverse=True)
+    n = int(key.max(initial=-1)) + 1
+    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(least, key[indexed], ids[indexed])
+    np.maximum.at(most, key, ids)
+    least, most = least[key], most[key]
+    return (ids > least) | (indexed & (ids < most)), (indexed & (ids == least)) | (ids == most)
+
+
+SETTLED = f"{PACKED}, pos binary, _id long"
+
+
+def with_settled(dealt_out: pa.RecordBatch, ids: np.ndarray, places: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries for the buckets, and beside them the places on which a task has decided itself."""
+    n = dealt_out.num_rows
+    yield dealt_out.append_column("pos", pa.nulls(n, pa.binary())).append_column("_id", pa.nulls(n, pa.int64()))
+    settled = grouped_positions(ids, places)
+    n = settled.num_rows
+    bucket = pa.array((settled.column(0).to_numpy() % buckets).astype(np.int32))
+    yield pa.RecordBatch.from_arrays([bucket, *[pa.nulls(n, pa.binary())] * 4, settled.column(1), settled.column(0)], [x.split()[0] for x in SETTLED.split(", ")])
+
+
+def taken_apart(group: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """What was settled before, and the entries."""
+    done = pc.is_valid(group.column("pos"))
+    return group.filter(done).select(["_id", "pos"]), group.filter(pc.invert(done))
+
+
 def probes(block: int, buckets: int):
-    """All rolling windows of a batch; those at multiples of ``block`` are the indexed blocks."""
+    """All rolling windows of a batch; those at multiples of ``block`` are the indexed blocks.
+
+    Of a hash that many documents of the batch share, only what other batches must
+    know goes on, so a passage of very many documents never gathers in one bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -38,7 +75,10 @@ def probes(block: int, buckets: int):
             n = np.array([len(x) for x in grams], np.int64)
             if n.sum():
                 place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                yield dealt(np.repeat(batch.column(0).to_numpy(), n), place, np.concatenate(grams), buckets, exact=False)
+                ids, hashes = np.repeat(batch.column(0).to_numpy(), n), np.concatenate(grams)
+                done, tells = met(ids, place % block == 0, hashes)
+                sent = ~done | tells
+                yield from with_settled(dealt(ids[sent], place[sent], hashes[sent], buckets, exact=False), ids[~sent], place[~sent], buckets)
 
     return run
 
@@ -47,15 +87,12 @@ def hit(block: int):
     """Places where a probe meets a block of a smaller document, or a block is met by a larger one's probe."""
 
     def run(group: pa.Table) -> pa.Table:
+        settled, group = taken_apart(group)
+        if not group.num_rows:
+            return settled
         ids, places, hashes = gathered(group, exact=False)
-        indexed = places % block == 0
-        _, key = np.unique(hashes, return_inverse=True)
-        n = int(key.max()) + 1
-        least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-        np.minimum.at(least, key[indexed], ids[indexed])
-        np.maximum.at(most, key, ids)
-        met = (ids > least[key]) | (indexed & (ids < most[key]))
-        return pa.Table.from_batches([grouped_positions(ids[met], places[met])])
+        done, _ = met(ids, places % block == 0, hashes)
+        return pa.concat_tables([settled, pa.Table.from_batches([grouped_positions(ids[done], places[done])])])
 
     return run
 
@@ -87,21 +124,14 @@ def extended(window: int, block: int, buckets: int):
             least = np.full(int(key.max(initial=-1)) + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, key, ids)
             later = ids > least[key]
-            out = dealt(ids[~later], places[~later], hashes[~later], buckets)
-            yield out.append_column("pos", pa.nulls(out.num_rows, pa.binary())).append_column("_id", pa.nulls(out.num_rows, pa.int64()))
-            settled = grouped_positions(ids[later], places[later])
-            n = settled.num_rows
-            bucket = pa.array((settled.column(0).to_numpy() % buckets).astype(np.int32))
-            empty = [pa.nulls(n, pa.binary())] * 4
-            yield pa.RecordBatch.from_arrays([bucket, *empty, settled.column(1), settled.column(0)], ["bucket", "docs", "counts", "places", "hashes", "pos", "_id"])
+            yield from with_settled(dealt(ids[~later], places[~later], hashes[~later], buckets), ids[later], places[later], buckets)
 
     return run
 
 
 def repeated(group: pa.Table) -> pa.Table:
     """Places of windows that also start in a smaller document."""
-    settled = group.filter(pc.is_valid(group.column("pos"))).select(["_id", "pos"])
-    group = group.filter(pc.is_null(group.column("pos")))
+    settled, group = taken_apart(group)
     if not group.num_rows:
         return settled
     ids, places, hashes = gathered(group)
@@ -146,9 +176,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     block = (window + 1) // 2
     rows = texts(docs, id_col, text_col)
     buckets = buckets_for(rows, "text", PER_BUCKET, 6.0)
-    hits = rows.mapInArrow(probes(block, buckets), PACKED).groupBy("bucket").applyInArrow(hit(block), POSITIONS)
+    hits = rows.mapInArrow(probes(block, buckets), SETTLED).groupBy("bucket").applyInArrow(hit(block), POSITIONS)
     placed = rows.repartition("_id")
     around = placed.join(per_document(hits), "_id").select("_id", "pos", "text")
-    found = around.mapInArrow(extended(window, block, buckets), f"{PACKED}, pos binary, _id long").groupBy("bucket").applyInArrow(repeated, POSITIONS)
+    found = around.mapInArrow(extended(window, block, buckets), SETTLED).groupBy("bucket").applyInArrow(repeated, POSITIONS)
     result = placed.join(per_document(found), "_id", "left").select("_id", "pos", "text").mapInArrow(trimmed(window), "_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return result.select(outer_id().alias("doc_id"), "n_words", "n_removed", "kept_text", "kept_sha256")

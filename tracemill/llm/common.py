@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.shipping import ship
+
 #: A null doc_id is handled as this smallest id and returned as null.
 NO_ID = -(1 << 63)
 #: Java form of a word: a run without ASCII white space.
@@ -35,11 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{configured or '/tmp/tracemill-checkpoints'}/tracemill"
 
 
+_staged: list[str] = []
+
+
+def staged() -> int:
+    """How many tables are staged, to be given to ``release`` as what came before."""
+    return len(_staged)
+
+
+def release(spark: SparkSession, before: int, but: int = 0) -> None:
+    """Delete the tables staged after the first ``before``, except the last ``but``; for when no plan reads them any more."""
+    end = len(_staged) - but
+    for path in _staged[before:end]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    del _staged[before:end]
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,13 +73,14 @@ def outer_id(name: str = "_id") -> Column:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, text) with null texts empty; any other column is left behind, whatever its name."""
+    ship(docs.sparkSession)
     return docs.select(inner_id(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def buckets_for(docs: DataFrame, text_col: str, per_bucket: int, bytes_each: float) -> int:
-    """A power of two: so many buckets that each gets about ``per_bucket`` entries, one for ``bytes_each`` bytes of text."""
+    """A power of two, 128 at least: so many buckets that each gets about ``per_bucket`` entries, one for ``bytes_each`` bytes of text."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    return 1 << max(3, int(total / bytes_each / per_bucket).bit_length())
+    return 1 << max(7, int(total / bytes_each / per_bucket).bit_length())
 
 
 class WordHashes(dict):
