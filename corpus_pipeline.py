@@ -12,15 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import stage, table
+from tracemill.llm.common import release, stage, staged, table
 from tracemill.llm.decontaminate import find_contamination
 from tracemill.llm.langid import identify_languages
 from tracemill.llm.minhash import near_duplicates
 from tracemill.llm.mixing import mix_sources
 from tracemill.llm.suffix_dedup import remove_repeated_spans
 
-#: A document whose best language is hardly ahead of the second is rejected.
-LEAST_SCORE = 0.02
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL cannot parse texts with automata nor follow links to components.
 ORACLE_SQL = None
@@ -37,8 +35,9 @@ def keep(docs: DataFrame, decision: DataFrame, test: Column) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, and those for which no language is ahead of the second, go."""
     found = identify_languages(docs)
-    return keep(docs, found, (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return keep(docs, found, (F.col("lang_pred") != "und") & (F.col("score") > 0))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +70,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage has staged for itself is deleted when it ends."""
+    before = staged()
     docs = table(spark, sf_dir, "documents")
     for k, (name, apply) in enumerate(STAGES):
         docs = apply(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stage(docs, name)
+            release(spark, before, but=1)  # the stage's own tables, and what it read
     return docs

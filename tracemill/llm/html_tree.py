@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import slices, stage
+from tracemill.shipping import ship
 
 #: HTML's elements by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -234,6 +235,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     low branches. If cutting would leave nothing of a page, nothing is cut by the
     tree. Repeated rows and ids give repeated results.
     """
+    ship(pages.sparkSession)
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("text"))
     low = low_branches(rows.select("host", "text"), threshold, least_pages, presentation)
