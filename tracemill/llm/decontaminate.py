@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +46,31 @@ def item_windows(n: int):
     return run
 
 
+class TermNumbers(dict):
+    """The number of a word among sorted terms, or -1; remembers recent words."""
+
+    def __init__(self, terms: np.ndarray):
+        self.known = {t: k for k, t in enumerate(terms.view(np.uint64).tolist())}
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        value = self[word] = self.known.get(xxhash.xxh3_64_intdigest(word), -1)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 def counted(terms: np.ndarray):
     """How often each of the sorted ``terms`` occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = WordHashes(), np.zeros(len(terms), np.int64)
+        numbers, total = TermNumbers(terms), np.zeros(len(terms) + 1, np.int64)
         for _, found in slices(batches):
             for text in found:
-                words = memo.of(folded_words(text)).astype(np.int64)
-                at = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
-                total += np.bincount(at[terms[at] == words], minlength=len(terms))
+                total += np.bincount(numbers.of(folded_words(text)) + 1, minlength=len(total))
+        total = total[1:]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(terms[some]), pa.array(total[some])], ["term", "n"])
 
@@ -65,16 +81,18 @@ def posted(terms: np.ndarray):
     """The index: one row for each (term, document) with the places in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        numbers = TermNumbers(terms)
         for batch, found in slices(batches):
             ids, where, which = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), found, strict=True):
-                words = memo.of(folded_words(text)).astype(np.int64)
-                at = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
-                hits = np.flatnonzero(terms[at] == words)
-                where.append(hits)
-                which.append(words[hits])
-                ids.append(np.full(len(hits), doc, np.int64))
+                at = numbers.of(folded_words(text))
+                hits = np.flatnonzero(at >= 0)
+                if len(hits):
+                    where.append(hits)
+                    which.append(terms[at[hits]])
+                    ids.append(np.full(len(hits), doc, np.int64))
+            if not ids:
+                continue
             ids, where, which = np.concatenate(ids), np.concatenate(where), np.concatenate(which)
             order = np.lexsort((where, which, ids))
             ids, where, which = ids[order], where[order], which[order]
@@ -120,25 +138,29 @@ def block_candidates(docs: DataFrame, windows: list, slop: int) -> DataFrame:
     return wanted.join(places, ["term", "_id", "place"], "left_semi").where(F.lit(slop > 0) | (F.col("start") >= 0)).select("_id", "win", "start")
 
 
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, found in slices(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(folded_words(x)) for x in found], pa.int64())], ["_id", "own", "n_words"])
+
+
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words, hit words and items of each document, from its candidate starts."""
+    """Hit words and items of each document that has candidate starts."""
     memo = WordHashes()
     for batch, found in slices(batches):
         rows = []
         for candidates, text in zip(batch.column("found").to_pylist(), found, strict=True):
-            plain = folded_words(text)
-            words = memo.of(plain).astype(np.int64) if candidates else np.empty(0, np.int64)
+            words = memo.of(folded_words(text)).astype(np.int64)
             hit, items, near = np.zeros(len(words), bool), set(), 0
-            for x in candidates or ():
+            for x in candidates:
                 s, own = x["start"], x["terms"]
                 if s >= 0 and words[s : s + len(own)].tolist() == own:
                     hit[s : s + len(own)] = True
                     items.update(x["items"])
                 else:
                     near += 1
-            rows.append((len(plain), int(hit.sum()), sorted(items), near))
-        n, hits, items, near = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(near, pa.int64())], ["_id", "n_words", "n_hit", "items", "n_near"])
+            rows.append((int(hit.sum()), sorted(items), near))
+        hits, items, near = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(near, pa.int64())], ["_id", "own", "n_hit", "items", "n_near"])
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -165,5 +187,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         candidates = found if candidates is None else candidates.union(found)
     listed = candidates.join(distinct, "win").groupBy("_id").agg(F.collect_list(F.struct("start", "terms", "items")).alias("found"))
     listed = stage(listed, "candidates")
-    checked = rows.join(listed, "_id", "left").select("_id", "found", "text").mapInArrow(verified, "_id long, n_words long, n_hit long, items array<string>, n_near long")
-    return checked.select(outer_id().alias("doc_id"), "n_words", "n_hit", "items", "n_near")
+    keyed = rows.select("_id", F.xxhash64("text").alias("own"), "text")  # rows may share an id
+    named = stage(listed.select("_id"), "candidate-ids")  # ids alone are small, so few texts are moved
+    checked = keyed.join(named, "_id", "left_semi").join(listed, "_id").select("_id", "own", "found", "text").mapInArrow(verified, "_id long, own long, n_hit long, items array<string>, n_near long")
+    checked = stage(checked.dropDuplicates(["_id", "own"]), "checked")
+    sized = keyed.mapInArrow(counted_words, "_id long, own long, n_words long").join(checked, ["_id", "own"], "left")
+    none = F.array().cast("array<string>")
+    return sized.select(outer_id().alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
