@@ -6,7 +6,9 @@ corpus cannot lie in a repeat, so only suffixes at repeated grams go on. Each ta
 sorts its suffixes to runs, front-coded by the prefix shared with the suffix
 before; runs are dealt by gram, and merged with loser trees that carry common
 prefixes along and never compare a known one again. Neighbours in the merged order
-that share the gram are then compared window by window, on both sides of it.
+that share the gram are then compared window by window, on both sides of it. A gram
+that very many documents share would gather their differing surroundings in one
+task; around such a gram every suffix is sorted, dealt by its own bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -25,10 +28,13 @@ from tracemill.llm.common import PACKED, binaries, bucket_of, buckets_for, dealt
 
 LEAST, GRAM = 100, 32
 PER_BUCKET = 250_000
+#: A gram with more places is common: all suffixes around its places are sorted, dealt by their first 100 bytes instead of by the gram.
+COMMON = 2000
 #: Suffixes that a task sorts at a time.
 RUN = 60_000
 BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 INDEX = np.uint64((1 << 31) - 1)
+MARK = 1 << 31
 
 
 def least_grams(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +86,17 @@ def marked(least: int, buckets: int):
     return run
 
 
-def twice(group: pa.Table) -> pa.Table:
-    """Documents and places of the grams that occur more than once (and of a few whose short hashes agree by chance)."""
-    ids, places, hashes = gathered(group, exact=False)
-    _, key, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    again = count[key] > 1
-    return pa.Table.from_batches([grouped_positions(ids[again], places[again])])
+def twice(common: int):
+    """Documents and places of the grams that occur more than once (and of a few whose short hashes agree by chance); the top bit marks common ones."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, places, hashes = gathered(group, exact=False)
+        _, key, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        again = count[key] > 1
+        places = places | np.where(count[key] > common, MARK, 0)
+        return pa.Table.from_batches([grouped_positions(ids[again], places[again])])
+
+    return run
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -239,14 +250,21 @@ def sorted_runs(least: int, buckets: int):
             own = Anchors(found, least)
             if not len(own.place):
                 continue
-            repeated = np.zeros(len(own.data), bool)
+            repeated = np.zeros(len(own.data), np.int8)
             for start, hits in zip(own.start.tolist(), batch.column("pos").to_pylist(), strict=True):
-                repeated[start + positions(hits)] = True
+                at = positions(hits)
+                repeated[start + (at & (MARK - 1))] = 1 + (at >= MARK)
             some = np.flatnonzero(repeated[own.place])
             ids, row = batch.column(0).to_numpy(), own.row[some]
             bucket = bucket_of(own.hashes[some], buckets).tolist()
-            for b, place, low, high, doc, start in zip(bucket, own.place[some].tolist(), own.low[some].tolist(), own.high[some].tolist(), ids[row].tolist(), own.start[row].tolist(), strict=True):
-                records.append((b, own.data[place : high + least], own.data[low:place], doc, low - start))
+            common = (repeated[own.place[some]] == 2).tolist()
+            for b, place, low, high, doc, start, many in zip(bucket, own.place[some].tolist(), own.low[some].tolist(), own.high[some].tolist(), ids[row].tolist(), own.start[row].tolist(), common, strict=True):
+                if many:
+                    for k in range(low, high + 1):
+                        piece = own.data[k : k + least]
+                        records.append((xxhash.xxh3_64_intdigest(piece) % buckets, piece, b"", doc, k - start))
+                else:
+                    records.append((b, own.data[place : high + least], own.data[low:place], doc, low - start))
             if len(records) >= RUN:
                 yield from emitted(records)
                 records = []
@@ -301,7 +319,7 @@ def cut(least: int):
     return run
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, common: int = COMMON) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_text, kept_sha256) of every document.
 
     A byte goes if a string of ``least`` bytes around it also starts earlier, in a
@@ -313,7 +331,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = texts(docs, id_col, text_col)
     buckets = buckets_for(rows, "text", PER_BUCKET, (least - GRAM + 2) / 2)
-    again = rows.mapInArrow(marked(least, buckets), PACKED).groupBy("bucket").applyInArrow(twice, "_id long, pos binary")
+    again = rows.mapInArrow(marked(least, buckets), PACKED).groupBy("bucket").applyInArrow(twice(common), "_id long, pos binary")
     placed = rows.repartition("_id")
     around = placed.join(per_document(again), "_id").select("_id", "pos", "text")
     found = around.mapInArrow(sorted_runs(least, buckets), RUN_SCHEMA).groupBy("bucket").applyInArrow(merged(least), "_id long, pos binary")
