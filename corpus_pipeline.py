@@ -20,6 +20,8 @@ from tracemill.llm.mixing import mix_sources
 from tracemill.llm.suffix_dedup import remove_repeated_spans
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of a shingle; an edit breaks more of the longer ones, so the test is stricter than op10's of four.
+SHINGLE = 5
 #: SQL cannot parse texts with automata nor follow links to components.
 ORACLE_SQL = None
 
@@ -41,7 +43,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep(docs, near_duplicates(docs), F.col("kept")).dropDuplicates(["doc_id"])
+    return keep(docs, near_duplicates(docs, shingle=SHINGLE), F.col("kept")).dropDuplicates(["doc_id"])
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,19 +64,24 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (share - chance) / (1.0 - chance)
 
 
-def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo, factors = WordHashes(), multipliers(BANDS * ROWS)
-    for batch, found in slices(batches):
-        sizes, keys, packed, bands = [], [], [], []
-        for text in found:
-            own = shingles(memo.of(text.lower().split()))
-            least = minima(own, factors)
-            sizes.append(len(own))
-            keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-            packed.append(pack(least).tobytes())
-            banded = mixed(gram_rows(least.reshape(BANDS, ROWS)) + np.arange(BANDS, dtype=np.uint64))
-            bands.append(banded.astype(np.int64).tolist() if len(own) else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_id", "n", "key", "sig", "bands"])
+def signed(size: int):
+    """Signatures of the sets of shingles of ``size`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, factors = WordHashes(), multipliers(BANDS * ROWS)
+        for batch, found in slices(batches):
+            sizes, keys, packed, bands = [], [], [], []
+            for text in found:
+                own = shingles(memo.of(text.lower().split()), size)
+                least = minima(own, factors)
+                sizes.append(len(own))
+                keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                packed.append(pack(least).tobytes())
+                banded = mixed(gram_rows(least.reshape(BANDS, ROWS)) + np.arange(BANDS, dtype=np.uint64))
+                bands.append(banded.astype(np.int64).tolist() if len(own) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_id", "n", "key", "sig", "bands"])
+
+    return run
 
 
 def gram_rows(rows: np.ndarray) -> np.ndarray:
@@ -86,11 +91,14 @@ def gram_rows(rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
-    for batch, found in slices(batches):
-        sets = [shingles(memo.of(x.lower().split())).tobytes() for x in found]
-        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("_id", "family", "blocks")], pa.array(sets, pa.binary())], ["_id", "family", "blocks", "own"])
+def with_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch, found in slices(batches):
+            sets = [shingles(memo.of(x.lower().split()), size).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("_id", "family", "blocks")], pa.array(sets, pa.binary())], ["_id", "family", "blocks", "own"])
+
+    return run
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -136,18 +144,18 @@ def compared(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
     Lower-cases A-Z; words are runs without ASCII white space; sets hold distinct
-    four-word shingles. Links need ``percent`` of the union. A text of fewer words
+    shingles of ``shingle`` words. Links need ``percent`` of the union. A text of fewer words
     is one shingle; null, empty and blank texts have none and link with nothing,
     so they are kept. Rows of equal sets share a component, of which the smallest
     id is kept; rows that repeat an id are one node. A null id sorts first and is
     returned as null.
     """
     rows = texts(docs, id_col, text_col)
-    signatures = stage(rows.mapInArrow(signed, "_id long, n long, key binary, sig binary, bands array<long>"), "minhash")
+    signatures = stage(rows.mapInArrow(signed(shingle), "_id long, n long, key binary, sig binary, bands array<long>"), "minhash")
     nodes = signatures.where("key IS NOT NULL").groupBy("key").agg(F.min("_id").alias("node"), F.first("bands").alias("bands"))
     nodes = stage(nodes, "minhash-nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -156,7 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     family = families.select("node", F.col("component").alias("family")).union(families.select("component", "component").distinct())
     sized = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     family = stage(family.join(sized, "family").select(F.col("node").alias("_id"), "family", "blocks"), "minhash-families")
-    sets = rows.join(family, "_id").select("_id", "family", "blocks", "text").mapInArrow(with_sets, "_id long, family long, blocks int, own binary")
+    sets = rows.join(family, "_id").select("_id", "family", "blocks", "text").mapInArrow(with_sets(shingle), "_id long, family long, blocks int, own binary")
     block = F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "_id", "block", "own")
