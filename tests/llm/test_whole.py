@@ -6,7 +6,7 @@ import brute
 import corpus_pipeline
 from cases import DOCS, sentence
 
-from tracemill.llm import minhash
+from tracemill.llm import block_dedup, minhash, suffix_dedup
 
 
 def near(docs: list[tuple], size: int) -> dict[int, tuple[int, int, bool]]:
@@ -44,3 +44,34 @@ def test_shingles_of_five_words(spark):
     assert near(rows, 4) == brute.near([r[:2] for r in rows]) and near(rows, 4)[1][2] != near(rows, 5)[1][2]
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert kept == {i for i, x in near(rows, 5).items() if x[2]}
+
+
+def test_suffix_dedup_of_ids_that_repeat(spark):
+    """A null id of 5000 bytes repeats itself beyond the end of another null id's text; twins keep their first copy."""
+    import random
+
+    rng = random.Random(12)
+    long, short, other, twin = (sentence(rng, 2000)[:n] for n in (4000, 200, 300, 400))
+    rows = [(None, long + long[:1000]), (None, short), (7, other), (7, other[100:250] + short[:150]), (8, twin), (8, twin)]
+    found = suffix_dedup.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+    assert len(found) == len(rows)
+    by = {}
+    for r in found:
+        by.setdefault((r.doc_id, r.n_bytes), []).append(r)
+    assert by[None, 5000][0].kept_text == long and by[None, 5000][0].n_spans == 1
+    assert by[None, 200][0].kept_text == short
+    pair = by[7, 300]
+    assert len(pair) == 2 and sorted(r.n_removed for r in pair) in ([0, 300], [150, 150])  # the passage that both hold stays once
+    assert [r.kept_text for r in by[8, 400]] == [twin, twin]
+
+
+def test_block_dedup_of_ids_that_repeat(spark):
+    """Places of one row never count for another row of its id: the short ones have no word there."""
+    import random
+
+    rng = random.Random(13)
+    base, long = sentence(rng, 60), sentence(rng, 400)
+    rows = [(1, base), (5, f"{long} {base}"), (5, "a b c"), (None, f"{long} x {base}"), (None, "d e"), (9, base), (9, base)]
+    found = block_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in found)
+    assert got == [(-1, 2, 0), (-1, 461, 0), (1, 60, 60), (5, 3, 0), (5, 460, 460), (9, 60, 60), (9, 60, 60)]

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tracemill.llm.common import PACKED, WordHashes, buckets_for, dealt, gathered, gram_hashes, grouped_positions, outer_id, per_document, positions, slices, texts
+from tracemill.llm.common import PACKED, WordHashes, buckets_for, dealt, gathered, gram_hashes, grouped_positions, outer_id, per_document, positions, row_keys, slices, texts
 
 WINDOW = 13
 #: Entries that a bucket gets; the number of buckets grows with the corpus.
@@ -27,6 +27,17 @@ PER_BUCKET = 1_000_000
 POSITIONS = "_id long, pos binary"
 
 
+def in_order(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Numbers that sort as the documents do, by id and then by key."""
+    if np.array_equal(ids, keys):
+        return ids
+    at = np.lexsort((keys, ids))
+    new = np.concatenate(([True], (ids[at][1:] != ids[at][:-1]) | (keys[at][1:] != keys[at][:-1])))
+    out = np.empty(len(ids), np.int64)
+    out[at] = np.cumsum(new)
+    return out
+
+
 def met(ids: np.ndarray, indexed: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which entries meet their counterpart, and which stand for all of their hash.
 
@@ -75,10 +86,10 @@ def probes(block: int, buckets: int):
             n = np.array([len(x) for x in grams], np.int64)
             if n.sum():
                 place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                ids, hashes = np.repeat(batch.column(0).to_numpy(), n), np.concatenate(grams)
-                done, tells = met(ids, place % block == 0, hashes)
+                keys, ids, hashes = np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy(), n), np.concatenate(grams)
+                done, tells = met(in_order(ids, keys), place % block == 0, hashes)
                 sent = ~done | tells
-                yield from with_settled(dealt(ids[sent], place[sent], hashes[sent], buckets, exact=False), ids[~sent], place[~sent], buckets)
+                yield from with_settled(dealt(keys[sent], place[sent], hashes[sent], buckets, exact=False, named=ids[sent]), keys[~sent], place[~sent], buckets)
 
     return run
 
@@ -90,21 +101,29 @@ def hit(block: int):
         settled, group = taken_apart(group)
         if not group.num_rows:
             return settled
-        ids, places, hashes = gathered(group, exact=False)
-        done, _ = met(ids, places % block == 0, hashes)
-        return pa.concat_tables([settled, pa.Table.from_batches([grouped_positions(ids[done], places[done])])])
+        keys, places, hashes, ids = gathered(group, exact=False, named=True)
+        done, _ = met(in_order(ids, keys), places % block == 0, hashes)
+        return pa.concat_tables([settled, pa.Table.from_batches([grouped_positions(keys[done], places[done])])])
 
     return run
 
 
+def later_ones(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which entries have a hash that a smaller document has, too."""
+    _, key = np.unique(hashes, return_inverse=True)
+    least = np.full(int(key.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, key, ids)
+    return ids > least[key]
+
+
 def extended(window: int, block: int, buckets: int):
     """Hashes of the windows around hits. Of equal windows in a batch only the first document's go on; the rest are settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch, found in slices(batches):
-            ids, places, hashes = [], [], []
-            for doc, hits, text in zip(batch.column(0).to_pylist(), batch.column("pos").to_pylist(), found, strict=True):
+            keys, ids, places, hashes = [], [], [], []
+            for key, doc, hits, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column("pos").to_pylist(), found, strict=True):
                 words = memo.of(text.split())
                 n = len(words) - window + 1
                 if n <= 0:
@@ -116,15 +135,13 @@ def extended(window: int, block: int, buckets: int):
                 some = np.flatnonzero(np.cumsum(around[:n]) > 0)
                 hashes.append(gram_hashes(words, window)[some])
                 places.append(some)
+                keys.append(np.full(len(some), key, np.int64))
                 ids.append(np.full(len(some), doc, np.int64))
             if not ids:
                 continue
-            ids, places, hashes = np.concatenate(ids), np.concatenate(places), np.concatenate(hashes)
-            _, key = np.unique(hashes, return_inverse=True)
-            least = np.full(int(key.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, key, ids)
-            later = ids > least[key]
-            yield from with_settled(dealt(ids[~later], places[~later], hashes[~later], buckets), ids[later], places[later], buckets)
+            keys, ids, places, hashes = map(np.concatenate, (keys, ids, places, hashes))
+            later = later_ones(in_order(ids, keys), hashes)
+            yield from with_settled(dealt(keys[~later], places[~later], hashes[~later], buckets, named=ids[~later]), keys[later], places[later], buckets)
 
     return run
 
@@ -134,12 +151,9 @@ def repeated(group: pa.Table) -> pa.Table:
     settled, group = taken_apart(group)
     if not group.num_rows:
         return settled
-    ids, places, hashes = gathered(group)
-    _, key = np.unique(hashes, return_inverse=True)
-    least = np.full(int(key.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, key, ids)
-    later = ids > least[key]
-    return pa.concat_tables([settled, pa.Table.from_batches([grouped_positions(ids[later], places[later])])])
+    keys, places, hashes, ids = gathered(group, named=True)
+    later = later_ones(in_order(ids, keys), hashes)
+    return pa.concat_tables([settled, pa.Table.from_batches([grouped_positions(keys[later], places[later])])])
 
 
 def trimmed(window: int):
@@ -170,15 +184,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are runs without ASCII white space. A word goes if a window of ``window``
     words around it also starts in a document of smaller id; windows are judged on
     the input. Texts of fewer words, null and empty ones lose nothing. A null id is
-    smaller than any other. Rows that repeat an id are one document: places found
-    in any of them count for all. kept_text joins the kept words by one space.
+    smaller than any other. Rows that repeat id and text are one document and lose
+    the same; rows that repeat an id, or have none, with other text are documents of
+    their own, in the order of a hash. kept_text joins the kept words by one space.
     """
     block = (window + 1) // 2
-    rows = texts(docs, id_col, text_col)
+    rows = row_keys(texts(docs, id_col, text_col))
     buckets = buckets_for(rows, "text", PER_BUCKET, 6.0)
-    hits = rows.mapInArrow(probes(block, buckets), SETTLED).groupBy("bucket").applyInArrow(hit(block), POSITIONS)
-    placed = rows.repartition("_id")
-    around = placed.join(per_document(hits), "_id").select("_id", "pos", "text")
+    by_key = lambda found: per_document(found).withColumnRenamed("_id", "key")
+    hits = rows.select("key", "_id", "text").mapInArrow(probes(block, buckets), SETTLED).groupBy("bucket").applyInArrow(hit(block), POSITIONS)
+    placed = rows.repartition("key")
+    around = placed.join(by_key(hits), "key").select("key", "_id", "pos", "text")
     found = around.mapInArrow(extended(window, block, buckets), SETTLED).groupBy("bucket").applyInArrow(repeated, POSITIONS)
-    result = placed.join(per_document(found), "_id", "left").select("_id", "pos", "text").mapInArrow(trimmed(window), "_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    result = placed.join(by_key(found), "key", "left").select("_id", "pos", "text").mapInArrow(trimmed(window), "_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return result.select(outer_id().alias("doc_id"), "n_words", "n_removed", "kept_text", "kept_sha256")

@@ -77,6 +77,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(inner_id(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def row_keys(rows: DataFrame) -> DataFrame:
+    """(key, _id, text) of (_id, text): the id itself, or where rows of other text repeat it, null ids too, a hash of id and text."""
+    own = F.xxhash64("_id", "text")
+    several = rows.groupBy("_id").agg(F.min(own).alias("least"), F.max(own).alias("most")).where("least <> most")
+    several = stage(several.select("_id", F.lit(True).alias("several")), "repeated-ids")  # its size is known, so few ids move no texts
+    return rows.join(several, "_id", "left").select(F.when(F.col("several"), own).otherwise(F.col("_id")).alias("key"), "_id", "text")
+
+
 def buckets_for(docs: DataFrame, text_col: str, per_bucket: int, bytes_each: float) -> int:
     """A power of two, 128 at least: so many buckets that each gets about ``per_bucket`` entries, one for ``bytes_each`` bytes of text."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
@@ -176,15 +184,17 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
 
 
-def dealt(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, buckets: int, exact: bool = True) -> pa.RecordBatch:
+def dealt(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, buckets: int, exact: bool = True, named: np.ndarray | None = None) -> pa.RecordBatch:
     """One row per bucket with its entries in order of document and place, the document once for all its entries.
 
     Places travel as differences. Not ``exact``: of a hash the 32 bits below the
-    bucket's are sent, which is enough to rule most entries out.
+    bucket's are sent, which is enough to rule most entries out. ``named`` are the
+    documents' own ids, sent beside ``ids`` where those are keys.
     """
     bucket = bucket_of(hashes, buckets)
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     bucket, ids, places, hashes = bucket[order], ids[order], places[order], hashes[order]
+    named = named if named is None else named[order]
     starts = runs(bucket)
     docs = np.union1d(runs(ids), starts)  # starts of the runs of one document in one bucket
     steps = np.diff(places, prepend=0)
@@ -195,20 +205,27 @@ def dealt(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, buckets: int,
     rows = []
     for a, b, i, j in zip(starts, starts[1:], inner, inner[1:], strict=False):
         own = ids[docs[i:j]].astype(np.int64)
-        rows.append((int(bucket[a]), squeezed(np.diff(own, prepend=np.int64(0))), squeezed(np.diff(docs[i : j + 1]).astype(np.uint32)), squeezed(steps[a:b].astype(np.uint32)), squeezed(hashes[a:b])))
+        told = np.diff(own, prepend=np.int64(0))
+        if named is not None:
+            told = np.concatenate((told, named[docs[i:j]] - own))
+        rows.append((int(bucket[a]), squeezed(told), squeezed(np.diff(docs[i : j + 1]).astype(np.uint32)), squeezed(steps[a:b].astype(np.uint32)), squeezed(hashes[a:b])))
     kinds = (pa.int32(), *[pa.binary()] * 4)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
 
 
-def gathered(group: pa.Table, exact: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, places and hashes of a bucket."""
-    ids, places, hashes = [], [], []
+def gathered(group: pa.Table, exact: bool = True, named: bool = False) -> tuple[np.ndarray, ...]:
+    """ids, places and hashes of a bucket, and the documents' own ids if they were ``named``."""
+    ids, places, hashes, names = [], [], [], []
     for row in group.select(["docs", "counts", "places", "hashes"]).to_pylist():
-        own, counts = np.cumsum(restored(row["docs"], np.int64)), restored(row["counts"], np.uint32).astype(np.int64)
+        own, counts = restored(row["docs"], np.int64), restored(row["counts"], np.uint32).astype(np.int64)
+        own, off = own[: len(counts)], own[len(counts) :]
+        own = np.cumsum(own)
         steps = restored(row["places"], np.uint32).astype(np.int64)
         first = np.cumsum(counts) - counts
         total = np.cumsum(steps)
         places.append(total - np.repeat(total[first] - steps[first], counts))
         ids.append(np.repeat(own, counts))
         hashes.append(restored(row["hashes"], np.uint64 if exact else np.uint32))
-    return np.concatenate(ids), np.concatenate(places), np.concatenate(hashes)
+        if named:
+            names.append(np.repeat(own + off, counts))
+    return (*map(np.concatenate, (ids, places, hashes)), *([np.concatenate(names)] if named else []))

@@ -24,7 +24,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeated_spans(table(spark, sf_dir, "documents")).drop("kept_text")
+    return suffix_dedup.remove_repeated_spans(table(spark, sf_dir, "documents")).drop("kept_text", "own")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

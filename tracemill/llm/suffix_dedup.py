@@ -23,8 +23,9 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tracemill.llm.common import PACKED, binaries, bucket_of, buckets_for, dealt, gathered, grouped_positions, mixed, outer_id, per_document, positions, runs, slices, texts
+from tracemill.llm.common import PACKED, binaries, bucket_of, buckets_for, dealt, gathered, grouped_positions, mixed, outer_id, per_document, positions, row_keys, runs, slices, texts
 
 LEAST, GRAM = 100, 32
 PER_BUCKET = 250_000
@@ -108,7 +109,8 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
 
 RUN_NAMES = ["bucket", "shared", "rights", "lefts", "docs", "lows", "bytes", "pos", "_id"]
 RUN_SCHEMA = "bucket int, shared binary, rights binary, lefts binary, docs binary, lows binary, bytes binary, pos binary, _id long"
-Record = tuple[bytes, bytes, int, int]  # suffix from the gram on, what stands before it, document, first window start
+Doc = tuple[int, int]  # id and key: documents of one id follow each other by their keys
+Record = tuple[bytes, bytes, Doc, int]  # suffix from the gram on, what stands before it, document, first window start
 
 
 def coded(bucket: int, records: list[Record]) -> list:
@@ -129,7 +131,8 @@ def decoded(row: dict) -> Iterator[tuple[int, Record]]:
     """(prefix shared with the suffix before, record) in order."""
     body, at, last = zstandard.decompress(row["bytes"]), 0, b""
     take = lambda k, kind: memoryview(row[k]).cast(kind)
-    for shared, right, left, doc, low in zip(take("shared", "H"), take("rights", "H"), take("lefts", "H"), take("docs", "q"), take("lows", "I"), strict=True):
+    docs = iter(take("docs", "q"))
+    for shared, right, left, doc, low in zip(take("shared", "H"), take("rights", "H"), take("lefts", "H"), zip(docs, docs, strict=True), take("lows", "I"), strict=True):
         last = last[:shared] + body[at : at + right - shared]
         at += right - shared
         yield shared, (last, body[at : at + left], doc, low)
@@ -182,20 +185,20 @@ class LoserTree:
 
 
 def window_spans(group: list[Record], least: int) -> Iterator[tuple[int, int, int]]:
-    """(document, first, last window start) of windows that also start earlier, among suffixes of one gram."""
-    variants: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+    """(document's key, first, last window start) of windows that also start earlier, among suffixes of one gram."""
+    variants: dict[tuple[bytes, bytes], list[tuple[Doc, int]]] = {}
     for right, left, doc, low in group:
         variants.setdefault((left, right), []).append((doc, low))
     for (left, right), places in variants.items():
         first = min(places)
         n = len(left) + len(right) - least
-        yield from ((doc, low, low + n) for doc, low in places if (doc, low) != first)
+        yield from ((doc[1], low, low + n) for doc, low in places if (doc, low) != first)
         places[:] = [first]
     if len(variants) < 2:
         return
     rows = [(left, right, doc, low, bytearray(len(left) + len(right) - least + 1)) for (left, right), [(doc, low)] in variants.items()]
     for before in range(least - GRAM + 1):  # equal windows have as many bytes before the gram
-        earliest: dict[bytes, tuple[int, int]] = {}
+        earliest: dict[bytes, tuple[Doc, int]] = {}
         inside = [(x[0][len(x[0]) - before :] + x[1][: least - before], x) for x in rows if 0 <= len(x[0]) - before < len(x[4])]
         for piece, (left, _, doc, low, _) in inside:
             here = (doc, low + len(left) - before)
@@ -209,12 +212,12 @@ def window_spans(group: list[Record], least: int) -> Iterator[tuple[int, int, in
         while at >= 0:
             end = again.find(0, at)
             end = len(again) if end < 0 else end
-            yield doc, low + at, low + end - 1
+            yield doc[1], low + at, low + end - 1
             at = again.find(1, end)
 
 
 def spans_batch(spans: array) -> pa.RecordBatch:
-    """One row (_id, pos) per document with pairs of first and last window starts."""
+    """One row (_id, pos) per document, named by its key, with pairs of first and last window starts."""
     values = np.frombuffer(spans, np.int64).reshape(-1, 3)
     values = values[np.argsort(values[:, 0], kind="stable")]
     starts = runs(values[:, 0]) if len(values) else np.zeros(1, np.int64)
@@ -224,7 +227,7 @@ def spans_batch(spans: array) -> pa.RecordBatch:
 
 def sorted_runs(least: int, buckets: int):
     """Front-coded runs of the suffixes at repeated grams. Of equal contexts in a run only the earliest goes on; the others' windows are settled."""
-    def emitted(records: list[tuple[int, bytes, bytes, int, int]]) -> Iterator[pa.RecordBatch]:
+    def emitted(records: list[tuple[int, bytes, bytes, Doc, int]]) -> Iterator[pa.RecordBatch]:
         records.sort()
         rows, own, settled, last = [], [], array("q"), None
         for bucket, right, left, doc, low in records:
@@ -232,7 +235,8 @@ def sorted_runs(least: int, buckets: int):
                 rows.append(coded(last[0], own))
                 own = []
             if last == (bucket, right, left):
-                settled.extend((doc, low, low + len(left) + len(right) - least))
+                if own[-1][2:] != (doc, low):  # else the same place of a repeated row
+                    settled.extend((doc[1], low, low + len(left) + len(right) - least))
                 continue
             own.append((right, left, doc, low))
             last = (bucket, right, left)
@@ -245,7 +249,7 @@ def sorted_runs(least: int, buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 5000], strict=True), kinds, strict=True)], RUN_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records: list[tuple[int, bytes, bytes, int, int]] = []
+        records: list[tuple[int, bytes, bytes, Doc, int]] = []
         for batch, found in slices(batches, 2 << 20):
             own = Anchors(found, least)
             if not len(own.place):
@@ -255,10 +259,11 @@ def sorted_runs(least: int, buckets: int):
                 at = positions(hits)
                 repeated[start + (at & (MARK - 1))] = 1 + (at >= MARK)
             some = np.flatnonzero(repeated[own.place])
-            ids, row = batch.column(0).to_numpy(), own.row[some]
+            docs = list(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True))
+            row = own.row[some]
             bucket = bucket_of(own.hashes[some], buckets).tolist()
             common = (repeated[own.place[some]] == 2).tolist()
-            for b, place, low, high, doc, start, many in zip(bucket, own.place[some].tolist(), own.low[some].tolist(), own.high[some].tolist(), ids[row].tolist(), own.start[row].tolist(), common, strict=True):
+            for b, place, low, high, doc, start, many in zip(bucket, own.place[some].tolist(), own.low[some].tolist(), own.high[some].tolist(), [docs[i] for i in row.tolist()], own.start[row].tolist(), common, strict=True):
                 if many:
                     for k in range(low, high + 1):
                         piece = own.data[k : k + least]
@@ -314,26 +319,31 @@ def cut(least: int):
                 gone.append(len(text) - len(kept[-1]))
                 spans.append(int((np.diff(stays.astype(np.int8), prepend=1) == -1).sum()))
             sizes, digests = [len(x) for x in found], [hashlib.sha256(x).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, gone, spans)], pa.array([x.decode("utf-8", "ignore") for x in kept]), pa.array(digests)], ["_id", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, gone, spans)], pa.array([x.decode("utf-8", "ignore") for x in kept]), pa.array(digests), batch.column(1)], ["_id", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256", "own"])
 
     return run
 
 
+def by_key(found: DataFrame) -> DataFrame:
+    return per_document(found).withColumnRenamed("_id", "key")
+
+
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, common: int = COMMON) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_text, kept_sha256) of every document.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_text, kept_sha256, own) of every document.
 
     A byte goes if a string of ``least`` bytes around it also starts earlier, in a
     document of smaller id or before in the same one; strings overlap freely and
     are judged on the input. Texts of fewer bytes, null and empty ones lose
-    nothing. A null id is smaller than any other. Rows that repeat an id are one
-    document of which every row loses what repeats in any of them. kept_text leaves
-    out the rest of a character that a cut went through.
+    nothing. A null id is smaller than any other. Rows that repeat id and text are
+    one document and lose the same; rows that repeat an id, or have none, with other
+    text are documents of their own, in the order of a hash. kept_text leaves out the
+    rest of a character that a cut went through; own is the hash of the input's text.
     """
-    rows = texts(docs, id_col, text_col)
+    rows = row_keys(texts(docs, id_col, text_col))
     buckets = buckets_for(rows, "text", PER_BUCKET, (least - GRAM + 2) / 2)
-    again = rows.mapInArrow(marked(least, buckets), PACKED).groupBy("bucket").applyInArrow(twice(common), "_id long, pos binary")
-    placed = rows.repartition("_id")
-    around = placed.join(per_document(again), "_id").select("_id", "pos", "text")
+    again = rows.select("key", "text").mapInArrow(marked(least, buckets), PACKED).groupBy("bucket").applyInArrow(twice(common), "_id long, pos binary")
+    placed = rows.repartition("key")
+    around = placed.join(by_key(again), "key").select("key", "_id", "pos", "text")
     found = around.mapInArrow(sorted_runs(least, buckets), RUN_SCHEMA).groupBy("bucket").applyInArrow(merged(least), "_id long, pos binary")
-    result = placed.join(per_document(found), "_id", "left").select("_id", "pos", "text").mapInArrow(cut(least), "_id long, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
-    return result.select(outer_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256")
+    result = placed.join(by_key(found), "key", "left").select("_id", F.xxhash64("text").alias("own"), "pos", "text").mapInArrow(cut(least), "_id long, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string, own long")
+    return result.select(outer_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256", "own")
