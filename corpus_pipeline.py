@@ -2,7 +2,8 @@
 
 Language identification, near-duplicate removal, repeated-span removal, benchmark
 decontamination and source mixing, each over all that the stage before kept. A
-stage decides by doc_id; where rows repeat an id, the second stage keeps one.
+stage decides by doc_id and text, so rows that share an id, or have none, are judged
+each for itself; of rows that agree in both, the second stage keeps one.
 """
 
 from __future__ import annotations
@@ -26,13 +27,18 @@ SHINGLE = 5
 ORACLE_SQL = None
 
 
+def own(docs: DataFrame) -> Column:
+    """The hash of a row's text, by which operators name rows that share an id or have none."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
 def with_decision(docs: DataFrame, decision: DataFrame, how: str) -> DataFrame:
-    """Join on doc_id, nulls alike; ``decision`` calls it ``key``."""
-    return docs.join(decision, docs["doc_id"].eqNullSafe(decision["key"]), how)
+    """Join on doc_id, nulls alike, and text; ``decision`` calls them ``key`` and ``own``."""
+    return docs.join(decision, docs["doc_id"].eqNullSafe(decision["key"]) & (own(docs) == decision["own"]), how)
 
 
 def keep(docs: DataFrame, decision: DataFrame, test: Column) -> DataFrame:
-    kept = decision.where(test).select(F.col("doc_id").alias("key"))
+    kept = decision.where(test).select(F.col("doc_id").alias("key"), "own")
     return with_decision(docs.select(*COLUMNS), kept, "left_semi")
 
 
@@ -43,12 +49,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep(docs, near_duplicates(docs, shingle=SHINGLE), F.col("kept")).dropDuplicates(["doc_id"])
+    """Of rows that agree in id and text, the one whose other columns sort first stays."""
+    kept = keep(docs, near_duplicates(docs, shingle=SHINGLE), F.col("kept"))
+    least = kept.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("least"))
+    return least.select("doc_id", "text", "least.*").select(*COLUMNS)
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = remove_repeated_spans(docs).select(F.col("doc_id").alias("key"), "kept_text")
-    joined = with_decision(docs.select("doc_id", "lang", "source"), found, "inner")
+    found = remove_repeated_spans(docs).select(F.col("doc_id").alias("key"), "own", "kept_text").dropDuplicates(["key", "own"])
+    joined = with_decision(docs.select("doc_id", "text", "lang", "source"), found, "inner")
     return joined.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
@@ -58,8 +67,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the words it takes of each."""
-    taken = mix_sources(docs).where("taken > 0").withColumnRenamed("doc_id", "key")
-    return with_decision(docs.select(*COLUMNS), taken, "inner").drop("key")
+    taken = mix_sources(docs).where("taken > 0").withColumnRenamed("doc_id", "key").dropDuplicates(["key", "own", "src"])
+    joined = with_decision(docs.select(*COLUMNS), taken, "inner")
+    return joined.where(F.col("source").eqNullSafe(F.col("src"))).drop("key", "own", "src")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

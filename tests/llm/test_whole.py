@@ -75,3 +75,32 @@ def test_block_dedup_of_ids_that_repeat(spark):
     found = block_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in found)
     assert got == [(-1, 2, 0), (-1, 461, 0), (1, 60, 60), (5, 3, 0), (5, 460, 460), (9, 60, 60), (9, 60, 60)]
+
+
+def test_pipeline_keeps_rows_by_id_and_text(spark):
+    """Null ids and a repeated id with other texts all pass; a copy of a null id's text goes, the text does not."""
+    import random
+
+    rng = random.Random(14)
+    a, b, c, d = (sentence(rng, 40) for _ in range(4))
+    rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (3, c, "en", "s", 1), (3, d, "de", "s", 1), (3, d, "en", "s", 1), (4, a, "en", "s", 1), (5, b.upper(), "en", "s", 1), (None, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    tuples = lambda df: sorted(map(tuple, df.select("doc_id", "text", "lang").collect()), key=str)
+    want = sorted([(None, a, "en"), (None, b, "en"), (3, c, "en"), (3, d, "de"), (None, None, "en")], key=str)
+    assert tuples(left) == want
+    cut = corpus_pipeline.span_dedup(spark, left, "")
+    assert tuples(cut) == sorted([(i, t or "", x) for i, t, x in want], key=str)
+    taken = corpus_pipeline.mixing(spark, cut, "").collect()
+    assert len(taken) == len({(r.doc_id, r.text) for r in taken}) and all(r.size == len(r.text.split()) for r in taken)
+
+
+def test_near_duplicates_of_null_ids(spark):
+    """Two null ids are two nodes: what copies one goes for its sake, and each null id stays."""
+    import random
+
+    rng = random.Random(15)
+    a, b = sentence(rng, 40), sentence(rng, 40)
+    rows = [(None, a), (None, b), (1, b), (2, edited(rng, b.split(" "), 0)), (3, edited(rng, a.split(" "), 0))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in found) == [(0, None, True), (0, None, True), (1, None, False), (2, None, False), (3, None, False)]

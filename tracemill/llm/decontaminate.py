@@ -164,7 +164,7 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, n_near) of every document.
+    """(doc_id, n_words, n_hit, items, n_near, own) of every document.
 
     Lower-cases A-Z; words are runs of ASCII letters, digits and other characters
     beyond ASCII. ``items`` are the ids, as sorted strings, of items with a window
@@ -173,7 +173,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     distance without an exact phrase. Null and empty texts have no words; a null
     item id is the empty string; repeated items count once; an empty benchmark hits
     nothing. Rows that repeat a doc_id are looked up with the places of all of them
-    and verified each on its own text.
+    and verified each on its own text, of which own is the hash.
     """
     rows = texts(docs, id_col, text_col)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
@@ -193,4 +193,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     checked = stage(checked.dropDuplicates(["_id", "own"]), "checked")
     sized = keyed.mapInArrow(counted_words, "_id long, own long, n_words long").join(checked, ["_id", "own"], "left")
     none = F.array().cast("array<string>")
-    return sized.select(outer_id().alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    return sized.select(outer_id().alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "own")

@@ -79,7 +79,7 @@ def signed(size: int):
                 packed.append(pack(least).tobytes())
                 banded = mixed(gram_rows(least.reshape(BANDS, ROWS)) + np.arange(BANDS, dtype=np.uint64))
                 bands.append(banded.astype(np.int64).tolist() if len(own) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_id", "n", "key", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_id", "own", "n", "key", "sig", "bands"])
 
     return run
 
@@ -145,31 +145,35 @@ def compared(percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
+    """(doc_id, n_shingles, component_id, kept, own) of every document.
 
     Lower-cases A-Z; words are runs without ASCII white space; sets hold distinct
     shingles of ``shingle`` words. Links need ``percent`` of the union. A text of fewer words
     is one shingle; null, empty and blank texts have none and link with nothing,
     so they are kept. Rows of equal sets share a component, of which the smallest
-    id is kept; rows that repeat an id are one node. A null id sorts first and is
-    returned as null.
+    id is kept. A null id sorts first and is returned as null. Where rows repeat an
+    id, or have none, those of other text are documents of their own, in the order
+    of own, the hash of the text; those of equal text share the result.
     """
-    rows = texts(docs, id_col, text_col)
-    signatures = stage(rows.mapInArrow(signed(shingle), "_id long, n long, key binary, sig binary, bands array<long>"), "minhash")
-    nodes = signatures.where("key IS NOT NULL").groupBy("key").agg(F.min("_id").alias("node"), F.first("bands").alias("bands"))
-    nodes = stage(nodes, "minhash-nodes")
+    rows = texts(docs, id_col, text_col).select("_id", F.xxhash64("text").alias("own"), "text")
+    signatures = stage(rows.mapInArrow(signed(shingle), "_id long, own long, n long, key binary, sig binary, bands array<long>"), "minhash")
+    nodes = signatures.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("_id", "own")).alias("least"), F.first("bands").alias("bands"))
+    nodes = nodes.select("key", "least._id", "least.own", "bands").orderBy("_id", "own")
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")  # numbers in that order
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     families = components(banded.join(shared, "bucket").select("a", F.col("node").alias("b")))
     family = families.select("node", F.col("component").alias("family")).union(families.select("component", "component").distinct())
     sized = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    family = stage(family.join(sized, "family").select(F.col("node").alias("_id"), "family", "blocks"), "minhash-families")
-    sets = rows.join(family, "_id").select("_id", "family", "blocks", "text").mapInArrow(with_sets(shingle), "_id long, family long, blocks int, own binary")
+    family = stage(family.join(sized, "family").join(nodes, "node").select("_id", "own", "node", "family", "blocks"), "minhash-families")
+    sets = rows.join(family, ["_id", "own"]).select(F.col("node").alias("_id"), "family", "blocks", "text").mapInArrow(with_sets(shingle), "_id long, family long, blocks int, own binary")
     block = F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "_id", "block", "own")
     links = dealt.groupBy("family", "low", "high").applyInArrow(compared(percent), "a long, b long")
     joined = components(links)
-    result = signatures.select("_id", "n", "key").join(nodes.select("key", "node"), "key", "left").join(joined, "node", "left")
-    root = F.coalesce("component", "node", "_id")
-    return result.select(outer_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(root != NO_ID, root).alias("component_id"), (F.col("_id") == root).alias("kept"))
+    roots = nodes.select("key", "node").join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("node"))
+    roots = roots.join(nodes.select("node", F.col("_id").alias("root"), F.col("own").alias("root_own")), "node").drop("node")
+    result = signatures.select("_id", "own", "n", "key").join(roots, "key", "left")
+    root, kept = F.coalesce("root", "_id"), F.coalesce((F.col("_id") == F.col("root")) & (F.col("own") == F.col("root_own")), F.lit(True))
+    return result.select(outer_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(root != NO_ID, root).alias("component_id"), kept.alias("kept"), "own")

@@ -65,22 +65,23 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """What each document gives to the mix: (doc_id, size, source_size, target, taken).
+    """What each document gives to the mix: (doc_id, size, source_size, target, taken, src, own).
 
     Sources by code point, null last, weigh ``weights`` in turn and share
     ``share`` times all words; a target stops at ``most`` times its source's size.
     Null and empty texts have size 0 and give 0 words; a null source is a source
     of its own; a null id hashes as the empty string. Rows that repeat an id share
-    a hash and are taken together. An empty table gives no rows.
+    a hash and are taken together; src and the text's hash own tell them apart. An
+    empty table gives no rows.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), size.alias("size"), document_hash(id_col).alias("hash")), "mix-sizes")
+    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), size.alias("size"), document_hash(id_col).alias("hash"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own")), "mix-sizes")
     sizes = stage(sized.groupBy("src").agg(F.sum("size").alias("source_size")), "mix-sources")
     bounds = thresholds(sized, source_targets(sizes, weights, share, most)).withColumnRenamed("src", "bound_src")
     below = (F.col("hash") < F.col("bound")) | ((F.col("hash") == F.col("bound")) & F.col("last"))
     taken = F.col("size") * (F.col("passes") + F.coalesce(below, F.lit(False)).cast("long"))
     joined = sized.join(bounds, F.col("src").eqNullSafe(F.col("bound_src")))
-    return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "src", "own")
 
 
 ORACLE = r"""
