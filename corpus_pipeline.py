@@ -43,9 +43,8 @@ def keep(docs: DataFrame, decision: DataFrame, test: Column) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those for which no language is ahead of the second, go."""
-    found = identify_languages(docs)
-    return keep(docs, found, (F.col("lang_pred") != "und") & (F.col("score") > 0))
+    """Null texts and those without letters go; a tie of languages, or a corpus to learn none from, rejects nothing."""
+    return keep(docs, identify_languages(docs), F.col("lettered"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

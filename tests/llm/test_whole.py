@@ -5,8 +5,9 @@ from __future__ import annotations
 import brute
 import corpus_pipeline
 from cases import DOCS, sentence
+from pyspark.sql import functions as F
 
-from tracemill.llm import block_dedup, minhash, suffix_dedup
+from tracemill.llm import block_dedup, langid, minhash, suffix_dedup
 
 
 def near(docs: list[tuple], size: int) -> dict[int, tuple[int, int, bool]]:
@@ -104,3 +105,15 @@ def test_near_duplicates_of_null_ids(spark):
     rows = [(None, a), (None, b), (1, b), (2, edited(rng, b.split(" "), 0)), (3, edited(rng, a.split(" "), 0))]
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in found) == [(0, None, True), (0, None, True), (1, None, False), (2, None, False), (3, None, False)]
+
+
+def test_language_stage_rejects_only_texts_without_letters(spark):
+    """A text that fits two languages alike stays, and so do all where no label can be learned from."""
+    rows = [(i, f"{w} common", w, "s", 1) for i, w in enumerate(["abc", "xyz"] * 6)] + [(50, "common", None, "s", 1), (51, "12 !", "abc", "s", 1), (None, None, "abc", "s", 0), (None, "common", None, "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    scores = {(r.doc_id, r.lettered): r.score for r in langid.identify_languages(docs).collect()}
+    assert scores[50, True] == 0.0  # a tie
+    want = sorted((r[0] if r[0] is not None else -1, r[1]) for r in rows if r[1] and "1" not in r[1])
+    for some in (docs, docs.withColumn("lang", F.lit(None).cast("string"))):
+        left = corpus_pipeline.language(spark, some, "")
+        assert sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in left.collect()) == want

@@ -124,7 +124,7 @@ def predictions(samples: tuple[tuple[str, bytes], ...]):
                 rest = np.take_along_axis(counts, order[:, 1:2], 1)[:, 0] if counts.shape[1] > 1 else best * 2
                 scores = np.where(known, 1.0 - best / np.maximum(rest, 1), 0.0)
                 names = [model.languages[i] if k else "und" for i, k in zip(order[:, 0], known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(scores), batch.column(2)], ["_id", "held_out", "lang_pred", "score", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(scores), batch.column(2), pa.array(known, pa.bool_())], ["_id", "held_out", "lang_pred", "score", "own", "lettered"])
 
     return run
 
@@ -144,7 +144,7 @@ def sample_texts(docs: DataFrame, sample_docs: int, sample_bytes: int) -> tuple[
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 96, sample_bytes: int = 49152) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, own) of every document.
+    """(doc_id, held_out, lang_pred, score, own, lettered) of every document.
 
     The model is fitted to at most ``sample_bytes`` bytes of each language, from
     ``sample_docs`` labelled documents whose crc32(doc_id) mod 3 is not 1; every
@@ -152,12 +152,12 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     score 0, as is everything if no label can be learned from. A null id is not
     held out. The score is 1 less the ratio of the best to the second number of
     phrases. Rows are judged each by itself, so repeated rows agree; own is the hash
-    of the text.
+    of the text, and lettered tells texts with a letter from those without.
     """
     ship(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(inner_id(id_col).alias("_id"), held.alias("held_out"), text.alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("hash"), (F.length(text) == 0).alias("empty"))
     samples = sample_texts(rows, sample_docs, sample_bytes)
-    found = rows.select("_id", "held_out", F.xxhash64("text").alias("own"), "text").mapInArrow(predictions(samples), "_id long, held_out boolean, lang_pred string, score double, own long")
-    return found.select(outer_id().alias("doc_id"), "held_out", "lang_pred", "score", "own")
+    found = rows.select("_id", "held_out", F.xxhash64("text").alias("own"), "text").mapInArrow(predictions(samples), "_id long, held_out boolean, lang_pred string, score double, own long, lettered boolean")
+    return found.select(outer_id().alias("doc_id"), "held_out", "lang_pred", "score", "own", "lettered")

@@ -28,7 +28,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify_languages(table(spark, sf_dir, "documents")).drop("own")
+    return langid.identify_languages(table(spark, sf_dir, "documents")).drop("own", "lettered")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
