@@ -7,7 +7,7 @@ import corpus_pipeline
 from cases import DOCS, sentence
 from pyspark.sql import functions as F
 
-from tracemill.llm import block_dedup, langid, minhash, suffix_dedup
+from tracemill.llm import block_dedup, html_tree, langid, minhash, suffix_dedup
 
 
 def near(docs: list[tuple], size: int) -> dict[int, tuple[int, int, bool]]:
@@ -117,3 +117,12 @@ def test_language_stage_rejects_only_texts_without_letters(spark):
     for some in (docs, docs.withColumn("lang", F.lit(None).cast("string"))):
         left = corpus_pipeline.language(spark, some, "")
         assert sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in left.collect()) == want
+
+
+def test_rare_boilerplate_of_a_large_host_is_cut(spark):
+    """A notice on 100 of 2400 pages is below a twentieth of them, but its entropy is log 100 / log 2400 = 0.59 and 0.9 * (1 - 0.59) < 0.4."""
+    page = "<html><body><div class='text'><p>Words {n} of page {n}</p></div>{more}</body></html>"
+    more = "<div class='box'><p>The same season greeting</p></div>"
+    rows = [(i, f"http://a.example/{i}", page.format(n=f"w{i}", more=more if i % 24 == 0 else "")) for i in range(2400)]
+    found = html_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == {i: f"Words w{i} of page w{i}" for i in range(2400)}

@@ -160,6 +160,8 @@ def key(*parts: str) -> int:
 
 #: Kinds of what a page shows: a node's contents, its presentations, and the page itself.
 CONTENTS, STYLES, PAGES = 0, 1, 2
+#: Shares into which the pages that hold one node are dealt.
+SALTS = 16
 
 
 def nodes_of(element: Element) -> set[str]:
@@ -185,11 +187,7 @@ def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def low_branches(pages: DataFrame, threshold: float, least_pages: int, presentation: float) -> DataFrame:
-    """(host, low): the keys of each host's nodes of low importance.
-
-    A node counts if it stands on ``least_pages`` and on a twentieth of the host's
-    pages, so a host's list is at most twenty times the nodes of an average page.
-    """
+    """(host, node): the keys of each host's nodes of low importance, of which one content stands on ``least_pages`` at least."""
     seen = pages.mapInArrow(observed, "host long, page long, node long, kind long, feature long").distinct()
     features = stage(seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n")), "tree-features")
     sizes = features.where(f"kind = {PAGES}").select("host", F.col("n").alias("m")).where("m > 1")
@@ -199,8 +197,32 @@ def low_branches(pages: DataFrame, threshold: float, least_pages: int, presentat
     styles = (F.log(all_styles) - F.sum(F.when(F.col("kind") == STYLES, F.col("n") * F.log("n"))) / all_styles) / F.log(F.max("m"))
     most = F.max(F.when(F.col("kind") == CONTENTS, F.col("n")))
     node = features.where(f"kind <> {PAGES}").join(sizes, "host").groupBy("host", "node").agg(content.alias("content"), F.coalesce(styles, F.lit(0.0)).alias("styles"), most.alias("most"), F.max("m").alias("m"))
-    low = node.where((1 - presentation) * F.col("content") + presentation * F.col("styles") < threshold).where((F.col("most") >= least_pages) & (20 * F.col("most") >= F.col("m")))
-    return stage(low.groupBy("host").agg(F.collect_list("node").alias("low")), "tree-low")
+    low = node.where((1 - presentation) * F.col("content") + presentation * F.col("styles") < threshold).where(F.col("most") >= least_pages)
+    return stage(low.select("host", "node"), "tree-low")
+
+
+def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, node, salt, row) of each page: the nodes that could be cut from it."""
+    for batch, found in slices(batches, 4 << 20):
+        hosts, nodes, rows = [], [], []
+        for host, row, raw in zip(batch.column("host").to_pylist(), batch.column("row").to_pylist(), found, strict=True):
+            page = read_page(raw.decode("utf-8", "ignore"))
+            own = {key(p) for b in page.blocks if not b.element.apart and not b.element.plain for p in nodes_of(b.element)}
+            hosts += [host] * len(own)
+            nodes += own
+            rows += [row] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, nodes, rows)], ["host", "node", "row"])
+
+
+def low_of_pages(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """(row, low): of each page the low nodes that it holds, however many its host has.
+
+    A node that all pages of a host hold is dealt with them over ``SALTS`` tasks.
+    """
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = pages.select("host", "row", "text").mapInArrow(held, "host long, node long, row long")
+    pairs = pairs.distinct().withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    return pairs.join(salted, ["host", "node", "salt"]).groupBy("row").agg(F.collect_set("node").alias("low"))
 
 
 def main_blocks(page: PageReader, low: set[int]) -> list[str]:
@@ -238,7 +260,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     ship(pages.sparkSession)
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("text"))
-    low = low_branches(rows.select("host", "text"), threshold, least_pages, presentation)
+    rows = rows.withColumn("row", F.xxhash64("host", "text"))  # pages of equal html hold equal nodes
+    low = low_of_pages(rows, low_branches(rows.select("host", "text"), threshold, least_pages, presentation))
     kind = rows.schema["page_id"].dataType.simpleString()
-    joined = rows.join(low, "host", "left").select("page_id", "url", "low", "text")
+    joined = rows.join(low, "row", "left").select("page_id", "url", "low", "text")
     return joined.mapInArrow(extracted, f"page_id {kind}, url string, text string, n_chars long")
