@@ -1,4 +1,4 @@
-"""A dictionary Kneser-Ney model of pairs over a few rows, from the definitions."""
+"""A dictionary Kneser-Ney model over a few rows, from the definitions, by recursion over orders."""
 
 from __future__ import annotations
 
@@ -21,30 +21,39 @@ def discounts(counts: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) if n[k] else 0.5 for k in (1, 2, 3))
 
 
-def lm(docs: list[tuple[int, str | None]]) -> dict[int, tuple]:
+def lm(docs: list[tuple[int, str | None]], order: int) -> dict[int, tuple]:
     tokens = {i: [*WORD.findall((t or "").encode().lower()), b""] for i, t in docs}
     train = [w for i, w in tokens.items() if crc(i) % 5 != 1]
     c = Counter(x for w in train for x in w)
     n, v = sum(c.values()), len(c)
-    pairs = Counter(p for w in train for p in zip([b"", *w], w))
-    followers, before, total = defaultdict(list), Counter(), Counter()
-    for (a, b), k in pairs.items():
-        followers[a].append(k)
-        before[b] += 1
-        total[a] += k
-    d, low = discounts(list(pairs.values())), discounts(list(before.values()))
-    cut = lambda k, less: less[min(k, 3) - 1] if k else 0.0
-    rest = sum(cut(k, low) for k in before.values()) / max(1, len(pairs))
-
-    def p(a: bytes, b: bytes) -> float:
-        single = max(before[b] - cut(before[b], low), 0) / max(1, len(pairs)) + rest / (v + 1)
-        if not total[a]:
-            return single
-        k = pairs[a, b]
-        return max(k - cut(k, d), 0) / total[a] + sum(cut(x, d) for x in followers[a]) / total[a] * single
+
+    def grams(w: list[bytes]) -> list[tuple]:
+        padded = [b""] * (order - 1) + w
+        return [tuple(padded[k : k + order]) for k in range(len(w))]
+
+    levels = [Counter(g for w in train for g in grams(w))]
+    while len(next(iter(levels[-1]))) > 1:  # a shorter n-gram counts the different words before it
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    less = [discounts(list(x.values())) for x in levels]
+    followers = [defaultdict(list) for _ in levels]
+    for found, by in zip(levels, followers, strict=True):
+        for g, k in found.items():
+            by[g[:-1]].append(k)
+    cut = lambda k, d: d[min(k, 3) - 1] if k else 0.0
+    sums = [{g: (sum(own), sum(cut(x, d) for x in own)) for g, own in by.items()} for by, d in zip(followers, less, strict=True)]
+
+    def p(gram: tuple, at: int) -> float:
+        if at == len(levels):
+            return 1 / (v + 1)
+        below = p(gram[1:], at + 1)
+        if gram[:-1] not in sums[at]:
+            return below
+        total, left = sums[at][gram[:-1]]
+        k = levels[at][gram]
+        return max(k - cut(k, less[at]), 0) / total + left / total * below
 
     out = {}
     for i, w in tokens.items():
         base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        out[i] = (crc(i) % 5 == 1, len(w), sum(x in c for x in w), n, base, sum(math.log10(p(a, b)) for a, b in zip([b"", *w], w)))
+        out[i] = (crc(i) % 5 == 1, len(w), sum(x in c for x in w), n, base, sum(math.log10(p(g, 0)) for g in grams(w)))
     return out

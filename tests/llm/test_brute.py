@@ -76,9 +76,14 @@ def test_proximity(spark):
     assert found == {1: (4, False), 2: (0, True), 3: (0, False)}
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize(("order", "per_bucket"), [(3, 1_000_000), (3, 20), (2, 1_000_000), (2, 50)])  # with few in a bucket, inner words are split
+def test_language_model(spark, monkeypatch, order, per_bucket):
     rows = ordinary(6) + [(100 + i, *r[1:]) for i, r in enumerate(whole_edges())]
-    found, want = got(ngram_lm.score_texts(spark.createDataFrame(rows, DOCS)).drop("perplexity"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), brute_lm.lm(pairs(rows))
+    docs = spark.createDataFrame(rows, DOCS)
+    buckets = ngram_lm.buckets_for(docs, "text", 1_000_000, 6.0)
+    monkeypatch.setattr(ngram_lm, "buckets_for", lambda *_: buckets)
+    monkeypatch.setattr(ngram_lm, "PER_BUCKET", per_bucket)
+    found, want = got(ngram_lm.score_texts(docs, order=order).drop("perplexity"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), brute_lm.lm(pairs(rows), order)
     assert found.keys() == want.keys()
     for k, v in want.items():
         assert found[k][:4] == v[:4]

@@ -8,6 +8,8 @@ for each would multiply the shuffled bytes.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -32,14 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is configured."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where one machine does all, it may be unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{configured or '/tmp/tracemill-checkpoints'}/tracemill"
+    if not configured and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{configured or f'{tempfile.gettempdir()}/tracemill-checkpoints'}/tracemill"
 
 
 _staged: list[str] = []
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def staged() -> int:
     """How many tables are staged, to be given to ``release`` as what came before."""
     return len(_staged)
@@ -49,8 +58,7 @@ def release(spark: SparkSession, before: int, but: int = 0) -> None:
     """Delete the tables staged after the first ``before``, except the last ``but``; for when no plan reads them any more."""
     end = len(_staged) - but
     for path in _staged[before:end]:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete(spark, path)
     del _staged[before:end]
 
 

@@ -1,15 +1,21 @@
-"""Interpolated modified Kneser-Ney language model of word pairs.
-
-Counting runs in three exchanges: words by hash give the vocabulary; pairs of word
-numbers, distinct in each task and dealt by a grid over both words, give counts;
-what each cell knows of its words (followers of a context by count, contexts of a
-word) is summed by word number. Each reducer writes its part of the model to the
-shared folder as sorted arrays, which workers map into memory to score texts: the
-operating system pages in what is read, whatever the size of the model.
+"""Interpolated modified Kneser-Ney language model of word pairs or triples.
+
+Counting runs in few exchanges. Words by hash give the vocabulary; a word's number
+grows as it gets rarer, so numbers of common words pack well. N-grams, distinct in
+each task, are dealt by their inner words (of a triple the middle one, of a pair
+none), so that what a context and what a continuation has to know lies in one
+place: a context shares all but the last word, a continuation all but the first.
+Inner words too frequent for one task are split into a grid of first by last
+words, and only for those are the parts summed by a further exchange. Each reducer
+writes one file of sorted hash arrays to the shared folder, which workers map into
+memory to score texts: the operating system pages in what is read, and a mapping
+holds no file descriptor, whatever the number of files.
 """
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
 import uuid
 from collections.abc import Iterator
@@ -21,12 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WordHashes, bucket_of, buckets_for, inner_id, mixed, outer_id, restored, runs, shared_dir, slices, squeezed, stage
+from tracemill.llm.common import WordHashes, bucket_of, buckets_for, delete, inner_id, mixed, outer_id, restored, runs, shared_dir, slices, squeezed, stage
 from tracemill.shipping import ship
 
+ORDER = 3
 PER_BUCKET = 1_000_000
 #: Tokens that a task holds before it sends on what is distinct among them.
 HELD = 1_500_000
+#: Bits of an n-gram's hash that a file keeps. A file holds about PER_BUCKET n-grams, so one that was never seen is taken for one of them with probability of about 1e-6, at any size of corpus.
+KEPT = 40
+#: Files that a worker keeps mapped.
+MAPPED = 1024
 #: The end of a text, and the context of its first word; no word is empty.
 END = b""
 
@@ -41,18 +52,92 @@ def model_dir(spark: SparkSession) -> str:
     return f"{base}/lm-{uuid.uuid4().hex}"
 
 
-def save(path: str, values: np.ndarray) -> None:
-    """Write under another name first, so that a repeated task never leaves half a file."""
+def shelve(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Write named arrays to one file, under another name first, so that a repeated task never leaves half a file."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
+    head, at = {}, 0
+    for name, x in arrays.items():
+        head[name] = (x.dtype.str, at, len(x))
+        at += -(-x.nbytes // 8) * 8
+    text = json.dumps(head).encode()
+    text += b" " * (-len(text) % 8)
     part = f"{path}.{uuid.uuid4().hex}"
     with open(part, "wb") as f:
-        np.save(f, values)
+        f.write(len(text).to_bytes(8, "little") + text)
+        for x in arrays.values():
+            f.write(np.ascontiguousarray(x).tobytes() + b"\0" * (-x.nbytes % 8))
     os.replace(part, path)
 
 
-@lru_cache(maxsize=100_000)
-def mapped(path: str) -> np.ndarray:
-    return np.load(path, mmap_mode="r")
+@lru_cache(maxsize=MAPPED)
+def shelf(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, mapped; a file that is not there is an error, since every part of a model has one."""
+    with open(path, "rb") as f:
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+    start = 8 + int.from_bytes(data[:8], "little")
+    return {name: np.frombuffer(data, kind, n, start + at) for name, (kind, at, n) in json.loads(data[8:start]).items()}
+
+
+def narrow(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as single bytes; the few from 255 on beside them."""
+    big = np.flatnonzero(values >= 255)
+    return {name: np.minimum(values, 255).astype(np.uint8), f"{name}_at": big.astype(np.uint32), f"{name}_big": values[big].astype(np.uint64)}
+
+
+def widened(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    out = arrays[name][at].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        out[big] = arrays[f"{name}_big"][np.searchsorted(arrays[f"{name}_at"], at[big])]
+    return out
+
+
+def hashed(name: str, keys: np.ndarray, **values: np.ndarray) -> dict[str, np.ndarray]:
+    """A sorted hash array: keys of KEPT bits as their upper 32 and the bits below, with counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    out = {f"{name}_hi": (keys >> np.uint64(KEPT - 32)).astype(np.uint32), f"{name}_lo": (keys & np.uint64((1 << (KEPT - 32)) - 1)).astype(np.uint8)}
+    for k, v in values.items():
+        out |= narrow(f"{name}_{k}", v[order])
+    return out
+
+
+def placed(arrays: dict[str, np.ndarray], name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the keys the sorted hash array has, and where."""
+    high, low = arrays[f"{name}_hi"], arrays[f"{name}_lo"]
+    if not len(high):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    wanted, rest = (keys >> np.uint64(KEPT - 32)).astype(np.uint32), (keys & np.uint64((1 << (KEPT - 32)) - 1)).astype(np.uint8)
+    at = np.searchsorted(high, wanted)
+    inside = np.minimum(at, len(high) - 1)
+    same = (at < len(high)) & (high[inside] == wanted)
+    has = same & (low[inside] == rest)
+    left = np.flatnonzero(same & ~has)
+    while len(left):  # few keys agree in the upper bits alone
+        at[left] += 1
+        left = left[at[left] < len(high)]
+        left = left[high[at[left]] == wanted[left]]
+        hit = low[at[left]] == rest[left]
+        has[left[hit]] = True
+        left = left[~hit]
+    return has, np.where(has, at, 0)
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
+    """64-bit hashes of pairs of word numbers."""
+    x = mixed(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind))
+    return mixed((x + b.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def gram_keys(v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed((pair_keys(v, u, 3) + w.astype(np.uint64)) * np.uint64(0xA0761D6478BD642F))
+
+
+CONTEXT, CONTINUATION = 1, 2
+
+
+def short(keys: np.ndarray) -> np.ndarray:
+    return keys >> np.uint64(64 - KEPT)
 
 
 def ascending(values: np.ndarray) -> bytes:
@@ -78,8 +163,14 @@ def token_hashes(memo: WordHashes, found: list[bytes]) -> tuple[np.ndarray, np.n
     return np.concatenate([memo.of(x) for x in words]), np.array([len(x) for x in words], np.int64)
 
 
-def counted_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "counts"])
+def of_rows(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+WORDS = "bucket int, keys binary, counts binary"
 
 
 def word_counts(buckets: int):
@@ -90,8 +181,7 @@ def word_counts(buckets: int):
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             bucket = bucket_of(keys, buckets)
             edge = runs(bucket)
-            rows = [(int(bucket[a]), ascending(keys[a:b]), squeezed(counts[a:b].astype(np.uint32))) for a, b in zip(edge, edge[1:], strict=False)]
-            return counted_batch(rows)
+            return of_rows([(int(bucket[a]), ascending(keys[a:b]), squeezed(counts[a:b].astype(np.uint32))) for a, b in zip(edge, edge[1:], strict=False)], WORDS)
 
         for _, found in slices(batches):
             held.append(token_hashes(memo, found)[0])
@@ -105,38 +195,33 @@ def word_counts(buckets: int):
     return run
 
 
-def gathered_counts(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([climbed(x) for x in group.column("keys").to_pylist()])
-    counts = np.concatenate([restored(x, np.uint32) for x in group.column("counts").to_pylist()])
-    return summed(keys, counts.astype(np.int64))
+def vocabulary_part(folder: str, buckets: int):
+    """A part's words in order of hash, numbered from the most frequent on; numbers of all parts alternate."""
 
-
-def vocabulary_part(folder: str):
     def run(group: pa.Table) -> pa.Table:
-        keys, counts = gathered_counts(group)
         k = group.column("bucket")[0].as_py()
-        save(f"{folder}/words-{k}.npy", keys)
-        save(f"{folder}/counts-{k}.npy", counts)
-        return pa.table({"bucket": pa.array([k], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
+        group = group.filter(group.column("keys").is_valid())
+        keys = np.concatenate([np.empty(0, np.uint64), *[climbed(x) for x in group.column("keys").to_pylist()]])
+        counts = np.concatenate([np.empty(0, np.int64), *[restored(x, np.uint32).astype(np.int64) for x in group.column("counts").to_pylist()]])
+        keys, counts = summed(keys, counts)
+        order = np.argsort(-counts, kind="stable")
+        place = np.empty(len(keys), np.uint32)
+        place[order] = np.arange(len(keys))
+        shelve(f"{folder}/words-{k}", {"words": keys, "place": place, "counts": counts[order]})
+        return pa.table({"n": [len(keys)], "total": [int(counts.sum())]})
 
     return run
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Words by hash in parts; a word's number is its place in all parts one after another."""
+    """Words by hash in parts; number = place in the part * parts + part."""
 
     folder: str
     buckets: int
-    offsets: tuple[int, ...]
+    size: int
     total: int
-
-    @property
-    def size(self) -> int:
-        return self.offsets[-1]
-
-    def part(self, name: str, k: int) -> np.ndarray:
-        return mapped(f"{self.folder}/{name}-{k}.npy")
+    per_bucket: int
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of sorted distinct hashes, or -1."""
@@ -145,28 +230,36 @@ class Vocabulary:
         edge = runs(bucket)
         for a, b in zip(edge, edge[1:], strict=False):
             k = int(bucket[a])
-            if self.offsets[k + 1] > self.offsets[k]:
-                words = self.part("words", k)
-                at = np.minimum(np.searchsorted(words, hashes[a:b]), len(words) - 1)
-                out[a:b] = np.where(words[at] == hashes[a:b], at + self.offsets[k], -1)
+            part = shelf(f"{self.folder}/words-{k}")
+            if len(part["words"]):
+                at = np.minimum(np.searchsorted(part["words"], hashes[a:b]), len(part["words"]) - 1)
+                out[a:b] = np.where(part["words"][at] == hashes[a:b], part["place"][at].astype(np.int64) * self.buckets + k, -1)
         return out
 
-    def values(self, name: str, numbers: np.ndarray) -> np.ndarray:
-        """Entries of an array that is stored in the vocabulary's parts, for sorted numbers that are known."""
-        out = np.zeros(len(numbers), np.float64)
-        edge = np.searchsorted(numbers, self.offsets)
-        for k, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
-            if b > a:
-                out[a:b] = self.part(name, k)[numbers[a:b] - self.offsets[k]]
+    def values(self, file: str, names: list[str], numbers: np.ndarray) -> list[np.ndarray]:
+        """Entries of arrays that are stored by word, for numbers that are known."""
+        out = [np.zeros(len(numbers), np.float64) for _ in names]
+        part = numbers % self.buckets
+        order = np.argsort(part, kind="stable")
+        edge = runs(part[order])
+        for a, b in zip(edge, edge[1:], strict=False):
+            some = order[a:b]
+            arrays = shelf(f"{self.folder}/{file}-{int(part[some[0]])}")
+            for x, name in zip(out, names, strict=True):
+                x[some] = arrays[name][numbers[some] // self.buckets]
         return out
 
+    def split_bits(self, inner: np.ndarray, order: int) -> np.ndarray:
+        """Into how many cells, as a power of two, the n-grams around inner words are split."""
+        counts = self.values("words", ["counts"], inner)[0] if order == 3 else np.full(len(inner), self.total, np.float64)
+        return np.ceil(np.log2(np.maximum(counts / self.per_bucket, 1))).astype(np.int64)
 
-def cells(contexts: np.ndarray, words: np.ndarray, buckets: int) -> np.ndarray:
-    """The cell of each pair in a grid of ``buckets``: a word's pairs lie in one row or one column."""
-    bits = buckets.bit_length() - 1
-    rows = bits // 2
-    of = lambda x, n: (mixed(x.astype(np.uint64) + np.uint64(1)) >> np.uint64(63 - n)).astype(np.int64) >> 1
-    return (of(contexts, rows) << (bits - rows)) | of(words, bits - rows)
+    def cells(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """The bucket of each n-gram: by its inner word, and where that is split by a row of first and a column of last words."""
+        rows, columns = (bits + 1) // 2, bits // 2
+        of = lambda x, n: ((mixed(x.astype(np.uint64) + np.uint64(1)) >> np.uint64(1)) >> (63 - n).astype(np.uint64)).astype(np.int64)
+        salt = (of(u, rows) << columns) | of(w, columns)
+        return bucket_of(pair_keys(v, salt, 0), self.buckets)
 
 
 def numbered(vocabulary: Vocabulary, hashes: np.ndarray) -> np.ndarray:
@@ -174,68 +267,175 @@ def numbered(vocabulary: Vocabulary, hashes: np.ndarray) -> np.ndarray:
     return vocabulary.numbers(distinct)[at]
 
 
-def contexts_of(numbers: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+def before(tokens: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     """The token before each one; before a text's first, the end."""
-    out = np.concatenate(([end], numbers[:-1]))
+    out = np.concatenate(([end], tokens[:-1]))
     out[np.cumsum(sizes)[:-1]] = end
     return out
 
 
-def end_number(vocabulary: Vocabulary) -> int:
-    return int(vocabulary.numbers(WordHashes().of([END]))[0])
+def around(tokens: np.ndarray, sizes: np.ndarray, end: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inner word, first word, last word) of the n-gram that ends with each token; pairs have the inner word 0."""
+    one = before(tokens, sizes, end)
+    return (one, before(one, sizes, end), tokens) if order == 3 else (np.zeros(len(tokens), np.int64), one, tokens)
+
+
+def distinct_grams(v: np.ndarray, u: np.ndarray, w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (v, u, w) in order, and the sums of their counts."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (v, u, w)]
+    if sum(bits) <= 64:
+        key = (v.astype(np.uint64) << np.uint64(bits[1] + bits[2])) | (u.astype(np.uint64) << np.uint64(bits[2])) | w.astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        starts = runs(key[order])[:-1]
+    else:
+        order = np.lexsort((w, u, v))
+        a, b, c = v[order], u[order], w[order]
+        starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))) if len(a) else np.empty(0, np.int64)
+    first = order[starts]
+    return v[first], u[first], w[first], np.add.reduceat(counts[order], starts) if len(order) else counts
 
 
-def pair_counts(vocabulary: Vocabulary, buckets: int):
+GRAMS = "bucket int, v binary, u binary, w binary, counts binary"
+
+
+def told(v: np.ndarray, u: np.ndarray, w: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Sorted n-grams: inner words by their differences, first words by theirs under one inner word."""
+    step = np.diff(u, prepend=0)
+    starts = runs(v)[:-1]
+    step[starts] = u[starts]
+    return [ascending(v), squeezed(step.astype(np.uint64)), squeezed(w.astype(np.uint64)), squeezed(counts.astype(np.uint32))]
+
+
+def heard(row: dict) -> tuple[np.ndarray, ...]:
+    v, step, w = climbed(row["v"]).astype(np.int64), restored(row["u"], np.uint64).astype(np.int64), restored(row["w"], np.uint64).astype(np.int64)
+    edge, total = runs(v), np.cumsum(step)
+    base = np.repeat(total[edge[:-1]] - step[edge[:-1]], np.diff(edge))
+    return v, total - base, w, restored(row["counts"], np.uint32).astype(np.int64)
+
+
+def gram_counts(vocabulary: Vocabulary, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, n, end = WordHashes(), [], 0, end_number(vocabulary)
+        memo, end = WordHashes(), vocabulary.numbers(WordHashes().of([END]))[0]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def sent() -> pa.RecordBatch:
-            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-            cell = cells(pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF), buckets)
-            order = np.argsort(cell, kind="stable")
-            pairs, counts, cell = pairs[order], counts[order].astype(np.uint32), cell[order]
-            edge = runs(cell)
-            rows = [(int(cell[a]), ascending(pairs[a:b]), squeezed(counts[a:b])) for a, b in zip(edge, edge[1:], strict=False)]
-            return counted_batch(rows)
+            words, local = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            sizes = np.concatenate([x[1] for x in held])
+            v, u, w, counts = distinct_grams(*around(local, sizes, int(np.searchsorted(words, end)), order), np.ones(len(local), np.int64))
+            inner = words if order == 3 else np.zeros(1, np.int64)
+            bits = vocabulary.split_bits(inner, order)[v]
+            v, u, w = inner[v], words[u], words[w]
+            bucket = vocabulary.cells(v, u, w, bits)
+            by = np.argsort(bucket, kind="stable")
+            v, u, w, counts, bucket = v[by], u[by], w[by], counts[by], bucket[by]
+            edge = runs(bucket)
+            return of_rows([(int(bucket[a]), *told(v[a:b], u[a:b], w[a:b], counts[a:b])) for a, b in zip(edge, edge[1:], strict=False)], GRAMS)
 
-        for _, found in slices(batches):
+        for _, found in slices(batches, 4 << 20):
             hashes, sizes = token_hashes(memo, found)
-            numbers = numbered(vocabulary, hashes)
-            held.append((contexts_of(numbers, sizes, end).astype(np.uint64) << np.uint64(32)) | numbers.astype(np.uint64))
-            n += len(numbers)
-            if n >= HELD:
+            if held and sum(len(x[0]) for x in held) + len(hashes) > HELD:
                 yield sent()
-                held, n = [], 0
+                held.clear()
+            held.append((numbered(vocabulary, hashes), sizes))
         if held:
             yield sent()
 
     return run
 
 
-KNOWN = "part int, words binary, total binary, one binary, two binary, more binary, before binary, n1 long, n2 long, n3 long, n4 long, pairs long"
+#: What a part of the model gives to those that sum: of split inner words the contexts (kind CONTEXT) and continuations (CONTINUATION), of all words their sums (kind WORD), and counts of counts (kind TOTALS).
+WORD, TOTALS = 3, 4
+PARTS = "kind int, bucket int, a binary, b binary, x0 binary, x1 binary, x2 binary, x3 binary, x4 binary, n1 long, n2 long, n3 long, n4 long, m1 long, m2 long, m3 long, m4 long, more long, mass long"
+
+
+def dealt_parts(kind: int, bucket: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray]) -> list[tuple]:
+    """Packed rows by bucket, for keys in order."""
+    by = np.argsort(bucket, kind="stable")
+    bucket, edge = bucket[by], runs(bucket[by])
+    rows = []
+    for a, b in zip(edge, edge[1:], strict=False):
+        some = by[a:b]
+        packed = [ascending(keys[0][some]), *[squeezed(x[some].astype(np.uint64)) for x in (*keys[1:], *values)]]
+        names = [*packed[: len(keys)], *[None] * (2 - len(keys)), *packed[len(keys) :], *[None] * (5 - len(values))]
+        rows.append((kind, int(bucket[a]), *names, *[0] * 10))
+    return rows
+
+
+def word_sums(v: np.ndarray, w: np.ndarray, times: np.ndarray, buckets: int) -> list[tuple]:
+    """Of inner words the mass and classes of their continuations, of last words the number of inner ones, dealt by part of the vocabulary."""
+    none = np.zeros(len(v), np.int64)
+    one = lambda c: np.concatenate((c.astype(np.int64), none))
+    words, *sums = summed(np.concatenate((v, w)), one(times), one(times == 1), one(times == 2), one(times > 2), np.concatenate((none, none + 1)))
+    return dealt_parts(WORD, words % buckets, [words], sums)
+
+
+def classes(times: np.ndarray) -> list[int]:
+    return [int((times == c).sum()) for c in (1, 2, 3, 4)]
+
+
+def core_part(vocabulary: Vocabulary, order: int):
+    """Store a bucket's n-grams, and contexts and continuations of the inner words that it has whole."""
+
+    def run(group: pa.Table) -> pa.Table:
+        k = group.column("bucket")[0].as_py()
+        group = group.filter(group.column("v").is_valid())
+        parts = [heard(x) for x in group.to_pylist()]
+        v, u, w, counts = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*parts, strict=True) if parts else [[]] * 4))
+        inner, local = np.unique(v, return_inverse=True)
+        local, u, w, counts = distinct_grams(local, u, w, counts)
+        split = (vocabulary.split_bits(inner, order) > 0)[local] if len(inner) else np.empty(0, bool)
+        v = inner[local] if len(inner) else v[:0]
+        starts = np.flatnonzero(np.concatenate(([True], (local[1:] != local[:-1]) | (u[1:] != u[:-1])))) if len(u) else np.empty(0, np.int64)
+        tally = lambda x: np.add.reduceat(x.astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
+        contexts = [v[starts], u[starts], tally(counts), tally(counts == 1), tally(counts == 2), tally(counts > 2)]
+        a, _, c, times = distinct_grams(local, np.zeros(len(w), np.int64), w, np.ones(len(w), np.int64))
+        follows = [inner[a] if len(inner) else a, c, times]
+        apart, apart_follows = split[starts] if len(starts) else split, (vocabulary.split_bits(inner, order) > 0)[a] if len(inner) else split
+        rows = []
+        if apart.any():
+            some = [x[apart] for x in contexts]
+            rows += dealt_parts(CONTEXT, bucket_of(pair_keys(*some[:2], CONTEXT), vocabulary.buckets), some[:2], some[2:])
+            some = [x[apart_follows] for x in follows]
+            rows += dealt_parts(CONTINUATION, bucket_of(pair_keys(*some[:2], CONTINUATION), vocabulary.buckets), some[:2], some[2:])
+        contexts, follows = [x[~apart] for x in contexts], [x[~apart_follows] for x in follows]
+        rows += word_sums(*follows, vocabulary.buckets) if order == 3 and len(follows[0]) else []
+        times = follows[2]
+        rows.append((TOTALS, k, *[None] * 7, *classes(counts), *classes(times), int((times > 2).sum()), int(times.sum())))
+        shelve(f"{vocabulary.folder}/core-{k}", hashed("gram", short(gram_keys(v, u, w)), n=counts) | sides(contexts, follows))
+        return pa.Table.from_batches([of_rows(rows, PARTS)])
+
+    return run
+
+
+def sides(contexts: list[np.ndarray], follows: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Sorted hash arrays of contexts, those seen once by their hash alone, and of continuations."""
+    v, u, total, one, two, more = contexts
+    keys, lone = short(pair_keys(v, u, CONTEXT)), total == 1
+    rich = {n: x[~lone] for n, x in (("total", total), ("one", one), ("two", two), ("more", more))}
+    return hashed("lone", keys[lone]) | hashed("context", keys[~lone], **rich) | hashed("follow", short(pair_keys(*follows[:2], CONTINUATION)), n=follows[2])
 
 
-def pair_part(vocabulary: Vocabulary):
-    """Store a cell's pairs; give what it knows of its words, by part of the vocabulary."""
+def split_part(vocabulary: Vocabulary, order: int):
+    """Sum and store contexts and continuations of split inner words."""
 
     def run(group: pa.Table) -> pa.Table:
-        pairs, counts = gathered_counts(group)
         k = group.column("bucket")[0].as_py()
-        save(f"{vocabulary.folder}/pairs-{k}.npy", pairs)
-        save(f"{vocabulary.folder}/times-{k}.npy", counts.astype(np.uint32))
-        context, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        none = np.zeros(len(pairs), np.int64)
-        known = summed(np.concatenate([context, word]), *[np.concatenate(x) for x in ((counts, none), (counts == 1, none), (counts == 2, none), (counts > 2, none), (none, none + 1))])
-        words, values = known[0], known[1:]
-        edge = np.searchsorted(words, vocabulary.offsets)
         rows = []
-        for p, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
-            if b > a:
-                rows.append([p, ascending(words[a:b]), *[squeezed(v[a:b].astype(np.uint64 if i == 0 else np.uint32)) for i, v in enumerate(values)], 0, 0, 0, 0, 0])
-        rows[0][-5:] = [*(int((counts == c).sum()) for c in (1, 2, 3, 4)), len(pairs)]
-        kinds = [pa.int32(), *[pa.binary()] * 6, *[pa.int64()] * 5]
-        names = [x.split()[0] for x in KNOWN.split(", ")]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        kept = {}
+        for kind, width in ((CONTEXT, 4), (CONTINUATION, 1)):
+            own = [x for x in group.to_pylist() if x["kind"] == kind]
+            a = np.concatenate([np.empty(0, np.int64), *[climbed(x["a"]).astype(np.int64) for x in own]])
+            b, *values = (np.concatenate([np.empty(0, np.int64), *[restored(x[c], np.uint64).astype(np.int64) for x in own]]) for c in ("b", "x0", "x1", "x2", "x3")[: 1 + width])
+            order_of = np.lexsort((b, a))
+            a, b = a[order_of], b[order_of]
+            starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
+            kept[kind] = [a[starts], b[starts], *[np.add.reduceat(x[order_of], starts) if len(starts) else x for x in values]]
+        shelve(f"{vocabulary.folder}/split-{k}", sides(kept[CONTEXT], kept[CONTINUATION]))
+        follows = kept[CONTINUATION]
+        times = follows[2]
+        rows += word_sums(*follows, vocabulary.buckets) if order == 3 and len(times) else []
+        rows.append((TOTALS, k, *[None] * 7, 0, 0, 0, 0, *classes(times), int((times > 2).sum()), int(times.sum())))
+        return pa.Table.from_batches([of_rows(rows, PARTS)])
 
     return run
 
@@ -250,89 +450,133 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def word_part(vocabulary: Vocabulary, less: tuple[float, float, float]):
-    """Sum what the cells know of a part of the vocabulary; store contexts' totals and weights, and words' contexts."""
+    """Sum what the parts know of a part of the vocabulary; store inner words' totals and weights, and last words' inner ones."""
 
     def run(group: pa.Table) -> pa.Table:
-        k = group.column("part")[0].as_py()
-        n = vocabulary.offsets[k + 1] - vocabulary.offsets[k]
-        sums = {c: np.zeros(n, np.float64) for c in ("total", "one", "two", "more", "before")}
-        for row in group.select(["words", *sums]).to_pylist():
-            at = climbed(row["words"]).astype(np.int64) - vocabulary.offsets[k]
-            for i, c in enumerate(sums):
-                sums[c][at] += restored(row[c], np.uint64 if i == 0 else np.uint32)
-        kept = less[0] * sums["one"] + less[1] * sums["two"] + less[2] * sums["more"]
-        save(f"{vocabulary.folder}/total-{k}.npy", sums["total"])
-        save(f"{vocabulary.folder}/weight-{k}.npy", np.where(sums["total"] > 0, kept / np.maximum(sums["total"], 1), 1.0))
-        save(f"{vocabulary.folder}/before-{k}.npy", sums["before"])
-        return pa.table({f"n{c}": [int((sums["before"] == c).sum())] for c in (1, 2, 3, 4)} | {"more": [int((sums["before"] > 2).sum())]})
+        k = group.column("bucket")[0].as_py()
+        n = len(shelf(f"{vocabulary.folder}/words-{k}")["words"])
+        sums = [np.zeros(n, np.float64) for _ in range(5)]
+        for row in group.to_pylist():
+            if row["a"] is not None:
+                at = climbed(row["a"]).astype(np.int64) // vocabulary.buckets
+                for i, x in enumerate(sums):
+                    x[at] += restored(row[f"x{i}"], np.uint64)
+        total, one, two, more, inner = sums
+        weight = np.where(total > 0, (less[0] * one + less[1] * two + less[2] * more) / np.maximum(total, 1), 1.0)
+        shelve(f"{vocabulary.folder}/sums-{k}", {"total": total, "weight": weight, "inner": inner})
+        return pa.table({f"n{c}": [int((inner == c).sum())] for c in (1, 2, 3, 4)} | {"more": [int((inner > 2).sum())], "mass": [int(inner.sum())]})
 
     return run
 
 
+def cut(counts: np.ndarray, less: tuple[float, float, float]) -> np.ndarray:
+    """Counts less their discounts."""
+    return np.maximum(counts - np.where(counts > 2, less[2], np.where(counts > 1, less[1], np.where(counts > 0, less[0], 0.0))), 0)
+
+
 @dataclass(frozen=True)
-class PairModel:
-    vocabulary: Vocabulary
-    buckets: int
-    pairs: int
+class Level:
+    """Discounts of a level, and for the lowest one the mass of its counts and the share that it leaves."""
+
     less: tuple[float, float, float]
-    lower_less: tuple[float, float, float]
-    lower_weight: float
+    mass: int = 1
+    weight: float = 1.0
 
-    def logs(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token, and its count in training."""
-        v = self.vocabulary
-        end = end_number(v)
-        distinct, at = np.unique(numbered(v, hashes), return_inverse=True)
-        unknown = int(distinct[0] == -1) if len(distinct) else 0
-        take = lambda name, default: np.concatenate((np.full(unknown, default), v.values(name, distinct[unknown:])))[at]
-        seen, before, total, weight = take("counts", 0.0), take("before", 0.0), take("total", 0.0), take("weight", 1.0)
-        numbers = distinct[at]
-        own = lambda c, less: np.where(c > 2, less[2], np.where(c > 1, less[1], np.where(c > 0, less[0], 0.0)))
-        single = np.maximum(before - own(before, self.lower_less), 0) / max(self.pairs, 1) + self.lower_weight / (v.size + 1)
-        firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        ends = np.flatnonzero(numbers == end)[:1]  # each text has one
-        shift = lambda x: (lambda y: (y.__setitem__(firsts, x[ends]), y)[1])(np.concatenate((x[:1], x[:-1])))
-        context, times = contexts_of(numbers, sizes, end), np.zeros(len(numbers))
-        both = np.flatnonzero((context >= 0) & (numbers >= 0))
-        pairs, place = np.unique((context[both].astype(np.uint64) << np.uint64(32)) | numbers[both].astype(np.uint64), return_inverse=True)
-        cell = cells(pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF), self.buckets)
-        order = np.argsort(cell, kind="stable")
-        counts = np.zeros(len(pairs))
-        edge = runs(cell[order])
-        for a, b in zip(edge, edge[1:], strict=False):
-            some, path = order[a:b], f"{v.folder}/%s-{int(cell[order[a]])}.npy"
-            if os.path.exists(path % "pairs"):
-                stored = mapped(path % "pairs")
-                found = np.minimum(np.searchsorted(stored, pairs[some]), len(stored) - 1)
-                counts[some] = np.where(stored[found] == pairs[some], mapped(path % "times")[found], 0)
-        times[both] = counts[place]
-        above = np.maximum(times - own(times, self.less), 0) / np.maximum(shift(total), 1)
-        return np.log10(above + shift(weight) * single), seen
 
+@dataclass(frozen=True)
+class Model:
+    vocabulary: Vocabulary
+    order: int
+    levels: tuple[Level, ...]  # from the highest order on
+
+    def looked_up(self, name: str, fields: list[str], bucket: np.ndarray, keys: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which n-grams the model has, and their counts; ``split`` says in which of a bucket's two files to look."""
+        asked, at = np.unique((((bucket * 2 + split).astype(np.uint64)) << np.uint64(KEPT)) | short(keys), return_inverse=True)
+        file = (asked >> np.uint64(KEPT)).astype(np.int64)
+        asked &= np.uint64((1 << KEPT) - 1)
+        has, out = np.zeros(len(asked), bool), [np.zeros(len(asked), np.int64) for _ in fields]
+        edge = runs(file)
+        for a, b in zip(edge, edge[1:], strict=False):
+            arrays = shelf(f"{self.vocabulary.folder}/{'split' if file[a] % 2 else 'core'}-{int(file[a]) // 2}")
+            own, place = placed(arrays, name, asked[a:b])
+            has[a:b] = own
+            for x, f in zip(out, fields, strict=True):
+                if len(arrays[f"{name}_{f}"]):
+                    x[a:b] = np.where(own, widened(arrays, f"{name}_{f}", place), 0)
+        return has[at], [x[at] for x in out]
 
-def learn(docs: DataFrame) -> PairModel | None:
+    def logs(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token, and its count in training."""
+        vocabulary, order = self.vocabulary, self.order
+        distinct, at = np.unique(hashes, return_inverse=True)
+        own = vocabulary.numbers(distinct)
+        known = np.flatnonzero(own >= 0)
+        seen, total, weight, inner = np.zeros(len(distinct)), np.zeros(len(distinct)), np.ones(len(distinct)), np.zeros(len(distinct))
+        seen[known] = vocabulary.values("words", ["counts"], own[known])[0]
+        if order == 3:
+            total[known], weight[known], inner[known] = vocabulary.values("sums", ["total", "weight", "inner"], own[known])
+        end = int(np.searchsorted(distinct, WordHashes().of([END])[0]))  # every text has one
+        v, u, w = around(at, sizes, end, order)
+        inner_known = (own[v] >= 0) if order == 3 else np.ones(len(w), bool)
+        core = own[v] if order == 3 else np.zeros(len(w), np.int64)
+        bits = np.zeros(len(distinct), np.int64)
+        bits[known] = vocabulary.split_bits(own[known], order)
+        bits = bits[v] if order == 3 else np.full(len(w), int(vocabulary.split_bits(np.zeros(1, np.int64), order)[0]))
+        whole, last = np.flatnonzero(inner_known & (own[u] >= 0)), np.flatnonzero(inner_known & (own[w] >= 0))
+        home = lambda some, keys: np.where(bits[some] > 0, bucket_of(keys, vocabulary.buckets), vocabulary.cells(core[some], core[some], core[some], np.zeros(len(some), np.int64)))
+        top, mass, left, times = np.zeros(len(w)), np.zeros(len(w)), np.ones(len(w)), np.zeros(len(w))
+        some = whole[own[w[whole]] >= 0]
+        top[some] = self.looked_up("gram", ["n"], vocabulary.cells(core[some], own[u[some]], own[w[some]], bits[some]), gram_keys(core[some], own[u[some]], own[w[some]]), np.zeros(len(some), np.int64))[1][0]
+        keys = pair_keys(core[whole], own[u[whole]], CONTEXT)
+        where = home(whole, keys), keys, (bits[whole] > 0).astype(np.int64)
+        less = self.levels[0].less
+        _, (sum_of, one, two, more) = self.looked_up("context", ["total", "one", "two", "more"], *where)
+        lone, _ = self.looked_up("lone", [], *where)
+        mass[whole] = np.where(lone, 1, sum_of)
+        left[whole] = np.where(lone, less[0], np.where(sum_of > 0, (less[0] * one + less[1] * two + less[2] * more) / np.maximum(sum_of, 1), 1.0))
+        keys = pair_keys(core[last], own[w[last]], CONTINUATION)
+        times[last] = self.looked_up("follow", ["n"], home(last, keys), keys, (bits[last] > 0).astype(np.int64))[1][0]
+        low = self.levels[-1]
+        lowest = cut(inner, low.less)[w] / max(low.mass, 1) if order == 3 else 0.0
+        uniform = 1.0 / (vocabulary.size + 1)
+        middle = cut(times, self.levels[1].less) / np.maximum(total[v], 1) + weight[v] * (lowest + low.weight * uniform) if order == 3 else cut(times, low.less) / max(low.mass, 1) + low.weight * uniform
+        return np.log10(cut(top, less) / np.maximum(mass, 1) + left * middle), seen[at]
+
+
+def level(n: tuple[int, int, int, int], more: int, mass: int) -> Level:
+    less = discounts(*n)
+    return Level(less, mass, (less[0] * n[0] + less[1] * n[1] + less[2] * more) / max(mass, 1))
+
+
+def learn(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Model | None:
     """Count (_id, text) and store the model; None if there is no row to learn from."""
+    if order not in (2, 3):
+        raise ValueError(f"order must be 2 or 3, not {order}")
     spark = docs.sparkSession
-    folder = model_dir(spark)
+    folder = folder or model_dir(spark)
     buckets = buckets_for(docs, "text", PER_BUCKET, 6.0)
-    counted = docs.mapInArrow(word_counts(buckets), "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(vocabulary_part(folder), "bucket int, n long, total long")
-    parts = {r.bucket: r for r in counted.collect()}  # one small row for each part
-    if not parts:
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))  # each part writes its file, if an empty one
+    with_all = lambda df: df.unionByName(every, allowMissingColumns=True)
+    counted = with_all(docs.mapInArrow(word_counts(buckets), WORDS)).groupBy("bucket").applyInArrow(vocabulary_part(folder, buckets), "n long, total long")
+    size, total = counted.agg(F.sum("n"), F.sum("total")).first()
+    if not size:
         return None
-    sizes = [parts[k].n if k in parts else 0 for k in range(buckets)]
-    vocabulary = Vocabulary(folder, buckets, tuple(np.concatenate(([0], np.cumsum(sizes))).tolist()), sum(r.total for r in parts.values()))
-    dealt = docs.mapInArrow(pair_counts(vocabulary, buckets), "bucket int, keys binary, counts binary")
-    known = stage(dealt.groupBy("bucket").applyInArrow(pair_part(vocabulary), KNOWN), "lm-words")
-    n = known.agg(*[F.sum(f"n{k}") for k in (1, 2, 3, 4)], F.sum("pairs")).first()
-    less = discounts(*n[:4])
-    below = known.groupBy("part").applyInArrow(word_part(vocabulary, less), "n1 long, n2 long, n3 long, n4 long, more long")
-    m = below.agg(*[F.sum(c) for c in ("n1", "n2", "n3", "n4", "more")]).first()
-    lower = discounts(*m[:4])
-    weight = (lower[0] * m[0] + lower[1] * m[1] + lower[2] * m[4]) / max(n[4], 1)
-    return PairModel(vocabulary, buckets, n[4], less, lower, weight)
-
-
-def scores(model: PairModel | None):
+    vocabulary = Vocabulary(folder, buckets, size, total, PER_BUCKET)
+    grams = with_all(docs.mapInArrow(gram_counts(vocabulary, order), GRAMS))
+    parts = stage(grams.groupBy("bucket").applyInArrow(core_part(vocabulary, order), PARTS), "lm-parts")
+    apart = with_all(parts.where(F.col("kind").isin(CONTEXT, CONTINUATION)))
+    split = stage(apart.groupBy("bucket").applyInArrow(split_part(vocabulary, order), PARTS), "lm-split")
+    both = parts.unionByName(split)
+    n = both.where(F.col("kind") == TOTALS).agg(*[F.sum(c) for c in ("n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "more", "mass")]).first()
+    top, follows = Level(discounts(*n[:4])), level(n[4:8], n[8], n[9])
+    if order == 2:
+        return Model(vocabulary, order, (top, follows))
+    words = with_all(both.where(F.col("kind") == WORD)).groupBy("bucket").applyInArrow(word_part(vocabulary, follows.less), "n1 long, n2 long, n3 long, n4 long, more long, mass long")
+    m = words.agg(*[F.sum(c) for c in ("n1", "n2", "n3", "n4", "more", "mass")]).first()
+    return Model(vocabulary, order, (top, follows, level(m[:4], m[4], m[5])))
+
+
+def scores(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         total, size = (model.vocabulary.total, model.vocabulary.size) if model else (0, 0)
@@ -351,20 +595,25 @@ def scores(model: PairModel | None):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every document.
 
     Learns from the documents that are not held out: by default those whose
     crc32(doc_id) mod 5 is not 1. Lower-cases A-Z; tokens are the runs without
     ASCII white space and one end for each text, so null and empty texts have one
-    token. score is the sum of log10 p(token | token before), interpolated with the
-    continuation probability and a uniform share for unknown words. A null id is not
-    held out. Repeated rows are learnt from each time. With nothing to learn from,
-    scores are 0 and base scores those of no counts.
+    token. score is the sum of log10 p(token | the order - 1 tokens before),
+    interpolated with the continuation probabilities of shorter contexts and a
+    uniform share for unknown words; the end also stands for what precedes a text. A
+    null id is not held out. Repeated rows are learnt from each time. With nothing to
+    learn from, scores are 0 and base scores those of no counts. The scores are
+    written to the shared folder and the model is deleted.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False)) if held_out is None else held_out
     rows = docs.select(inner_id(id_col).alias("_id"), held.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    model = learn(rows.where(~F.col("held_out")).select("_id", "text"))
-    found = rows.mapInArrow(scores(model), "_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    folder = model_dir(spark)
+    model = learn(rows.where(~F.col("held_out")).select("_id", "text"), order, folder)
+    found = stage(rows.mapInArrow(scores(model), "_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    delete(spark, f"file://{folder}")
     return found.select(outer_id().alias("doc_id"), *found.columns[1:], F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
