@@ -42,9 +42,44 @@ def test_near_duplicates(spark, monkeypatch):
     want = brute.near(pairs(rows))
     assert got(minhash.near_duplicates(spark.createDataFrame(rows, DOCS)), "n_shingles", "component_id", "kept") == want
     monkeypatch.setattr(minhash, "BLOCK", 2)  # families dealt over many blocks
+    monkeypatch.setattr(minhash, "SIGNATURES", 2)
     assert got(minhash.near_duplicates(spark.createDataFrame(rows, DOCS)), "n_shingles", "component_id", "kept") == want
 
 
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """A chain of edits and a template whose fillings are often unlike: buckets' smallest nodes do not stand for the others."""
+    import random
+
+    rng = random.Random(21)
+    base, rows = sentence(rng, 60).split(" "), []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 3, 4, 5])):
+            words[at] = f"q{rng.randrange(3)}{at}"
+        rows.append((i, " ".join(words), "en", "a", 1))
+    chain = sentence(rng, 80).split(" ")
+    for i in range(40):
+        chain[rng.randrange(80)] = f"z{i}"
+        rows.append((200 + i, " ".join(chain), "en", "a", 1))
+    want = brute.near(pairs(rows))
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert len({x[1] for x in want.values()}) > 3
+    for block in (2048, 16):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert got(minhash.near_duplicates(docs), "n_shingles", "component_id", "kept") == want
+
+
+def test_components_with_a_hot_centre(spark, monkeypatch):
+    """A star, a path and pairs; the star's centre has most links."""
+    from tracemill.llm import graph
+    from tracemill.llm.graph import components
+
+    monkeypatch.setattr(graph, "LEAST", 50)
+    links = [(0, k) for k in range(1000, 1600)] + [(k, k + 1) for k in range(1, 12)] + [(5000 + 2 * k, 5001 + 2 * k) for k in range(50)] + [(11, 1200)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(found[k] == 0 for k in [*range(1000, 1600), *range(1, 13)]) and all(found[5001 + 2 * k] == 5000 + 2 * k for k in range(50)) and len(found) == 662
+
+
 def test_estimate_is_corrected_for_chance():
     import numpy as np
 

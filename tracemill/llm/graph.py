@@ -7,6 +7,25 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import stage
 
+#: A key with more than this share of all rows is hot; at most as many keys as its inverse can be, so hot ones are broadcast.
+HOT = 1 / 512
+#: Rows of one key that a task takes in any case.
+LEAST = 5000
+
+
+def beside(rows: DataFrame, summary: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows with their key's line of ``summary``, which says with column n how many of ``total`` rows have it.
+
+    Hot keys, fewer than 1 / HOT by their definition, come by broadcast, so that
+    their rows stay where they are; the others meet their line by a shuffled join.
+    """
+    bound = max(LEAST, total * HOT)
+    hot = summary.where(F.col("n") > bound)
+    names = [c for c in summary.columns if c != key]
+    marked = rows.join(F.broadcast(hot.select(key, F.struct(*names).alias("_hot"))), key, "left")
+    cold = marked.where("_hot IS NULL").drop("_hot").join(summary.where(F.col("n") <= bound), key)
+    return cold.unionByName(marked.where("_hot IS NOT NULL").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in names]))
+
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links -> (node, component): the smallest node reachable, for every node but those smallest.
@@ -18,13 +37,16 @@ def components(links: DataFrame) -> DataFrame:
     edges = stage(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     seen = None
     while True:
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == seen or not now[0]:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        seen = now
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a"))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(low, "v").where("u > v").select("m", "u").distinct()
-        least = large.groupBy("u").agg(F.min("m").alias("root"))
-        hung = large.join(least, "u").where("m <> root").select(F.col("root").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("sign"))
+        total, sign, most = low.agg(F.sum("n"), F.bit_xor("sign"), F.max("n")).first()
+        if (total, sign) == seen or not total:
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
+        seen = (total, sign)
+        low = low.select("v", F.least("v", "m").alias("m"), "n")
+        hot = most > max(LEAST, total * HOT)
+        met = (lambda rows, summary, key: beside(rows, summary, key, total)) if hot else (lambda rows, summary, key: rows.join(summary.drop("n"), key))
+        large = met(both, low, "v").where("u > v").select("m", "u").distinct()
+        least = large.groupBy("u").agg(F.min("m").alias("root"), F.count("*").alias("n"))
+        hung = met(large, least, "u").where("m <> root").select(F.col("root").alias("a"), F.col("m").alias("b"))
         edges = stage(hung.union(least.select("root", "u")).distinct(), "links")
