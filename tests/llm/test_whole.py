@@ -126,3 +126,50 @@ def test_rare_boilerplate_of_a_large_host_is_cut(spark):
     rows = [(i, f"http://a.example/{i}", page.format(n=f"w{i}", more=more if i % 24 == 0 else "")) for i in range(2400)]
     found = html_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {r.page_id: r.text for r in found.collect()} == {i: f"Words w{i} of page w{i}" for i in range(2400)}
+
+
+def tree_by_hand(pages: dict[int, str], threshold: float = 0.4, share: float = 0.1, least: int = 3) -> dict[str, float]:
+    """Importance of each node of one host, from the definitions, over whole lists."""
+    import math
+
+    read = {}
+    for k, html in pages.items():
+        blocks = [b for b in html_tree.read_page(html).blocks if not b.element.apart]
+        read.setdefault(tuple(b.text for b in blocks), (k, blocks))
+    m = len(read)
+    below, shown, styles = {}, {}, {}
+    for _, blocks in read.values():
+        held = {}
+        for b in blocks:
+            for e in b.element.line():
+                held[e.path] = e
+                below.setdefault(e.path, set()).add(b.element.path)
+            shown.setdefault(b.element.path, {}).setdefault(b.text, set()).add(id(blocks))
+        for path, e in held.items():
+            styles.setdefault(path, []).append(tuple(e.children))
+    out = {}
+    for path, leaves in below.items():
+        times = [len(x) for leaf in leaves for x in shown[leaf].values()]
+        content = sum(1 - math.log(n) / math.log(m) for n in times) / len(times)
+        n = [styles[path].count(x) for x in set(styles[path])]
+        entropy = -sum(x / sum(n) * math.log(x / sum(n)) for x in n) / math.log(m)
+        if max(times) >= least and (1 - share) * content + share * entropy < threshold:
+            out[path] = (1 - share) * content + share * entropy
+    return out
+
+
+def test_tree_decides_inside_articles_and_without_them(spark):
+    """Against importance worked out by hand; without the tree the template's blocks would stay."""
+    one = "<html><body><div class='top'><p>Welcome to the site</p><p>{n} visitors</p></div><article><h1>Title {n}</h1><p>Words {n} of the text</p><div class='more'><p>Sign our petition</p></div></article></body></html>"
+    two = "<html><body><div class='top'><div class='in'><p>All rights to us</p></div><p>Call now</p></div><div class='text'><p>Story {n} begins</p><p>and {n} ends</p>{extra}</div><div class='low'><p>Same {k}</p></div></body></html>"
+    pages = {i: one.format(n=f"w{i}") for i in range(9)}
+    other = {100 + i: two.format(n=f"s{i}", k=i % 2, extra="<p>Once more</p>" if i % 3 == 0 else "") for i in range(12)}
+    rows = [(i, "http://a.example/x", h) for i, h in pages.items()] + [(i, "http://b.example/y", h) for i, h in other.items()]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_tree.extract_main_text(docs).collect()}
+    for group in (pages, other):
+        low = {html_tree.key(k): v for k, v in tree_by_hand(group).items()}
+        assert low and {i: found[i] for i in group} == {i: "\n".join(html_tree.main_blocks(html_tree.read_page(h), low, 0.4)) for i, h in group.items()}
+        assert all(found[i] != "\n".join(html_tree.main_blocks(html_tree.read_page(h), {}, 0.4)) for i, h in group.items())
+    assert found[3] == "Title w3\nWords w3 of the text"
+    assert found[104] == "Story s4 begins\nand s4 ends" and found[103] == "Story s3 begins\nand s3 ends\nOnce more"

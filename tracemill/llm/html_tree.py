@@ -3,11 +3,12 @@
 The pages of a host are merged: elements with the same path of tags, classes and
 ids are one node, which has seen the contents (text blocks) and the presentations
 (sequences of child tags) of all its pages. With m different pages, a content that
-n of them show has entropy log n / log m; a node's content importance is 1 less
-the mean entropy of its contents, its presentation importance the entropy of its
-presentations, and both are blended by the paper's attenuating factor. Branches of
-low importance are cut from every page. What a tag, class or role names as not
-being part of an article goes in any case, which serves hosts of one page, too.
+n of them show has entropy log n / log m. A node's content importance is 1 less the
+mean entropy of all contents in its branch, so that of an inner node follows from
+its children's; its presentation importance is the entropy of its presentations.
+Both are blended by the paper's attenuating factor, and what the names of tags,
+classes and roles say of an element is added as a feature of the node. A block goes
+where any node above it, or its own, is of low importance.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import slices, stage
+from tracemill.llm.graph import beside
 from tracemill.shipping import ship
 
 #: HTML's elements by their part in a page.
@@ -40,12 +41,13 @@ APART_WORDS = set(
 #: Elements whose start ends an open one of the same kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("ul ol dl table body html article main section div".split())
+FRAME = {"", "html", "body"}
 LAYOUT = re.compile(r"(?:has|with|without|no|is|layout)[-_]")
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Element:
-    __slots__ = ("tag", "path", "apart", "content", "branch", "plain", "children", "silent")
+    __slots__ = ("tag", "path", "parent", "apart", "content", "children", "silent")
 
     def __init__(self, tag: str, attrs: dict[str, str | None], parent: Element | None):
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''} {attrs.get('role') or ''}"
@@ -55,14 +57,19 @@ class Element:
             words -= {"header", "head"}  # of the article, not of the page
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
         inside = bool(parent and parent.content)
-        self.tag, self.children = tag, []
+        self.tag, self.parent, self.children = tag, parent, []
         self.path = f"{parent.path if parent else ''}/{tag}.{style}" if style else f"{parent.path if parent else ''}/{tag}"
         self.silent = bool(parent and parent.silent) or tag in SILENT
-        own_content = tag in CONTENT or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
         self.apart = bool(parent and parent.apart) or hidden or tag in APART or (tag == "header" and not inside) or (bool(words & APART_WORDS) and tag not in ("html", "body", "main"))
-        self.content = inside or own_content
-        self.plain = (bool(parent and parent.plain) and not style) if inside and not own_content else own_content
-        self.branch = self if style or tag in SCOPE or not parent else parent.branch
+        self.content = inside or tag in CONTENT or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
+
+    def line(self) -> Iterator[Element]:
+        """The element and the branches that it lies in: up to the page's frame, or up to the article for what is inside of one."""
+        at = self
+        yield at
+        while (above := at.parent) is not None and above.tag not in FRAME and above.content >= at.content:
+            at = above
+            yield at
 
 
 class Block:
@@ -78,7 +85,7 @@ class PageReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Element("", {}, None)
-        self.stack, self.blocks, self.pending, self.elements = [self.root], [], [], [self.root]
+        self.stack, self.blocks, self.pending = [self.root], [], []
         self.holder = self.root
 
     def flush(self) -> None:
@@ -119,8 +126,6 @@ class PageReader(HTMLParser):
             parent.children.append(tag)
         new = Element(tag, attrs, parent)
         self.stack.append(new)
-        if tag not in INLINE:
-            self.elements.append(new)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag == "br" or tag not in VOID:
@@ -158,94 +163,93 @@ def key(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
 
 
-#: Kinds of what a page shows: a node's contents, its presentations, and the page itself.
-CONTENTS, STYLES, PAGES = 0, 1, 2
+#: What names add to a node's importance: of parts that they set apart, of blocks outside of a page's article or main, and inside of it.
+APART_FEATURE, OUTSIDE_FEATURE, INSIDE_FEATURE = -0.65, -0.65, 0.3
 #: Shares into which the pages that hold one node are dealt.
 SALTS = 16
-
-
-def nodes_of(element: Element) -> set[str]:
-    return {element.path, element.branch.path}
+SEEN = "host long, row long, page long, leaves array<struct<node:long,up:array<long>>>, contents array<struct<node:long,feature:long>>, styles array<struct<node:long,feature:long>>"
 
 
 def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, node, kind, feature) of each page: contents and presentations of its nodes."""
-    for batch, found in slices(batches, 4 << 20):
-        seen: set[tuple[int, int, int, int, int]] = set()
-        for host, raw in zip(batch.column("host").to_pylist(), found, strict=True):
-            page = read_page(raw.decode("utf-8", "ignore"))
-            blocks = [b for b in page.blocks if not b.element.apart]
-            which = key(*(b.text for b in blocks))
-            seen.add((host, which, 0, PAGES, 0))
-            for b in blocks:
-                feature = key(b.text)
-                seen.update((host, which, key(p), CONTENTS, feature) for p in nodes_of(b.element))
-            for e in {id(b.element.branch): b.element.branch for b in blocks}.values():
-                seen.add((host, which, key(e.path), STYLES, key(*e.children)))
-        rows = np.array(sorted(seen), np.int64).reshape(-1, 5)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(5)], ["host", "page", "node", "kind", "feature"])
-
-
-def low_branches(pages: DataFrame, threshold: float, least_pages: int, presentation: float) -> DataFrame:
-    """(host, node): the keys of each host's nodes of low importance, of which one content stands on ``least_pages`` at least."""
-    seen = pages.mapInArrow(observed, "host long, page long, node long, kind long, feature long").distinct()
-    features = stage(seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n")), "tree-features")
-    sizes = features.where(f"kind = {PAGES}").select("host", F.col("n").alias("m")).where("m > 1")
-    entropy = F.log("n") / F.log("m")
-    content = F.lit(1.0) - F.avg(F.when(F.col("kind") == CONTENTS, entropy))
-    all_styles = F.sum(F.when(F.col("kind") == STYLES, F.col("n")))
-    styles = (F.log(all_styles) - F.sum(F.when(F.col("kind") == STYLES, F.col("n") * F.log("n"))) / all_styles) / F.log(F.max("m"))
-    most = F.max(F.when(F.col("kind") == CONTENTS, F.col("n")))
-    node = features.where(f"kind <> {PAGES}").join(sizes, "host").groupBy("host", "node").agg(content.alias("content"), F.coalesce(styles, F.lit(0.0)).alias("styles"), most.alias("most"), F.max("m").alias("m"))
-    low = node.where((1 - presentation) * F.col("content") + presentation * F.col("styles") < threshold).where(F.col("most") >= least_pages)
-    return stage(low.select("host", "node"), "tree-low")
-
-
-def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, salt, row) of each page: the nodes that could be cut from it."""
-    for batch, found in slices(batches, 4 << 20):
-        hosts, nodes, rows = [], [], []
-        for host, row, raw in zip(batch.column("host").to_pylist(), batch.column("row").to_pylist(), found, strict=True):
-            page = read_page(raw.decode("utf-8", "ignore"))
-            own = {key(p) for b in page.blocks if not b.element.apart and not b.element.plain for p in nodes_of(b.element)}
-            hosts += [host] * len(own)
-            nodes += own
-            rows += [row] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, nodes, rows)], ["host", "node", "row"])
+    """Of each page the nodes that hold text with those above them, their contents, and the presentations of all.
 
-
-def low_of_pages(pages: DataFrame, low: DataFrame) -> DataFrame:
+    ``page`` is the hash of all blocks, so that copies of a page count once: else an
+    article that was copied would look like a template.
+    """
+    pair = pa.list_(pa.struct([("node", pa.int64()), ("feature", pa.int64())]))
+    leaf = pa.list_(pa.struct([("node", pa.int64()), ("up", pa.list_(pa.int64()))]))
+    for batch, found in slices(batches, 4 << 20):
+        pages, leaves, contents, styles = [], [], [], []
+        for raw in found:
+            blocks = [b for b in read_page(raw.decode("utf-8", "ignore")).blocks if not b.element.apart]
+            elements = {e.path: e for b in blocks for e in b.element.line()}
+            keys = {p: key(p) for p in elements}
+            pages.append(key(*(b.text for b in blocks)))
+            own = {b.element.path: b.element for b in blocks}
+            leaves.append([{"node": keys[p], "up": [keys[x.path] for x in e.line()]} for p, e in own.items()])
+            contents.append([{"node": n, "feature": f} for n, f in {(keys[b.element.path], key(b.text)) for b in blocks}])
+            styles.append([{"node": keys[p], "feature": key(*e.children)} for p, e in elements.items()])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("row"), pa.array(pages, pa.int64()), pa.array(leaves, leaf), pa.array(contents, pair), pa.array(styles, pair)], ["host", "row", "page", "leaves", "contents", "styles"])
+
+
+def low_branches(seen: DataFrame, threshold: float, least_pages: int, presentation: float) -> DataFrame:
+    """(host, node, importance): each host's nodes of low importance, of which one content stands on ``least_pages`` pages at least."""
+    chosen = seen.groupBy("host", "page").agg(F.min("row").alias("row")).select("host", "row")
+    sizes = chosen.groupBy("host").agg(F.count("*").alias("n"))
+    total = chosen.count()
+    once = seen.join(chosen, ["host", "row"], "left_semi")  # repeated rows are taken twice and counted once
+    shown = lambda c: beside(once.select("host", "row", F.explode(c).alias("x")).select("host", "row", "x.*").distinct().groupBy("host", "node", "feature").agg(F.count("*").alias("times")), sizes, "host", total).where("n > 1")
+    contents, styles = shown("contents"), shown("styles")
+    entropy = F.log("times") / F.log("n")
+    leaves = contents.groupBy("host", "node").agg(F.sum(1 - entropy).alias("sum"), F.count("*").alias("contents"), F.max("times").alias("most"))
+    chains = once.select("host", F.explode("leaves").alias("x")).groupBy("host", "x.node").agg(F.first("x.up").alias("up"))
+    branch = leaves.join(chains, ["host", "node"]).select("host", F.explode("up").alias("node"), "sum", "contents", "most")
+    branch = branch.groupBy("host", "node").agg((F.sum("sum") / F.sum("contents")).alias("content"), F.max("most").alias("most"))
+    whole = F.sum("times")
+    styled = styles.groupBy("host", "node").agg(((F.log(whole) - F.sum(F.col("times") * F.log("times")) / whole) / F.log(F.max("n"))).alias("styles"))
+    importance = (1 - presentation) * F.col("content") + presentation * F.col("styles")
+    low = branch.join(styled, ["host", "node"]).where(F.col("most") >= least_pages).select("host", "node", importance.alias("importance"))
+    return stage(low.where(F.col("importance") < threshold), "tree-low")
+
+
+def low_of_pages(seen: DataFrame, low: DataFrame) -> DataFrame:
     """(row, low): of each page the low nodes that it holds, however many its host has.
 
     A node that all pages of a host hold is dealt with them over ``SALTS`` tasks.
     """
     salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = pages.select("host", "row", "text").mapInArrow(held, "host long, node long, row long")
-    pairs = pairs.distinct().withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
-    return pairs.join(salted, ["host", "node", "salt"]).groupBy("row").agg(F.collect_set("node").alias("low"))
+    pairs = seen.select("host", "row", F.explode(F.array_distinct(F.flatten("leaves.up"))).alias("node")).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    held = pairs.join(salted, ["host", "node", "salt"])
+    return held.groupBy("row").agg(F.collect_set(F.struct("node", "importance")).alias("low"))
 
 
-def main_blocks(page: PageReader, low: set[int]) -> list[str]:
-    """Blocks of the article: not apart, inside article or main where the page has them, not in a low branch."""
-    blocks = [b for b in page.blocks if not b.element.apart]
-    if any(b.element.content for b in blocks):
-        blocks = [b for b in blocks if b.element.content]
-    if low:
-        memo: dict[str, bool] = {}
+def main_blocks(page: PageReader, low: dict[int, float], threshold: float) -> list[str]:
+    """Blocks with no node above them of low importance; nodes that the tree does not know as low have importance 1."""
+    whole = any(b.element.content and not b.element.apart for b in page.blocks)
+    memo: dict[str, bool] = {}
 
-        def cut(e: Element) -> bool:
-            if e.plain:  # unnamed elements of an article hold its text, however often copied
-                return False
-            return any(memo.setdefault(p, key(p) in low) for p in nodes_of(e))
+    def cut(e: Element) -> bool:
+        if e.path not in memo:
+            feature = APART_FEATURE if e.apart else INSIDE_FEATURE if e.content else 0.0
+            memo[e.path] = low.get(key(e.path), 1.0) + feature < threshold
+        return memo[e.path]
 
-        blocks = [b for b in blocks if not cut(b.element)] or blocks
-    return [b.text for b in blocks]
+    out = []
+    for b in page.blocks:
+        outside = OUTSIDE_FEATURE if whole and not b.element.content else 0.0
+        if low.get(key(b.element.path), 1.0) + outside >= threshold and not any(map(cut, b.element.line())):
+            out.append(b.text)
+    return out
 
 
-def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, found in slices(batches, 4 << 20):
-        out = ["\n".join(main_blocks(read_page(raw.decode("utf-8", "ignore")), set(low or ()))) for raw, low in zip(found, batch.column("low").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def extracted(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in slices(batches, 4 << 20):
+            lows = [{x["node"]: x["importance"] for x in low or ()} for low in batch.column("low").to_pylist()]
+            out = ["\n".join(main_blocks(read_page(raw.decode("utf-8", "ignore")), low, threshold)) for raw, low in zip(found, lows, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.4, least_pages: int = 3, presentation: float = 0.1) -> DataFrame:
@@ -254,14 +258,15 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Null and empty html give an empty text. A null url, or one without a host, is
     of the host ''. Pages of equal content count once for their host's tree, so
     copies do not make an article look like a template; a host of one page has no
-    low branches. If cutting would leave nothing of a page, nothing is cut by the
-    tree. Repeated rows and ids give repeated results.
+    low branches, nor has a node of which no content stands on ``least_pages`` pages. A page of which all is cut has an empty text. Repeated rows and ids give
+    repeated results.
     """
     ship(pages.sparkSession)
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("host", "text"))  # pages of equal html hold equal nodes
-    low = low_of_pages(rows, low_branches(rows.select("host", "text"), threshold, least_pages, presentation))
+    seen = stage(rows.select("host", "row", "text").mapInArrow(observed, SEEN), "tree-pages")
+    low = low_of_pages(seen, low_branches(seen, threshold, least_pages, presentation))
     kind = rows.schema["page_id"].dataType.simpleString()
     joined = rows.join(low, "row", "left").select("page_id", "url", "low", "text")
-    return joined.mapInArrow(extracted, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(extracted(threshold), f"page_id {kind}, url string, text string, n_chars long")
