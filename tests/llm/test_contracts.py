@@ -63,10 +63,36 @@ def test_suffix_automaton_knows_all_substrings():
 def test_cross_parsing_counts_phrases():
     model = langid.Parser({"a": b"the cat sat", "b": b"xyz"})
     counts = model.phrases([b"the cat", b"the sat cat", b"", b"xyz"])
-    assert counts[:, 0].tolist()[0] == 1 and counts[1, 0] == 3 and counts[2].tolist() == [0, 0] and counts[3, 1] == 1
+    assert counts[:, 0].tolist()[0] == 1 and counts[1, 0] == 3 and counts[2].tolist() == [0, 0] and counts[3].tolist() == [3, 1]
     assert counts[0, 0] < counts[0, 1] and counts[3, 1] < counts[3, 0]
 
 
+def test_cross_parsing_of_long_texts_by_hand():
+    """Greedy longest matches over whole texts, by search in the samples, whatever segments they are parsed in."""
+    import random
+
+    rng = random.Random(5)
+    samples = {k: bytes(rng.choice(letters) for _ in range(n)) for k, letters, n in (("a", b"abc ", 300), ("b", b"abde ", 900), ("c", b"ab", 50))}
+    samples["d"] = samples["a"] * 3
+    found = [bytes(rng.choice(b"abcde ") for _ in range(n)) for n in (0, 1, 255, 256, 257, 700, 3000)] + [samples["a"] * 5, samples["b"][100:800], b"ab" * 700]
+
+    def by_hand(text: bytes, sample: bytes) -> int:
+        at = n = 0
+        while at < len(text):
+            k = 1
+            while at + k < len(text) and text[at : at + k + 1] in sample:
+                k += 1
+            at, n = at + k, n + 1
+        return n
+
+    model = langid.Parser(samples)
+    assert model.phrases(found).tolist() == [[by_hand(x, samples[k]) for k in model.languages] for x in found]
+
+
+def test_sample_budget_is_spread():
+    assert langid.level_of([1, 2, 300], 100) == 97 and langid.level_of([50, 50], 100) == 50 and langid.level_of([5, 5], 100) == 5 and langid.level_of([], 9) == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body class="no-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a><li>News</ul></nav><div class="{ad}">Buy {n} now</div>
 <div class="text"><h2>Title {n} &amp; more</h2><p>First   {n}<br>line<p>Second <em>{n}</em>&nbsp;&#8212; end<ul><li>one {n}<li>two {n}</ul></div>
@@ -103,5 +129,6 @@ def test_quality_keeps_good_and_drops_junk(spark, sf):
     judged = quality.quality_rules(docs).join(labels, "doc_id")
     plain = judged.where("NOT base_failed")
     assert plain.where("quality = 1 AND NOT kept").count() <= 0.03 * plain.where("quality = 1").count()
+    assert plain.where("quality = 0 AND NOT kept").count() >= 0.9 * plain.where("quality = 0").count()
 
 

@@ -2,9 +2,11 @@
 
 For each language a suffix automaton of a bounded sample of labelled text knows
 every substring of the sample. A text is parsed greedily into the longest phrases
-that the automaton contains; the language that needs fewest phrases for the same
-letters wins. Automata are dense tables, and all segments of a batch of texts
-step through them side by side in numpy.
+that the automaton contains; the phrases, normalised by the logarithm of the
+sample's length as in the entropy that they estimate, are fewest for its language.
+Automata are dense tables, and all segments of a batch of texts step through them
+side by side in numpy; a segment that another precedes is parsed again from where
+that one ended, until both parses agree, so that every text is parsed as one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import inner_id, outer_id, slices, stage
 from tracemill.shipping import ship
 
-#: A phrase also ends after so many bytes of a text; segments are parsed side by side.
+#: Bytes of a text that are parsed side by side with others before their parses are joined.
 SEGMENT = 256
 #: ASCII: letters folded to lower case by the caller, all else to spaces; other bytes stay.
 LETTERS_ONLY = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -71,11 +73,12 @@ class Parser:
         self.code = np.zeros(256, np.uint16)
         self.code[seen] = np.arange(1, len(seen) + 1)
         self.tables = [self.table(samples[x]) for x in self.languages]
+        self.norms = np.log2([max(2, len(samples[x])) for x in self.languages])
 
     def table(self, sample: bytes) -> np.ndarray:
-        """Next state times the width, or -1; the padding leads to the start."""
+        """Next state times the width, or -1; the padding leads to the start. The last state, of bytes that the sample lacks, ends at any byte."""
         step = suffix_automaton(sample)
-        out = np.full((len(step), self.width), -1, np.int32)
+        out = np.full((len(step) + 1, self.width), -1, np.int32)
         for i, row in enumerate(step):
             if row:
                 out[i, self.code[list(row)]] = np.fromiter(row.values(), np.int64, len(row)) * self.width
@@ -90,20 +93,43 @@ class Parser:
             flat[at : at + len(x)] = self.code[np.frombuffer(x, np.uint8)]
         codes = np.ascontiguousarray(flat.reshape(-1, SEGMENT).T).astype(np.int32)
         owner = np.repeat(np.arange(len(found)), pieces)
+        after = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # segments that another of their text precedes
         out = np.zeros((len(found), len(self.tables)), np.int64)
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(codes.shape[1], np.int32), np.ones(codes.shape[1], np.int32)
-            first = np.maximum(table[: self.width], 0)
-            for c in codes:
-                state += c
-                state = table.take(state)
-                miss = np.flatnonzero(state < 0)
-                if len(miss):
-                    count[miss] += 1
-                    state[miss] = first.take(c[miss])
-            out[:, k] = np.bincount(owner, count, len(found))
+            out[:, k] = np.bincount(owner, self.starts(table, codes, after), len(found))
         return out
 
+    def starts(self, table: np.ndarray, codes: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Phrases that start inside each segment (columns of ``codes``), each parsed on from the end of the one before."""
+        none = len(table) - self.width
+        first = np.where(table[: self.width] < 0, none, table[: self.width])
+        states, breaks = np.empty(codes.shape, np.int32), np.zeros(codes.shape, bool)
+        state = np.full(codes.shape[1], none, np.int32)
+        for r, c in enumerate(codes):
+            state = table.take(state + c)
+            miss = np.flatnonzero(state < 0)
+            if len(miss):
+                breaks[r, miss] = True
+                state[miss] = first.take(c[miss])
+            states[r] = state
+        again = after
+        while len(again):
+            left, state, changed = again, states[-1, again - 1].copy(), []
+            for r in range(SEGMENT):
+                state = table.take(state + codes[r, left])
+                miss = state < 0
+                state[miss] = first.take(codes[r, left[miss]])
+                breaks[r, left] = miss
+                apart = state != states[r, left]
+                left, state = left[apart], state[apart]
+                if not len(left):
+                    break
+                states[r, left] = state
+            else:
+                changed = left
+            again = np.intersect1d(np.asarray(changed, np.int64) + 1, after)
+        return breaks.sum(axis=0)
+
 
 @lru_cache(maxsize=1)
 def parser(samples: tuple[tuple[str, bytes], ...]) -> Parser:
@@ -118,40 +144,58 @@ def predictions(samples: tuple[tuple[str, bytes], ...]):
             names, scores = ["und"] * len(raw), np.zeros(len(raw))
             if samples:
                 model = parser(samples)
-                counts = model.phrases([letters(x) for x in raw])
+                counts = model.phrases([letters(x) for x in raw]) * model.norms
                 order = np.argsort(counts, axis=1, kind="stable")  # ties: the first language by name
                 best = np.take_along_axis(counts, order[:, :1], 1)[:, 0]
                 rest = np.take_along_axis(counts, order[:, 1:2], 1)[:, 0] if counts.shape[1] > 1 else best * 2
-                scores = np.where(known, 1.0 - best / np.maximum(rest, 1), 0.0)
+                scores = np.where(known, 1.0 - best / np.maximum(rest, 1e-9), 0.0)
                 names = [model.languages[i] if k else "und" for i, k in zip(order[:, 0], known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(scores), batch.column(2), pa.array(known, pa.bool_())], ["_id", "held_out", "lang_pred", "score", "own", "lettered"])
 
     return run
 
 
+def level_of(sizes: list[int], budget: int) -> int:
+    """The most that each may give so that all together give ``budget``, or everything."""
+    left, n = budget, len(sizes)
+    for x in sorted(sizes):
+        if x * n >= left:
+            return left // n
+        left, n = left - x, n - 1
+    return max(sizes, default=0)
+
+
 def sample_texts(docs: DataFrame, sample_docs: int, sample_bytes: int) -> tuple[tuple[str, bytes], ...]:
-    """At most ``sample_bytes`` of letters of each language, from the ``sample_docs`` documents of least hash."""
+    """At most ``sample_bytes`` of letters of each language, from the ``sample_docs`` documents of least hash, spread as evenly as these allow."""
     named = docs.where("NOT held_out AND lang IS NOT NULL AND NOT empty")
     by_hash = Window.partitionBy("lang").orderBy("hash", "_id")
     chosen = stage(named.select("lang", "_id", "hash").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= sample_docs).select("_id", "hash"), "langid-sample")
-    rows = docs.join(chosen, ["_id", "hash"], "left_semi").where("NOT held_out AND lang IS NOT NULL AND NOT empty")
-    share = sample_bytes // sample_docs
-    kept = rows.select("lang", "hash", "_id", F.substring("text", 1, 2 * share).alias("text")).orderBy("lang", "hash", "_id").collect()
-    out: dict[str, list[bytes]] = {}
-    for r in kept:  # sample_docs rows of 2 * share characters for each language
-        out.setdefault(r.lang, []).append(letters(r.text.encode())[:share])
-    return tuple((k, b" ".join(v)) for k, v in sorted(out.items()))
+    rows = docs.join(F.broadcast(chosen), ["_id", "hash"], "left_semi").where("NOT held_out AND lang IS NOT NULL AND NOT empty")  # sample_docs rows for each language
+    sizes: dict[str, list[int]] = {}
+    for r in rows.select("lang", F.length("text").alias("size")).collect():
+        sizes.setdefault(r.lang, []).append(r["size"])
+    share = {k: level_of(v, sample_bytes) for k, v in sizes.items()}
+    if not share:
+        return ()
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
+    kept = rows.select("lang", "hash", "_id", F.substring(F.col("text"), F.lit(1), most).alias("text")).orderBy("lang", "hash", "_id").collect()
+    out: dict[str, bytes] = {}
+    for r in kept:  # sample_bytes characters for each language
+        out[r.lang] = (out.get(r.lang, b"") + b" " + letters(r.text.encode()))[:sample_bytes]
+    return tuple(sorted(out.items()))
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 96, sample_bytes: int = 49152) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, own, lettered) of every document.
 
-    The model is fitted to at most ``sample_bytes`` bytes of each language, from
-    ``sample_docs`` labelled documents whose crc32(doc_id) mod 3 is not 1; every
+    The model is fitted to a bounded sample: at most ``sample_bytes`` bytes of each
+    language, from the ``sample_docs`` documents of least hash among the labelled
+    ones whose crc32(doc_id) mod 3 is not 1, each of which gives its beginning, up to
+    a length by which all together reach the bound or give all that they have. Every
     text is parsed whole. A null text or one without letters is ``und`` with
     score 0, as is everything if no label can be learned from. A null id is not
-    held out. The score is 1 less the ratio of the best to the second number of
-    phrases. Rows are judged each by itself, so repeated rows agree; own is the hash
+    held out. The score is 1 less the ratio of the best to the second normalised
+    number of phrases; on a tie the first language by name holds. Rows are judged each by itself, so repeated rows agree; own is the hash
     of the text, and lettered tells texts with a letter from those without.
     """
     ship(docs.sparkSession)
