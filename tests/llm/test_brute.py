@@ -157,3 +157,34 @@ def test_fuzzy_search_misses_nothing():
             words[at : at + 1] = rng.choice(["", "q", words[at] + "q"])
         line = f" {sentence(rng, 8)} {''.join(words)} {sentence(rng, 8)} ".encode()
         assert bool(x.places(line)) == bool(x.pattern.search(line))
+
+
+def test_license_scan_by_whole_search(spark):
+    """Labels, places and scores as by the bounded search over whole texts, without seeds; of overlapping notices the better holds."""
+    import random
+
+    rng, notices = random.Random(17), list(license_scan.NOTICES.items())
+    found = [license_scan.Notice(p, label) for p, label in notices]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            words = list(rng.choice(notices)[0].decode())
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = rng.choice(["", "q", " "])
+            parts += [sentence(rng, rng.randint(1, 6)), "".join(words).upper()]
+        rows.append((i, ", ".join(parts), "", "", 0))
+    got_rows = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, text, *_ in rows:
+        words = brute.ALNUM.findall(text.encode().lower())
+        line = b" " + b" ".join(words) + b" "
+        base = {label for p, label in license_scan.PHRASES.items() if b" " + p + b" " in line}
+        matches = sorted((sum(m.fuzzy_counts) / len(x.phrase), m.start(), m.end(), x.label) for x in found for m in x.pattern.finditer(line))
+        taken = []
+        for m in matches:
+            if all(m[2] <= t[1] or t[2] <= m[1] for t in taken):
+                taken.append(m)
+        r = got_rows[i]
+        assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | {m[3] for m in taken}))
+        assert r.score == pytest.approx(max([float(bool(base)), *(1 - m[0] for m in matches)]))
+        assert [(s.label, s.errors) for s in r.spans] == [(m[3], round(m[0] * 1000) and s.errors) for m, s in zip(taken, r.spans)]

@@ -7,8 +7,10 @@ regex library's bounded-error matching look for the whole notice.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -17,20 +19,47 @@ from tracemill.llm.common import outer_id, slices, texts
 
 #: Exact phrases and their labels.
 PHRASES = {b"under the mit license": "mit", b"apache license version 2": "apache-2", b"cc by nc": "cc-by-nc"}
-#: Notices looked for with errors, and their labels.
+#: Notices looked for with errors, and their labels.
 NOTICES = {
     b"under the mit license": "mit",
+    b"permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
+    b"permission to use copy modify and or distribute this software for any purpose with or without fee": "isc",
     b"apache license version 2": "apache-2",
-    b"licensed under cc by nc": "cc-by-nc",
-    b"creative commons attribution noncommercial": "cc-by-nc",
+    b"licensed under the apache license": "apache-2",
+    b"redistribution and use in source and binary forms": "bsd",
+    b"under the bsd license": "bsd",
     b"gnu general public license version 3": "gpl-3",
     b"gnu general public license version 2": "gpl-2",
     b"gnu lesser general public license": "lgpl",
+    b"gnu affero general public license": "agpl",
+    b"gnu free documentation license": "gfdl",
     b"mozilla public license version 2": "mpl-2",
-    b"redistribution and use in source and binary forms": "bsd",
+    b"eclipse public license version 2": "epl-2",
+    b"eclipse public license version 1": "epl-1",
+    b"common development and distribution license": "cddl",
+    b"european union public licence": "eupl",
+    b"boost software license version 1": "bsl-1",
+    b"artistic license 2 0": "artistic-2",
+    b"academic free license version 3": "afl-3",
+    b"microsoft public license": "ms-pl",
+    b"python software foundation license": "psf",
+    b"open software license version 3": "osl-3",
+    b"sil open font license": "ofl",
+    b"open data commons open database license": "odbl",
+    b"do what the fuck you want to public license": "wtfpl",
+    b"this is free and unencumbered software released into the public domain": "unlicense",
     b"dedicated to the public domain": "public-domain",
+    b"creative commons zero": "cc0",
+    b"creative commons cc0": "cc0",
+    b"licensed under cc by nc": "cc-by-nc",
     b"licensed under cc by sa": "cc-by-sa",
-    b"all rights reserved": "all-rights-reserved",
+    b"licensed under cc by nd": "cc-by-nd",
+    b"creative commons attribution sharealike": "cc-by-sa",
+    b"creative commons attribution noncommercial": "cc-by-nc",
+    b"creative commons attribution noderivatives": "cc-by-nd",
+    b"creative commons attribution 4 0": "cc-by",
+    b"server side public license": "sspl",
+    b"business source license": "busl",
 }
 NOT_WORD = bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122))
 FOLD = bytes.maketrans(NOT_WORD, b" " * len(NOT_WORD))
@@ -72,6 +101,18 @@ class Notice:
         return found
 
 
+def apart(matches: list[tuple]) -> list[tuple]:
+    """Matches (quality, start, end, ...) that overlap none of better quality; those taken stay in order of place."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for m in sorted(matches):
+        at = bisect(taken, (m[1], m[2]))
+        if (not at or taken[at - 1][1] <= m[1]) and (at == len(taken) or m[2] <= taken[at][0]):
+            taken.insert(at, (m[1], m[2]))
+            out.append(m)
+    return out
+
+
 def scan_text(text: bytes, notices: list[Notice]) -> tuple:
     words = folded_words(text)
     line = b" " + b" ".join(words) + b" "
@@ -79,18 +120,18 @@ def scan_text(text: bytes, notices: list[Notice]) -> tuple:
     for phrase, label in PHRASES.items():
         padded, at = b" " + phrase + b" ", -1
         while (at := line.find(padded, at + 1)) >= 0:
-            starts.append(line.count(b" ", 0, at + 1) - 1)
+            starts.append(at)
             labels.add(label)
     every = set(labels)
     matches = [(errors / len(x.phrase), a, b, errors, x.label) for x in notices for a, b, errors in x.places(line)]
-    spans, taken = [], []
-    for _, a, b, errors, label in sorted(matches):  # where notices overlap, the one with fewer errors holds
-        if all(b <= c or d <= a for c, d in taken):
-            taken.append((a, b))
-            spans.append((label, line.count(b" ", 0, a + 1) - 1, line.count(b" ", 0, b), errors))
-            every.add(label)
+    edges = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) if starts or matches else np.empty(0, np.int64)
+    word_at = lambda k: int(np.searchsorted(edges, k, "right")) - 1
+    spans = []
+    for _, a, b, errors, label in apart(matches):  # where notices overlap, the one with fewer errors holds
+        spans.append((label, word_at(a), int(np.searchsorted(edges, b)), errors))
+        every.add(label)
     score = max([float(bool(labels)), *(1.0 - x[0] for x in matches)])
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), score, spans
+    return len(words), len(starts), word_at(min(starts)) if starts else None, word_at(max(starts)) if starts else None, ",".join(sorted(labels)), ",".join(sorted(every)), score, spans
 
 
 SPAN = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("errors", pa.int64())])
