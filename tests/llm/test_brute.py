@@ -105,10 +105,19 @@ def test_contamination(spark, monkeypatch):
 
 
 def test_proximity(spark):
-    bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "alpha beta gamma delta", "", "", 0), (2, "alpha x beta gamma delta", "", "", 0), (3, "delta alone", "", "", 0)], DOCS)
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one two unheard three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta", "", "", 0), (2, "alpha x beta gamma delta", "", "", 0), (3, "delta alone", "", "", 0), (4, "one two other three", "", "", 0), (5, "three", "", "", 0)], DOCS)
     found = {r.doc_id: (r.n_hit, r.n_near > 0) for r in decontaminate.find_contamination(docs, bench, slop=1).collect()}
-    assert found == {1: (4, False), 2: (0, True), 3: (0, False)}
+    assert found == {1: (4, False), 2: (0, True), 3: (0, False), 4: (0, True), 5: (0, False)}
+
+
+def test_contamination_of_ids_that_repeat_and_no_benchmark(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    rows = [(None, "x alpha beta gamma delta"), (None, "clean"), (4, "alpha beta gamma delta alpha beta gamma delta"), (4, "clean too"), (5, "a"), (5, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    found = sorted((r.doc_id or 0, r.n_words, r.n_hit, ",".join(r["items"])) for r in decontaminate.find_contamination(docs, bench).collect())
+    assert found == [(0, 1, 0, ""), (0, 5, 4, "1"), (4, 2, 0, ""), (4, 8, 8, "1"), (5, 1, 0, ""), (5, 1, 0, "")]
+    assert all(r.n_hit == 0 and not r["items"] for r in decontaminate.find_contamination(docs, bench.limit(0)).collect())
 
 
 @pytest.mark.parametrize(("order", "per_bucket"), [(3, 1_000_000), (3, 20), (2, 1_000_000), (2, 50)])  # with few in a bucket, inner words are split

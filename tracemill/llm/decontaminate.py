@@ -1,11 +1,13 @@
 """Benchmark decontamination on a positional inverted index.
 
 The index stores, for terms of the benchmark, the documents and places that hold
-them. A window of a test item is looked up from its rarest terms: the rarest
-one's places, less its offset in the window, are the possible starts; they are
-intersected with those of the next rarest; what is left is compared word by word.
-With ``slop`` the second list may disagree by so many words, which gives
-proximity matches beside exact phrases.
+them. A window of a test item is looked up from its rarest terms: the rarest one's
+places, less its offset in the window, are the possible starts, intersected with
+those of the next rarest. For the documents that are left the index takes up all
+terms of the benchmark, and all lists of a window, adjusted by their offsets, are
+intersected at the starts found: a start in every list is an exact phrase. With
+``slop`` the second list may disagree by so many words; what is no exact phrase
+then is a proximity match.
 """
 
 from __future__ import annotations
@@ -110,57 +112,53 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("term").to_numpy(), n), pa.int64()), pa.array(np.repeat(batch.column("_id").to_numpy(), n), pa.int64()), pa.array(place, pa.int32())], ["term", "_id", "place"])
 
 
-def block_candidates(docs: DataFrame, windows: list, slop: int) -> DataFrame:
-    """(_id, win, start) where the two rarest terms of a window stand at their distance (or off by ``slop``)."""
+def rarest(windows: list, often: dict[int, int], slop: int) -> list[tuple]:
+    """(win, rarest term, its offset, next rarest, its offset less the first's) of each window that can match at all."""
+    out = []
+    for w in windows:
+        known = sorted((k for k, t in enumerate(w.terms) if t in often), key=lambda k: (often[w.terms[k]], w.terms[k], k))
+        if len(known) == len(w.terms) or slop and len(known) > 1:  # an exact phrase needs all terms, proximity two
+            a, b = known[0], known[min(1, len(known) - 1)]
+            out.append((w.win, w.terms[a], a, w.terms[b], b - a))
+    return out
+
+
+def index_of(docs: DataFrame, terms: np.ndarray, name: str) -> DataFrame:
+    """(term, _id, place) of the terms, from postings stored in the shared folder."""
+    return stage(docs.mapInArrow(posted(terms), "term long, _id long, places binary"), name).mapInArrow(unpacked, "term long, _id long, place int")
+
+
+def block_matches(docs: DataFrame, windows: list, slop: int) -> DataFrame:
+    """(_id, win, start, exact) of the windows in (_id, text), of which each row is a document of its own."""
     spark = docs.sparkSession
-    nothing = spark.createDataFrame([], "_id long, win long, start int")
+    nothing = spark.createDataFrame([], "_id long, win long, start int, exact boolean")
     terms = np.unique(np.array([t for w in windows for t in w.terms], np.int64))
     if not len(terms):
         return nothing
     found = docs.mapInArrow(counted(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     often = {r.term: r.n for r in found.collect()}  # at most BLOCK windows' terms
-    rare = []
-    for w in windows:
-        if all(t in often for t in w.terms):  # else some term occurs nowhere
-            order = sorted(range(len(w.terms)), key=lambda k: (often[w.terms[k]], w.terms[k], k))
-            a, b = order[0], order[min(1, len(order) - 1)]
-            rare.append((w.win, w.terms[a], a, w.terms[b], b - a))
-    rare = spark.createDataFrame(rare, "win long, term long, off int, next long, step int")
-    index = sorted({r for w in rare.select("term", "next").collect() for r in w})
-    if not index:
+    rare = rarest(windows, often, slop)
+    if not rare:
         return nothing
-    stored = stage(docs.mapInArrow(posted(np.array(index, np.int64)), "term long, _id long, places binary"), "postings")
-    places = stored.mapInArrow(unpacked, "term long, _id long, place int")
-    first = places.join(rare, "term").select("_id", "win", "off", F.col("next").alias("term"), "step", "place")
-    off_by = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
-    wanted = first.select("_id", "win", "term", (F.col("place") - F.col("off")).alias("start"), (F.col("place") + F.col("step")).alias("second")).withColumn("by", off_by)
-    wanted = wanted.select("_id", "win", "term", "start", (F.col("second") + F.col("by")).alias("place"))
-    return wanted.join(places, ["term", "_id", "place"], "left_semi").where(F.lit(slop > 0) | (F.col("start") >= 0)).select("_id", "win", "start")
+    places = index_of(docs, np.unique(np.array([t for r in rare for t in (r[1], r[3])], np.int64)), "postings")
+    rows = F.broadcast(spark.createDataFrame(rare, "win long, term long, off int, next long, step int"))  # at most BLOCK rows
+    first = places.join(rows, "term").select("_id", "win", (F.col("place") - F.col("off")).alias("start"), F.col("next").alias("term"), (F.col("place") + F.col("step")).alias("second"))
+    wanted = first.withColumn("by", F.explode(F.sequence(F.lit(-slop), F.lit(slop))))
+    wanted = wanted.select("_id", "win", "start", "term", "by", (F.col("second") + F.col("by")).alias("place"))
+    starts = wanted.join(places, ["term", "_id", "place"], "left_semi").groupBy("_id", "win", "start").agg(F.bool_or(F.col("by") == 0).alias("straight"))
+    starts = stage(starts, "starts")
+    left = docs.join(starts.select("_id").distinct(), "_id", "left_semi")  # ids alone, so few texts are moved
+    lists = index_of(left, np.array(sorted(often), np.int64), "postings-left")
+    listed = F.broadcast(spark.createDataFrame([(w.win, w.terms) for w in windows], "win long, terms array<long>"))  # at most BLOCK rows
+    asked = starts.where("straight").join(listed, "win").select("_id", "win", "start", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
+    held = asked.withColumn("place", F.col("start") + F.col("off")).join(lists, ["term", "_id", "place"], "left_semi")
+    exact = held.groupBy("_id", "win", "start", "n").agg(F.count("*").alias("lists")).where("lists = n").select("_id", "win", "start", F.lit(True).alias("exact"))
+    return starts.join(exact, ["_id", "win", "start"], "left").select("_id", "win", "start", F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
 def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, found in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(folded_words(x)) for x in found], pa.int64())], ["_id", "own", "n_words"])
-
-
-def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hit words and items of each document that has candidate starts."""
-    memo = WordHashes()
-    for batch, found in slices(batches):
-        rows = []
-        for candidates, text in zip(batch.column("found").to_pylist(), found, strict=True):
-            words = memo.of(folded_words(text)).astype(np.int64)
-            hit, items, near = np.zeros(len(words), bool), set(), 0
-            for x in candidates:
-                s, own = x["start"], x["terms"]
-                if s >= 0 and words[s : s + len(own)].tolist() == own:
-                    hit[s : s + len(own)] = True
-                    items.update(x["items"])
-                else:
-                    near += 1
-            rows.append((int(hit.sum()), sorted(items), near))
-        hits, items, near = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(near, pa.int64())], ["_id", "own", "n_hit", "items", "n_near"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(folded_words(x)) for x in found], pa.int64())], ["key", "_id", "own", "n_words"])
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -169,28 +167,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     Lower-cases A-Z; words are runs of ASCII letters, digits and other characters
     beyond ASCII. ``items`` are the ids, as sorted strings, of items with a window
     that occurs in the document; n_hit counts words inside such occurrences; n_near
-    counts places where a window's rarest terms stand within ``slop`` words of their
-    distance without an exact phrase. Null and empty texts have no words; a null
-    item id is the empty string; repeated items count once; an empty benchmark hits
-    nothing. Rows that repeat a doc_id are looked up with the places of all of them
-    and verified each on its own text, of which own is the hash.
+    counts starts at which the two rarest terms of a window, among those that the
+    documents have at all, stand within ``slop`` words of their distance without an
+    exact phrase. Null and empty texts have no words; a null item id is the empty
+    string; repeated items count once; an empty benchmark hits nothing. Rows that
+    share a doc_id, or have none, are looked up each for itself; own is the hash of
+    the text.
     """
     rows = texts(docs, id_col, text_col)
+    keyed = rows.select(F.xxhash64("_id", "text").alias("key"), "_id", F.xxhash64("text").alias("own"), "text")
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     windows = stage(items.mapInArrow(item_windows(window), "item string, win long, terms array<long>"), "items")
-    distinct = stage(windows.groupBy("win").agg(F.first("terms").alias("terms"), F.collect_set("item").alias("items")), "windows")
+    distinct = stage(windows.groupBy("win").agg(F.first("terms").alias("terms")), "windows")
     blocks = max(1, -(-distinct.count() // BLOCK))
-    candidates = None
+    found = None
     for k in range(blocks):  # the benchmark is a stated set of queries, looked up in blocks
-        own = distinct.where(F.pmod("win", F.lit(blocks)) == k).select("win", "terms").collect()
-        found = stage(block_candidates(rows, own, slop).distinct(), "starts")
-        candidates = found if candidates is None else candidates.union(found)
-    listed = candidates.join(distinct, "win").groupBy("_id").agg(F.collect_list(F.struct("start", "terms", "items")).alias("found"))
-    listed = stage(listed, "candidates")
-    keyed = rows.select("_id", F.xxhash64("text").alias("own"), "text")  # rows may share an id
-    named = stage(listed.select("_id"), "candidate-ids")  # ids alone are small, so few texts are moved
-    checked = keyed.join(named, "_id", "left_semi").join(listed, "_id").select("_id", "own", "found", "text").mapInArrow(verified, "_id long, own long, n_hit long, items array<string>, n_near long")
-    checked = stage(checked.dropDuplicates(["_id", "own"]), "checked")
-    sized = keyed.mapInArrow(counted_words, "_id long, own long, n_words long").join(checked, ["_id", "own"], "left")
+        block = distinct.where(F.pmod("win", F.lit(blocks)) == k).select("win", "terms").collect()
+        part = stage(block_matches(keyed.select(F.col("key").alias("_id"), "text"), block, slop), "matches")
+        found = part if found is None else found.union(part)
+    exact = found.where("exact")
+    words = exact.join(distinct.select("win", F.size("terms").alias("n")), "win").select("_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("place"))
+    hit = words.distinct().groupBy("_id").agg(F.count("*").alias("n_hit"))
+    holding = exact.select("_id", "win").distinct().join(windows.select("win", "item").distinct(), "win").select("_id", "item").distinct()
+    holding = holding.groupBy("_id").agg(F.array_sort(F.collect_list("item")).alias("items"))  # as many as the benchmark has, once each
+    near = found.where("NOT exact").groupBy("_id").agg(F.count("*").alias("n_near"))
+    judged = stage(hit.join(holding, "_id", "full").join(near, "_id", "full").withColumnRenamed("_id", "key"), "judged")
+    sized = keyed.mapInArrow(counted_words, "key long, _id long, own long, n_words long").join(judged, "key", "left")
     none = F.array().cast("array<string>")
     return sized.select(outer_id().alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "own")
