@@ -10,7 +10,7 @@ from tracemill.llm.common import stage
 #: A key with more than this share of all rows is hot; at most as many keys as its inverse can be, so hot ones are broadcast.
 HOT = 1 / 512
 #: Rows of one key that a task takes in any case.
-LEAST = 5000
+LEAST = 1000
 
 
 def beside(rows: DataFrame, summary: DataFrame, key: str, total: int) -> DataFrame:
