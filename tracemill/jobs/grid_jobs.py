@@ -16,7 +16,7 @@ GRID = (
 axes AS (SELECT a.cell, db, freq FROM (SELECT DISTINCT cell, db FROM trials) a JOIN (SELECT DISTINCT cell, freq FROM trials) b USING (cell)),
 grid AS (SELECT a.cell, a.db, a.freq, pk, sig_pk FROM axes a LEFT JOIN seen s ON a.cell = s.cell AND a.db = s.db AND a.freq = s.freq)"""
 )
-SPARSE = "trials AS (SELECT l_suppkey AS cell, l_linenumber AS db, avg(l_extendedprice) AS pk, bool_or(l_discount > 0.095) AS sig FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY ALL)"
+SPARSE = "trials AS (SELECT l_suppkey AS cell, l_linenumber AS db, avg(l_extendedprice) AS pk, bool_or(l_discount > 0.095 AND l_tax > 0.055) AS sig FROM lineitem GROUP BY ALL)"
 CURVES = SPARSE + ", curves AS (SELECT c.cell, d.db, t.pk, coalesce(t.sig, false) AS sig FROM (SELECT DISTINCT cell FROM trials) c CROSS JOIN (SELECT DISTINCT db FROM trials) d LEFT JOIN trials t ON t.cell = c.cell AND t.db = d.db)"
 CELLS = (
     CURVES
@@ -31,9 +31,9 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def level_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of the trials that plays single tones (every seventh order) with a stricter significance, so that some cells fail."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0")
-    return rows.select(F.col("l_suppkey").alias("cell"), F.col("l_linenumber").alias("db"), F.col("l_extendedprice").alias("pk"), (F.col("l_discount") > 0.095).alias("sig"))
+    """All trials with a stricter significance, so that some cells fail."""
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(F.col("l_suppkey").alias("cell"), F.col("l_linenumber").alias("db"), F.col("l_extendedprice").alias("pk"), ((F.col("l_discount") > 0.095) & (F.col("l_tax") > 0.055)).alias("sig"))
 
 
 @query(f"WITH {GRID} SELECT cell, db, freq::INT AS freq, round(pk, 6) + 0.0 AS pk, round(sig_pk, 2) + 0.0 AS sig_pk FROM grid")

@@ -1,4 +1,4 @@
-"""Regions and frames: embeddings play 8 x 8 images; a label's region is where its first image exceeds 0.1."""
+"""Regions and frames: embeddings play 8 x 8 images; a region is where an image exceeds 0.1, a label's mask that of its first image."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from tracemill.operators import roi
 
 SIDE = 8
 PIXELS = """first AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY 1), pix AS (SELECT f.label, (i - 1) // 8 + 1 AS "row", (i - 1) % 8 + 1 AS col, i FROM first f JOIN embeddings e USING (vec_id), range(1, 65) t(i) WHERE e.embedding[i]::DOUBLE > 0.1)"""
-OUTLINE = PIXELS + """, edge AS (SELECT label, min("row") AS "row", col FROM pix GROUP BY label, col UNION SELECT label, max("row"), col FROM pix GROUP BY label, col UNION SELECT label, "row", min(col) FROM pix GROUP BY label, "row" UNION SELECT label, "row", max(col) FROM pix GROUP BY label, "row")"""
+EVERY = """pix AS (SELECT vec_id, (i - 1) // 8 + 1 AS "row", (i - 1) % 8 + 1 AS col FROM embeddings, range(1, 65) t(i) WHERE embedding[i]::DOUBLE > 0.1)"""
+OUTLINE = EVERY + """, edge AS (SELECT vec_id, min("row") AS "row", col FROM pix GROUP BY vec_id, col UNION SELECT vec_id, max("row"), col FROM pix GROUP BY vec_id, col UNION SELECT vec_id, "row", min(col) FROM pix GROUP BY vec_id, "row" UNION SELECT vec_id, "row", max(col) FROM pix GROUP BY vec_id, "row")"""
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,26 +25,32 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on.select("label", (F.floor(F.col("at") / SIDE) + 1).alias("row"), (F.col("at") % SIDE + 1).cast("long").alias("col"))
 
 
-@query(f'WITH {OUTLINE} SELECT label, "row", col FROM edge')
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, row, col): the region of every image."""
+    on = images(spark, sf_dir).select("vec_id", F.posexplode("px").alias("at", "v")).where("v > 0.1")
+    return on.select("vec_id", (F.floor(F.col("at") / SIDE) + 1).alias("row"), (F.col("at") % SIDE + 1).cast("long").alias("col"))
+
+
+@query(f'WITH {OUTLINE} SELECT vec_id, "row", col FROM edge')
 def roi_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outline points of every region."""
-    return roi.outline(pixels(spark, sf_dir), ["label"])
+    return roi.outline(regions(spark, sf_dir), ["vec_id"])
 
 
 @query(
-    f"""WITH {OUTLINE}, c AS (SELECT label, avg("row") AS r0, avg(col) AS c0 FROM edge GROUP BY 1), o AS (SELECT e.label, "row" || ':' || col AS p, row_number() OVER (PARTITION BY e.label ORDER BY round(atan2(col - c0, "row" - r0), 9), "row", col) AS k FROM edge e JOIN c USING (label))
-SELECT label, count(*) AS n, string_agg(p, ' ' ORDER BY k) || ' ' || min(p) FILTER (k = 1) AS ring FROM o GROUP BY label"""
+    f"""WITH {OUTLINE}, c AS (SELECT vec_id, avg("row") AS r0, avg(col) AS c0 FROM edge GROUP BY 1), o AS (SELECT e.vec_id, "row" || ':' || col AS p, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(atan2(col - c0, "row" - r0), 9), "row", col) AS k FROM edge e JOIN c USING (vec_id))
+SELECT vec_id, count(*) AS n, string_agg(p, ' ' ORDER BY k) || ' ' || min(p) FILTER (k = 1) AS ring FROM o GROUP BY vec_id"""
 )
 def roi_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines as closed rings by angle."""
-    return roi.on_curve(roi.outline(pixels(spark, sf_dir), ["label"]), ["label"])
+    return roi.on_curve(roi.outline(regions(spark, sf_dir), ["vec_id"]), ["vec_id"])
 
 
-@query(f'WITH {PIXELS}, k AS (SELECT label, (label + col) % 4 AS part, "row", col FROM pix), b AS (SELECT label, part FROM k GROUP BY ALL HAVING min("row") >= 2 AND max("row") <= 7) SELECT label, part, "row" - 1 AS "row", col FROM k SEMI JOIN b USING (label, part)')
+@query(f'WITH {EVERY}, k AS (SELECT vec_id, (vec_id + col) % 4 AS part, "row", col FROM pix), b AS (SELECT vec_id, part FROM k GROUP BY ALL HAVING min("row") >= 2 AND max("row") <= 7) SELECT vec_id, part, "row" - 1 AS "row", col FROM k SEMI JOIN b USING (vec_id, part)')
 def roi_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions wholly inside a centred crop (rows 2 to 7), in its coordinates."""
-    rows = pixels(spark, sf_dir).select("label", ((F.col("label") + F.col("col")) % 4).alias("part"), "row", "col")
-    return roi.cropped(rows, ["label", "part"], 2, 7)
+    rows = regions(spark, sf_dir).select("vec_id", ((F.col("vec_id") + F.col("col")) % 4).alias("part"), "row", "col")
+    return roi.cropped(rows, ["vec_id", "part"], 2, 7)
 
 
 @query(f"WITH {PIXELS} SELECT e.vec_id, e.label, round(avg(e.embedding[i]::DOUBLE) FILTER (p.label <> 9), 6) + 0.0 AS f FROM embeddings e JOIN pix p USING (label) GROUP BY ALL")

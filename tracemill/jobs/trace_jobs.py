@@ -67,10 +67,10 @@ def trial_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy("label", F.col("frame").cast("long").alias("frame")).agg(F.count("f").alias("n"), r6(F.avg("f")).alias("mean"))
 
 
-@query(f"WITH {DFF}, cells AS (SELECT stim, frame, cell, avg(dff) AS m FROM dff WHERE frame <= 12 GROUP BY ALL) SELECT stim, frame, count(m) AS n, round(100 * avg(m), 6) + 0.0 AS mean, round(100 * CASE WHEN count(m) = 1 THEN 0 ELSE stddev_samp(m) / sqrt(count(m)) END, 6) + 0.0 AS sem FROM cells GROUP BY ALL")
+@query(f"WITH {DFF}, cells AS (SELECT stim, frame, cell, avg(dff) AS m FROM dff GROUP BY ALL) SELECT stim, frame, count(m) AS n, round(100 * avg(m), 6) + 0.0 AS mean, round(100 * CASE WHEN count(m) = 1 THEN 0 ELSE stddev_samp(m) / sqrt(count(m)) END, 6) + 0.0 AS sem FROM cells GROUP BY ALL")
 def pop_mean_sem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Population trace in percent: cells first, then mean and SEM over cells."""
-    change = traces.relative_change(event_traces(spark, sf_dir), CELL, 1, 2).where("frame <= 12")
+    change = traces.relative_change(event_traces(spark, sf_dir), CELL, 1, 2)
     found = traces.two_level(change, ["cell"], ["stim", "frame"], F.col("dff") * 100)
     return rounded(found, "mean", "sem")
 
@@ -136,14 +136,14 @@ def array_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT vec_id, label, embedding AS m FROM embeddings), p AS (SELECT e.vec_id, e.label, i, e.m[i]::DOUBLE AS m, s.m[i]::DOUBLE AS s FROM e JOIN e s ON s.vec_id = e.vec_id - e.vec_id % 10, range(1, 65) t(i))
-SELECT vec_id, label, i AS frame, round(m - 0.8 * (m - s), 6) + 0.0 AS f FROM p WHERE i <= 16"""
+SELECT vec_id, label, i AS frame, round(m - 0.8 * (m - s), 6) + 0.0 AS f FROM p"""
 )
 def surround_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each trace with four fifths of what exceeds its surround (the trace of its group of ten) taken out; every trace must have one."""
     rows = array_traces(spark, sf_dir).withColumn("group", F.col("vec_id") - F.col("vec_id") % 10)
     surround = array_traces(spark, sf_dir).where("vec_id % 10 = 0").select(F.col("vec_id").alias("group"), F.col("trace").alias("surround"))
     relations.require_partners(rows, surround, ["group"])
-    both = rows.join(surround, "group").select("vec_id", "label", F.slice(arrays.scaled(F.col("trace"), F.col("surround")), 1, 16).alias("trace"))
+    both = rows.join(surround, "group").select("vec_id", "label", arrays.scaled(F.col("trace"), F.col("surround")).alias("trace"))
     return both.select("vec_id", "label", F.posexplode("trace").alias("at", "f")).select("vec_id", "label", (F.col("at") + 1).cast("long").alias("frame"), r6(F.col("f")).alias("f"))
 
 
@@ -192,9 +192,9 @@ def second_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("stim").agg(F.count("additive").alias("n"), r6(F.avg("additive")).alias("additive"), r6(F.avg("divisive")).alias("divisive"))
 
 
-@query(f"WITH {PEAKS}, s AS (SELECT stim, cell FROM judged WHERE coalesce(pk >= threshold, false)) SELECT d.stim, d.frame, count(dff) AS n, round(avg(dff), 6) + 0.0 AS mean, round(CASE WHEN count(dff) = 1 THEN 0 ELSE stddev_samp(dff) / sqrt(count(dff)) END, 6) + 0.0 AS sem FROM dff d SEMI JOIN s ON s.stim = d.stim AND s.cell = d.cell WHERE frame <= 8 GROUP BY ALL")
+@query(f"WITH {PEAKS}, s AS (SELECT stim, cell FROM judged WHERE coalesce(pk >= threshold, false)) SELECT d.stim, d.frame, count(dff) AS n, round(avg(dff), 6) + 0.0 AS mean, round(CASE WHEN count(dff) = 1 THEN 0 ELSE stddev_samp(dff) / sqrt(count(dff)) END, 6) + 0.0 AS sem FROM dff d SEMI JOIN s ON s.stim = d.stim AND s.cell = d.cell GROUP BY ALL")
 def significant_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean trace of the trials with a significant peak alone."""
     change = traces.relative_change(event_traces(spark, sf_dir), CELL, 1, 2)
-    kept = change.join(traces.peaks(change, CELL, "dff", 2, 3).where("sig").select(*CELL), CELL, "left_semi").where("frame <= 8")
+    kept = change.join(traces.peaks(change, CELL, "dff", 2, 3).where("sig").select(*CELL), CELL, "left_semi")
     return kept.groupBy("stim", "frame").agg(F.count("dff").alias("n"), r6(F.avg("dff")).alias("mean"), r6(sem(F.col("dff"))).alias("sem"))

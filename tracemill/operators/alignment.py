@@ -49,8 +49,7 @@ def noise_burst_peaks(trials: DataFrame, sound: list[str], onset: str, trace: st
     long = exploded(merged, sound, trace)
     mean = long.groupBy(*sound, "frame").agg(F.avg("f").alias("f"), F.count("f").alias("reps"))
     window = int(-(-pulse_ms * rate // 1000)) + 2
-    found = peaks(mean, sound, "f", frames, window, sd)
-    return found.join(mean.groupBy(*sound).agg(F.max("reps").alias("n")), sound)
+    return peaks(mean, sound, "f", frames, window, sd, {"n": F.max("reps")})
 
 
 def contrast_peaks(trials: DataFrame, cell: list[str], contrast: str, trace: str, base: tuple[int, int], second: tuple[int, int], crop: int, start: int, frames: int, sd: float = 2.0) -> DataFrame:
@@ -70,6 +69,5 @@ def contrast_peaks(trials: DataFrame, cell: list[str], contrast: str, trace: str
 
 def responsive_in_all(found: DataFrame, cell: list[str], contrast: str, contrasts: list) -> DataFrame:
     """(cell, one column for each contrast, all_sig): significant in each of the contrasts; one row each is required."""
-    wide = found.groupBy(*cell).pivot(contrast, contrasts).agg(F.first("pk"))
     sig: Column = F.bool_and(F.when(F.col(contrast).isin(*contrasts), F.col("sig"))) & (F.count_if(F.col(contrast).isin(*contrasts)) == len(contrasts))
-    return wide.join(found.groupBy(*cell).agg(sig.alias("all_sig")), cell)
+    return found.groupBy(*cell).agg(*[F.max(F.when(F.col(contrast) == c, F.col("pk"))).alias(str(c)) for c in contrasts], sig.alias("all_sig"))

@@ -13,11 +13,12 @@ def response_grid(trials: DataFrame, cell: list[str], squared: bool = True) -> D
 
     sig_pk averages the significant trials alone, as the peak times itself if
     ``squared`` (what the grids of the cohort tables hold) or as the plain peak.
-    Pairs that were never played are there with NULL.
+    Pairs that were never played are there with NULL. Axes are sets of what the
+    aggregated pairs have, as many as levels and frequencies were played.
     """
     value = F.col("pk") * F.col("pk") if squared else F.col("pk")
     seen = trials.groupBy(*cell, "db", "freq").agg(F.avg("pk").alias("pk"), F.avg(F.when(F.col("sig"), F.nullif(value, F.lit(0.0)))).alias("sig_pk"))
-    axes = trials.groupBy(*cell).agg(F.collect_set("db").alias("dbs"), F.collect_set("freq").alias("freqs"))
+    axes = seen.groupBy(*cell).agg(F.collect_set("db").alias("dbs"), F.collect_set("freq").alias("freqs"))
     full = axes.select(*cell, F.explode("dbs").alias("db"), "freqs").select(*cell, "db", F.explode("freqs").alias("freq"))
     return full.join(seen, [*cell, "db", "freq"], "left")
 

@@ -94,9 +94,9 @@ def unique_matches(wanted: DataFrame, sources: DataFrame, name: str, source: str
 
 
 def grouped_by_size(rows: DataFrame, owner: str, item: str) -> DataFrame:
-    """(n_items, owners): owners that hold as many items, their names in order."""
+    """(n_items, n, owner): each owner with the number of its items and how many owners hold as many; no list of owners is gathered."""
     sizes = rows.groupBy(owner).agg(F.count(item).alias("n_items"))
-    return sizes.groupBy("n_items").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col(owner).cast("string"))), ",").alias("owners"))
+    return sizes.join(sizes.groupBy("n_items").agg(F.count("*").alias("n")), "n_items").select("n_items", "n", owner)
 
 
 def neighbours(files: DataFrame, group: list[str], number: str) -> DataFrame:

@@ -23,16 +23,16 @@ def relative_change(traces: DataFrame, keys: list[str], first: int, last: int) -
     return traces.withColumn("f0", F.when(whole, f0)).where(F.col("frame") >= first).select(*keys, "frame", F.try_divide(F.col("f") - F.col("f0"), F.col("f0")).alias("dff"))
 
 
-def peaks(traces: DataFrame, keys: list[str], value: str, start: int, frames: int, sd: float = 2.0) -> DataFrame:
-    """(keys, pk, idx, threshold, sig): one aggregation, so partial sums combine before the shuffle."""
+def peaks(traces: DataFrame, keys: list[str], value: str, start: int, frames: int, sd: float = 2.0, more: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, pk, idx, threshold, sig) and the aggregates of ``more``: one aggregation, so partial sums combine before the shuffle."""
     x = F.col(value)
     window = F.when(F.col("frame").between(start, start + frames - 1), x)
     base = F.when(F.col("frame") <= start, x)
     spread = F.when(F.count(base) == 1, F.lit(0.0)).otherwise(F.stddev_samp(base))
     position = F.col("frame") - F.lit(start - 1)
-    found = traces.groupBy(*keys).agg(F.max(window).alias("pk"), first_of_largest(window, position).alias("idx"), (F.avg(base) + F.lit(float(sd)) * spread).alias("threshold"))
+    found = traces.groupBy(*keys).agg(F.max(window).alias("pk"), first_of_largest(window, position).alias("idx"), (F.avg(base) + F.lit(float(sd)) * spread).alias("threshold"), *[v.alias(k) for k, v in (more or {}).items()])
     threshold = F.nullif(F.col("threshold"), F.lit(0.0))
-    return found.select(*keys, "pk", "idx", threshold.alias("threshold"), F.coalesce(F.col("pk") >= threshold, F.lit(False)).alias("sig"))
+    return found.select(*keys, "pk", "idx", threshold.alias("threshold"), F.coalesce(F.col("pk") >= threshold, F.lit(False)).alias("sig"), *(more or {}))
 
 
 def mean_and_sem(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -63,5 +63,7 @@ def merged_onsets(arrays: DataFrame, sound: list[str], onset: str, trace: str, b
     shortest length, which is an aggregate of one number.
     """
     shifted = arrays.select("*", F.slice(F.col(trace), F.col(onset) - baseline + 1, F.size(trace) - F.col(onset) + baseline).alias("_cut"))
-    shortest = shifted.agg(F.min(F.size("_cut")).alias("_least"))
-    return shifted.join(F.broadcast(shortest)).select(*sound, F.min(onset).over(Window.partitionBy(*sound)).alias(onset), *[c for c in arrays.columns if c not in (*sound, onset, trace)], F.slice("_cut", F.lit(1), F.col("_least")).alias(trace))
+    shortest = shifted.agg(F.min(F.size("_cut")).alias("_least"))  # one number
+    earliest = arrays.groupBy(*sound).agg(F.min(onset).alias("_onset"))  # partial minima before the exchange; a row for each sound
+    found = shifted.join(F.broadcast(shortest)).join(earliest, sound)
+    return found.select(*sound, F.col("_onset").alias(onset), *[c for c in arrays.columns if c not in (*sound, onset, trace)], F.slice("_cut", F.lit(1), F.col("_least")).alias(trace))

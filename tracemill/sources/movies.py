@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ MOVIE = "path string, frame int, h int, w int, px array<int>"
 
 def movie_header(data: bytes) -> dict[str, str]:
     """``name: value`` lines up to the first empty one, units in brackets left out."""
-    text = data[:65536].replace(b"\r\n", b"\n").partition(b"\n\n")[0].decode("ascii", "replace")
+    size = re.search(rb"Fixed[-_]Header[-_]Size:\s*(\d+)", data)
+    text = data[: int(size[1]) if size else len(data)].replace(b"\r\n", b"\n").partition(b"\n\n")[0].decode("ascii", "replace")
     pairs = (line.partition(":") for line in text.split("\n") if ":" in line)
     return {name.strip().replace("-", "_"): value.partition("[")[0].strip() for name, _, value in pairs}
 
