@@ -127,9 +127,3 @@ def test_grid_corner_ties_and_silence(spark):
     assert bf == {"c": 1, "z": 4}  # the lowest frequency where nothing responds
     d = {r.cell: r.dprime for r in grids.selectivity(grid, ["cell"]).collect()}
     assert d["c"] == pytest.approx((9 + 1 + 1) / 3 - 14 / 6) and d["z"] is None
-
-
-def test_bootstrap_converges_to_the_closed_form():
-    from tracemill.operators.statistics import bootstrap_mean
-
-    assert bootstrap_mean([1.0, 2.0, 6.0], 5, 20_000, 1) == pytest.approx(3.0, abs=0.03)

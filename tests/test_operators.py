@@ -95,7 +95,17 @@ def test_statistics(spark):
     assert r.t == pytest.approx((a.mean() - b.mean()) / pooled) and r.df == 68
     found = st.significant_difference(rows, ["g"], "x", F.col("first")).first()
     assert found.sig and 0 <= found.p < 1e-4
-    assert st.permutation_test(rows, ["g"], "x", F.col("first"), 100).first().p < 0.05
+    numbered = rows.withColumn("id", F.xxhash64("x"))
+    assert st.permutation_test(numbered, ["g"], "x", F.col("first"), "id", 100).first().p < 0.05
+    few = spark.createDataFrame([("g", v, f) for v, f in [(1.0, True), (2.0, True), (3.0, False), (4.0, False)]], "g string, x double, first boolean")
+    assert st.exact_permutation_test(few, ["g"], "x", F.col("first")).first().p == pytest.approx(2 / 6)
+    shifted = st.significant_shift(rows.where("NOT first"), ["g"], "x").first()
+    assert shifted.sig and shifted.p < 1e-4 and st.significant_shift(rows.where("NOT first"), ["g"], "x", 2.0).first().p > 0.01
+    exact = st.quantiles(rows, ["g"], "x", {"a": 0.1, "b": 0.5, "c": 1.0}).first()
+    assert (exact.a, exact.b, exact.c) == pytest.approx(tuple(np.quantile(np.concatenate([a, b]), [0.1, 0.5, 1.0])))
+    assert spark.range(1).select(st.t_quantile(1.959963985, F.lit(10.0))).first()[0] == pytest.approx(2.228139, abs=2e-4)
+    cdf = [r[0] for r in spark.createDataFrame([(x,) for x in (-6.0, -1.0, 0.0, 1.959964, 5.0)], "z double").select(st.normal_cdf(F.col("z"))).collect()]
+    assert cdf == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in (-6.0, -1.0, 0.0, 1.959964, 5.0)], rel=2e-7)
     ties = spark.createDataFrame([("g", v, f) for v, f in [(1.0, True), (2.0, True), (2.0, False), (3.0, False)]], "g string, x double, first boolean")
     assert st.rank_sum(ties, ["g"], "x", F.col("first")).first().w == 1 + 2.5
     signed = spark.createDataFrame([("g", d) for d in (1.0, -1.0, 2.0, 0.0)], "g string, d double")

@@ -41,7 +41,7 @@ def test_query(spark, sf, name):
 
 
 def test_only_statistics_lack_sql():
-    assert set(QUERIES) - set(SQL) == {"ad_stat", "sig_diff", "perm_test"}
+    assert set(QUERIES) - set(SQL) == {"sig_diff"}
 
 
 def test_entry_points(spark):

@@ -12,8 +12,9 @@ from tracemill.operators import statistics as st
 @query("SELECT o_orderpriority AS grp, count(*) AS n, round(quantile_cont(o_totalprice, 0.25), 4) + 0.0 AS q1, round(quantile_cont(o_totalprice, 0.5), 4) + 0.0 AS median, round(quantile_cont(o_totalprice, 0.75), 4) + 0.0 AS q3, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1")
 def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-number summaries."""
-    q = lambda p: F.round(F.percentile("o_totalprice", F.lit(p)), 4)
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("n"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("x"))
+    ends = rows.groupBy("grp").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    return rounded(st.quantiles(rows, ["grp"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}), "q1", "median", "q3", digits=4).join(ends, "grp")
 
 
 @query("WITH d AS (SELECT abs(log2((o_totalprice + 1) / (o_custkey + 1))) AS shift FROM orders) SELECT floor(shift / 0.25)::BIGINT AS bin, count(*) AS n FROM d WHERE abs(shift / 0.25 - round(shift / 0.25)) > 1e-9 GROUP BY 1")
@@ -75,9 +76,20 @@ def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(st.one_sample_t(pairs, [], F.col("d")), "t")
 
 
-@query()
+def darling(values: str) -> str:
+    """SQL of Anderson-Darling distances (grp, n, a2) of a query's (grp, x)."""
+    return f"""v AS ({values}), z AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY x) AS i, count(*) OVER (PARTITION BY grp) AS n, (x - avg(x) OVER (PARTITION BY grp)) / nullif(stddev_samp(x) OVER (PARTITION BY grp), 0) AS z FROM v WHERE x IS NOT NULL),
+e AS (SELECT *, abs(z) / sqrt(2) AS a, 1 / (1 + abs(z) / sqrt(2) / 2) AS t FROM z), c AS (SELECT *, t * exp(-1.26551223 + t * (ERFC) - a * a) / 2 AS tail FROM e),
+p AS (SELECT grp, i, n, greatest(least(CASE WHEN z > 0 THEN 1 - tail ELSE tail END, 1 - 1e-15), 1e-300) AS p FROM c),
+ad AS (SELECT grp, max(n) AS n, -max(n) - sum((2 * i - 1) * ln(p) + (2 * (n - i) + 1) * ln(1 - p)) / max(n) AS a2 FROM p GROUP BY grp)""".replace("ERFC", "1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))")
+
+
+DAYS = darling("SELECT o_orderpriority AS grp, avg(o_totalprice) AS x FROM orders GROUP BY o_orderpriority, o_orderdate")
+
+
+@query(f"WITH {DAYS} SELECT grp, n, round(a2, 6) + 0.0 AS a2 FROM ad")
 def ad_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anderson-Darling distance of daily order values to a normal (the normal distribution function is not in SQL)."""
+    """Anderson-Darling distance of daily order values to a normal."""
     days = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderdate").agg(F.avg("o_totalprice").alias("x"))
     return rounded(st.anderson_darling(days.withColumnRenamed("o_orderpriority", "grp"), ["grp"], "x"), "a2")
 
@@ -88,12 +100,67 @@ def sig_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("x"), "o_orderstatus")
     found = st.significant_difference(rows, ["grp"], "x", F.col("o_orderstatus") == "F")
     corrected = st.bonferroni(F.col("p"), 5)
-    return found.select("grp", "normal", "test", r6(F.col("p")).alias("p"), "sig", r6(corrected).alias("p_corrected"), st.stars(corrected).alias("stars"))
+    return found.select("grp", "normal", "test", r6(F.col("stat")).alias("stat"), r6(F.col("p")).alias("p"), "sig", r6(corrected).alias("p_corrected"), st.stars(corrected).alias("stars"))
 
 
-@query()
+SAMPLES = "v AS (SELECT c_nationkey AS grp, c_acctbal AS x, false AS first, 'c' || c_custkey AS id FROM customer UNION ALL SELECT s_nationkey, s_acctbal, true, 's' || s_suppkey FROM supplier)"
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_acctbal").alias("x"), F.lit(False).alias("first"), F.concat(F.lit("c"), F.col("c_custkey")).alias("id"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp"), F.col("s_acctbal").alias("x"), F.lit(True).alias("first"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"))
+    return a.union(b)
+
+
+@query(
+    f"""WITH {SAMPLES}, g AS (SELECT grp, count(*) AS n, count(*) FILTER (first) AS n1, sum(x) AS t, sum(x) FILTER (first) AS s FROM v GROUP BY grp HAVING count(*) FILTER (first) BETWEEN 1 AND count(*) - 1),
+r AS (SELECT v.grp, k, x, row_number() OVER (PARTITION BY v.grp, k ORDER BY ('0x' || substr(md5(id || ':' || k), 1, 15))::BIGINT, id) AS place FROM v, range(1, 201) q(k)),
+d AS (SELECT r.grp, k, sum(x) AS drawn FROM r JOIN g USING (grp) WHERE place <= n1 GROUP BY ALL),
+e AS (SELECT d.grp, n, s / n1 - (t - s) / (n - n1) AS difference, drawn / n1 - (t - drawn) / (n - n1) AS d FROM d JOIN g USING (grp))
+SELECT grp, max(n) AS n, round(max(difference), 6) + 0.0 AS difference, round((count(*) FILTER (abs(d) >= abs(difference) - 1e-9) + 1) / (count(*) + 1)::DOUBLE, 6) AS p FROM e GROUP BY grp"""
+)
 def perm_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Permutation tests of suppliers' balances against customers' by nation (random, seeded)."""
-    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_acctbal").alias("x"), F.lit(False).alias("first"))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp"), F.col("s_acctbal").alias("x"), F.lit(True).alias("first"))
-    return rounded(st.permutation_test(a.union(b), ["grp"], "x", F.col("first"), rounds=200), "difference", "p")
+    """Permutation tests of suppliers' balances against customers' by nation; labels are drawn by hash, sizes kept."""
+    return rounded(st.permutation_test(samples(spark, sf_dir), ["grp"], "x", F.col("first"), "id", rounds=200), "difference", "p")
+
+
+@query(
+    f"""WITH v AS (SELECT o_custkey AS grp, o_totalprice AS x, o_orderstatus = 'F' AS first, o_orderkey AS id FROM orders), g AS (SELECT grp, count(*) AS n, count(*) FILTER (first) AS n1, sum(x) AS t, sum(x) FILTER (first) AS s, list(x ORDER BY x) AS xs FROM v GROUP BY grp HAVING count(*) <= 10 AND count(*) FILTER (first) BETWEEN 1 AND count(*) - 1),
+w AS (SELECT *, list_sum([xs[i] * ((k >> (i - 1)) & 1) FOR i IN range(1, n + 1)]) AS drawn FROM g, range(0, 1024) q(k) WHERE k < (1 << n::INT) AND bit_count(k::INT) = n1)
+SELECT grp, max(n) AS n, round(max(s / n1 - (t - s) / (n - n1)), 6) + 0.0 AS difference, round(count(*) FILTER (abs(drawn / n1 - (t - drawn) / (n - n1)) >= abs(s / n1 - (t - s) / (n - n1)) - 1e-9) / count(*)::DOUBLE, 6) AS p FROM w GROUP BY grp"""
+)
+def perm_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact permutation tests of customers' finished orders against their others, for customers of at most ten orders."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_totalprice").alias("x"), (F.col("o_orderstatus") == "F").alias("first"))
+    return rounded(st.exact_permutation_test(rows, ["grp"], "x", F.col("first"), 10), "difference", "p")
+
+
+PAIRS = darling("SELECT l_returnflag AS grp, x FROM d")
+
+
+@query(
+    f"""WITH d AS (SELECT l_returnflag, avg(l_quantity) FILTER (l_linenumber <= 3) - avg(l_quantity) FILTER (l_linenumber > 3) AS x FROM lineitem GROUP BY l_returnflag, l_suppkey), {PAIRS},
+n AS (SELECT l_returnflag AS grp, x AS d, abs(x) AS size FROM d WHERE x <> 0), r AS (SELECT grp, d, rank() OVER (PARTITION BY grp ORDER BY size) + (count(*) OVER (PARTITION BY grp, size) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY grp, size) AS ties FROM n),
+w AS (SELECT grp, count(*)::DOUBLE AS n, coalesce(sum(k) FILTER (d > 0), 0) AS w, sum(ties * ties - 1)::DOUBLE AS tied FROM r GROUP BY grp), t AS (SELECT l_returnflag AS grp, avg(x) / (stddev_samp(x) / sqrt(count(x))) AS t FROM d GROUP BY 1),
+sz AS (SELECT grp, (w - n * (n + 1) / 4 - sign(w - n * (n + 1) / 4) * 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48) AS z FROM w), j AS (SELECT ad.grp, coalesce(a2 * (1 + 0.75 / n + 2.25 / (n * n)) < 0.752, false) AS normal FROM ad)
+SELECT j.grp, normal, CASE WHEN normal THEN 't' ELSE 'signed rank' END AS test, round(CASE WHEN normal THEN t.t ELSE sz.z END, 6) + 0.0 AS stat FROM j JOIN t USING (grp) LEFT JOIN sz USING (grp)"""
+)
+def sig_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which test a paired difference of low and high levels calls for, by flag, and its statistic."""
+    low = F.col("l_linenumber") <= 3
+    d = F.avg(F.when(low, F.col("l_quantity"))) - F.avg(F.when(~low, F.col("l_quantity")))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("grp"), "l_suppkey").agg(d.alias("x"))
+    return rounded(st.significant_shift(rows, ["grp"], "x").select("grp", "normal", "test", "stat"), "stat")
+
+
+@query(
+    """WITH s AS (SELECT l_suppkey AS grp, count(*) AS n, regr_slope(l_extendedprice / 1000, l_quantity) AS slope, regr_sxx(l_extendedprice / 1000, l_quantity) AS sxx, regr_syy(l_extendedprice / 1000, l_quantity) AS syy FROM lineitem GROUP BY 1),
+e AS (SELECT grp, n, slope, sqrt(greatest(syy - slope * slope * sxx, 0) / (n - 2) / sxx) AS se, (n - 2)::DOUBLE AS v, 1.959963985 AS z FROM s),
+q AS (SELECT *, se * (z + (z**3 + z) / 4 / v + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / v**2 + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / v**3 + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160 / v**4) AS wide FROM e)
+SELECT grp, n, round(slope, 6) + 0.0 AS slope, round(slope - wide, 6) + 0.0 AS slope_low, round(slope + wide, 6) + 0.0 AS slope_high, 1.0 BETWEEN slope - wide AND slope + wide AS includes FROM q"""
+)
+def ols_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence interval of each cell's slope, and whether it includes 1."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("grp"), "l_quantity", (F.col("l_extendedprice") / 1000).alias("y"))
+    found = st.slope_interval(st.least_squares(rows, ["grp"], F.col("l_quantity"), F.col("y")))
+    return rounded(found.select("grp", "n", "slope", "slope_low", "slope_high", "includes"), "slope", "slope_low", "slope_high")

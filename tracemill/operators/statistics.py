@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,21 +62,37 @@ def two_sample_t(rows: DataFrame, keys: list[str], x: Column, first: Column) ->
     return found.select(*keys, "n1", "n2", F.try_divide(F.col("d"), F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))).alias("t"), df.alias("df"))
 
 
-def mid_ranks(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """Rows (keys, x -> n, rank): distinct values with their count and mid-rank.
+def running_counts(counted: DataFrame, keys: list[str], x: str, ties: str, pieces: int = 64) -> DataFrame:
+    """``counted`` (distinct values of each key with their number) with upto, the number of values up to each in its key.
 
-    Values are counted before they are ranked, so ties, however many, are one row.
+    A key's values are cut at sketched quantiles into pieces; only inside of a piece
+    are they put in order, and what all pieces before hold is added. The result does
+    not depend on where the cuts lie.
     """
+    at = F.array(*[F.lit(k / pieces) for k in range(1, pieces)])
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx(F.col(x).cast("double"), at, F.lit(1000)).alias("_cuts"))
+    cut = counted.join(cuts, keys).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
+    sums = cut.groupBy(*keys, "_piece").agg(F.sum(ties).alias("_all"))
+    before = F.coalesce(F.sum("_all").over(Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum(ties).over(Window.partitionBy(*keys, "_piece").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("upto", within).join(sums.select(*keys, "_piece", before.alias("_before")), [*keys, "_piece"]).withColumn("upto", F.col("upto") + F.col("_before")).drop("_piece", "_before")
+
+
+def quantiles(rows: DataFrame, keys: list[str], x: str, at: dict[str, float]) -> DataFrame:
+    """(keys, n, one column for each share): exact quantiles, linear between the two nearest values."""
     counted = rows.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("ties"))
-    upto = F.sum("ties").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
-    return counted.withColumn("rank", upto - (F.col("ties") - 1) / 2)
+    ranked = running_counts(counted, keys, x, "ties").join(counted.groupBy(*keys).agg(F.sum("ties").alias("n")), keys)
+    low = lambda q: F.floor(F.lit(q) * (F.col("n") - 1))  # noqa: E731  positions from 0
+    value = lambda k: F.min(F.when(F.col("upto") > k, F.col(x)))
+    found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[f for name, q in at.items() for f in (value(low(q)).alias(f"_{name}"), value(F.least(low(q) + 1, F.col("n") - 1)).alias(f"_{name}_next"))])
+    between = lambda name, q: F.col(f"_{name}") + (F.lit(q) * (F.col("n") - 1) - low(q)) * (F.col(f"_{name}_next") - F.col(f"_{name}"))
+    return found.select(*keys, "n", *[between(name, q).alias(name) for name, q in at.items()])
 
 
 def rank_sum(rows: DataFrame, keys: list[str], x: str, first: Column) -> DataFrame:
     """(keys, n1, n2, w, z): rank sum of the first sample, and its normal deviate with the tie correction."""
     marked = rows.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count_if(first).alias("k1"), F.count("*").alias("ties"))
-    upto = F.sum("ties").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = marked.withColumn("rank", upto - (F.col("ties") - 1) / 2)
+    ranked = running_counts(marked, keys, x, "ties").withColumn("rank", F.col("upto") - (F.col("ties") - 1) / 2)
     t = F.col("ties").cast("double")
     sums = ranked.groupBy(*keys).agg(F.sum("k1").alias("n1"), (F.sum("ties") - F.sum("k1")).alias("n2"), F.sum(F.col("k1") * F.col("rank")).alias("w"), F.sum(t * t * t - t).alias("tied"))
     n = (F.col("n1") + F.col("n2")).cast("double")
@@ -91,8 +106,7 @@ def signed_rank(rows: DataFrame, keys: list[str], d: str) -> DataFrame:
     """(keys, n, w, z): sum of the ranks of positive differences; zeros are left out."""
     size = rows.where(F.coalesce(F.col(d) != 0, F.lit(False))).withColumn("_size", F.abs(d))
     counted = size.groupBy(*keys, "_size").agg(F.count_if(F.col(d) > 0).alias("up"), F.count("*").alias("ties"))
-    upto = F.sum("ties").over(Window.partitionBy(*keys).orderBy("_size").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("rank", upto - (F.col("ties") - 1) / 2)
+    ranked = running_counts(counted, keys, "_size", "ties").withColumn("rank", F.col("upto") - (F.col("ties") - 1) / 2)
     t = F.col("ties").cast("double")
     sums = ranked.groupBy(*keys).agg(F.sum("ties").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum(t * t * t - t).alias("tied"))
     n = F.col("n").cast("double")
@@ -101,23 +115,37 @@ def signed_rank(rows: DataFrame, keys: list[str], d: str) -> DataFrame:
     return sums.select(*keys, "n", "w", F.try_divide(off - F.signum(off) * 0.5, F.sqrt(variance)).alias("z"))
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))
+#: Coefficients of a published rational approximation of the complementary error function, of which the relative error is below 1.2e-7.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def normal_cdf(z: Column) -> Column:
+    """The normal distribution function in column expressions alone."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    power = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        power = F.lit(c) + t * power
+    tail = t * F.exp(power - x * x) / 2
+    return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
 def anderson_darling(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
     """(keys, n, a2): Anderson-Darling distance to a normal of the sample's mean and deviation.
 
-    Ranked inside each key; the sum pairs value i with value n + 1 - i, which
-    splits into two sums over the same order, so no self-join is needed.
+    Equal values are one row with their count. The sum pairs value i with value
+    n + 1 - i, which splits into two sums over the same order, so no self-join is
+    needed; over values that tie, from rank a + 1 to b, the odd numbers add up to
+    b squared less a squared.
     """
-    whole = Window.partitionBy(*keys)
-    order = whole.orderBy(x)
-    z = rows.where(F.col(x).isNotNull()).select(*keys, F.row_number().over(order).alias("i"), F.count("*").over(whole).alias("n"), F.try_divide(F.col(x) - F.avg(x).over(whole), F.stddev_samp(x).over(whole)).alias("z"))
-    p = F.greatest(F.least(normal_cdf("z"), F.lit(1 - 1e-15)), F.lit(1e-300))
-    term = (2 * F.col("i") - 1) * F.log("p") + (2 * (F.col("n") - F.col("i")) + 1) * F.log1p(-F.col("p"))
-    return z.withColumn("p", p).groupBy(*keys).agg(F.max("n").alias("n"), (-F.max("n") - F.sum(term) / F.max("n")).alias("a2"))
+    counted = rows.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("ties"))
+    whole = rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
+    z = running_counts(counted, keys, x, "ties").join(whole, keys).withColumn("_z", F.try_divide(F.col(x) - F.col("_m"), F.col("_s")))
+    p = F.greatest(F.least(normal_cdf(F.col("_z")), F.lit(1 - 1e-15)), F.lit(1e-300))
+    b, n = F.col("upto").cast("double"), F.col("n").cast("double")
+    a = b - F.col("ties")
+    term = (b * b - a * a) * F.log("_p") + ((n - a) * (n - a) - (n - b) * (n - b)) * F.log1p(-F.col("_p"))
+    return z.withColumn("_p", p).groupBy(*keys).agg(F.max("n").alias("n"), (-F.max("n") - F.sum(term) / F.max("n")).alias("a2"))
 
 
 def least_squares(rows: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
@@ -130,6 +158,22 @@ def least_squares(rows: DataFrame, keys: list[str], x: Column, y: Column) -> Dat
     return found.select(*keys, "n", "slope", "intercept", se.alias("slope_se"), "slope0")
 
 
+def t_quantile(z: float, df: Column) -> Column:
+    """Quantile of Student's t at the normal quantile ``z``, by the first four terms of the expansion in 1 / df; good to four digits from 10 on."""
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    out = F.lit(z)
+    for k, c in enumerate(terms, 1):
+        out = out + c / F.pow(df, k)
+    return out
+
+
+def slope_interval(fit: DataFrame, against: float = 1.0, z: float = 1.959963985) -> DataFrame:
+    """A line of ``least_squares`` with its slope's confidence interval, and whether that includes ``against``."""
+    wide = t_quantile(z, (F.col("n") - 2).cast("double")) * F.col("slope_se")
+    low, high = F.col("slope") - wide, F.col("slope") + wide
+    return fit.withColumns({"slope_low": low, "slope_high": high, "includes": F.lit(against).between(low, high)})
+
+
 def paired_effects(rows: DataFrame, keys: list[str], contrasts: dict[str, Column]) -> DataFrame:
     """(keys, effect, n, f, df): within-subject effects of one degree of freedom, F = t squared of each subject's contrast score."""
     scores = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("effect"), v.alias("score")) for k, v in contrasts.items()])).alias("x")).select(*keys, "x.effect", "x.score")
@@ -145,38 +189,73 @@ def bonferroni(p: Column, comparisons: int) -> Column:
     return F.least(p * comparisons, F.lit(1.0))
 
 
-def permutation_test(rows: DataFrame, keys: list[str], x: str, first: Column, rounds: int = 1000, seed: int = 7) -> DataFrame:
-    """(keys, n, difference, p): difference of means against ``rounds`` seeded reshuffles of the labels.
+def drawn_by(row: Column, draw: Column) -> Column:
+    """60 bits of a row's and a round's hash; the order by it is the order in which a round draws."""
+    return F.conv(F.substring(F.md5(F.concat(row.cast("string"), F.lit(":"), draw.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
+def permutation_test(rows: DataFrame, keys: list[str], x: str, first: Column, row: str, rounds: int = 1000) -> DataFrame:
+    """(keys, n, difference, p): difference of means against ``rounds`` reshuffles of the labels, which keep both samples' sizes.
 
-    Each value is dealt to the first sample by a hash of its row, the round and the
-    seed, with the first sample's share as probability; sums of a round are partial
-    aggregates, so no task ever holds a whole group.
+    A round's first sample are the rows of least hash of ``row`` (a key of the row,
+    so the result does not depend on how rows are dealt) and round. Rows are summed
+    by round and hash bucket before the exchange; only the bucket in which the
+    sample's size is reached is put in order.
     """
-    marked = rows.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"), first.alias("_first"), F.monotonically_increasing_id().alias("_row"))
-    group = marked.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("_first").cast("double")).alias("share"), (F.avg(F.when(F.col("_first"), F.col("_x"))) - F.avg(F.when(~F.col("_first"), F.col("_x")))).alias("difference"))
-    spread = marked.join(group, keys).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    drawn = F.pmod(F.xxhash64("_row", "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < F.col("share")
-    shuffled = spread.groupBy(*keys, "round").agg((F.avg(F.when(drawn, F.col("_x"))) - F.avg(F.when(~drawn, F.col("_x")))).alias("d"), F.first("difference").alias("difference"), F.first("n").alias("n"))
-    extreme = F.count_if(F.abs("d") >= F.abs("difference"))
-    return shuffled.groupBy(*keys).agg(F.first("n").alias("n"), F.first("difference").alias("difference"), ((extreme + 1) / (F.count("d") + 1)).alias("p"))
+    marked = rows.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"), first.alias("_first"), F.col(row).alias("_row"))
+    group = marked.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("_first").alias("n1"), F.sum("_x").alias("total"), F.sum(F.when(F.col("_first"), F.col("_x"))).alias("sum1"))
+    group = group.where("n1 > 0 AND n1 < n")
+    mean = lambda s: F.col(s) / F.col("n1") - (F.col("total") - F.col(s)) / (F.col("n") - F.col("n1"))
+    spread = marked.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_hash", drawn_by(F.col("_row"), F.col("round"))).withColumn("_bucket", F.shiftright("_hash", 50))
+    sums = spread.groupBy(*keys, "round", "_bucket").agg(F.count("*").alias("k"), F.sum("_x").alias("s"))
+    upto = Window.partitionBy(*keys, "round").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    reached = sums.withColumn("_upto", F.sum("k").over(upto)).withColumn("_sum", F.sum("s").over(upto)).join(group.select(*keys, "n1"), keys)
+    edge = reached.where((F.col("_upto") >= F.col("n1")) & (F.col("_upto") - F.col("k") < F.col("n1")))
+    edge = edge.select(*keys, "round", "_bucket", (F.col("n1") - F.col("_upto") + F.col("k")).alias("_need"), (F.col("_sum") - F.col("s")).alias("_before"))
+    inside = spread.join(edge, [*keys, "round", "_bucket"]).withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "round").orderBy("_hash", "_row")))
+    drawn = inside.where("_at <= _need").groupBy(*keys, "round").agg((F.sum("_x") + F.max("_before")).alias("drawn")).join(group, keys)
+    extreme = F.count_if(F.abs(mean("drawn")) >= F.abs(mean("sum1")) - 1e-9)
+    found = drawn.groupBy(*keys).agg(F.max("n").alias("n"), F.max(mean("sum1")).alias("difference"), ((extreme + 1) / (F.count("*") + 1)).alias("p"))
+    return found
+
+
+def exact_permutation_test(rows: DataFrame, keys: list[str], x: str, first: Column, most: int = 16) -> DataFrame:
+    """(keys, n, difference, p) over all ways to draw the first sample, for keys of at most ``most`` values; larger ones are left to ``permutation_test``."""
+    sizes = rows.groupBy(*keys).agg(F.count(x).alias("n")).where(F.col("n") <= most)
+    lists = rows.where(F.col(x).isNotNull()).join(sizes, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.count_if(first).alias("n1"), F.sort_array(F.collect_list(F.col(x).cast("double"))).alias("_xs"), F.sum(F.when(first, F.col(x))).alias("_s"), F.sum(x).alias("_t"))
+    ways = lists.where("n1 > 0 AND n1 < n").withColumn("_way", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("n").cast("int")) - 1))).where(F.bit_count("_way") == F.col("n1"))
+    sums = F.aggregate(F.transform("_xs", lambda v, i: F.when(F.getbit(F.col("_way"), i) == 1, v).otherwise(0.0)), F.lit(0.0), lambda acc, v: acc + v)
+    mean = lambda s: s / F.col("n1") - (F.col("_t") - s) / (F.col("n") - F.col("n1"))
+    judged = ways.withColumn("_d", mean(sums)).withColumn("_d0", mean(F.col("_s")))
+    return judged.groupBy(*keys).agg(F.max("n").alias("n"), F.max("_d0").alias("difference"), (F.count_if(F.abs("_d") >= F.abs("_d0") - 1e-9) / F.count("*")).alias("p"))
 
 
 #: The 5 % point of the adjusted Anderson-Darling statistic.
 NORMAL_LIMIT = 0.752
 
 
-def significant_difference(rows: DataFrame, keys: list[str], x: str, first: Column, alpha: float = 0.05) -> DataFrame:
-    """(keys, normal, test, p, sig): t test where the pooled values look normal, else the rank-sum test."""
-    normal = anderson_darling(rows, keys, x)
+def looks_normal(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """(keys, normal): the adjusted Anderson-Darling distance is below its 5 % point."""
     adjusted = F.col("a2") * (1 + 0.75 / F.col("n") + 2.25 / (F.col("n") * F.col("n")))
-    normal = normal.select(*keys, (adjusted < NORMAL_LIMIT).alias("normal"))
-    t = two_sample_t(rows, keys, F.col(x), first).select(*keys, t_p_value("t", F.col("df").cast("double")).alias("p_t"))
-    w = rank_sum(rows, keys, x, first).select(*keys, z_p_value("z").alias("p_w"))
-    both = normal.join(t, keys).join(w, keys)
-    p = F.when(F.col("normal"), F.col("p_t")).otherwise(F.col("p_w"))
-    return both.select(*keys, "normal", F.when(F.col("normal"), "t").otherwise("rank sum").alias("test"), p.alias("p"), F.coalesce(p < alpha, F.lit(False)).alias("sig"))
+    return anderson_darling(rows, keys, x).select(*keys, F.coalesce(adjusted < NORMAL_LIMIT, F.lit(False)).alias("normal"))
+
 
+def judged(both: DataFrame, keys: list[str], names: tuple[str, str], alpha: float) -> DataFrame:
+    pick = lambda c: F.when(F.col("normal"), F.col(f"{c}_t")).otherwise(F.col(f"{c}_w"))
+    p = pick("p")
+    return both.select(*keys, "normal", F.when(F.col("normal"), names[0]).otherwise(names[1]).alias("test"), pick("stat").alias("stat"), p.alias("p"), F.coalesce(p < alpha, F.lit(False)).alias("sig"))
 
-def bootstrap_mean(values: list[float], draws: int, rounds: int, seed: int) -> float:
-    """Mean over seeded rounds of the mean of random draws with replacement; converges to the plain mean."""
-    return float(np.random.default_rng(seed).choice(values, (rounds, draws)).mean())
+
+def significant_difference(rows: DataFrame, keys: list[str], x: str, first: Column, alpha: float = 0.05) -> DataFrame:
+    """(keys, normal, test, stat, p, sig): t test where the pooled values look normal, else the rank-sum test."""
+    t = two_sample_t(rows, keys, F.col(x), first).select(*keys, F.col("t").alias("stat_t"), t_p_value("t", F.col("df").cast("double")).alias("p_t"))
+    w = rank_sum(rows, keys, x, first).select(*keys, F.col("z").alias("stat_w"), z_p_value("z").alias("p_w"))
+    return judged(looks_normal(rows, keys, x).join(t, keys).join(w, keys), keys, ("t", "rank sum"), alpha)
+
+
+def significant_shift(rows: DataFrame, keys: list[str], x: str, against: float = 0.0, alpha: float = 0.05) -> DataFrame:
+    """(keys, normal, test, stat, p, sig) of one sample against a number; of paired differences it is the paired test."""
+    moved = rows.withColumn(x, F.col(x) - against)
+    t = one_sample_t(moved, keys, F.col(x)).select(*keys, F.col("t").alias("stat_t"), t_p_value("t", F.col("df").cast("double")).alias("p_t"))
+    w = signed_rank(moved, keys, x).select(*keys, F.col("z").alias("stat_w"), z_p_value("z").alias("p_w"))
+    return judged(looks_normal(moved, keys, x).join(t, keys).join(w, keys, "left"), keys, ("t", "signed rank"), alpha)
