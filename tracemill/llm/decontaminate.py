@@ -147,7 +147,8 @@ def block_matches(docs: DataFrame, windows: list, slop: int) -> DataFrame:
     wanted = wanted.select("_id", "win", "start", "term", "by", (F.col("second") + F.col("by")).alias("place"))
     starts = wanted.join(places, ["term", "_id", "place"], "left_semi").groupBy("_id", "win", "start").agg(F.bool_or(F.col("by") == 0).alias("straight"))
     starts = stage(starts, "starts")
-    left = docs.join(starts.select("_id").distinct(), "_id", "left_semi")  # ids alone, so few texts are moved
+    straight = stage(starts.where("straight").select("_id").distinct(), "straight-ids")  # ids alone are small, so few texts are moved
+    left = docs.join(straight, "_id", "left_semi")
     lists = index_of(left, np.array(sorted(often), np.int64), "postings-left")
     listed = F.broadcast(spark.createDataFrame([(w.win, w.terms) for w in windows], "win long, terms array<long>"))  # at most BLOCK rows
     asked = starts.where("straight").join(listed, "win").select("_id", "win", "start", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
