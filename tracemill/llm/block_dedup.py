@@ -198,3 +198,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = around.mapInArrow(extended(window, block, buckets), SETTLED).groupBy("bucket").applyInArrow(repeated, POSITIONS)
     result = placed.join(by_key(found), "key", "left").select("_id", "pos", "text").mapInArrow(trimmed(window), "_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return result.select(outer_id().alias("doc_id"), "n_words", "n_removed", "kept_text", "kept_sha256")
+
+
+ORACLE = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+wins AS MATERIALIZED (SELECT doc_id, k, md5(array_to_string(ws[k : k + 12], ' ')) AS win FROM words, unnest(range(1, len(ws) - 11)) t(k)),
+firsts AS (SELECT win, min(doc_id) AS first FROM wins GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS i FROM wins JOIN firsts USING (win) WHERE first < doc_id),
+word AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM words),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS rest FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""

@@ -116,7 +116,7 @@ def rarest(windows: list, often: dict[int, int], slop: int) -> list[tuple]:
     """(win, rarest term, its offset, next rarest, its offset less the first's) of each window that can match at all."""
     out = []
     for w in windows:
-        known = sorted((k for k, t in enumerate(w.terms) if t in often), key=lambda k: (often[w.terms[k]], w.terms[k], k))
+        known = sorted((k for k, t in enumerate(w.terms) if t in often), key=lambda k: (often[w.terms[k]], k))  # ties: the first
         if len(known) == len(w.terms) or slop and len(known) > 1:  # an exact phrase needs all terms, proximity two
             a, b = known[0], known[min(1, len(known) - 1)]
             out.append((w.win, w.terms[a], a, w.terms[b], b - a))
@@ -196,3 +196,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     sized = keyed.mapInArrow(counted_words, "key long, _id long, own long, n_words long").join(judged, "key", "left")
     none = F.array().cast("array<string>")
     return sized.select(outer_id().alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "own")
+
+
+ORACLE = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+held AS (SELECT item, ws[k : k + 9] AS own FROM items, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) t(k) WHERE len(ws) > 0),
+wins AS (SELECT own, row_number() OVER () AS win FROM (SELECT DISTINCT own FROM held)),
+terms AS (SELECT win, len(own) AS n, generate_subscripts(own, 1) AS k, unnest(own) AS w FROM wins),
+place AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM words),
+there AS MATERIALIZED (SELECT * FROM place WHERE w IN (SELECT w FROM terms)),
+often AS (SELECT w, count(*) AS times FROM there GROUP BY w),
+ranked AS (SELECT win, n, k, w, row_number() OVER (PARTITION BY win ORDER BY times, k) AS r, count(*) OVER (PARTITION BY win) AS known FROM terms JOIN often USING (w)),
+rare AS (SELECT a.win, a.n, a.w AS wa, a.k AS ka, coalesce(b.w, a.w) AS wb, coalesce(b.k, a.k) AS kb FROM ranked a LEFT JOIN ranked b ON b.win = a.win AND b.r = 2 WHERE a.r = 1 AND (a.known = a.n OR a.known > 1)),
+starts AS (
+  SELECT p.doc_id, r.win, p.i - r.ka + 1 AS start, bool_or(q.i - p.i = r.kb - r.ka) AS straight
+  FROM rare r JOIN there p ON p.w = r.wa JOIN there q ON q.doc_id = p.doc_id AND q.w = r.wb AND q.i BETWEEN p.i + r.kb - r.ka - 2 AND p.i + r.kb - r.ka + 2 GROUP BY ALL),
+judged AS (SELECT s.*, len(v.own) AS n, straight AND start >= 1 AND coalesce(d.ws[greatest(start, 1) : greatest(start, 1) + len(v.own) - 1] = v.own, false) AS exact FROM starts s JOIN wins v USING (win) JOIN words d USING (doc_id)),
+hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(start, start + n)) AS spot FROM judged WHERE exact) GROUP BY doc_id),
+found AS (SELECT doc_id, list(item ORDER BY item) AS own FROM (SELECT DISTINCT doc_id, item FROM judged JOIN wins USING (win) JOIN held USING (own) WHERE exact) GROUP BY doc_id),
+near AS (SELECT doc_id, count(*) AS n_near FROM judged WHERE NOT exact GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(own), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(own, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
+"""

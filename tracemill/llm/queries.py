@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.ORACLE, "op3_quality_rules": quality.ORACLE}
+    return {"op2_mix_sources": mixing.ORACLE, "op3_quality_rules": quality.ORACLE, "op7_block_dedup": block_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
