@@ -617,3 +617,25 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stage(rows.mapInArrow(scores(model), "_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
     delete(spark, f"file://{folder}")
     return found.select(outer_id().alias("doc_id"), *found.columns[1:], F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
+#: The model of order 3 in SQL, with scores rounded to six digits; crc32 is spelt out by bits.
+ORACLE = r"""
+WITH doc AS (
+  SELECT doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS ws,
+         xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')], lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT FOR k IN range(8)], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % 5 = 1 AS held_out FROM documents),
+tok AS (SELECT doc_id, held_out, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM doc),
+g AS (SELECT doc_id, held_out, w, coalesce(lag(w, 1) OVER d, '') AS v, coalesce(lag(w, 2) OVER d, '') AS u FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+seen AS (SELECT w, count(*) AS c FROM g WHERE NOT held_out GROUP BY w), size AS (SELECT sum(c) AS total, count(*) AS words FROM seen),
+t3 AS (SELECT u, v, w, count(*) AS c FROM g WHERE NOT held_out GROUP BY ALL), t2 AS (SELECT v, w, count(*) AS c FROM t3 GROUP BY ALL), t1 AS (SELECT w, count(*) AS c FROM t2 GROUP BY ALL),
+n AS (SELECT o, count(*) FILTER (c = 1)::DOUBLE AS a, count(*) FILTER (c = 2)::DOUBLE AS b, count(*) FILTER (c = 3)::DOUBLE AS e, count(*) FILTER (c = 4)::DOUBLE AS f FROM (SELECT 3 AS o, c FROM t3 UNION ALL SELECT 2, c FROM t2 UNION ALL SELECT 1, c FROM t1) GROUP BY o),
+y AS (SELECT *, a / nullif(a + 2 * b, 0) AS y FROM n),
+d AS (SELECT o, coalesce(least(greatest(1 - 2 * y * b / nullif(a, 0), 0.05), 0.95), 0.5) AS d1, CASE WHEN a = 0 OR b = 0 THEN 0.5 ELSE least(greatest(2 - 3 * y * e / b, 0.05), 1.95) END AS d2, CASE WHEN a = 0 OR e = 0 THEN 0.5 ELSE least(greatest(3 - 4 * y * f / e, 0.05), 2.95) END AS d3 FROM y),
+k3 AS (SELECT t3.*, CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS less FROM t3, d WHERE o = 3), k2 AS (SELECT t2.*, CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS less FROM t2, d WHERE o = 2), k1 AS (SELECT t1.*, CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS less FROM t1, d WHERE o = 1),
+s3 AS (SELECT u, v, sum(c) AS t, sum(less) AS l FROM k3 GROUP BY ALL), s2 AS (SELECT v, sum(c) AS t, sum(less) AS l FROM k2 GROUP BY v), s1 AS (SELECT sum(c) AS t, sum(less) AS l FROM k1),
+p1 AS (SELECT g.*, coalesce(greatest(k1.c - k1.less, 0), 0) / s1.t + s1.l / s1.t / (words + 1) AS p FROM g CROSS JOIN s1 CROSS JOIN size LEFT JOIN k1 ON k1.w = g.w),
+p2 AS (SELECT p1.* REPLACE (CASE WHEN s2.t IS NULL THEN p ELSE coalesce(greatest(k2.c - k2.less, 0), 0) / s2.t + s2.l / s2.t * p END AS p) FROM p1 LEFT JOIN s2 ON s2.v = p1.v LEFT JOIN k2 ON k2.v = p1.v AND k2.w = p1.w),
+p3 AS (SELECT p2.* REPLACE (CASE WHEN s3.t IS NULL THEN p ELSE coalesce(greatest(k3.c - k3.less, 0), 0) / s3.t + s3.l / s3.t * p END AS p) FROM p2 LEFT JOIN s3 ON s3.u = p2.u AND s3.v = p2.v LEFT JOIN k3 ON k3.u = p2.u AND k3.v = p2.v AND k3.w = p2.w)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(seen.c) AS n_known, max(total)::BIGINT AS train_tokens, round(sum(log10((coalesce(seen.c, 0) + 0.5) / (total + 0.5 * (words + 1)))), 6) + 0.0 AS base_score, round(sum(log10(p)), 6) + 0.0 AS score
+FROM p3 CROSS JOIN size LEFT JOIN seen ON seen.w = p3.w GROUP BY doc_id, held_out
+"""

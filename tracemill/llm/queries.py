@@ -12,7 +12,8 @@ from tracemill.llm.common import table
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score_texts(table(spark, sf_dir, "documents")).drop("perplexity")
+    found = ngram_lm.score_texts(table(spark, sf_dir, "documents")).drop("perplexity")
+    return found.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("base_score", "score")})
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.ORACLE, "op3_quality_rules": quality.ORACLE, "op7_block_dedup": block_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+    return {"op1_lm_score": ngram_lm.ORACLE, "op2_mix_sources": mixing.ORACLE, "op3_quality_rules": quality.ORACLE, "op7_block_dedup": block_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
