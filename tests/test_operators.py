@@ -208,3 +208,85 @@ def test_raw_movie_and_waveform(spark, tmp_path):
         movies.movies(spark, str(tmp_path)).collect()
     wave = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0], 2.0)], "v array<double>, rate double")
     assert [tuple(x) for x in wave.select(movies.waveform_window(F.col("v"), F.col("rate"), 0.5, 1.0)).first()[0]] == [(0.5, 1.0), (1.0, 2.0)]
+
+
+def test_headers_of_both_dialects(spark, tmp_path):
+    """Frame rate, zoom and channels without pixels; 64-bit offsets; a header's text is never run."""
+    newer = "SI.hRoiManager.scanFrameRate = 5.07\nSI.hRoiManager.scanZoomFactor = 2\nSI.hChannels.channelSave = [1;2]\nSI.x = __import__('os')"
+    images = [np.full((2, 3), k) for k in range(4)]
+    (tmp_path / "new.tif").write_bytes(tiff.stack_file(images, "splitTif_channel_2", newer))
+    older = b"state.acq.frameRate=3.05\rstate.acq.zoomFactor=1\rstate.acq.numberOfChannelsSave=1\0"
+    pixels = np.arange(6, dtype="<i2").tobytes()
+    tags = [(256, 4, 1, 3), (257, 4, 1, 2), (258, 3, 1, 16), (270, 2, len(older), 16), (273, 16, 1, 16 + len(older)), (279, 4, 1, len(pixels))]
+    at = 16 + len(older) + len(pixels)
+    big = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) + older + pixels + struct.pack("<Q", len(tags)) + b"".join(struct.pack("<HHQQ", *t) for t in tags) + struct.pack("<Q", 0)
+    (tmp_path / "old.tif").write_bytes(big)
+    found = {r.path.rsplit("/", 1)[1]: r for r in tiff.headers(spark, str(tmp_path)).collect()}
+    new, old = found["new.tif"], found["old.tif"]
+    assert (new.rate, new.zoom, new.channels, new.images, new.h, new.w, new.copyright) == (5.07, 2.0, 2, 4, 2, 3, "splitTif_channel_2")
+    assert (old.rate, old.zoom, old.channels, old.images, old.rows) == (3.05, 1.0, 1, 1, None)
+    got = {r.frame: r.px for r in tiff.frames(spark, str(tmp_path), pattern="old.tif").collect()}
+    assert got == {1: list(range(6))}
+
+
+def test_stacks_are_split_and_cut_back(spark, tmp_path):
+    """Channels to files and read again; a joined stack back into its recordings."""
+    images = np.arange(6 * 2 * 3).reshape(6, 2, 3)
+    (tmp_path / "a.tif").write_bytes(tiff.stack_file(list(images), "x"))
+    split = tiff.stack_bytes(tiff.frames(spark, str(tmp_path), channels=2), tiff.split_note(F.col("chan"))).collect()
+    (tmp_path / "out").mkdir()
+    for r in split:
+        (tmp_path / "out" / f"a_{r.chan}.tif").write_bytes(r.content)
+    back = tiff.frames(spark, f"{tmp_path}/out").collect()
+    assert {(r.path[-5], r.frame): r.px for r in back} == {(str(k % 2 + 1), k // 2 + 1): images[k].ravel().tolist() for k in range(6)}
+    assert {r.copyright for r in tiff.headers(spark, f"{tmp_path}/out").collect()} == {"splitTif_channel_1", "splitTif_channel_2"}
+    stack = spark.createDataFrame([("g", k + 1, 1, 1, [k]) for k in range(5)], "grp string, frame int, h int, w int, px array<short>")
+    recorded = spark.createDataFrame([("g", "a", 2), ("g", "b", 3)], "grp string, tif string, n_frames int")
+    assert sorted((r.tif, r.frame, r.px) for r in tiff.cut_back(stack, recorded, "grp", "tif").collect()) == [("a", 1, [0]), ("a", 2, [1]), ("b", 1, [2]), ("b", 2, [3]), ("b", 3, [4])]
+
+
+def test_versions_and_region_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1,)], "x int")
+    for _ in range(2):
+        tables.append_version(rows, f"{tmp_path}/out")
+    assert sorted(r.version for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+    (tmp_path / "sets").mkdir()
+    (tmp_path / "sets" / "a.json").write_text(json.dumps({"nTifs": 2, "tifNames": ["a", "b"], "roi": ["p", "q", "r"]}))
+    r = tables.roi_sets(spark, f"{tmp_path}/sets").first()
+    assert (r.n_tifs, r.tif_names, r.n_roi) == (2, ["a", "b"], 3) and r.path.endswith("a.json")
+    tables.write_manifest(spark.createDataFrame([("g1", 3, ["x", "y"])], tables.MANIFEST), f"{tmp_path}/m")
+    assert [tuple(x) for x in tables.manifest_rows(spark.read.schema(tables.MANIFEST).json(f"{tmp_path}/m")).collect()] == [("g1", 3, 1, "x"), ("g1", 3, 2, "y")]
+
+
+def test_only_clean_crops_are_mapped():
+    source = {"rows": 256, "cols": 256, "zoom": 2.0, "fast": 1.0, "shift_x": 0.0, "shift_y": 0.0, "rotation": 0.0, "pitch_x": 0.5, "pitch_y": 0.5}
+    assert roi.clean_crop(source, source | {"rows": 128}) == (64, 0)
+    for bad in ({"zoom": 1.0}, {"fast": 0.5}, {"shift_x": 0.1}, {"rotation": 3.0}, {"pitch_y": 1.0}, {"rows": 127}, {"rows": 300}):
+        with pytest.raises(roi.Unmappable):
+            roi.clean_crop(source, source | bad)
+
+
+def test_exactly_one_set_and_missing_columns(spark):
+    from tracemill.operators import recordings
+
+    names = spark.createDataFrame([("a", "t1"), ("a", "t2"), ("b", "t9")], "grp string, tif string")
+    sets = spark.createDataFrame([("s", "t1"), ("s", "t2"), ("s", "t3"), ("q", "t7")], "sid string, tif string")
+    rows, sizes = spark.createDataFrame([("a", 5), ("b", 7)], "grp string, n int"), spark.createDataFrame([("s", 5), ("q", 7)], "sid string, n int")
+    assert sorted(map(tuple, recordings.resolved_sets(names, sets, "grp", "sid", "tif", rows, sizes).collect())) == [("a", "s"), ("b", "q")]
+    with pytest.raises(relations.MissingKey):
+        recordings.resolved_sets(names, sets, "grp", "sid", "tif", rows, sizes.where("n = 5"))
+    with pytest.raises(recordings.NotOne):
+        recordings.only_row(rows.select("n"), "n")
+    assert recordings.only_row(rows.where("n = 5").union(rows.where("n = 5")), "n").collect() == rows.where("n = 5").collect()
+    with pytest.raises(ValueError, match="no column f"):
+        recordings.canonical(rows, "f")
+    assert recordings.columns_left(rows, ["n"]) == ["grp"]
+    numbered = rows.select(F.explode(F.array(F.lit("cell10"), F.lit("cell9"))).alias("c")).distinct().orderBy(recordings.numeric_suffix(F.col("c")))
+    assert [r.c for r in numbered.collect()] == ["cell9", "cell10"]
+
+
+def test_numbered_stimuli_by_animal(spark):
+    from tracemill.operators import stimuli
+
+    rows = spark.createDataFrame([("a", "pre", 1.0), ("a", "post", None), ("a", "pre", 2.0), ("b", "pre", 5.0), ("a", "pre", 1.0)], "animal string, treatment string, db double")
+    assert sorted((r.animal, r.treatment, r.db or 0, r.stim_id) for r in stimuli.numbered_stimuli(rows, ["db"]).collect()) == [("a", "post", 0, 3), ("a", "pre", 1.0, 2), ("a", "pre", 1.0, 2), ("a", "pre", 2.0, 1), ("b", "pre", 5.0, 1)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.jobs import grid_jobs, pipeline_jobs, relation_jobs, roi_jobs, statistics_jobs, stimulus_jobs, stream_jobs, trace_jobs  # noqa: F401  (they register their queries)
+from tracemill.jobs import grid_jobs, pipeline_jobs, recording_jobs, relation_jobs, roi_jobs, statistics_jobs, stimulus_jobs, stream_jobs, trace_jobs  # noqa: F401  (they register their queries)
 from tracemill.jobs.registry import ORACLES, QUERIES, Query
 
 

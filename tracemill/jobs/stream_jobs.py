@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.jobs.registry import query, r6
+from tracemill.jobs.registry import query, r6, shared_dir
 from tracemill.streaming import online
 
 
@@ -22,7 +22,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = online.samples(spark, sf_dir, "events.parquet", schema)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     found = online.window_means(stream, "ts", ["event_type"], "value", "1 hour", "10 minutes")
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tracemill-checkpoints'}/tracemill/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     online.append_batches(found, f"{base}/out", f"{base}/state")
     rows = spark.read.schema("event_type string, start timestamp, n long, mean double").parquet(f"{base}/out")
     return rows.select(F.col("event_type").alias("stim"), F.unix_micros("start").alias("start_us"), "n", r6(F.col("mean")).alias("mean"))

@@ -61,3 +61,49 @@ def lifted(frames: DataFrame, group: list[str], pixels: str = "px") -> DataFrame
 def boxed(at: Column, row: tuple[int, int], col: tuple[int, int], columns: int) -> Column:
     """Whether a position counted from 0 lies in a box of rows and columns counted from 1."""
     return (F.floor(at / columns) + 1).between(*row) & (at % columns + 1).between(*col)
+
+
+class Unmappable(ValueError):
+    """A source and a target acquisition of which one is no clean crop of the other."""
+
+
+def clean_crop(source: dict, target: dict) -> tuple[int, int]:
+    """(rows, columns) that a centred crop leaves out at each side; raises Unmappable unless the two agree in all else.
+
+    Headers have rows, cols, zoom, fast, shift_x, shift_y, rotation, pitch_x and
+    pitch_y; a pitch is the field over its number of pixels, so a crop keeps it.
+    """
+    for k in ("zoom", "fast"):
+        if abs(source[k] - target[k]) > 1e-9:
+            raise Unmappable(f"{k} differs: {source[k]} and {target[k]}")
+    for k in ("shift_x", "shift_y", "rotation"):
+        if abs(source[k]) > 1e-9 or abs(target[k]) > 1e-9:
+            raise Unmappable(f"{k} must be 0")
+    for k in ("pitch_x", "pitch_y"):
+        if abs(source[k] / target[k] - 1) > 1e-9:
+            raise Unmappable(f"{k} differs: {source[k]} and {target[k]}")
+    out = []
+    for k in ("rows", "cols"):
+        left = source[k] - target[k]
+        if left < 0 or left % 2:
+            raise Unmappable(f"{k}: {source[k]} cannot be cropped to {target[k]} about the centre")
+        out.append(left // 2)
+    return out[0], out[1]
+
+
+def remapped(pixels: DataFrame, roi: list[str], source: dict, target: dict, margin: int = 0) -> DataFrame:
+    """(roi, row, col) in the target's coordinates, of live regions that lie wholly inside of it less a margin; ids stay.
+
+    ``pixels`` may have a column ``deleted``; deleted regions are left out.
+    """
+    up, left = clean_crop(source, target)
+    live = pixels.where(~F.coalesce("deleted", F.lit(False))) if "deleted" in pixels.columns else pixels
+    box = live.groupBy(*roi).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    inside = box.where((F.col("r0") > up + margin) & (F.col("r1") <= up + target["rows"] - margin) & (F.col("c0") > left + margin) & (F.col("c1") <= left + target["cols"] - margin))
+    kept = live.join(inside.select(*roi), roi, "left_semi")
+    return kept.select(*roi, (F.col("row") - up).alias("row"), (F.col("col") - left).alias("col"))
+
+
+def remapped_outlines(pixels: DataFrame, roi: list[str], source: dict, target: dict, margin: int = 0) -> DataFrame:
+    """(roi, n, ring): outlines of the regions in the target's coordinates, worked out anew."""
+    return on_curve(outline(remapped(pixels, roi, source, target, margin), roi), roi)

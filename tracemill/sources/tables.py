@@ -13,7 +13,10 @@ RENAMED = {"onset": "onset_s", "dBAmpl": "db", "msPulseLen": "pulse_ms", "msStim
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(matfile, n_roi, trial, tif): groups of recordings, trials numbered from 1 as listed."""
-    groups = spark.read.schema(MANIFEST).option("multiLine", "true").json(path)
+    return manifest_rows(spark.read.schema(MANIFEST).option("multiLine", "true").json(path))
+
+
+def manifest_rows(groups: DataFrame) -> DataFrame:
     names = groups.select("matfile", F.col("nROI").alias("n_roi"), F.posexplode("tifNames").alias("at", "tif"))
     return names.select("matfile", "n_roi", (F.col("at") + 1).alias("trial"), "tif")
 
@@ -44,3 +47,23 @@ def renamed(rows: DataFrame) -> DataFrame:
 def without(rows: DataFrame, *parts: str) -> DataFrame:
     """Columns whose name contains one of ``parts`` left out."""
     return rows.select(*[c for c in rows.columns if not any(p in c for p in parts)])
+
+
+def write_manifest(groups: DataFrame, path: str) -> None:
+    """Groups as JSON lines that ``manifest`` reads back."""
+    groups.write.mode("overwrite").json(path)
+
+
+def roi_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n_tifs, tif_names, n_roi) of region files in JSON (nTifs, tifNames, roi: a list), one per file."""
+    files = spark.read.schema("nTifs int, tifNames array<string>, roi array<string>").option("multiLine", "true").json(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("nTifs").alias("n_tifs"), F.col("tifNames").alias("tif_names"), F.size("roi").alias("n_roi"))
+
+
+def append_version(rows: DataFrame, path: str) -> None:
+    """Rows appended as the next version of an output; earlier ones stay."""
+    spark = rows.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    last = spark.read.parquet(path).agg(F.max("version")).first()[0] if there else 0
+    rows.withColumn("version", F.lit((last or 0) + 1)).write.mode("append").parquet(path)
