@@ -6,8 +6,9 @@ corpus cannot lie in a repeat, so only suffixes at repeated grams go on. Each ta
 sorts its suffixes to runs, front-coded by the prefix shared with the suffix
 before; runs are dealt by gram, and merged with loser trees that carry common
 prefixes along and never compare a known one again. Neighbours in the merged order
-that share the gram are then compared window by window, on both sides of it. A gram
-that very many documents share would gather their differing surroundings in one
+that share the gram are then judged window by window: two windows are equal if the
+common prefix that the tree told of all suffixes between them reaches the window's
+end, and they have as many bytes before the gram in common. A gram that very many documents share would gather their differing surroundings in one
 task; around such a gram every suffix is sorted, dealt by its own bytes.
 """
 
@@ -184,11 +185,21 @@ class LoserTree:
             self.best = k
 
 
-def window_spans(group: list[Record], least: int) -> Iterator[tuple[int, int, int]]:
-    """(document's key, first, last window start) of windows that also start earlier, among suffixes of one gram."""
+def window_spans(group: list[Record], shared: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """(document's key, first, last window start) of windows that also start earlier, among suffixes of one gram in order.
+
+    ``shared`` are the prefixes that each has in common with the one before.
+    """
     variants: dict[tuple[bytes, bytes], list[tuple[Doc, int]]] = {}
-    for right, left, doc, low in group:
-        variants.setdefault((left, right), []).append((doc, low))
+    prefixes, lowest = [], 1 << 30  # of each variant with the one before
+    for (right, left, doc, low), k in zip(group, shared, strict=True):
+        lowest = min(lowest, k)
+        if (places := variants.get((left, right))) is None:
+            variants[left, right] = [(doc, low)]
+            prefixes.append(lowest)
+            lowest = 1 << 30
+        else:
+            places.append((doc, low))
     for (left, right), places in variants.items():
         first = min(places)
         n = len(left) + len(right) - least
@@ -198,8 +209,12 @@ def window_spans(group: list[Record], least: int) -> Iterator[tuple[int, int, in
         return
     rows = [(left, right, doc, low, bytearray(len(left) + len(right) - least + 1)) for (left, right), [(doc, low)] in variants.items()]
     for before in range(least - GRAM + 1):  # equal windows have as many bytes before the gram
-        earliest: dict[bytes, tuple[Doc, int]] = {}
-        inside = [(x[0][len(x[0]) - before :] + x[1][: least - before], x) for x in rows if 0 <= len(x[0]) - before < len(x[4])]
+        earliest: dict[tuple[int, bytes], tuple[Doc, int]] = {}
+        inside, stretch, after = [], 0, least - before
+        for x, k in zip(rows, prefixes, strict=True):
+            stretch += k < after  # suffixes of one stretch agree up to the window's end
+            if 0 <= len(x[0]) - before < len(x[4]):
+                inside.append(((stretch, x[0][len(x[0]) - before :]), x))
         for piece, (left, _, doc, low, _) in inside:
             here = (doc, low + len(left) - before)
             if earliest.setdefault(piece, here) > here:
@@ -288,15 +303,17 @@ def merged(least: int):
         spans = array("q")
         if sources:
             together: list[Record] = []
+            prefixes: list[int] = []
             for shared, record in LoserTree(sources):
                 if shared < GRAM:
                     if len(together) > 1:
-                        for span in window_spans(together, least):
+                        for span in window_spans(together, prefixes, least):
                             spans.extend(span)
-                    together = []
+                    together, prefixes = [], []
                 together.append(record)
+                prefixes.append(shared)
             if len(together) > 1:
-                for span in window_spans(together, least):
+                for span in window_spans(together, prefixes, least):
                     spans.extend(span)
         return pa.concat_tables([settled, pa.Table.from_batches([spans_batch(spans)])])
 
