@@ -10,6 +10,7 @@ fence, quartile plus three times the quartile distance plus a fixed slack.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -62,8 +63,8 @@ def measures() -> dict[str, Column]:
     return {"word_length": per_word("word_chars", 100), "symbols": per_word("n_symbols", 1000), "dup_lines": F.expr("1000 * n_dup_lines div greatest(n_lines, 1)"), "repeats": per_word("n_repeat_words", 1000)}
 
 
-def fences(counted: DataFrame, least_docs: int) -> DataFrame:
-    """(lang, source, measure -> low, high): from the finest sketch that holds ``least_docs`` documents."""
+def fences(counted: DataFrame, weight: int) -> DataFrame:
+    """(lang, source, measure -> low, high): each sketch's fences drawn towards the next wider sketch's, which count as ``weight`` documents."""
     names = list(SLACK)
     long = counted.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), sketch_bin(v).alias("bin")) for k, v in measures().items()])).alias("x"))
     fine = long.groupBy("lang", "source", "x.measure", "x.bin").count()
@@ -83,17 +84,21 @@ def fences(counted: DataFrame, least_docs: int) -> DataFrame:
     groups = counted.select("lang", "source").distinct()
     groups = groups.join(quartiles["fine"], F.col("lang").eqNullSafe(F.col("fine_lang")) & F.col("source").eqNullSafe(F.col("fine_source")), "left")
     groups = groups.join(quartiles["lang"], F.col("lang").eqNullSafe(F.col("lang_lang")), "left")
-    pick = lambda c: F.when(F.col("fine_n") >= least_docs, F.col(f"fine_{c}")).when(F.col("lang_n") >= least_docs, F.col(f"lang_{c}")).otherwise(F.lit(overall[f"all_{c}"]).cast("long"))
+    none, w = F.lit(0.0), F.lit(float(weight))
+    of = lambda level, c: F.coalesce(F.col(f"{level}_{c}").cast("double"), none)
+    drawn = lambda level, c, wider: (of(level, "n") * of(level, c) + w * wider) / (of(level, "n") + w)
+    pick = lambda c: drawn("fine", c, drawn("lang", c, F.lit(overall[f"all_{c}"]).cast("double")))
     return groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[pick(f"{m}_{s}").alias(f"{m}_{s}") for m in names for s in ("low", "high")])
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 100) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", weight: int = 100) -> DataFrame:
     """Counts of each document, whether the fixed rule fails it, and whether it is kept.
 
     A null text counts as empty: no words, so it fails. A null language or source
-    is a group of its own; a group of fewer than ``least_docs`` plausible documents
-    uses its language's sketch, or else that of all documents. Without plausible
-    documents nothing passes the fixed rule anyway. Repeated rows count each time.
+    is a group of its own. A group's fences are its own and its language's, weighted
+    by its plausible documents and by ``weight``, and a language's likewise with those
+    of all documents, so that the fewer there are the more the wider sketch tells.
+    Without plausible documents nothing passes the fixed rule anyway. Repeated rows count each time.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
@@ -101,7 +106,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "lang", "source")) + "".join(f", {c} long" for c in COUNTS)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = stage(rows.mapInArrow(measured, schema).withColumn("base_failed", failed), "quality-counts")
-    limits = stage(fences(counted, least_docs), "quality-fences")
+    limits = stage(fences(counted, weight), "quality-fences")
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     inside = [(v <= F.col(f"{m}_high")) for m, v in measures().items()] + [measures()["word_length"] >= F.col("word_length_low")]
     kept = ~F.col("base_failed")
@@ -140,10 +145,12 @@ fence AS (
          max(q3 + 3 * (q3 - q1) + 150) FILTER (measure = 'symbols') AS sy, max(q3 + 3 * (q3 - q1) + 400) FILTER (measure = 'dup_lines') AS du, max(q3 + 3 * (q3 - q1) + 250) FILTER (measure = 'repeats') AS re
   FROM quartiles GROUP BY ALL),
 picked AS (
-  SELECT j.*, CASE WHEN f.n >= 100 THEN f WHEN l.n >= 100 THEN l ELSE a END AS fc
+  SELECT j.*, BLEND(lo) AS lo,
+         BLEND(hi) AS hi, BLEND(sy) AS sy, BLEND(du) AS du, BLEND(re) AS re
   FROM judged j LEFT JOIN fence f ON f.level = 'fine' AND f.lang IS NOT DISTINCT FROM j.lang AND f.source IS NOT DISTINCT FROM j.source
   LEFT JOIN fence l ON l.level = 'lang' AND l.lang IS NOT DISTINCT FROM j.lang LEFT JOIN fence a ON a.level = 'all')
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(word_length BETWEEN fc.lo AND fc.hi, true) AND coalesce(symbols <= fc.sy, true) AND coalesce(dup_lines <= fc.du, true) AND coalesce(repeats <= fc.re, true) AS kept
+       NOT base_failed AND coalesce(word_length BETWEEN lo AND hi, true) AND coalesce(symbols <= sy, true) AND coalesce(dup_lines <= du, true) AND coalesce(repeats <= re, true) AS kept
 FROM picked
 """
+ORACLE = re.sub(r"BLEND\((\w+)\)", r"((coalesce(f.n, 0)::DOUBLE * coalesce(f.\1, 0)::DOUBLE + 100::DOUBLE * ((coalesce(l.n, 0)::DOUBLE * coalesce(l.\1, 0)::DOUBLE + 100::DOUBLE * a.\1::DOUBLE) / (coalesce(l.n, 0)::DOUBLE + 100::DOUBLE))) / (coalesce(f.n, 0)::DOUBLE + 100::DOUBLE))", ORACLE)
