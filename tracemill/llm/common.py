@@ -71,6 +71,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str, before: int) -> DataFrame:
+    """A small result written to the shared folder, after which all that was staged for it since ``before`` is deleted."""
+    out = stage(df, name)
+    release(df.sparkSession, before, but=1)
+    return out
+
+
 def inner_id(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 

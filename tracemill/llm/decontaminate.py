@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WordHashes, binaries, outer_id, runs, slices, stage, texts
+from tracemill.llm.common import WordHashes, binaries, outer_id, runs, settled, slices, stage, staged, texts
 from tracemill.llm.license_scan import folded_words
 
 WINDOW = 10
@@ -175,6 +175,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     share a doc_id, or have none, are looked up each for itself; own is the hash of
     the text.
     """
+    begun = staged()
     rows = texts(docs, id_col, text_col)
     keyed = rows.select(F.xxhash64("_id", "text").alias("key"), "_id", F.xxhash64("text").alias("own"), "text")
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
@@ -195,7 +196,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     judged = stage(hit.join(holding, "_id", "full").join(near, "_id", "full").withColumnRenamed("_id", "key"), "judged")
     sized = keyed.mapInArrow(counted_words, "key long, _id long, own long, n_words long").join(judged, "key", "left")
     none = F.array().cast("array<string>")
-    return sized.select(outer_id().alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "own")
+    out = sized.select(outer_id().alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "own")
+    return settled(out, "contamination", begun)
 
 
 ORACLE = r"""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import inner_id, outer_id, slices, stage
+from tracemill.llm.common import inner_id, outer_id, release, slices, stage, staged
 from tracemill.shipping import ship
 
 #: Bytes of a text that are parsed side by side with others before their parses are joined.
@@ -167,6 +167,7 @@ def level_of(sizes: list[int], budget: int) -> int:
 
 def sample_texts(docs: DataFrame, sample_docs: int, sample_bytes: int) -> tuple[tuple[str, bytes], ...]:
     """At most ``sample_bytes`` of letters of each language, from the ``sample_docs`` documents of least hash, spread as evenly as these allow."""
+    begun = staged()
     named = docs.where("NOT held_out AND lang IS NOT NULL AND NOT empty")
     by_hash = Window.partitionBy("lang").orderBy("hash", "_id")
     chosen = stage(named.select("lang", "_id", "hash").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= sample_docs).select("_id", "hash"), "langid-sample")
@@ -182,6 +183,7 @@ def sample_texts(docs: DataFrame, sample_docs: int, sample_bytes: int) -> tuple[
     out: dict[str, bytes] = {}
     for r in kept:  # sample_bytes characters for each language
         out[r.lang] = (out.get(r.lang, b"") + b" " + letters(r.text.encode()))[:sample_bytes]
+    release(docs.sparkSession, begun)
     return tuple(sorted(out.items()))
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import NO_ID, WordHashes, gram_hashes, mixed, outer_id, runs, slices, stage, texts
+from tracemill.llm.common import NO_ID, WordHashes, gram_hashes, mixed, outer_id, runs, settled, slices, stage, staged, texts
 from tracemill.llm.graph import beside, components
 
 SHINGLE, BANDS, ROWS, BITS, BLOCK = 4, 32, 5, 4, 2048
@@ -292,6 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id, or have none, those of other text are documents of their own, in the order
     of own, the hash of the text; those of equal text share the result.
     """
+    begun = staged()
     rows = texts(docs, id_col, text_col).select("_id", F.xxhash64("text").alias("own"), "text")
     signatures = stage(rows.mapInArrow(signed(shingle), "_id long, own long, n long, key binary, sig binary, bands array<long>"), "minhash")
     nodes = signatures.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("_id", "own")).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n").alias("n"))
@@ -303,4 +304,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = roots.join(nodes.select("node", F.col("_id").alias("root"), F.col("own").alias("root_own")), "node").drop("node")
     result = signatures.select("_id", "own", "n", "key").join(roots, "key", "left")
     root, kept = F.coalesce("root", "_id"), F.coalesce((F.col("_id") == F.col("root")) & (F.col("own") == F.col("root_own")), F.lit(True))
-    return result.select(outer_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(root != NO_ID, root).alias("component_id"), kept.alias("kept"), "own")
+    found = result.select(outer_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(root != NO_ID, root).alias("component_id"), kept.alias("kept"), "own")
+    return settled(found, "minhash-found", begun)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WordHashes, bucket_of, buckets_for, delete, inner_id, mixed, outer_id, restored, runs, shared_dir, slices, squeezed, stage
+from tracemill.llm.common import WordHashes, bucket_of, buckets_for, delete, inner_id, mixed, outer_id, restored, runs, settled, shared_dir, slices, squeezed, stage, staged
 from tracemill.shipping import ship
 
 ORDER = 3
@@ -612,9 +612,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(spark)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False)) if held_out is None else held_out
     rows = docs.select(inner_id(id_col).alias("_id"), held.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    folder = model_dir(spark)
+    folder, begun = model_dir(spark), staged()
     model = learn(rows.where(~F.col("held_out")).select("_id", "text"), order, folder)
-    found = stage(rows.mapInArrow(scores(model), "_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    found = settled(rows.mapInArrow(scores(model), "_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores", begun)
     delete(spark, f"file://{folder}")
     return found.select(outer_id().alias("doc_id"), *found.columns[1:], F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
