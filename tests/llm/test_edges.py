@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pytest
-from cases import at_the_edges
+from cases import CLASHING, at_the_edges
+from pyspark.sql import functions as F
 
 from tracemill.llm import block_dedup, decontaminate, html_tree, langid, license_scan, minhash, mixing, ngram_lm, quality, suffix_dedup
 
@@ -54,14 +55,29 @@ def test_defined_results(spark, edges):
     assert lm[1].n_tokens == lm[2].n_tokens == lm[3].n_tokens == 1
 
 
+def clashing(df):
+    """The table with extra columns of the names that operators use inside."""
+    return df.select("*", *[F.lit(7).alias(c) for c in CLASHING if c not in df.columns])
+
+
+def test_pages_with_clashing_columns(spark):
+    """No markup, no host, null url and html, rows that repeat, and an empty table."""
+    page = "<html><body><article><p>One</p></article></body></html>"
+    rows = [(1, "http://a.example/", page), (1, "http://a.example/", page), (None, None, None), (2, "not a url", "plain words"), (3, "http://a.example/x", ""), (4, None, "<p>a<p>b")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_tree.extract_main_text(clashing(pages)).collect())
+    assert found == [(0, "", 0), (1, "One", 3), (1, "One", 3), (2, "plain words", 11), (3, "", 0), (4, "a\nb", 3)]
+    assert html_tree.extract_main_text(clashing(pages.limit(0))).collect() == []
+
+
 def test_pipeline_stages(spark, edges, nothing, tmp_path):
     import corpus_pipeline
 
-    bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    clashing(bench(spark)).write.parquet(f"{tmp_path}/benchmark.parquet")
     for start in (edges, nothing):
-        rows = start.select(*corpus_pipeline.COLUMNS)
+        rows = start
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            rows = stage(spark, rows, str(tmp_path)).cache()
+            rows = stage(spark, rows if rows is start else clashing(rows), str(tmp_path)).cache()
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert rows.columns == corpus_pipeline.COLUMNS
             rows.collect()

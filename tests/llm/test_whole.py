@@ -173,3 +173,43 @@ def test_tree_decides_inside_articles_and_without_them(spark):
         assert all(found[i] != "\n".join(html_tree.main_blocks(html_tree.read_page(h), {}, 0.4)) for i, h in group.items())
     assert found[3] == "Title w3\nWords w3 of the text"
     assert found[104] == "Story s4 begins\nand s4 ends" and found[103] == "Story s3 begins\nand s3 ends\nOnce more"
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    """All five stages against plain re-statements of each, one after the other."""
+    import random
+
+    import duckdb
+    import pandas as pd
+    from cases import ordinary
+
+    from tracemill.llm import mixing
+
+    rng = random.Random(31)
+    items = [(k, sentence(rng, n)) for k, n in enumerate([12, 30, 4])]
+    rows = ordinary(31, 80) + [(100 + k, f"{sentence(rng, 30)} {t} {sentence(rng, 5)}", "en", "src1", 1) for k, t in items] + [(110, "123 456", "en", "src2", 1), (111, None, "en", "src2", 0)]
+    passage = sentence(rng, 60)
+    rows += [(120 + k, f"{sentence(rng, 40)} {passage} {sentence(rng, 40)}", "en", f"src{k % 4}", 1) for k in range(6)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    unlike = near(left, 5)
+    left = sorted(r for r in left if unlike[r[0]][2])
+    seen, cut = set(), []
+    for r in left:
+        data = r[1].encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - 99):
+            if data[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(data[s : s + 100])
+        cut.append((r[0], bytes(c for c, g in zip(data, gone, strict=True) if not g).decode(), *r[2:]))
+    assert [r[1] for r in cut] != [r[1] for r in left]
+    dirty = brute.contamination([(r[0], r[1]) for r in cut], items)
+    clean = [r for r in cut if not dirty[r[0]][4]]
+    assert len(clean) < len(cut) < len(rows) - 2
+    documents = pd.DataFrame(clean, columns=["doc_id", "text", "lang", "source", "n_chars"])  # noqa: F841  the SQL reads it
+    with duckdb.connect() as db:
+        mix = {i: (size, taken) for i, size, taken in db.execute(f"SELECT doc_id, size, taken FROM ({mixing.ORACLE}) WHERE taken > 0").fetchall()}
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.text, r.size, r.taken) for r in found} == {r[0]: (r[1], *mix[r[0]]) for r in clean if r[0] in mix} and len(found) == len(mix)
