@@ -290,3 +290,9 @@ def test_numbered_stimuli_by_animal(spark):
 
     rows = spark.createDataFrame([("a", "pre", 1.0), ("a", "post", None), ("a", "pre", 2.0), ("b", "pre", 5.0), ("a", "pre", 1.0)], "animal string, treatment string, db double")
     assert sorted((r.animal, r.treatment, r.db or 0, r.stim_id) for r in stimuli.numbered_stimuli(rows, ["db"]).collect()) == [("a", "post", 0, 3), ("a", "pre", 1.0, 2), ("a", "pre", 1.0, 2), ("a", "pre", 2.0, 1), ("b", "pre", 5.0, 1)]
+
+
+def test_cells_of_all_conditions_both_ways(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "b"), (3, "a"), (3, "a")], "cell int, condition string")
+    counted = sorted(r.cell for r in relations.in_all_conditions(rows, ["cell"], "condition", ["a", "b"]).collect())
+    assert counted == sorted(r.cell for r in relations.intersected([rows.where(F.col("condition") == c).select("cell") for c in "ab"]).collect()) == [1, 3]

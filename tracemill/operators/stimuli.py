@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import stimnames
+from tracemill.functions.nulls import null_if_empty
 
 #: What each family's names tell; a table holds the columns of all, NULL where a family lacks them.
 EXTRACTORS = {
@@ -34,7 +35,7 @@ def stimulus_table(recordings: DataFrame) -> DataFrame:
     pupil recordings are listed alone.
     """
     rows = recordings.withColumn("family", stimnames.family(F.col("pulse_set"))).where("family IS NOT NULL")
-    listed = F.posexplode_outer("pulses").alias("at", "raw_pulse")
+    listed = F.posexplode_outer(null_if_empty(F.col("pulses"))).alias("at", "raw_pulse")
     long = rows.select("animal", "tif", "treatment", "family", "trig_delay", "isi", F.coalesce(F.size("pulses"), F.lit(0)).alias("total_pulses"), listed)
     counts = rows.groupBy("animal", "family").agg((F.count("*") > 1).alias("processed"))
     base = long.join(counts, ["animal", "family"]).withColumns({"pulse": F.col("at") + 1, "base": stimnames.base_name(F.col("raw_pulse")), "processed": F.col("processed") & (F.col("family") != "pupil")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.nulls import first_of_largest, sem
+from tracemill.functions.nulls import first_of_largest, null_if_zero, sem
 
 
 def numbered_frames(samples: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -31,7 +31,7 @@ def peaks(traces: DataFrame, keys: list[str], value: str, start: int, frames: in
     spread = F.when(F.count(base) == 1, F.lit(0.0)).otherwise(F.stddev_samp(base))
     position = F.col("frame") - F.lit(start - 1)
     found = traces.groupBy(*keys).agg(F.max(window).alias("pk"), first_of_largest(window, position).alias("idx"), (F.avg(base) + F.lit(float(sd)) * spread).alias("threshold"), *[v.alias(k) for k, v in (more or {}).items()])
-    threshold = F.nullif(F.col("threshold"), F.lit(0.0))
+    threshold = null_if_zero(F.col("threshold"))
     return found.select(*keys, "pk", "idx", threshold.alias("threshold"), F.coalesce(F.col("pk") >= threshold, F.lit(False)).alias("sig"), *(more or {}))
 
 
