@@ -86,18 +86,19 @@ def outer_id(name: str = "_id") -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name))
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, text) with null texts empty; any other column is left behind, whatever its name."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(_id, text) with null texts empty; of other columns those to ``carry`` come along as fields of rest, the others are left behind, whatever their names."""
     ship(docs.sparkSession)
-    return docs.select(inner_id(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rest = [F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []
+    return docs.select(inner_id(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
 
 
 def row_keys(rows: DataFrame) -> DataFrame:
-    """(key, _id, text) of (_id, text): the id itself, or where rows of other text repeat it, null ids too, a hash of id and text."""
+    """(key, _id, text, ...) of (_id, text, ...): the id itself, or where rows of other text repeat it, null ids too, a hash of id and text."""
     own = F.xxhash64("_id", "text")
     several = rows.groupBy("_id").agg(F.min(own).alias("least"), F.max(own).alias("most")).where("least <> most")
     several = stage(several.select("_id", F.lit(True).alias("several")), "repeated-ids")  # its size is known, so few ids move no texts
-    return rows.join(several, "_id", "left").select(F.when(F.col("several"), own).otherwise(F.col("_id")).alias("key"), "_id", "text")
+    return rows.join(several, "_id", "left").select(F.when(F.col("several"), own).otherwise(F.col("_id")).alias("key"), *rows.columns)
 
 
 def buckets_for(docs: DataFrame, text_col: str, per_bucket: int, bytes_each: float) -> int:

@@ -336,7 +336,8 @@ def cut(least: int):
                 gone.append(len(text) - len(kept[-1]))
                 spans.append(int((np.diff(stays.astype(np.int8), prepend=1) == -1).sum()))
             sizes, digests = [len(x) for x in found], [hashlib.sha256(x).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, gone, spans)], pa.array([x.decode("utf-8", "ignore") for x in kept]), pa.array(digests), batch.column(1)], ["_id", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256", "own"])
+            rest = [c for c in ("rest",) if c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, gone, spans)], pa.array([x.decode("utf-8", "ignore") for x in kept]), pa.array(digests), batch.column(1), *map(batch.column, rest)], ["_id", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256", "own", *rest])
 
     return run
 
@@ -345,8 +346,8 @@ def by_key(found: DataFrame) -> DataFrame:
     return per_document(found).withColumnRenamed("_id", "key")
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, common: int = COMMON) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_text, kept_sha256, own) of every document.
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, common: int = COMMON, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_text, kept_sha256, own) of every document, and the columns to ``carry`` along, so that no join has to bring them back.
 
     A byte goes if a string of ``least`` bytes around it also starts earlier, in a
     document of smaller id or before in the same one; strings overlap freely and
@@ -356,11 +357,14 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text are documents of their own, in the order of a hash. kept_text leaves out the
     rest of a character that a cut went through; own is the hash of the input's text.
     """
-    rows = row_keys(texts(docs, id_col, text_col))
+    rows = row_keys(texts(docs, id_col, text_col, carry))
+    rest = [c for c in ("rest",) if carry]
     buckets = buckets_for(rows, "text", PER_BUCKET, (least - GRAM + 2) / 2)
     again = rows.select("key", "text").mapInArrow(marked(least, buckets), PACKED).groupBy("bucket").applyInArrow(twice(common), "_id long, pos binary")
     placed = rows.repartition("key")
     around = placed.join(by_key(again), "key").select("key", "_id", "pos", "text")
     found = around.mapInArrow(sorted_runs(least, buckets), RUN_SCHEMA).groupBy("bucket").applyInArrow(merged(least), "_id long, pos binary")
-    result = placed.join(by_key(found), "key", "left").select("_id", F.xxhash64("text").alias("own"), "pos", "text").mapInArrow(cut(least), "_id long, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string, own long")
-    return result.select(outer_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256", "own")
+    result = placed.join(by_key(found), "key", "left").select("_id", F.xxhash64("text").alias("own"), "pos", "text", *rest)
+    kinds = "".join(f", rest {rows.schema[c].dataType.simpleString()}" for c in rest)
+    result = result.mapInArrow(cut(least), f"_id long, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string, own long{kinds}")
+    return result.select(outer_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256", "own", *[F.col(f"rest.{c}").alias(c) for c in carry])
