@@ -55,9 +55,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = remove_repeated_spans(docs).select(F.col("doc_id").alias("key"), "own", "kept_text").dropDuplicates(["key", "own"])
-    joined = with_decision(docs.select("doc_id", "text", "lang", "source"), found, "inner")
-    return joined.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    found = remove_repeated_spans(docs, carry=("lang", "source"))
+    return found.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
