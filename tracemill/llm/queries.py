@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import block_dedup, decontaminate, html_tree, langid, license_scan, minhash, mixing, ngram_lm, quality, suffix_dedup
+from tracemill.llm import block_dedup, decontaminate, html_tree, langid, license_scan, minhash, mixing, ngram_lm, periodic, quality, sharding, spelling, suffix_dedup
 from tracemill.llm.common import table
 
 
@@ -54,9 +54,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("own")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(table(spark, sf_dir, "documents"), plant=True).drop("own")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents")).drop("own")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_mix_sources, op3_quality_rules, op4_suffix_dedup, op5_language_id, op6_main_text, op7_block_dedup, op8_decontaminate, op9_license_scan, op10_minhash)}
+    return {f.__name__: f for f in (op1_lm_score, op2_mix_sources, op3_quality_rules, op4_suffix_dedup, op5_language_id, op6_main_text, op7_block_dedup, op8_decontaminate, op9_license_scan, op10_minhash, op11_periodic_runs, op12_spelling_variants, op13_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_score": ngram_lm.ORACLE, "op2_mix_sources": mixing.ORACLE, "op3_quality_rules": quality.ORACLE, "op7_block_dedup": block_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+    return {"op1_lm_score": ngram_lm.ORACLE, "op2_mix_sources": mixing.ORACLE, "op3_quality_rules": quality.ORACLE, "op7_block_dedup": block_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op11_periodic_runs": periodic.ORACLE, "op12_spelling_variants": spelling.ORACLE, "op13_shards": sharding.ORACLE}
