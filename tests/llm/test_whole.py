@@ -120,7 +120,7 @@ def test_language_stage_rejects_only_texts_without_letters(spark):
 
 
 def test_rare_boilerplate_of_a_large_host_is_cut(spark):
-    """A notice on 100 of 2400 pages is below a twentieth of them, but its entropy is log 100 / log 2400 = 0.59 and 0.9 * (1 - 0.59) < 0.4."""
+    """A notice on 100 of 2400 pages is below a twentieth of them, but its entropy is log 100 / log 2400 = 0.59."""
     page = "<html><body><div class='text'><p>Words {n} of page {n}</p></div>{more}</body></html>"
     more = "<div class='box'><p>The same season greeting</p></div>"
     rows = [(i, f"http://a.example/{i}", page.format(n=f"w{i}", more=more if i % 24 == 0 else "")) for i in range(2400)]
@@ -128,33 +128,48 @@ def test_rare_boilerplate_of_a_large_host_is_cut(spark):
     assert {r.page_id: r.text for r in found.collect()} == {i: f"Words w{i} of page w{i}" for i in range(2400)}
 
 
-def tree_by_hand(pages: dict[int, str], threshold: float = 0.4, share: float = 0.1, least: int = 3) -> dict[str, float]:
-    """Importance of each node of one host, from the definitions, over whole lists."""
+def tree_by_hand(pages: dict[int, str], presentation: float = 0.1, times: float = html_tree.TIMES) -> dict[int, tuple]:
+    """By how much nodes of one host lie below its threshold, by own contents and by branch, from the definitions over whole lists."""
     import math
 
     read = {}
     for k, html in pages.items():
-        blocks = [b for b in html_tree.read_page(html).blocks if not b.element.apart]
-        read.setdefault(tuple(b.text for b in blocks), (k, blocks))
+        blocks = html_tree.read_page(html).blocks
+        read.setdefault(tuple(b.text for b in blocks if not b.element.apart), (k, blocks))
     m = len(read)
-    below, shown, styles = {}, {}, {}
-    for _, blocks in read.values():
+    below, shown, words, styles = {}, {}, {}, {}
+    for k, blocks in read.values():
         held = {}
         for b in blocks:
-            for e in b.element.line():
-                held[e.path] = e
-                below.setdefault(e.path, set()).add(b.element.path)
-            shown.setdefault(b.element.path, {}).setdefault(b.text, set()).add(id(blocks))
-        for path, e in held.items():
-            styles.setdefault(path, []).append(tuple(e.children))
+            at = b.element
+            while at is not None:
+                held[at.node] = at
+                below.setdefault(at.node, set()).add(b.element.node)
+                at = at.above()
+            for f in html_tree.features(b.text):
+                shown.setdefault(b.element.node, {}).setdefault(f, set()).add(k)
+                words[b.element.node, f] = b.text.count(" ") + 1
+        for node, e in held.items():
+            styles.setdefault(node, []).append(tuple(e.children))
+
+    def sums(leaves):
+        parts = [(len(x) * words[n, f], math.log(len(x)) / math.log(m) * (m - 1) / (m + 1)) for n in leaves for f, x in shown[n].items()]
+        return sum(w * e for w, e in parts), sum(w for w, _ in parts)
+
+    lost, total = sums(shown)
+    loss = min(max(times * lost / total, html_tree.LEAST_LOSS), html_tree.MOST_LOSS)
     out = {}
-    for path, leaves in below.items():
-        times = [len(x) for leaf in leaves for x in shown[leaf].values()]
-        content = sum(1 - math.log(n) / math.log(m) for n in times) / len(times)
-        n = [styles[path].count(x) for x in set(styles[path])]
+    for node, leaves in below.items():
+        n = [styles[node].count(x) for x in set(styles[node])]
         entropy = -sum(x / sum(n) * math.log(x / sum(n)) for x in n) / math.log(m)
-        if max(times) >= least and (1 - share) * content + share * entropy < threshold:
-            out[path] = (1 - share) * content + share * entropy
+        lost, total = sums(leaves)
+        branch = loss - lost / total + presentation * entropy
+        own = None
+        if node in shown:
+            lost, total = sums([node])
+            own = loss - lost / total
+        if min(branch, own or 0) < 0:
+            out[node] = (own if own is not None and own < 0 else None, branch if branch < 0 else None)
     return out
 
 
@@ -168,13 +183,72 @@ def test_tree_decides_inside_articles_and_without_them(spark):
     docs = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = {r.page_id: r.text for r in html_tree.extract_main_text(docs).collect()}
     for group in (pages, other):
-        low = {html_tree.key(k): v for k, v in tree_by_hand(group).items()}
-        assert low and {i: found[i] for i in group} == {i: "\n".join(html_tree.main_blocks(html_tree.read_page(h), low, 0.4)) for i, h in group.items()}
-        assert all(found[i] != "\n".join(html_tree.main_blocks(html_tree.read_page(h), {}, 0.4)) for i, h in group.items())
+        low = tree_by_hand(group)
+        assert low and {i: found[i] for i in group} == {i: "\n".join(html_tree.main_blocks(html_tree.read_page(h), low)) for i, h in group.items()}
+        assert all(found[i] != "\n".join(html_tree.main_blocks(html_tree.read_page(h), {})) for i, h in group.items())
     assert found[3] == "Title w3\nWords w3 of the text"
     assert found[104] == "Story s4 begins\nand s4 ends" and found[103] == "Story s3 begins\nand s3 ends\nOnce more"
 
 
+def scrubbed(page: str) -> str:
+    """A page whose tags and classes tell nothing of its parts."""
+    import re
+    import zlib
+
+    page = re.sub(r"<(/?)(article|nav|footer|header|aside|form|section|main)\b", r"<\1div", page)
+    return re.sub(r'class="([^"]*)"', lambda m: "class='x" + "".join(chr(97 + int(c)) for c in str(zlib.crc32(m[1].encode()))) + "'", page)
+
+
+def test_tree_tells_articles_of_pages_without_names(spark):
+    """On hosts of 30 pages or more every block of the articles stays and nine tenths of the others go, by the tree alone."""
+    import re
+    from collections import Counter
+
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").withColumn("host", host)
+    large = pages.groupBy("host").count().where("count >= 30").select("host")
+    rows = [(r.page_id, r.url, scrubbed(r.html), r.html) for r in pages.join(large, "host").collect()]
+    found = {r.page_id: Counter(r.text.split("\n")) for r in html_tree.extract_main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(4)).collect()}
+    others = stayed = 0
+    for i, _, page, given in rows:
+        article = Counter(b.text for b in html_tree.read_page(re.search(r"<article>.*?</article>", given, re.S)[0]).blocks)
+        rest = Counter(b.text for b in html_tree.read_page(page).blocks) - article
+        assert not article - found[i]
+        others, stayed = others + rest.total(), stayed + (rest & found[i]).total()
+    assert len(rows) > 1000 and others > 10_000 and stayed < 0.1 * others
+
+
+def test_deep_pages_take_memory_by_length():
+    """Nested tags with text at each level, unclosed and with end tags of nothing: twice the depth takes about twice the memory."""
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    peaks = []
+    for n in (4000, 8000):
+        page = "<div class='a b'>x" * n + "</i>" * n + "<b class='c'>y" * n
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([page])], ["host", "row", "text"])
+        tracemalloc.start()
+        began = time.time()
+        (seen,) = html_tree.observed(iter([batch]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(seen.column("nodes")[0]) >= n and time.time() - began < 30
+        assert html_tree.main_blocks(html_tree.read_page(page), {})
+    assert peaks[1] < 2.5 * peaks[0]
+
+
+def test_sums_of_branches_of_any_depth(spark):
+    """A chain of 100 nodes with a twig at each, in two hosts."""
+    above = [(h, k, k - 1 if k else None) for h in (1, 2) for k in range(100)] + [(1, 1000 + k, k) for k in range(100)]
+    leaves = [(1, 1000 + k, 0.5 * k, 1) for k in range(100)] + [(2, 99, 1.0, 7)]
+    found = html_tree.summed_branches(spark.createDataFrame(leaves, "host long, node long, lost double, shown long"), spark.createDataFrame(above, "host long, node long, above long"))
+    sums = {(r.host, r.node): (r.lost, r.shown) for r in found.collect()}
+    assert all(sums[1, k] == (sum(0.5 * j for j in range(k, 100)), 100 - k) and sums[2, k] == (1.0, 7) for k in range(100))
+    assert sums[1, 1040] == (20.0, 1)
+
+
 def test_pipeline_end_to_end(spark, tmp_path):
     """All five stages against plain re-statements of each, one after the other."""
     import random

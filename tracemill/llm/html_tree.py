@@ -3,17 +3,20 @@
 The pages of a host are merged: elements with the same path of tags, classes and
 ids are one node, which has seen the contents (text blocks) and the presentations
 (sequences of child tags) of all its pages. With m different pages, a content that
-n of them show has entropy log n / log m. A node's content importance is 1 less the
-mean entropy of all contents in its branch, so that of an inner node follows from
-its children's; its presentation importance is the entropy of its presentations.
-Both are blended by the paper's attenuating factor, and what the names of tags,
-classes and roles say of an element is added as a feature of the node. A block goes
-where any node above it, or its own, is of low importance.
+n of them show has entropy log n / log m, drawn towards 0 where few pages testify.
+A node's importance is 1 less the mean entropy of its contents, each weighed by its
+words on all pages that show it; that of a branch takes all contents below, and
+what its presentations' entropy adds. Each host has its own threshold: what loses
+more than TIMES as much importance as the host's words do on average is a part of
+the template, so that a node with most of the words cannot be one. What the names of tags, classes and
+roles say of an element is added as a feature of the node. A block goes where any
+node above it, or its own, is less important than that.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import slices, stage
+from tracemill.llm.common import release, slices, stage, staged
 from tracemill.llm.graph import beside
 from tracemill.shipping import ship
 
@@ -46,8 +49,12 @@ LAYOUT = re.compile(r"(?:has|with|without|no|is|layout)[-_]")
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+def key(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
+
+
 class Element:
-    __slots__ = ("tag", "path", "parent", "apart", "content", "children", "silent")
+    __slots__ = ("tag", "node", "parent", "holder", "apart", "content", "children", "silent")
 
     def __init__(self, tag: str, attrs: dict[str, str | None], parent: Element | None):
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''} {attrs.get('role') or ''}"
@@ -58,18 +65,16 @@ class Element:
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
         inside = bool(parent and parent.content)
         self.tag, self.parent, self.children = tag, parent, []
-        self.path = f"{parent.path if parent else ''}/{tag}.{style}" if style else f"{parent.path if parent else ''}/{tag}"
+        self.node = key(str(parent.node) if parent else "", tag, style)  # of the whole path, in constant memory
+        self.holder = parent.holder if parent and tag in INLINE else self
         self.silent = bool(parent and parent.silent) or tag in SILENT
         self.apart = bool(parent and parent.apart) or hidden or tag in APART or (tag == "header" and not inside) or (bool(words & APART_WORDS) and tag not in ("html", "body", "main"))
         self.content = inside or tag in CONTENT or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
 
-    def line(self) -> Iterator[Element]:
-        """The element and the branches that it lies in: up to the page's frame, or up to the article for what is inside of one."""
-        at = self
-        yield at
-        while (above := at.parent) is not None and above.tag not in FRAME and above.content >= at.content:
-            at = above
-            yield at
+    def above(self) -> Element | None:
+        """The branch that the element lies in: up to the page's frame, or up to the article for what is inside of one."""
+        up = self.parent
+        return up if up is not None and up.tag not in FRAME and up.content >= self.content else None
 
 
 class Block:
@@ -86,7 +91,7 @@ class PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("", {}, None)
         self.stack, self.blocks, self.pending = [self.root], [], []
-        self.holder = self.root
+        self.holder, self.open = self.root, Counter()
 
     def flush(self) -> None:
         if self.pending:
@@ -97,6 +102,11 @@ class PageReader(HTMLParser):
 
     def close_to(self, k: int) -> None:
         self.flush()
+        self.drop(k)
+
+    def drop(self, k: int) -> None:
+        for e in self.stack[k:]:
+            self.open[e.tag] -= 1
         del self.stack[k:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -114,6 +124,8 @@ class PageReader(HTMLParser):
             self.flush()
             closed = CLOSES.get(tag, ())
             for k in range(len(self.stack) - 1, 0, -1):
+                if not self.open["p"] and not any(self.open[x] for x in closed):
+                    break
                 above = self.stack[k].tag
                 if above == "p" or above in closed:
                     self.close_to(k)
@@ -124,17 +136,20 @@ class PageReader(HTMLParser):
         parent = self.stack[-1]
         if tag not in INLINE:
             parent.children.append(tag)
-        new = Element(tag, attrs, parent)
-        self.stack.append(new)
+        self.stack.append(Element(tag, attrs, parent))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag == "br" or tag not in VOID:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag == tag:
                 if tag in INLINE:
+                    self.open[tag] -= 1
                     del self.stack[k]
                 else:
                     self.close_to(k)
@@ -147,7 +162,7 @@ class PageReader(HTMLParser):
         if top.silent or (top.tag in INLINE and top.apart):
             return
         if not self.pending:
-            self.holder = next(x for x in reversed(self.stack) if x.tag not in INLINE)
+            self.holder = top.holder
         self.pending.append(data)
 
 
@@ -159,57 +174,94 @@ def read_page(html: str) -> PageReader:
     return page
 
 
-def key(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
-
-
-#: What names add to a node's importance: of parts that they set apart, of blocks outside of a page's article or main, and inside of it.
-APART_FEATURE, OUTSIDE_FEATURE, INSIDE_FEATURE = -0.65, -0.65, 0.3
+#: What names add to how far a node lies above its host's threshold: of parts that they set apart, of blocks outside of a page's article or main, and inside of it.
+APART_FEATURE, OUTSIDE_FEATURE, INSIDE_FEATURE = -0.65, -0.65, 0.1
+#: How far above it nodes are taken to lie of which the tree says nothing.
+UNKNOWN = 0.3
+#: A host's threshold lies as many times below 1 as its words' mean importance, within these bounds; names tell beyond them.
+TIMES, LEAST_LOSS, MOST_LOSS = 3.5, 0.03, 0.6
+#: Words at either end of a block that are contents of their own: a template's text often begins or ends alike on all pages.
+ENDS = 3
 #: Shares into which the pages that hold one node are dealt.
 SALTS = 16
-SEEN = "host long, row long, page long, leaves array<struct<node:long,up:array<long>>>, contents array<struct<node:long,feature:long>>, styles array<struct<node:long,feature:long>>"
+SEEN = "host long, row long, page long, nodes array<struct<node:long,above:long>>, contents array<struct<node:long,feature:long,words:int>>, styles array<struct<node:long,feature:long>>"
+
+
+def elements(blocks: list[Block]) -> list[Element]:
+    """The elements that hold the blocks, and all branches that these lie in, each once."""
+    seen: dict[int, Element] = {}
+    for b in blocks:
+        at: Element | None = b.element
+        while at is not None and id(at) not in seen:
+            seen[id(at)] = at
+            at = at.above()
+    return list(seen.values())
+
+
+def features(text: str) -> tuple[int, int, int]:
+    """What a block shows: its whole text, its first words, and its last."""
+    return key("whole", text), key("first", *text.split(" ", ENDS)[:ENDS]), key("last", *text.rsplit(" ", ENDS)[-ENDS:])
 
 
 def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each page the nodes that hold text with those above them, their contents, and the presentations of all.
 
-    ``page`` is the hash of all blocks, so that copies of a page count once: else an
-    article that was copied would look like a template.
+    ``page`` is the hash of all that names do not set apart, so that copies of a page
+    count once: else an article that was copied would look like a template.
     """
-    pair = pa.list_(pa.struct([("node", pa.int64()), ("feature", pa.int64())]))
-    leaf = pa.list_(pa.struct([("node", pa.int64()), ("up", pa.list_(pa.int64()))]))
+    names = [x.split()[0] for x in SEEN.split(", ")]
+    pair = lambda second: pa.list_(pa.struct([("node", pa.int64()), (second, pa.int64())]))
+    told = pa.list_(pa.struct([("node", pa.int64()), ("feature", pa.int64()), ("words", pa.int32())]))
     for batch, found in slices(batches, 4 << 20):
-        pages, leaves, contents, styles = [], [], [], []
+        pages, nodes, contents, styles = [], [], [], []
         for raw in found:
-            blocks = [b for b in read_page(raw.decode("utf-8", "ignore")).blocks if not b.element.apart]
-            elements = {e.path: e for b in blocks for e in b.element.line()}
-            keys = {p: key(p) for p in elements}
-            pages.append(key(*(b.text for b in blocks)))
-            own = {b.element.path: b.element for b in blocks}
-            leaves.append([{"node": keys[p], "up": [keys[x.path] for x in e.line()]} for p, e in own.items()])
-            contents.append([{"node": n, "feature": f} for n, f in {(keys[b.element.path], key(b.text)) for b in blocks}])
-            styles.append([{"node": keys[p], "feature": key(*e.children)} for p, e in elements.items()])
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("row"), pa.array(pages, pa.int64()), pa.array(leaves, leaf), pa.array(contents, pair), pa.array(styles, pair)], ["host", "row", "page", "leaves", "contents", "styles"])
-
-
-def low_branches(seen: DataFrame, threshold: float, least_pages: int, presentation: float) -> DataFrame:
-    """(host, node, importance): each host's nodes of low importance, of which one content stands on ``least_pages`` pages at least."""
+            blocks = read_page(raw.decode("utf-8", "ignore")).blocks
+            lines = elements(blocks)
+            pages.append(key(*(b.text for b in blocks if not b.element.apart)))
+            above = {e.node: e.above() for e in lines}
+            nodes.append([{"node": n, "above": up.node if up is not None else None} for n, up in above.items()])
+            contents.append([{"node": n, "feature": f, "words": w} for (n, f), w in {(b.element.node, f): b.text.count(" ") + 1 for b in blocks for f in features(b.text)}.items()])
+            styles.append([{"node": n, "feature": f} for n, f in {e.node: key(*e.children) for e in lines}.items()])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("row"), pa.array(pages, pa.int64()), pa.array(nodes, pair("above")), pa.array(contents, told), pa.array(styles, pair("feature"))], names)
+
+
+def summed_branches(leaves: DataFrame, above: DataFrame) -> DataFrame:
+    """(host, node, lost, shown) of (host, node, lost, shown) and (host, node, above): each node's sums over its whole branch.
+
+    Every round adds what lies up to twice as deep: a node's sums go to the node that
+    many levels above it. Depth d takes log2 d rounds, whatever the shape.
+    """
+    tree = stage(above.join(leaves, ["host", "node"], "left").select("host", "node", F.col("above").alias("jump"), F.coalesce("lost", F.lit(0.0)).alias("lost"), F.coalesce("shown", F.lit(0)).alias("shown")), "tree-sums")
+    while tree.where("jump IS NOT NULL").limit(1).count():
+        below = tree.where("jump IS NOT NULL").groupBy("host", F.col("jump").alias("node")).agg(F.sum("lost").alias("more"), F.sum("shown").alias("also"))
+        ahead = tree.select("host", F.col("node").alias("jump"), F.col("jump").alias("next"))
+        summed = tree.join(below, ["host", "node"], "left").select("host", "node", "jump", (F.col("lost") + F.coalesce("more", F.lit(0.0))).alias("lost"), (F.col("shown") + F.coalesce("also", F.lit(0))).alias("shown"))
+        tree = stage(summed.join(ahead, ["host", "jump"], "left").select("host", "node", F.col("next").alias("jump"), "lost", "shown"), "tree-sums")
+    return tree.select("host", "node", "lost", "shown")
+
+
+def low_branches(seen: DataFrame, presentation: float, times: float) -> DataFrame:
+    """(host, node, own, branch): each host's nodes whose own contents or branch lie below its threshold, and by how much (negative, else null)."""
     chosen = seen.groupBy("host", "page").agg(F.min("row").alias("row")).select("host", "row")
     sizes = chosen.groupBy("host").agg(F.count("*").alias("n"))
     total = chosen.count()
     once = seen.join(chosen, ["host", "row"], "left_semi")  # repeated rows are taken twice and counted once
-    shown = lambda c: beside(once.select("host", "row", F.explode(c).alias("x")).select("host", "row", "x.*").distinct().groupBy("host", "node", "feature").agg(F.count("*").alias("times")), sizes, "host", total).where("n > 1")
-    contents, styles = shown("contents"), shown("styles")
-    entropy = F.log("times") / F.log("n")
-    leaves = contents.groupBy("host", "node").agg(F.sum(1 - entropy).alias("sum"), F.count("*").alias("contents"), F.max("times").alias("most"))
-    chains = once.select("host", F.explode("leaves").alias("x")).groupBy("host", "x.node").agg(F.first("x.up").alias("up"))
-    branch = leaves.join(chains, ["host", "node"]).select("host", F.explode("up").alias("node"), "sum", "contents", "most")
-    branch = branch.groupBy("host", "node").agg((F.sum("sum") / F.sum("contents")).alias("content"), F.max("most").alias("most"))
+    held = lambda c: once.select("host", "row", F.explode(c).alias("x")).select("host", "row", "x.*").distinct().groupBy("host", "node", "feature")
+    contents = beside(held("contents").agg(F.count("*").alias("times"), F.max("words").alias("words")), sizes, "host", total).where("n > 1")
+    styles = beside(held("styles").agg(F.count("*").alias("times")), sizes, "host", total).where("n > 1")
+    entropy, weight = F.log("times") / F.log("n") * (F.col("n") - 1) / (F.col("n") + 1), F.col("times") * F.col("words")
+    leaves = stage(contents.groupBy("host", "node").agg(F.sum(weight * entropy).alias("lost"), F.sum(weight).alias("shown")), "tree-leaves")
+    loss = F.least(F.greatest(times * F.sum("lost") / F.sum("shown"), F.lit(LEAST_LOSS)), F.lit(MOST_LOSS))
+    bounds = stage(leaves.groupBy("host").agg(loss.alias("loss")), "tree-thresholds")
+    above = once.select("host", F.explode("nodes").alias("x")).groupBy("host", "x.node").agg(F.min("x.above").alias("above"))
+    branches = summed_branches(leaves, above).where("shown > 0")
     whole = F.sum("times")
     styled = styles.groupBy("host", "node").agg(((F.log(whole) - F.sum(F.col("times") * F.log("times")) / whole) / F.log(F.max("n"))).alias("styles"))
-    importance = (1 - presentation) * F.col("content") + presentation * F.col("styles")
-    low = branch.join(styled, ["host", "node"]).where(F.col("most") >= least_pages).select("host", "node", importance.alias("importance"))
-    return stage(low.where(F.col("importance") < threshold), "tree-low")
+    own = leaves.select("host", "node", (-F.col("lost") / F.col("shown")).alias("own"))
+    judged = branches.join(styled, ["host", "node"]).join(own, ["host", "node"], "left").join(bounds, "host")
+    below = lambda x: F.when(x < 0, x)
+    low = judged.select("host", "node", below(F.col("own") + F.col("loss")).alias("own"), below(presentation * F.col("styles") - F.col("lost") / F.col("shown") + F.col("loss")).alias("branch"))
+    return stage(low.where("own IS NOT NULL OR branch IS NOT NULL"), "tree-low")
 
 
 def low_of_pages(seen: DataFrame, low: DataFrame) -> DataFrame:
@@ -218,55 +270,59 @@ def low_of_pages(seen: DataFrame, low: DataFrame) -> DataFrame:
     A node that all pages of a host hold is dealt with them over ``SALTS`` tasks.
     """
     salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = seen.select("host", "row", F.explode(F.array_distinct(F.flatten("leaves.up"))).alias("node")).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    pairs = seen.select("host", "row", F.explode("nodes.node").alias("node")).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
     held = pairs.join(salted, ["host", "node", "salt"])
-    return held.groupBy("row").agg(F.collect_set(F.struct("node", "importance")).alias("low"))
+    return held.groupBy("row").agg(F.collect_set(F.struct("node", "own", "branch")).alias("low"))
 
 
-def main_blocks(page: PageReader, low: dict[int, float], threshold: float) -> list[str]:
-    """Blocks with no node above them of low importance; nodes that the tree does not know as low have importance 1."""
+def main_blocks(page: PageReader, low: dict[int, tuple[float | None, float | None]]) -> list[str]:
+    """Blocks whose own node's contents, and all branches that hold them, are at their host's threshold or above; ``low`` has by how much others lie below."""
     whole = any(b.element.content and not b.element.apart for b in page.blocks)
-    memo: dict[str, bool] = {}
+    nothing = (None, None)
+    memo: dict[int, bool] = {}
 
-    def cut(e: Element) -> bool:
-        if e.path not in memo:
-            feature = APART_FEATURE if e.apart else INSIDE_FEATURE if e.content else 0.0
-            memo[e.path] = low.get(key(e.path), 1.0) + feature < threshold
-        return memo[e.path]
+    def gone(margin: float | None, e: Element, outside: bool = False) -> bool:
+        feature = APART_FEATURE if e.apart else OUTSIDE_FEATURE if outside else INSIDE_FEATURE if e.content else 0.0
+        return (UNKNOWN if margin is None else margin) + feature < 0
 
-    out = []
-    for b in page.blocks:
-        outside = OUTSIDE_FEATURE if whole and not b.element.content else 0.0
-        if low.get(key(b.element.path), 1.0) + outside >= threshold and not any(map(cut, b.element.line())):
-            out.append(b.text)
-    return out
+    def cut(e: Element) -> bool:
+        line, at = [], e
+        while at is not None and id(at) not in memo:
+            line.append(at)
+            at = at.above()
+        found = memo[id(at)] if at is not None else False
+        for at in reversed(line):
+            found = memo[id(at)] = found or gone(low.get(at.node, nothing)[1], at)
+        return found
 
+    return [b.text for b in page.blocks if not gone(low.get(b.element.node, nothing)[0], b.element, whole and not b.element.content) and not cut(b.element)]
 
-def extracted(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in slices(batches, 4 << 20):
-            lows = [{x["node"]: x["importance"] for x in low or ()} for low in batch.column("low").to_pylist()]
-            out = ["\n".join(main_blocks(read_page(raw.decode("utf-8", "ignore")), low, threshold)) for raw, low in zip(found, lows, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return run
+def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, found in slices(batches, 4 << 20):
+        lows = [{x["node"]: (x["own"], x["branch"]) for x in low or ()} for low in batch.column("low").to_pylist()]
+        out = ["\n".join(main_blocks(read_page(raw.decode("utf-8", "ignore")), low)) for raw, low in zip(found, lows, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.4, least_pages: int = 3, presentation: float = 0.1) -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", presentation: float = 0.1, times: float = TIMES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     Null and empty html give an empty text. A null url, or one without a host, is
     of the host ''. Pages of equal content count once for their host's tree, so
-    copies do not make an article look like a template; a host of one page has no
-    low branches, nor has a node of which no content stands on ``least_pages`` pages. A page of which all is cut has an empty text. Repeated rows and ids give
-    repeated results.
+    copies do not make an article look like a template; a host of one page, or one
+    whose nodes are all alike, has no low branches and is judged by names alone. A
+    page of which all is cut has an empty text. Repeated rows and ids give repeated
+    results. Memory grows with a page's length alone, however deep it is nested.
     """
     ship(pages.sparkSession)
+    begun = staged()
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("host", "text"))  # pages of equal html hold equal nodes
     seen = stage(rows.select("host", "row", "text").mapInArrow(observed, SEEN), "tree-pages")
-    low = low_of_pages(seen, low_branches(seen, threshold, least_pages, presentation))
+    low = stage(low_of_pages(seen, low_branches(seen, presentation, times)), "tree-low-pages")
+    release(pages.sparkSession, begun, but=1)
     kind = rows.schema["page_id"].dataType.simpleString()
     joined = rows.join(low, "row", "left").select("page_id", "url", "low", "text")
-    return joined.mapInArrow(extracted(threshold), f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(extracted, f"page_id {kind}, url string, text string, n_chars long")
