@@ -180,3 +180,67 @@ def test_shards_are_ranges_of_equal_bytes(spark, per_part):
     again = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
     assert sorted(map(str, again)) == sorted(map(str, found))
     assert sharding.shard_documents(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_mix_of_rows_without_ids(spark):
+    """300 rows without ids and groups of copies: each source comes near its target, however its rows are dealt."""
+    from tracemill.llm import mixing
+
+    rng = random.Random(8)
+    rows = [(None, " ".join(["w"] * rng.randint(1, 9)) + f" {i}", f"s{i % 3}") for i in range(300)] + [(None, "a copy of six words here", "s3")] * 200 + [(5, "same id", "s4"), (5, "same id", "s5")] * 30 + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix_sources(docs.repartition(5))
+    by = {r.src: r for r in found.groupBy("src").agg({"taken": "sum", "size": "max", "target": "max"}).collect()}
+    assert len(by) == 7 and all(abs(r["sum(taken)"] - r["max(target)"]) <= r["max(size)"] for r in by.values())
+    again = mixing.mix_sources(docs.repartition(2))
+    assert found.exceptAll(again).count() == again.exceptAll(found).count() == 0 and found.count() == len(rows)
+    assert found.where("taken > 2 * size").count() == 0
+
+
+def test_languages_by_hand(spark):
+    """Label and score of whole texts from greedy phrases by search in the samples; unequal samples, ties, and one language alone."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from tracemill.llm import langid
+
+    rng = random.Random(6)
+    speak = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    alphabets = {"aa": "abcdeé", "bb": "bcdfgh", "cc": "xyzü"}
+    rows = [(i, speak(alphabets[k], n), k) for i, (k, n) in enumerate([("aa", 400)] * 12 + [("bb", 30)] * 12 + [("cc", 3)] * 6)]
+    rows += [(100 + i, speak(rng.choice(list(alphabets.values())), rng.choice([1, 5, 60])), None) for i in range(60)] + [(200, "123 !", "aa"), (None, None, "bb"), (201, "b", None), (202, "BD c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    plain = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), "lang", F.xxhash64("doc_id").alias("hash"), F.coalesce(F.length("text") == 0, F.lit(True)).alias("empty"))
+    samples = dict(langid.sample_texts(plain, 96, 49152))
+    assert set(samples) == set(alphabets) and len(samples["aa"]) > 10 * len(samples["cc"])
+
+    def phrases(text: bytes, sample: bytes) -> int:
+        at = n = 0
+        while at < len(text):
+            k = 1
+            while at + k < len(text) and text[at : at + k + 1] in sample:
+                k += 1
+            at, n = at + k, n + 1
+        return n
+
+    found = {(r.doc_id, r.own): (r.lang_pred, r.score) for r in langid.identify_languages(docs).collect()}
+    own = {r.doc_id: r.own for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own")).collect()}
+    right = ties = 0
+    for i, text, _ in rows:
+        pred, score = found[i, own[i]]
+        if not any(c.isalpha() for c in text or ""):
+            assert (pred, score) == ("und", 0.0)
+            continue
+        raw = {k: phrases(langid.letters(text.encode()), v) for k, v in samples.items()}
+        normal = {k: raw[k] * math.log2(len(samples[k])) for k in samples}
+        best = min(sorted(normal), key=normal.get)
+        tied = sorted(k for k in raw if raw[k] == raw[best])
+        ties += len(tied) > 1
+        want = (tied[0], 0.0) if len(tied) > 1 else (best, 1 - normal[best] / sorted(normal.values())[1])
+        assert pred == want[0] and abs(score - want[1]) < 1e-9
+        right += i is not None and 100 <= i < 200 and set(text) & set(alphabets[pred]) != set()
+    assert ties > 0 and right > 50
+    alone = langid.identify_languages(docs.where("lang = 'aa'")).where("lang_pred <> 'und'")
+    assert {(r.lang_pred, r.score) for r in alone.collect()} == {("aa", 0.5)}

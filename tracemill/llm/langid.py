@@ -136,6 +136,22 @@ def parser(samples: tuple[tuple[str, bytes], ...]) -> Parser:
     return Parser(dict(samples))
 
 
+def decided(phrases: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The language (column) of fewest normalised phrases for each text, and the score.
+
+    A language with as many phrases ties with it, whatever their samples' lengths: these
+    tell how well a sample could have known a text, not which language it is of. Then the
+    first by name holds, with score 0. With one language alone the score is 1/2.
+    """
+    counts = phrases * norms
+    best = counts.argmin(axis=1)
+    alike = phrases == np.take_along_axis(phrases, best[:, None], 1)
+    if counts.shape[1] == 1:
+        return best, np.full(len(best), 0.5)
+    least, second = np.partition(counts, 1, axis=1)[:, :2].T
+    return np.where(alike.sum(axis=1) > 1, alike.argmax(axis=1), best), np.where(alike.sum(axis=1) > 1, 0.0, 1.0 - least / np.maximum(second, 1e-9))
+
+
 def predictions(samples: tuple[tuple[str, bytes], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in slices(batches, 4 << 20):
@@ -144,12 +160,9 @@ def predictions(samples: tuple[tuple[str, bytes], ...]):
             names, scores = ["und"] * len(raw), np.zeros(len(raw))
             if samples:
                 model = parser(samples)
-                counts = model.phrases([letters(x) for x in raw]) * model.norms
-                order = np.argsort(counts, axis=1, kind="stable")  # ties: the first language by name
-                best = np.take_along_axis(counts, order[:, :1], 1)[:, 0]
-                rest = np.take_along_axis(counts, order[:, 1:2], 1)[:, 0] if counts.shape[1] > 1 else best * 2
-                scores = np.where(known, 1.0 - best / np.maximum(rest, 1e-9), 0.0)
-                names = [model.languages[i] if k else "und" for i, k in zip(order[:, 0], known, strict=True)]
+                choice, told = decided(model.phrases([letters(x) for x in raw]), model.norms)
+                scores = np.where(known, told, 0.0)
+                names = [model.languages[i] if k else "und" for i, k in zip(choice, known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(scores), batch.column(2), pa.array(known, pa.bool_())], ["_id", "held_out", "lang_pred", "score", "own", "lettered"])
 
     return run
@@ -197,8 +210,10 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text is parsed whole. A null text or one without letters is ``und`` with
     score 0, as is everything if no label can be learned from. A null id is not
     held out. The score is 1 less the ratio of the best to the second normalised
-    number of phrases; on a tie the first language by name holds. Rows are judged each by itself, so repeated rows agree; own is the hash
-    of the text, and lettered tells texts with a letter from those without.
+    number of phrases; where another language has as many phrases as the best, that is
+    a tie, of which the first by name holds with score 0; with one language alone it is
+    1/2. Rows are judged each by itself, so repeated rows agree; own is the hash of the
+    text, and lettered tells texts with a letter from those without.
     """
     ship(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

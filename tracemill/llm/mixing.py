@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a fixed 60-bit hash. A source takes all documents whose hash
+Every document has a fixed 60-bit hash, of its id and text. A source takes all documents whose hash
 lies below its threshold, beside whole extra passes. The threshold is found
 without sorting: words are summed by source and 12 hash bits, the bucket where
 the running sum passes the budget is refined by the next 12 bits, and so on, each
@@ -12,14 +12,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WORD, stage
+from tracemill.llm.common import WORD, settled, stage, staged
 
 HASH_BITS, STEP_BITS = 60, 12
 
 
-def document_hash(id_col: str) -> Column:
-    digits = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, HASH_BITS // 4)
-    return F.conv(digits, 16, 10).cast("long")
+#: Tasks over which rows that agree in source, id and text are counted.
+SHARES = 64
+
+
+def leading_bits(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def ranked_copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, src, size, digest, own, share) -> the same with rank instead of share: from 1 for the rows that agree in source, id and text.
+
+    Copies are interchangeable, so that any ranks of theirs make the same mix. A group
+    of copies may hold most rows: it is dealt into shares, each ranked by itself after
+    the rows of the shares before it, of which counts alone are added up.
+    """
+    counts = rows.groupBy("src", "digest", "share").agg(F.count("*").alias("n"))
+    copied = stage(counts.groupBy("src", "digest").agg(F.sum("n").alias("all")).where("all > 1").select(F.col("src").alias("of"), F.col("digest").alias("copied")), "mix-copied")
+    same = F.col("src").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("copied"))
+    alone = rows.join(copied, same, "left_anti").withColumn("rank", F.lit(1).cast("long"))
+    before = Window.partitionBy("src", "digest").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)  # SHARES rows at most
+    offsets = counts.join(copied, same, "left_semi").select(F.col("src").alias("of"), F.col("digest").alias("copied"), F.col("share").alias("part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("src", "digest", "share").orderBy("own"))
+    several = rows.join(copied, same, "left_semi").withColumn("nth", inside)
+    several = several.join(offsets, same & (F.col("share") == F.col("part"))).withColumn("rank", F.col("offset") + F.col("nth"))
+    names = ["doc_id", "src", "size", "digest", "own", "rank"]
+    return alone.select(*names).union(several.select(*names))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -70,25 +93,33 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Sources by code point, null last, weigh ``weights`` in turn and share
     ``share`` times all words; a target stops at ``most`` times its source's size.
     Null and empty texts have size 0 and give 0 words; a null source is a source
-    of its own; a null id hashes as the empty string. Rows that repeat an id share
-    a hash and are taken together; src and the text's hash own tell them apart. An
-    empty table gives no rows.
+    of its own; a null id is the empty string. Rows are hashed by id and text, and
+    those of a source that agree in both by a rank as well, so that rows that share
+    an id, or have none, are taken each by itself; own is the text's hash. An empty
+    table gives no rows.
     """
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), size.alias("size"), document_hash(id_col).alias("hash"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own")), "mix-sizes")
+    begun = staged()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)).cast("int")
+    read = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), size.alias("size"), digest.alias("digest"), F.xxhash64(text).alias("own"), dealt.alias("share")), "mix-read")
+    ranked = ranked_copies(read).withColumn("hash", leading_bits(F.md5(F.concat("digest", F.lit(":"), F.col("rank").cast("string")))))
+    sized = stage(ranked.select("doc_id", "src", "size", "hash", "own"), "mix-sizes")
     sizes = stage(sized.groupBy("src").agg(F.sum("size").alias("source_size")), "mix-sources")
     bounds = thresholds(sized, source_targets(sizes, weights, share, most)).withColumnRenamed("src", "bound_src")
     below = (F.col("hash") < F.col("bound")) | ((F.col("hash") == F.col("bound")) & F.col("last"))
     taken = F.col("size") * (F.col("passes") + F.coalesce(below, F.lit(False)).cast("long"))
     joined = sized.join(bounds, F.col("src").eqNullSafe(F.col("bound_src")))
-    return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "src", "own")
+    return settled(joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "src", "own"), "mix", begun)
 
 
 ORACLE = r"""
-WITH sized AS (
+WITH read AS (
   SELECT doc_id, source AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS digest
   FROM documents),
+sized AS (SELECT doc_id, src, size, ('0x' || substr(md5(digest || ':' || row_number() OVER (PARTITION BY src, digest)), 1, 15))::BIGINT AS hash FROM read),
 sizes AS (SELECT src, sum(size)::BIGINT AS source_size FROM sized GROUP BY src),
 ranked AS (
   SELECT *, CASE (row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
