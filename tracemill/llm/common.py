@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -41,7 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{configured or f'{tempfile.gettempdir()}/tracemill-checkpoints'}/tracemill"
 
 
-_staged: list[str] = []
+class Staged(threading.local):
+    """Tables that this thread has staged; queries that run at once in other threads have their own."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_staged = Staged()
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -51,15 +59,15 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def staged() -> int:
     """How many tables are staged, to be given to ``release`` as what came before."""
-    return len(_staged)
+    return len(_staged.paths)
 
 
 def release(spark: SparkSession, before: int, but: int = 0) -> None:
     """Delete the tables staged after the first ``before``, except the last ``but``; for when no plan reads them any more."""
-    end = len(_staged) - but
-    for path in _staged[before:end]:
+    end = len(_staged.paths) - but
+    for path in _staged.paths[before:end]:
         delete(spark, path)
-    del _staged[before:end]
+    del _staged.paths[before:end]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -67,7 +75,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _staged.append(path)
+    _staged.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import stage
+from tracemill.llm.common import settled, stage, staged
 from tracemill.shipping import ship
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -105,6 +105,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "lang", "source")) + "".join(f", {c} long" for c in COUNTS)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    begun = staged()
     counted = stage(rows.mapInArrow(measured, schema).withColumn("base_failed", failed), "quality-counts")
     limits = stage(fences(counted, weight), "quality-fences")
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
@@ -112,7 +113,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = ~F.col("base_failed")
     for test in inside:
         kept = kept & F.coalesce(test, F.lit(True))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return settled(joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept")), "quality", begun)
 
 
 ORACLE = r"""
