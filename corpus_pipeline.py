@@ -64,8 +64,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the words it takes of each."""
-    taken = mix_sources(docs).where("taken > 0").withColumnRenamed("doc_id", "key").dropDuplicates(["key", "own", "src"])
+    """The documents that the mix takes, with the words it takes of each; of rows that agree in id, text and source, as often as the one taken most."""
+    counts = [F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")]
+    taken = mix_sources(docs).where("taken > 0").groupBy(F.col("doc_id").alias("key"), "own", "src").agg(*counts)
     joined = with_decision(docs.select(*COLUMNS), taken, "inner")
     return joined.where(F.col("source").eqNullSafe(F.col("src"))).drop("key", "own", "src")
 
