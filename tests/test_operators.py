@@ -7,13 +7,14 @@ import math
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import stimnames
 from tracemill.operators import alignment, relations, roi
 from tracemill.operators import statistics as st
-from tracemill.sources import tables, tiff
+from tracemill.sources import stacks, tables, tiff
 from tracemill.streaming import online
 
 
@@ -131,6 +132,15 @@ def test_pulses_and_repetitions(spark):
     assert {len(r.f) for r in alignment.equalised(traces, ["roi"], "f").collect()} == {3}
 
 
+def stack_file(images: list[np.ndarray], texts: dict[int, bytes], wide: bool = False) -> bytes:
+    out = pa.BufferOutputStream()
+    stream = stacks.StackStream(out, wide)
+    for image in images:
+        stream.add(image, texts)
+    stream.flush(last=True)
+    return out.getvalue().to_pybytes()
+
+
 def small_tiff(images: np.ndarray, order: str = "<") -> bytes:
     """A classic TIFF stack of 16-bit images."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, 8))
@@ -214,7 +224,7 @@ def test_headers_of_both_dialects(spark, tmp_path):
     """Frame rate, zoom and channels without pixels; 64-bit offsets; a header's text is never run."""
     newer = "SI.hRoiManager.scanFrameRate = 5.07\nSI.hRoiManager.scanZoomFactor = 2\nSI.hChannels.channelSave = [1;2]\nSI.x = __import__('os')"
     images = [np.full((2, 3), k) for k in range(4)]
-    (tmp_path / "new.tif").write_bytes(tiff.stack_file(images, "splitTif_channel_2", newer))
+    (tmp_path / "new.tif").write_bytes(stack_file(images, {stacks.COPYRIGHT: b"splitTif_channel_2\0", stacks.SOFTWARE: newer.encode() + b"\0"}))
     older = b"state.acq.frameRate=3.05\rstate.acq.zoomFactor=1\rstate.acq.numberOfChannelsSave=1\0"
     pixels = np.arange(6, dtype="<i2").tobytes()
     tags = [(256, 4, 1, 3), (257, 4, 1, 2), (258, 3, 1, 16), (270, 2, len(older), 16), (273, 16, 1, 16 + len(older)), (279, 4, 1, len(pixels))]
@@ -223,8 +233,9 @@ def test_headers_of_both_dialects(spark, tmp_path):
     (tmp_path / "old.tif").write_bytes(big)
     found = {r.path.rsplit("/", 1)[1]: r for r in tiff.headers(spark, str(tmp_path)).collect()}
     new, old = found["new.tif"], found["old.tif"]
-    assert (new.rate, new.zoom, new.channels, new.images, new.h, new.w, new.copyright) == (5.07, 2.0, 2, 4, 2, 3, "splitTif_channel_2")
-    assert (old.rate, old.zoom, old.channels, old.images, old.rows) == (3.05, 1.0, 1, 1, None)
+    assert (new.rate, new.zoom, new.channels, new.h, new.w, new.copyright) == (5.07, 2.0, 2, 2, 3, "splitTif_channel_2")
+    assert (old.rate, old.zoom, old.channels, old.rows) == (3.05, 1.0, 1, None)
+    assert {r.path.rsplit("/", 1)[1]: r.images for r in tiff.image_counts(spark, str(tmp_path)).collect()} == {"new.tif": 4, "old.tif": 1}
     got = {r.frame: r.px for r in tiff.frames(spark, str(tmp_path), pattern="old.tif").collect()}
     assert got == {1: list(range(6))}
 
@@ -232,11 +243,10 @@ def test_headers_of_both_dialects(spark, tmp_path):
 def test_stacks_are_split_and_cut_back(spark, tmp_path):
     """Channels to files and read again; a joined stack back into its recordings."""
     images = np.arange(6 * 2 * 3).reshape(6, 2, 3)
-    (tmp_path / "a.tif").write_bytes(tiff.stack_file(list(images), "x"))
-    split = tiff.stack_bytes(tiff.frames(spark, str(tmp_path), channels=2), tiff.split_note(F.col("chan"))).collect()
-    (tmp_path / "out").mkdir()
-    for r in split:
-        (tmp_path / "out" / f"a_{r.chan}.tif").write_bytes(r.content)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tif").write_bytes(stack_file(list(images), {stacks.COPYRIGHT: b"x\0"}))
+    tiff.split_channels(spark, f"{tmp_path}/in", f"{tmp_path}/out", 2)
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["a_chan_1.tif", "a_chan_2.tif"]
     back = tiff.frames(spark, f"{tmp_path}/out").collect()
     assert {(r.path[-5], r.frame): r.px for r in back} == {(str(k % 2 + 1), k // 2 + 1): images[k].ravel().tolist() for k in range(6)}
     assert {r.copyright for r in tiff.headers(spark, f"{tmp_path}/out").collect()} == {"splitTif_channel_1", "splitTif_channel_2"}

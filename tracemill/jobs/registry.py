@@ -39,6 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{configured or f'{tempfile.gettempdir()}/tracemill-checkpoints'}/tracemill"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """What a job wrote for itself, when nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     """Named double columns rounded; -0.0 becomes 0.0."""
     return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns])

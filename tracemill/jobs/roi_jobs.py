@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +96,26 @@ def channel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     chan, frame = channel_of(F.col("at") + 1, 2)
     split = long.select("label", chan.alias("chan"), frame.alias("frame"), "v")
     return split.groupBy("label", "chan").agg(F.count("*").alias("n"), F.max("frame").alias("frames"), r6(F.avg("v")).alias("f"))
+
+
+@query(
+    """WITH f AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS image FROM embeddings),
+p AS (SELECT label, image, i, floor(embedding[i]::DOUBLE * 1000)::BIGINT AS v FROM f, range(1, 65) t(i))
+SELECT label::BIGINT AS label, image::INT AS image, 8 AS h, 8 AS w, sum(v)::BIGINT AS total, sum(v * i)::BIGINT AS moment, 'splitTif_channel_' || label AS note, max(image) OVER (PARTITION BY label)::INT AS images FROM p GROUP BY label, image"""
+)
+def stack_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames streamed to a stack for each label and read again in ranges, with their files' headers and numbers of images."""
+    from tracemill.jobs.registry import delete, shared_dir
+    from tracemill.sources.stacks import stacks, write_stacks
+    from tracemill.sources.tiff import split_note
+
+    folder = f"{shared_dir(spark)}/stacks-{uuid.uuid4().hex}"
+    shorts = images(spark, sf_dir).select("label", "vec_id", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), F.transform("px", lambda v: F.floor(v * 1000).cast("short")).alias("px"))
+    write_stacks(shorts, folder, F.concat(F.lit("label_"), F.col("label").cast("string"), F.lit(".tif")), "vec_id", split_note(F.col("label")))
+    number = F.regexp_extract("path", r"label_(\d+)\.tif$", 1).cast("long").alias("label")
+    sums = [F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.aggregate(F.transform("px", lambda v, i: v * (i + F.lit(1).cast("long"))), F.lit(0).cast("long"), lambda a, v: a + v).alias("moment")]
+    read = stacks(spark, folder, split=1 << 16).select(number, "image", "h", "w", *sums)
+    told = stacks(spark, folder, "headers").select(number, F.col("copyright").alias("note")).join(stacks(spark, folder, "counts").select(number, "images"), "label")
+    read.join(told, "label").write.parquet(f"{folder}-read")
+    delete(spark, folder)
+    return spark.read.parquet(f"{folder}-read")

@@ -1,31 +1,20 @@
-"""Image stacks from TIFF files, decoded with struct on the executors, and their headers.
+"""What stacks of images are to the trace jobs: headers, channels, and recordings cut out of joined stacks.
 
-Files are read through Spark's binaryFile source, so any store that Spark reads
-will do, and an inventory that asks for paths and lengths alone never touches the
-contents. Header text is split into keys and values; it is never evaluated.
+Files are read by ``stacks``; an inventory that asks for paths and lengths alone never
+touches the contents. Header text is split into keys and values; it is never evaluated.
 """
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators import relations
-from tracemill.shipping import ship
+from tracemill.sources.stacks import stacks, write_stacks
 
-FRAMES = "path string, dir int, h int, w int, px array<short>"
-#: Tags of the TIFF format that uncompressed grey stacks use.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION, OFFSETS, SAMPLES, ROWS, COUNTS, SOFTWARE, FORMAT, COPYRIGHT = 256, 257, 258, 259, 262, 270, 273, 277, 278, 279, 305, 339, 33432
 #: Names of what a header tells, in the newer dialect (tag Software) and in the older one (tag ImageDescription).
 NEWER = {"rate": "SI.hRoiManager.scanFrameRate", "zoom": "SI.hRoiManager.scanZoomFactor", "rows": "SI.hRoiManager.linesPerFrame", "cols": "SI.hRoiManager.pixelsPerLine", "fast": "SI.hRoiManager.scanAngleMultiplierFast", "slow": "SI.hRoiManager.scanAngleMultiplierSlow", "shift_x": "SI.hRoiManager.scanAngleShiftFast", "shift_y": "SI.hRoiManager.scanAngleShiftSlow", "rotation": "SI.hRoiManager.scanRotation", "n_frames": "SI.hScan2D.logFramesPerFile"}
 OLDER = {"rate": "state.acq.frameRate", "zoom": "state.acq.zoomFactor", "rows": "state.acq.linesPerFrame", "cols": "state.acq.pixelsPerLine", "fast": "state.acq.scanAngleMultiplierFast", "slow": "state.acq.scanAngleMultiplierSlow", "shift_x": "state.acq.scanShiftFast", "shift_y": "state.acq.scanShiftSlow", "rotation": "state.acq.scanRotation", "n_frames": "state.acq.numberOfFrames"}
-HEADERS = "path string, images int, h int, w int, description string, software string, copyright string"
-SIZES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 8: (2, "h"), 9: (4, "i"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
 
 
 def inventory(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFrame:
@@ -34,48 +23,6 @@ def inventory(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataF
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", (F.col("length") > 11_000_000).alias("likely_map"))
 
 
-def directories(data: bytes) -> Iterator[dict[int, tuple]]:
-    """The tags of each image of a TIFF file, classic or with 64-bit offsets."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    kind = struct.unpack(f"{order}H", data[2:4])[0] if order else 0
-    if kind not in (42, 43):
-        raise ValueError("not a TIFF file")
-    wide = kind == 43
-    first, count_of, offset, entry, inline = (8, "Q", "Q", 20, 8) if wide else (4, "H", "I", 12, 4)
-    head = struct.calcsize(count_of)
-    at = struct.unpack_from(f"{order}{offset}", data, first)[0]
-    while at:
-        n = struct.unpack_from(f"{order}{count_of}", data, at)[0]
-        tags: dict[int, tuple] = {0: (order,)}
-        for k in range(n):
-            own = at + head + entry * k
-            tag, kind, count = struct.unpack_from(f"{order}HH{offset}", data, own)
-            size, letter = SIZES.get(kind, (1, "B"))
-            place = own + entry - inline
-            if size * count > inline:
-                place = struct.unpack_from(f"{order}{offset}", data, place)[0]
-            tags[tag] = struct.unpack_from(f"{order}{count}s" if letter == "s" else f"{order}{count}{letter}", data, place)
-        yield tags
-        at = struct.unpack_from(f"{order}{offset}", data, at + head + entry * n)[0]
-
-
-def text_of(tags: dict[int, tuple], tag: int) -> str | None:
-    return tags[tag][0].rstrip(b"\0").decode("utf-8", "replace") if tag in tags else None
-
-
-def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first image's tags of each file and how many images follow; no pixel is decoded."""
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-    for batch in batches:
-        rows = []
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            tags = list(directories(content.as_py()))
-            first = tags[0]
-            rows.append((path, len(tags), first[HEIGHT][0], first[WIDTH][0], *(text_of(first, t) for t in (DESCRIPTION, SOFTWARE, COPYRIGHT))))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in HEADERS.split(", ")])
-
-
 def header_fields(description: Column, software: Column) -> dict[str, Column]:
     """Frame rate, zoom, size, scan geometry, frames and saved channels out of a header's text, newer dialect or older; NULL where it does not say."""
     newer, older = header_map(software), header_map(description)
@@ -87,53 +34,21 @@ def header_fields(description: Column, software: Column) -> dict[str, Column]:
 
 
 def headers(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFrame:
-    """(path, images, h, w, the fields of ``header_fields``, copyright) of every file, without its pixels."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    ship(spark)
-    read = files.select("path", "content").mapInArrow(headed, HEADERS)
-    return read.select("path", "images", "h", "w", *[v.alias(k) for k, v in header_fields(F.col("description"), F.col("software")).items()], "copyright")
-
-
-def stack_file(images: list[np.ndarray], note: str, software: str | None = None) -> bytes:
-    """A classic TIFF stack of 16-bit images with a note in its copyright tag."""
-    out = bytearray(struct.pack("<2sHI", b"II", 42, 8))
-    for k, image in enumerate(images):
-        texts = {COPYRIGHT: note.encode() + b"\0"} | ({SOFTWARE: software.encode() + b"\0"} if software else {})
-        data = image.astype("<i2").tobytes()
-        entries = sorted([(WIDTH, 4, 1, image.shape[1]), (HEIGHT, 4, 1, image.shape[0]), (BITS, 3, 1, 16), (COMPRESSION, 3, 1, 1), (PHOTOMETRIC, 3, 1, 1), (OFFSETS, 4, 1, None), (SAMPLES, 3, 1, 1), (ROWS, 4, 1, image.shape[0]), (COUNTS, 4, 1, len(data)), (FORMAT, 3, 1, 2), *((t, 2, len(x), None) for t, x in texts.items())])
-        at = len(out) + 2 + 12 * len(entries) + 4
-        places, body = {}, b""
-        for t, x in texts.items():
-            places[t] = at + len(body)
-            body += x + b"\0" * (len(x) % 2)
-        places[OFFSETS] = at + len(body)
-        body += data
-        out += struct.pack("<H", len(entries))
-        for tag, kind, count, value in entries:
-            if kind == 2 and count <= 4:
-                out += struct.pack("<HHI4s", tag, kind, count, texts[tag])
-            else:
-                value = places[tag] if value is None else value
-                out += struct.pack("<HHI", tag, kind, count) + (struct.pack("<HH", value, 0) if kind == 3 else struct.pack("<I", value))
-        out += struct.pack("<I", at + len(body) + len(body) % 2 if k < len(images) - 1 else 0) + body + b"\0" * (len(body) % 2)
-    return bytes(out)
-
-
-def stack_bytes(frames: DataFrame, note: Column, keys: tuple[str, ...] = ("path", "chan")) -> DataFrame:
-    """(keys, content): each recording's frames (frame, h, w, px) as one TIFF stack, by channel or whatever the keys are.
-
-    A stack is a file, so one task holds one; store the rows or write the contents as files.
-    """
-    ship(frames.sparkSession)
-    kinds = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys)
-
-    def packed(group: pa.Table) -> pa.Table:
-        group = group.sort_by("frame")
-        shapes = zip(group.column("h").to_pylist(), group.column("w").to_pylist(), group.column("px").to_pylist(), strict=True)
-        data = stack_file([np.array(px, np.int16).reshape(h, w) for h, w, px in shapes], group.column("note")[0].as_py())
-        return pa.table([group.column(k).slice(0, 1) for k in keys] + [pa.array([data], pa.binary())], names=[*keys, "content"])
-
-    return frames.withColumn("note", note).groupBy(*keys).applyInArrow(packed, f"{kinds}, content binary")
+    """(path, h, w, the fields of ``header_fields``, copyright) of every file, from its first directory alone."""
+    read = stacks(spark, folder, "headers", pattern)
+    return read.select("path", "h", "w", *[v.alias(k) for k, v in header_fields(F.col("description"), F.col("software")).items()], "copyright")
+
+
+def image_counts(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFrame:
+    """(path, images) of every file, from its chain of directories."""
+    return stacks(spark, folder, "counts", pattern)
+
+
+def split_channels(spark: SparkSession, folder: str, out: str, channels: int, pattern: str = "*.tif") -> None:
+    """A file ``<name>_chan_<n>.tif`` for each channel of each stack, marked as such in its copyright tag."""
+    read = frames(spark, folder, channels, pattern)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.tif$", "")
+    write_stacks(read, out, F.concat(name, F.lit("_chan_"), F.col("chan").cast("string"), F.lit(".tif")), "frame", split_note(F.col("chan")))
 
 
 def split_note(chan: Column) -> Column:
@@ -148,34 +63,10 @@ def cut_back(stack: DataFrame, recordings: DataFrame, group: str, tif: str) -> D
     return stack.join(own, [group, "frame"]).select(tif, F.col("own_frame").alias("frame"), "h", "w", "px")
 
 
-def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in FRAMES.split(", ")]
-    for batch in batches:
-        for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            data, rows = data.as_py(), []
-            for k, tags in enumerate(directories(data), 1):
-                pixels = b"".join(data[a : a + n] for a, n in zip(tags[OFFSETS], tags[COUNTS], strict=True))
-                kind = np.dtype(np.uint8) if tags.get(BITS, (8,))[0] == 8 else np.dtype(np.int16).newbyteorder(tags[0][0])
-                rows.append((path, k, tags[HEIGHT][0], tags[WIDTH][0], np.frombuffer(pixels, kind).astype(np.int16)))
-                if len(rows) == 64:
-                    yield pa.RecordBatch.from_arrays(typed(rows), names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays(typed(rows), names)
-
-
-def typed(rows: list[tuple]) -> list[pa.Array]:
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int16()))
-    return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-
-
 def frames(spark: SparkSession, folder: str, channels: int = 1, pattern: str = "*.tif") -> DataFrame:
     """(path, chan, frame, h, w, px): one row per image of every file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    ship(spark)
-    read = files.select("path", "content").mapInArrow(decoded, FRAMES)
-    chan, frame = channel_of(F.col("dir"), channels)
-    return read.select("path", chan.alias("chan"), frame.alias("frame"), "h", "w", "px")
+    chan, frame = channel_of(F.col("image"), channels)
+    return stacks(spark, folder, "frames", pattern).select("path", chan.alias("chan"), frame.alias("frame"), "h", "w", "px")
 
 
 def channel_of(image: Column, channels: int) -> tuple[Column, Column]:
