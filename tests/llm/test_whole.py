@@ -146,9 +146,9 @@ def tree_by_hand(pages: dict[int, str], presentation: float = 0.1, times: float
                 held[at.node] = at
                 below.setdefault(at.node, set()).add(b.element.node)
                 at = at.above()
-            for f in html_tree.features(b.text):
+            for f, weight in html_tree.features(b.text):
                 shown.setdefault(b.element.node, {}).setdefault(f, set()).add(k)
-                words[b.element.node, f] = b.text.count(" ") + 1
+                words[b.element.node, f] = weight
         for node, e in held.items():
             styles.setdefault(node, []).append(tuple(e.children))
 

@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import release, slices, stage, staged
-from tracemill.llm.graph import beside
 from tracemill.shipping import ship
 
 #: HTML's elements by their part in a page.
@@ -184,7 +183,7 @@ TIMES, LEAST_LOSS, MOST_LOSS = 3.5, 0.03, 0.6
 ENDS = 3
 #: Shares into which the pages that hold one node are dealt.
 SALTS = 16
-SEEN = "host long, row long, page long, nodes array<struct<node:long,above:long>>, contents array<struct<node:long,feature:long,words:int>>, styles array<struct<node:long,feature:long>>"
+SEEN = "host long, row long, page long, nodes array<struct<node:long,above:long,apart:boolean>>, contents array<struct<node:long,feature:long,words:int>>, styles array<struct<node:long,feature:long>>"
 
 
 def elements(blocks: list[Block]) -> list[Element]:
@@ -198,9 +197,12 @@ def elements(blocks: list[Block]) -> list[Element]:
     return list(seen.values())
 
 
-def features(text: str) -> tuple[int, int, int]:
-    """What a block shows: its whole text, its first words, and its last."""
-    return key("whole", text), key("first", *text.split(" ", ENDS)[:ENDS]), key("last", *text.rsplit(" ", ENDS)[-ENDS:])
+def features(text: str) -> list[tuple[int, int]]:
+    """What a block shows, with its weight: its whole text, its first words, and its last; for a text of few words these are one."""
+    words = text.count(" ") + 1
+    if words <= ENDS:
+        return [(key("whole", text), 3 * words)]
+    return [(key("whole", text), words), (key("first", *text.split(" ", ENDS)[:ENDS]), words), (key("last", *text.rsplit(" ", ENDS)[-ENDS:]), words)]
 
 
 def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +212,8 @@ def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count once: else an article that was copied would look like a template.
     """
     names = [x.split()[0] for x in SEEN.split(", ")]
-    pair = lambda second: pa.list_(pa.struct([("node", pa.int64()), (second, pa.int64())]))
+    pair = pa.list_(pa.struct([("node", pa.int64()), ("feature", pa.int64())]))
+    branch = pa.list_(pa.struct([("node", pa.int64()), ("above", pa.int64()), ("apart", pa.bool_())]))
     told = pa.list_(pa.struct([("node", pa.int64()), ("feature", pa.int64()), ("words", pa.int32())]))
     for batch, found in slices(batches, 4 << 20):
         pages, nodes, contents, styles = [], [], [], []
@@ -218,11 +221,11 @@ def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks = read_page(raw.decode("utf-8", "ignore")).blocks
             lines = elements(blocks)
             pages.append(key(*(b.text for b in blocks if not b.element.apart)))
-            above = {e.node: e.above() for e in lines}
-            nodes.append([{"node": n, "above": up.node if up is not None else None} for n, up in above.items()])
-            contents.append([{"node": n, "feature": f, "words": w} for (n, f), w in {(b.element.node, f): b.text.count(" ") + 1 for b in blocks for f in features(b.text)}.items()])
-            styles.append([{"node": n, "feature": f} for n, f in {e.node: key(*e.children) for e in lines}.items()])
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("row"), pa.array(pages, pa.int64()), pa.array(nodes, pair("above")), pa.array(contents, told), pa.array(styles, pair("feature"))], names)
+            above = {e.node: (e.above(), e.apart) for e in lines}
+            nodes.append([{"node": n, "above": up.node if up is not None else None, "apart": apart} for n, (up, apart) in above.items()])
+            contents.append([{"node": n, "feature": f, "words": w} for (n, f), w in {(b.element.node, f): w for b in blocks for f, w in features(b.text)}.items()])
+            styles.append([{"node": n, "feature": f} for n, f in {e.node: key(*e.children) for e in lines if e.children}.items()])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("row"), pa.array(pages, pa.int64()), pa.array(nodes, branch), pa.array(contents, told), pa.array(styles, pair)], names)
 
 
 def summed_branches(leaves: DataFrame, above: DataFrame) -> DataFrame:
@@ -241,26 +244,31 @@ def summed_branches(leaves: DataFrame, above: DataFrame) -> DataFrame:
 
 
 def low_branches(seen: DataFrame, presentation: float, times: float) -> DataFrame:
-    """(host, node, own, branch): each host's nodes whose own contents or branch lie below its threshold, and by how much (negative, else null)."""
-    chosen = seen.groupBy("host", "page").agg(F.min("row").alias("row")).select("host", "row")
-    sizes = chosen.groupBy("host").agg(F.count("*").alias("n"))
-    total = chosen.count()
-    once = seen.join(chosen, ["host", "row"], "left_semi")  # repeated rows are taken twice and counted once
-    held = lambda c: once.select("host", "row", F.explode(c).alias("x")).select("host", "row", "x.*").distinct().groupBy("host", "node", "feature")
-    contents = beside(held("contents").agg(F.count("*").alias("times"), F.max("words").alias("words")), sizes, "host", total).where("n > 1")
-    styles = beside(held("styles").agg(F.count("*").alias("times")), sizes, "host", total).where("n > 1")
-    entropy, weight = F.log("times") / F.log("n") * (F.col("n") - 1) / (F.col("n") + 1), F.col("times") * F.col("words")
-    leaves = stage(contents.groupBy("host", "node").agg(F.sum(weight * entropy).alias("lost"), F.sum(weight).alias("shown")), "tree-leaves")
-    loss = F.least(F.greatest(times * F.sum("lost") / F.sum("shown"), F.lit(LEAST_LOSS)), F.lit(MOST_LOSS))
-    bounds = stage(leaves.groupBy("host").agg(loss.alias("loss")), "tree-thresholds")
-    above = once.select("host", F.explode("nodes").alias("x")).groupBy("host", "x.node").agg(F.min("x.above").alias("above"))
-    branches = summed_branches(leaves, above).where("shown > 0")
+    """(host, node, own, branch): each host's nodes whose own contents or branch lie below its threshold, and by how much (negative, else null).
+
+    Nodes that names set apart wherever they stand are left out: these go without being told.
+    """
+    chosen = seen.groupBy("host", "page").agg(F.min("uid").alias("uid"))
+    sizes = stage(chosen.groupBy("host").agg(F.count("*").alias("n")).where("n > 1"), "tree-hosts")
+    once = seen.join(chosen.select("uid"), "uid", "left_semi")
+    held = lambda c: once.select("host", F.explode(c).alias("x")).select("host", "x.*").groupBy("host", "node")
+    shown = lambda c, *more: once.select("host", F.explode(c).alias("x")).groupBy("host", "x.node", "x.feature").agg(F.count("*").alias("times"), *more)
+    weight = F.col("times") * F.col("words")
+    leaves = shown("contents", F.max("x.words").alias("words")).groupBy("host", "node").agg(F.sum(weight * F.log("times")).alias("lost"), F.sum(weight).alias("shown"))
+    leaves = stage(leaves.join(sizes.select("host"), "host", "left_semi"), "tree-leaves")
+    share = (F.col("n") - 1) / (F.col("n") + 1) / F.log("n")  # turns sums of logarithms into entropies, as far as n pages testify
+    loss = F.least(F.greatest(times * share * F.col("lost") / F.col("shown"), F.lit(LEAST_LOSS)), F.lit(MOST_LOSS))
+    bounds = leaves.groupBy("host").agg(F.sum("lost").alias("lost"), F.sum("shown").alias("shown")).join(sizes, "host")
+    bounds = stage(bounds.select("host", loss.alias("loss"), share.alias("share"), F.log("n").alias("most")), "tree-thresholds")
+    nodes = stage(held("nodes").agg(F.min("above").alias("above"), F.min("apart").alias("apart")).join(sizes.select("host"), "host", "left_semi"), "tree-structure")
+    branches = summed_branches(leaves, nodes.select("host", "node", "above")).where("shown > 0")
     whole = F.sum("times")
-    styled = styles.groupBy("host", "node").agg(((F.log(whole) - F.sum(F.col("times") * F.log("times")) / whole) / F.log(F.max("n"))).alias("styles"))
-    own = leaves.select("host", "node", (-F.col("lost") / F.col("shown")).alias("own"))
-    judged = branches.join(styled, ["host", "node"]).join(own, ["host", "node"], "left").join(bounds, "host")
+    styled = shown("styles").groupBy("host", "node").agg((F.log(whole) - F.sum(F.col("times") * F.log("times")) / whole).alias("styles"))
+    own = leaves.select("host", "node", (F.col("lost") / F.col("shown")).alias("own"))
+    judged = branches.join(nodes.where("NOT apart").select("host", "node"), ["host", "node"]).join(styled, ["host", "node"], "left").join(own, ["host", "node"], "left").join(bounds, "host")
     below = lambda x: F.when(x < 0, x)
-    low = judged.select("host", "node", below(F.col("own") + F.col("loss")).alias("own"), below(presentation * F.col("styles") - F.col("lost") / F.col("shown") + F.col("loss")).alias("branch"))
+    bonus = presentation * F.coalesce(F.col("styles"), F.lit(0.0)) / F.col("most")
+    low = judged.select("host", "node", below(F.col("loss") - F.col("share") * F.col("own")).alias("own"), below(bonus - F.col("share") * F.col("lost") / F.col("shown") + F.col("loss")).alias("branch"))
     return stage(low.where("own IS NOT NULL OR branch IS NOT NULL"), "tree-low")
 
 
@@ -320,7 +328,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("host", "text"))  # pages of equal html hold equal nodes
-    seen = stage(rows.select("host", "row", "text").mapInArrow(observed, SEEN), "tree-pages")
+    seen = stage(rows.select("host", "row", "text").mapInArrow(observed, SEEN).withColumn("uid", F.monotonically_increasing_id()), "tree-pages")
     low = stage(low_of_pages(seen, low_branches(seen, presentation, times)), "tree-low-pages")
     release(pages.sparkSession, begun, but=1)
     kind = rows.schema["page_id"].dataType.simpleString()
