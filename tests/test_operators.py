@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.functions import stimnames
+from tracemill.functions import distributions, stimnames
 from tracemill.operators import alignment, relations, roi
 from tracemill.operators import statistics as st
 from tracemill.sources import stacks, tables, tiff
@@ -80,11 +80,34 @@ def test_names(spark):
     assert [r[0] for r in families.select(stimnames.family(F.col("s"))).collect()] == ["CGC", "BPN", None]
 
 
-def test_p_values():
-    assert st.t_two_sided(2.228139, 10) == pytest.approx(0.05, abs=1e-6)
-    assert st.t_two_sided(0.0, 5) == pytest.approx(1.0)
-    assert st.t_two_sided(12.706205, 1) == pytest.approx(0.05, abs=1e-6)
-    assert st.normal_two_sided(1.959964) == pytest.approx(0.05, abs=1e-6)
+def test_p_values(spark):
+    """Tabled points of Student's t, odd and even degrees of freedom, and the far end of the series; missing and no freedom."""
+    points = [(12.706205, 1, 0.05), (4.302653, 2, 0.05), (3.182446, 3, 0.05), (2.228139, 10, 0.05), (63.656741, 1, 0.01), (3.169273, 10, 0.01), (1.960201, 10_000, 0.05), (1.960201, 10_001, 0.05), (0.0, 5, 1.0), (-2.228139, 10, 0.05), (None, 5, None), (1.0, 0, None)]
+    found = spark.createDataFrame([(float(t) if t is not None else None, n) for t, n, _ in points], "t double, df long").select("*", distributions.t_two_sided(F.col("t"), F.col("df")).alias("p")).collect()
+    want = {(t, n): p for t, n, p in points}
+    assert all((r.p is None and want[r.t, r.df] is None) or r.p == pytest.approx(want[r.t, r.df], abs=2e-7) for r in found)
+    assert spark.range(1).select(distributions.normal_two_sided(F.lit(1.959964))).first()[0] == pytest.approx(0.05, abs=1e-6)
+    back = spark.createDataFrame([(1,), (2,), (10,), (60,), (20_000,)], "df long").select(distributions.t_quantile(0.95, F.col("df"), st.Z95)).collect()
+    assert [r[0] for r in back] == pytest.approx([12.706205, 4.302653, 2.228139, 2.000298, 1.960083], abs=2e-6)
+
+
+def test_counted_permutations(spark):
+    """Against all subsets one by one; a key too large for its table is tested by draws."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    rows = [(g, float(x), bool(k < m), f"{g}{k}") for g, n, m in (("a", 9, 4), ("b", 8, 6), ("c", 5, 0)) for k, x in enumerate(rng.integers(-5, 30, n))]
+    df = spark.createDataFrame(rows, "g string, x double, first boolean, id string")
+    found = {r.g: r for r in st.counted_permutation_test(df, ["g"], "x", F.col("first"), 1.0, "id").collect()}
+    assert set(found) == {"a", "b"}
+    for g in found:
+        xs, m = [r[1] for r in rows if r[0] == g], sum(r[2] for r in rows if r[0] == g)
+        gap = lambda s, xs=xs, m=m: s / m - (sum(xs) - s) / (len(xs) - m)
+        given = gap(sum(xs[:m]))
+        every = [abs(gap(sum(c))) >= abs(given) - 1e-9 for c in combinations(xs, m)]
+        assert found[g].p == pytest.approx(sum(every) / len(every)) and found[g].difference == pytest.approx(given) and found[g].n == len(xs)
+    drawn = {r.g: r.p for r in st.counted_permutation_test(df, ["g"], "x", F.col("first"), 1.0, "id", cells=1, rounds=400).collect()}
+    assert set(drawn) == {"a", "b"} and all(abs(drawn[g] - found[g].p) < 0.12 for g in drawn)
 
 
 def test_statistics(spark):
@@ -104,7 +127,6 @@ def test_statistics(spark):
     assert shifted.sig and shifted.p < 1e-4 and st.significant_shift(rows.where("NOT first"), ["g"], "x", 2.0).first().p > 0.01
     exact = st.quantiles(rows, ["g"], "x", {"a": 0.1, "b": 0.5, "c": 1.0}).first()
     assert (exact.a, exact.b, exact.c) == pytest.approx(tuple(np.quantile(np.concatenate([a, b]), [0.1, 0.5, 1.0])))
-    assert spark.range(1).select(st.t_quantile(1.959963985, F.lit(10.0))).first()[0] == pytest.approx(2.228139, abs=2e-4)
     cdf = [r[0] for r in spark.createDataFrame([(x,) for x in (-6.0, -1.0, 0.0, 1.959964, 5.0)], "z double").select(st.normal_cdf(F.col("z"))).collect()]
     assert cdf == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in (-6.0, -1.0, 0.0, 1.959964, 5.0)], rel=2e-7)
     ties = spark.createDataFrame([("g", v, f) for v, f in [(1.0, True), (2.0, True), (2.0, False), (3.0, False)]], "g string, x double, first boolean")

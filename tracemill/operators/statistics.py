@@ -2,49 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-
-def beta_fraction(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function, by its continued fraction (modified Lentz)."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - beta_fraction(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, c, d = 1e-300, 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1), 1e-300)
-    total = d
-    for m in range(1, 300):
-        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 / (1.0 + term * d or tiny)
-            c = 1.0 + term / c or tiny
-            total *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * total
-
-
-def t_two_sided(t: float, df: float) -> float:
-    return beta_fraction(df / 2, 0.5, df / (df + t * t)) if df > 0 and not math.isnan(t) else math.nan
-
 
-def normal_two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-@F.pandas_udf(DoubleType())
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df, strict=True)], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def z_p_value(z: pd.Series) -> pd.Series:
-    return pd.Series([normal_two_sided(x) if pd.notna(x) else None for x in z], dtype="float64")
+from tracemill.functions.distributions import normal_cdf, normal_two_sided, t_quantile, t_two_sided
+from tracemill.shipping import ship
 
 
 def one_sample_t(rows: DataFrame, keys: list[str], x: Column, against: float = 0.0) -> DataFrame:
@@ -115,21 +79,6 @@ def signed_rank(rows: DataFrame, keys: list[str], d: str) -> DataFrame:
     return sums.select(*keys, "n", "w", F.try_divide(off - F.signum(off) * 0.5, F.sqrt(variance)).alias("z"))
 
 
-#: Coefficients of a published rational approximation of the complementary error function, of which the relative error is below 1.2e-7.
-ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-
-
-def normal_cdf(z: Column) -> Column:
-    """The normal distribution function in column expressions alone."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + x / 2)
-    power = F.lit(ERFC[-1])
-    for c in reversed(ERFC[:-1]):
-        power = F.lit(c) + t * power
-    tail = t * F.exp(power - x * x) / 2
-    return F.when(z > 0, 1 - tail).otherwise(tail)
-
-
 def anderson_darling(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
     """(keys, n, a2): Anderson-Darling distance to a normal of the sample's mean and deviation.
 
@@ -148,30 +97,48 @@ def anderson_darling(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
     return z.withColumn("_p", p).groupBy(*keys).agg(F.max("n").alias("n"), (-F.max("n") - F.sum(term) / F.max("n")).alias("a2"))
 
 
-def least_squares(rows: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
-    """(keys, n, slope, intercept, slope_se, slope0): the line, its slope's standard error, and the slope through the origin."""
+#: Fixed value: the normal quantile of 97.5 %.
+Z95 = 1.959963984540054
+
+
+def least_squares(rows: DataFrame, keys: list[str], x: Column, y: Column, log_scale: bool = False) -> DataFrame:
+    """(keys, n, slope, intercept, slope_se, slope0, and what a band needs): the line, its slope's standard error, and the slope through the origin; ``log_scale`` takes log10 of both, of positive pairs."""
+    if log_scale:
+        x, y = (F.when((x > 0) & (y > 0), F.log10(v)) for v in (x, y))
     both = F.when(x.isNotNull() & y.isNotNull(), F.lit(1.0))
     a, b = x * both, y * both
-    found = rows.groupBy(*keys).agg(F.count(both).alias("n"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_sxx(b, a).alias("sxx"), F.regr_syy(b, a).alias("syy"), F.try_divide(F.sum(a * b), F.sum(a * a)).alias("slope0"))
+    found = rows.groupBy(*keys).agg(F.count(both).alias("n"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_sxx(b, a).alias("sxx"), F.regr_syy(b, a).alias("syy"), F.sum(a * a).alias("xx"), F.sum(b * b).alias("yy"), F.try_divide(F.sum(a * b), F.sum(a * a)).alias("slope0"), F.avg(a).alias("x_mean"), F.min(a).alias("x_low"), F.max(a).alias("x_high"))
     rest = F.greatest(F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx"), F.lit(0.0))
-    se = F.sqrt(F.try_divide(F.try_divide(rest, F.col("n") - 2), F.col("sxx")))
-    return found.select(*keys, "n", "slope", "intercept", se.alias("slope_se"), "slope0")
+    rest0 = F.greatest(F.col("yy") - F.col("slope0") * F.col("slope0") * F.col("xx"), F.lit(0.0))
+    residual, residual0 = F.sqrt(F.try_divide(rest, F.col("n") - 2)), F.sqrt(F.try_divide(rest0, F.col("n") - 1))
+    return found.select(*keys, "n", "slope", "intercept", F.try_divide(residual, F.sqrt("sxx")).alias("slope_se"), "slope0", residual.alias("residual"), residual0.alias("residual0"), "sxx", "xx", "x_mean", "x_low", "x_high")
 
 
-def t_quantile(z: float, df: Column) -> Column:
-    """Quantile of Student's t at the normal quantile ``z``, by the first four terms of the expansion in 1 / df; good to four digits from 10 on."""
-    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
-    out = F.lit(z)
-    for k, c in enumerate(terms, 1):
-        out = out + c / F.pow(df, k)
-    return out
+def with_t_quantile(rows: DataFrame, df: Column, level: float = 0.95, z: float = Z95) -> DataFrame:
+    """Rows with the column t_quantile, worked out once for each number of degrees of freedom."""
+    marked = rows.withColumn("_df", df)
+    known = marked.select("_df").distinct().withColumn("t_quantile", t_quantile(level, F.col("_df"), z))
+    return marked.join(known, "_df", "left").drop("_df")
 
 
-def slope_interval(fit: DataFrame, against: float = 1.0, z: float = 1.959963985) -> DataFrame:
-    """A line of ``least_squares`` with its slope's confidence interval, and whether that includes ``against``."""
-    wide = t_quantile(z, (F.col("n") - 2).cast("double")) * F.col("slope_se")
+def slope_interval(fit: DataFrame, against: float = 1.0) -> DataFrame:
+    """A line of ``least_squares`` with its slope's 95 % confidence interval, and whether that includes ``against``."""
+    wide = F.col("t_quantile") * F.col("slope_se")
     low, high = F.col("slope") - wide, F.col("slope") + wide
-    return fit.withColumns({"slope_low": low, "slope_high": high, "includes": F.lit(against).between(low, high)})
+    return with_t_quantile(fit, F.col("n") - 2).withColumns({"slope_low": low, "slope_high": high, "includes": F.lit(against).between(low, high)}).drop("t_quantile")
+
+
+def line_band(fit: DataFrame, keys: list[str], points: int = 1000, intercept: bool = True) -> DataFrame:
+    """(keys, point, x, y, low, high): the line of ``least_squares`` from its least x, or from 0 without an intercept or where x begins below, to its largest, with the 95 % band of its mean."""
+    lines = with_t_quantile(fit, F.col("n") - (2 if intercept else 1))
+    start = F.when(F.col("x_low") > 0, F.col("x_low")).otherwise(0.0) if intercept else F.lit(0.0)
+    at = lines.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", start + (F.col("x_high") - start) * F.col("point") / (points - 1))
+    off = F.col("x") - F.col("x_mean")
+    if intercept:
+        y, se = F.col("intercept") + F.col("slope") * F.col("x"), F.col("residual") * F.sqrt(1 / F.col("n") + F.try_divide(off * off, F.col("sxx")))
+    else:
+        y, se = F.col("slope0") * F.col("x"), F.try_divide(F.col("residual0") * F.abs("x"), F.sqrt("xx"))
+    return at.select(*keys, "point", "x", y.alias("y"), (y - F.col("t_quantile") * se).alias("low"), (y + F.col("t_quantile") * se).alias("high"))
 
 
 def paired_effects(rows: DataFrame, keys: list[str], contrasts: dict[str, Column]) -> DataFrame:
@@ -230,6 +197,52 @@ def exact_permutation_test(rows: DataFrame, keys: list[str], x: str, first: Colu
     return judged.groupBy(*keys).agg(F.max("n").alias("n"), F.max("_d0").alias("difference"), (F.count_if(F.abs("_d") >= F.abs("_d0") - 1e-9) / F.count("*")).alias("p"))
 
 
+def sum_distribution(scores: np.ndarray, size: int) -> np.ndarray:
+    """The chances of the sums of ``size`` of the whole numbers ``scores`` (from 0), all choices alike: item by item, shifted by the item's score where it is taken."""
+    most = int(np.sort(scores)[len(scores) - size :].sum())
+    chance = np.zeros((size + 1, most + 1))
+    chance[0, 0] = 1.0
+    n = len(scores)
+    for i, x in enumerate(np.sort(scores).tolist()):
+        take = ((size - np.arange(size + 1)) / (n - i))[:, None]
+        taken = chance * np.clip(take, 0.0, 1.0)
+        chance -= taken
+        chance[1:, x:] += taken[:-1, : most + 1 - x]
+    return chance[size]
+
+
+def counted_permutation_test(rows: DataFrame, keys: list[str], x: str, first: Column, unit: float, row: str, cells: int = 1 << 24, rounds: int = 1000) -> DataFrame:
+    """(keys, n, difference, p) over all ways to draw the first sample, of values in whole units.
+
+    Subsets are not drawn but counted by their sum, so that p is exact whatever the
+    sample's size. The table of counts has a cell for each size and sum; keys of which
+    it would pass ``cells`` are tested by ``permutation_test`` with ``rounds`` draws.
+    """
+    scored = rows.where(F.col(x).isNotNull()).select(*keys, F.floor(F.col(x) / unit).cast("long").alias("_x"), first.alias("_first"), F.col(row).alias("_row"))
+    totals = scored.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("_first").alias("n1"), F.sum("_x").alias("t"), F.sum(F.when(F.col("_first"), F.col("_x"))).alias("s"), F.min("_x").alias("low"), F.max("_x").alias("high")).where("n1 > 0 AND n1 < n")
+    small = F.least("n1", F.col("n") - F.col("n1"))
+    sizes = totals.withColumn("_exact", (small + 1) * (small * (F.col("high") - F.col("low")) + 1) <= cells)
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def counted(group: pa.Table) -> pa.Table:
+        one = {c: group.column(c)[0].as_py() for c in ("n", "n1", "t", "s", "low")}
+        n, n1, low = one["n"], one["n1"], one["low"]
+        scores = np.repeat(group.column("_x").to_numpy(), group.column("_times").to_numpy()) - low
+        k = min(n1, n - n1)
+        chance = sum_distribution(scores, k)
+        drawn = np.arange(len(chance)) + k * low  # the sum of the smaller sample
+        mean = lambda s, m: s / m - (one["t"] - s) / (n - m)
+        given = mean(one["s"], n1)
+        extreme = np.abs(mean(drawn, k)) >= abs(given) - 1e-9
+        return pa.table([group.column(c).slice(0, 1) for c in keys] + [pa.array([n]), pa.array([given * unit]), pa.array([min(1.0, float(chance[extreme].sum()))])], names=[*keys, "n", "difference", "p"])
+
+    ship(rows.sparkSession)
+    times = scored.groupBy(*keys, "_x").agg(F.count("*").alias("_times"))
+    exact = times.join(sizes.where("_exact"), keys).groupBy(*keys).applyInArrow(counted, f"{kinds}, n long, difference double, p double")  # a row for each unit
+    large = scored.join(sizes.where("NOT _exact").select(*keys), keys, "left_semi").withColumn("_x", F.col("_x") * unit)
+    return exact.unionByName(permutation_test(large, keys, "_x", F.col("_first"), "_row", rounds))
+
+
 #: The 5 % point of the adjusted Anderson-Darling statistic.
 NORMAL_LIMIT = 0.752
 
@@ -248,14 +261,14 @@ def judged(both: DataFrame, keys: list[str], names: tuple[str, str], alpha: floa
 
 def significant_difference(rows: DataFrame, keys: list[str], x: str, first: Column, alpha: float = 0.05) -> DataFrame:
     """(keys, normal, test, stat, p, sig): t test where the pooled values look normal, else the rank-sum test."""
-    t = two_sample_t(rows, keys, F.col(x), first).select(*keys, F.col("t").alias("stat_t"), t_p_value("t", F.col("df").cast("double")).alias("p_t"))
-    w = rank_sum(rows, keys, x, first).select(*keys, F.col("z").alias("stat_w"), z_p_value("z").alias("p_w"))
+    t = two_sample_t(rows, keys, F.col(x), first).select(*keys, F.col("t").alias("stat_t"), t_two_sided(F.col("t"), F.col("df")).alias("p_t"))
+    w = rank_sum(rows, keys, x, first).select(*keys, F.col("z").alias("stat_w"), normal_two_sided(F.col("z")).alias("p_w"))
     return judged(looks_normal(rows, keys, x).join(t, keys).join(w, keys), keys, ("t", "rank sum"), alpha)
 
 
 def significant_shift(rows: DataFrame, keys: list[str], x: str, against: float = 0.0, alpha: float = 0.05) -> DataFrame:
     """(keys, normal, test, stat, p, sig) of one sample against a number; of paired differences it is the paired test."""
     moved = rows.withColumn(x, F.col(x) - against)
-    t = one_sample_t(moved, keys, F.col(x)).select(*keys, F.col("t").alias("stat_t"), t_p_value("t", F.col("df").cast("double")).alias("p_t"))
-    w = signed_rank(moved, keys, x).select(*keys, F.col("z").alias("stat_w"), z_p_value("z").alias("p_w"))
+    t = one_sample_t(moved, keys, F.col(x)).select(*keys, F.col("t").alias("stat_t"), t_two_sided(F.col("t"), F.col("df")).alias("p_t"))
+    w = signed_rank(moved, keys, x).select(*keys, F.col("z").alias("stat_w"), normal_two_sided(F.col("z")).alias("p_w"))
     return judged(looks_normal(moved, keys, x).join(t, keys).join(w, keys, "left"), keys, ("t", "signed rank"), alpha)
