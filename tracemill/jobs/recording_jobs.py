@@ -10,6 +10,7 @@ from tracemill.jobs.registry import query, r6, rounded, table
 from tracemill.jobs.roi_jobs import SIDE, images, regions
 from tracemill.jobs.stimulus_jobs import FAMILY, SETS, pulse_sets
 from tracemill.operators import cohorts, recordings, roi, stimuli
+from tracemill.operators.filters import low_pass, steady_state
 from tracemill.sources import tables, tiff
 
 
@@ -195,15 +196,30 @@ def separation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recordings.filled_runs(rows, files, "image")
 
 
+NUM, DEN = low_pass(2, 0.25)
+STEADY = steady_state(NUM, DEN)
+
+
+def recurrence(name: str, rows: str) -> str:
+    """SQL of a filter of second order as its recurrence over rows(label, i, p, x), p from 0: the table ``name``(label, i, p, y, z1, z2)."""
+    y = f"({float(NUM[0])!r}::DOUBLE * x + z1)"
+    step = f"{y}, {float(NUM[1])!r}::DOUBLE * x - {float(DEN[1])!r}::DOUBLE * {y} + z2, {float(NUM[2])!r}::DOUBLE * x - {float(DEN[2])!r}::DOUBLE * {y}"
+    start = f"SELECT label, i, p, x, {float(STEADY[0])!r}::DOUBLE * x AS z1, {float(STEADY[1])!r}::DOUBLE * x AS z2 FROM {rows} WHERE p = 0"
+    return f"{name}(label, i, p, y, z1, z2) AS (SELECT label, i, p, {step} FROM ({start}) UNION ALL SELECT r.label, r.i, r.p, {step} FROM {name} l JOIN {rows} r ON r.label = l.label AND r.i = l.i AND r.p = l.p + 1)"
+
+
 @query(
-    """WITH p AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS frame, embedding AS px FROM embeddings), l AS (SELECT label, frame, i, 2 + px[i]::DOUBLE AS v FROM p, range(1, 65) t(i)),
-f0 AS (SELECT label, i, avg(v) AS f0 FROM l WHERE frame BETWEEN 1 AND 3 GROUP BY ALL), d AS (SELECT l.label, l.i, list((v - f0) / f0 ORDER BY frame) AS x FROM l JOIN f0 USING (label, i) GROUP BY ALL),
-one AS (SELECT label, i, list_reduce([[x[1]]] || [[v] FOR v IN x[2:]], lambda a, b: a || [a[-1] + 0.5 * (b[1] - a[-1])]) AS y FROM d), back AS (SELECT label, i, list_reverse(y) AS z FROM one),
-two AS (SELECT label, i, list_reverse(list_reduce([[z[1]]] || [[v] FOR v IN z[2:]], lambda a, b: a || [a[-1] + 0.5 * (b[1] - a[-1])])) AS s FROM back)
-SELECT label, ((i - 1) // 8 + 1)::INT AS "row", ((i - 1) % 8 + 1)::INT AS col, round(list_avg(s[4:6]), 6) + 0.0 AS change FROM two"""
+    f"""WITH RECURSIVE f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS frame, count(*) OVER (PARTITION BY label) AS n, embedding AS px FROM embeddings), l AS (SELECT label, frame, n, i, 2 + px[i]::DOUBLE AS v FROM f, range(1, 65) t(i)),
+f0 AS (SELECT label, i, avg(v) AS f0 FROM l WHERE frame BETWEEN 1 AND 3 GROUP BY ALL),
+d AS (SELECT label, i, frame, n, least(6, n - 1) AS pad, (v - f0) / f0 AS x, first((v - f0) / f0) OVER w AS head, last((v - f0) / f0) OVER w AS tail FROM l JOIN f0 USING (label, i) WINDOW w AS (PARTITION BY label, i ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+long AS MATERIALIZED (SELECT label, i, n, pad, frame - 1 + pad AS p, x FROM d UNION ALL SELECT label, i, n, pad, pad - frame + 1, 2 * head - x FROM d WHERE frame BETWEEN 2 AND pad + 1 UNION ALL SELECT label, i, n, pad, n - 1 + pad + n - frame, 2 * tail - x FROM d WHERE n - frame BETWEEN 1 AND pad),
+{recurrence("one", "long")},
+back AS MATERIALIZED (SELECT one.label, one.i, n + 2 * pad - 1 - one.p AS p, y AS x FROM one JOIN long USING (label, i, p)),
+{recurrence("two", "back")}
+SELECT label, ((i - 1) // 8 + 1)::INT AS "row", ((i - 1) % 8 + 1)::INT AS col, round(avg(y), 6) + 0.0 AS change FROM two JOIN (SELECT DISTINCT label, n, pad FROM long) USING (label) WHERE n + 2 * pad - 1 - p - pad + 1 BETWEEN 4 AND 6 GROUP BY ALL"""
 )
 def change_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a movie changes: each pixel's dF/F, smoothed both ways over time, after the stimulus."""
+    """Where a movie changes: each pixel's dF/F, filtered both ways over time, after the stimulus."""
     from pyspark.sql import Window
 
     rows = images(spark, sf_dir).withColumn("frame", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).withColumn("px", F.transform("px", lambda v: v + 2))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators import relations, roi
+from tracemill.operators.filters import zero_phase
 
 
 class NotOne(ValueError):
@@ -119,11 +120,8 @@ def extracted_traces(stack: DataFrame, recordings: DataFrame, masks: DataFrame,
     """
     ranges = relations.frame_ranges(recordings, [group], [tif], "n_frames")
     own = relations.located(stack.select(group, "frame"), ranges, [group], "frame", [tif, "n_frames", "rate"])
-    out = None
-    for name in pixels:
-        found = roi.masked_means(stack, masks, [group, "frame"], [group, "roi"], columns, name).withColumnRenamed("f", f"f_{name}")
-        out = found if out is None else out.join(found, [group, "frame", "roi"])
-    return out.join(own, [group, "frame"]).select(group, tif, "roi", F.col("own_frame").alias("frame"), *[f"f_{x}" for x in pixels], "n_frames", "rate")
+    found = roi.masked_means(stack, masks, [group, "frame"], [group, "roi"], columns, pixels)
+    return found.join(own, [group, "frame"]).select(group, tif, "roi", F.col("own_frame").alias("frame"), *[f"f_{x}" for x in pixels], "n_frames", "rate")
 
 
 def mean_of_recordings(traces: DataFrame, cell: list[str], tif: str, value: str) -> DataFrame:
@@ -132,36 +130,16 @@ def mean_of_recordings(traces: DataFrame, cell: list[str], tif: str, value: str)
     return each.groupBy("frame").agg(F.count("m").alias("n"), F.avg("m").alias("mean"))
 
 
-def smoothed(trace: Column, share: float) -> Column:
-    """A first-order low-pass run forward and backward, so that nothing is shifted; ``share`` of each new value is taken."""
-    def one_way(x: Column) -> Column:
-        start = F.array(F.element_at(x, 1))
-        step = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + F.lit(share) * (v - F.element_at(acc, -1))))
-        return F.aggregate(F.slice(x, F.lit(2), F.size(x) - 1), start, step)
-
-    return F.reverse(one_way(F.reverse(one_way(trace))))
-
-
-def change_map(frames: DataFrame, group: list[str], columns: int, base: tuple[int, int], after: tuple[int, int], share: float = 0.5, pixels: str = "px") -> DataFrame:
-    """(group, row, col, change): each pixel's (F - F0) / F0, smoothed over time, as its mean over the frames ``after``.
-
-    A pixel's trace is an array as long as its recording; groups are recordings.
-    """
+def change_map(frames: DataFrame, group: list[str], columns: int, base: tuple[int, int], after: tuple[int, int], order: int = 2, cutoff: float = 0.25, pixels: str = "px") -> DataFrame:
+    """(group, row, col, change): each pixel's (F - F0) / F0, filtered over time without a shift, as its mean over the frames ``after``."""
     long = frames.select(*group, "frame", F.posexplode(pixels).alias("at", "v"))
-    ordered = F.array_sort(F.collect_list(F.struct("frame", F.col("v").cast("double").alias("v"))))
-    traces = long.groupBy(*group, "at").agg(ordered.alias("t")).withColumn("f0", mean_between(F.col("t"), *base))
-    change = F.transform("t", lambda x: F.try_divide(x["v"] - F.col("f0"), F.col("f0")))
-    smooth = F.arrays_zip(F.transform("t", lambda x: x["frame"]).alias("frame"), smoothed(change, share).alias("v"))
-    found = traces.withColumn("s", smooth).withColumn("change", mean_between(F.col("s"), *after))
+    keys = [*group, "at"]
+    f0 = long.where(F.col("frame").between(*base)).groupBy(*keys).agg(F.avg("v").alias("f0"))
+    change = long.join(f0, keys).select(*keys, "frame", F.try_divide(F.col("v") - F.col("f0"), F.col("f0")).alias("v"))
+    found = zero_phase(change, keys, order, cutoff).groupBy(*keys).agg(F.avg(F.when(F.col("frame").between(*after), F.col("v"))).alias("change"))
     return found.select(*group, (F.floor(F.col("at") / columns) + 1).cast("int").alias("row"), (F.col("at") % columns + 1).alias("col"), "change")
 
 
-def mean_between(trace: Column, first: int, last: int) -> Column:
-    """Mean of an array of (frame, v) over frames."""
-    inside = F.filter(trace, lambda x: x["frame"].between(first, last) & x["v"].isNotNull())
-    return F.try_divide(F.aggregate(inside, F.lit(0.0), lambda acc, x: acc + x["v"]), F.size(inside))
-
-
 def filled_runs(groups: DataFrame, image_counts: DataFrame, image: str) -> DataFrame:
     """(image, n_roi, run, warn): separation runs by number of regions, largest first; a single run has no number, and a count of files that differs is marked.
 

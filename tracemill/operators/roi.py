@@ -31,18 +31,22 @@ def cropped(pixels: DataFrame, roi: list[str], first_row: int, last_row: int, ma
     return pixels.join(inside.select(*roi), roi, "left_semi").withColumn("row", F.col("row") - first_row + 1)
 
 
-def masked_means(frames: DataFrame, masks: DataFrame, frame: list[str], roi: list[str], columns: int, pixels: str = "px") -> DataFrame:
-    """(frame, roi, f): mean of the pixels under each mask; a deleted mask keeps its row with NULL.
+def masked_means(frames: DataFrame, masks: DataFrame, frame: list[str], roi: list[str], columns: int, pixels: str | tuple[str, ...] = "px") -> DataFrame:
+    """(frame, roi, f): mean of the pixels under each mask; a deleted mask keeps its row with NULL. Of several pixel columns each gives an f_<column>.
 
     Masks are one row per region with the positions of its pixels, so frames are
     never exploded into pixels. ``masks`` has the frame's grouping column in common
     (a NULL mask list marks a deleted region).
     """
     indexed = masks.groupBy(*roi).agg(F.collect_list(F.when(~F.col("deleted"), (F.col("row") - 1) * columns + F.col("col"))).alias("at"))
-    chosen = F.transform("at", lambda i: F.element_at(F.col(pixels), i.cast("int")).cast("double"))
-    mean = F.try_divide(F.aggregate(chosen, F.lit(0.0), lambda acc, v: acc + v), F.size("at"))
+
+    def mean(name: str) -> Column:
+        chosen = F.transform("at", lambda i: F.element_at(F.col(name), i.cast("int")).cast("double"))
+        return F.try_divide(F.aggregate(chosen, F.lit(0.0), lambda acc, v: acc + v), F.size("at"))
+
     common = [c for c in roi if c in frames.columns]
-    return frames.join(indexed, common).select(*dict.fromkeys([*frame, *roi]), mean.alias("f"))
+    means = [mean(pixels).alias("f")] if isinstance(pixels, str) else [mean(x).alias(f"f_{x}") for x in pixels]
+    return frames.join(indexed, common).select(*dict.fromkeys([*frame, *roi]), *means)
 
 
 def mean_image(frames: DataFrame, group: list[str], columns: int, pixels: str = "px") -> DataFrame:
