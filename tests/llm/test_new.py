@@ -244,3 +244,37 @@ def test_languages_by_hand(spark):
     assert ties > 0 and right > 50
     alone = langid.identify_languages(docs.where("lang = 'aa'")).where("lang_pred <> 'und'")
     assert {(r.lang_pred, r.score) for r in alone.collect()} == {("aa", 0.5)}
+
+
+@pytest.mark.parametrize(("block", "slop"), [(7, 2), (50_000, 0), (50_000, 3)])
+def test_lookups_of_any_block_on_one_index(spark, monkeypatch, block, slop):
+    """Matches by search through all words, whatever the blocks of windows and the segments; the documents are read once."""
+    from tracemill.llm import decontaminate
+
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(14)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 9, 60])))) for i in range(40)]
+    items = [(k, " ".join(docs[k][1].split()[:12]) if k % 2 else " ".join(rng.choices(words + ["unknown"], k=rng.choice([1, 2, 3])))) for k in range(24)]
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    reads = []
+    stage = decontaminate.stage
+    monkeypatch.setattr(decontaminate, "stage", lambda df, name: reads.append(name) or stage(df, name))
+    found = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), window=4, slop=slop).collect()
+    assert reads.count("index") == 1 and (block > 7 or reads.count("matches") > 1)
+    often: dict[str, int] = {}
+    for _, t in docs:
+        for w in t.split():
+            often[w] = often.get(w, 0) + 1
+    windows = {tuple(ws[k : k + 4]) for ws in (t.split() for _, t in items) for k in range(max(1, len(ws) - 3)) if ws}
+    for r in found:
+        own = docs[r.doc_id][1].split()
+        hit, near = set(), 0
+        for win in windows:
+            exact = {k for k in range(len(own)) if tuple(own[k : k + len(win)]) == win}
+            hit |= {k + j for k in exact for j in range(len(win))}
+            known = sorted((k for k, t in enumerate(win) if t in often), key=lambda k: (often[win[k]], k))
+            if len(known) == len(win) or slop and len(known) > 1:
+                a, b = known[0], known[min(1, len(known) - 1)]
+                starts = {p - a for p, w in enumerate(own) if w == win[a] and any(0 <= p + b - a + by < len(own) and own[p + b - a + by] == win[b] for by in range(-slop, slop + 1))}
+                near += len(starts - exact)
+        assert (r.n_words, r.n_hit, r.n_near) == (len(own), len(hit), near if slop else r.n_near)

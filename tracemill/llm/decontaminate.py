@@ -1,13 +1,15 @@
-"""Benchmark decontamination on a positional inverted index.
-
-The index stores, for terms of the benchmark, the documents and places that hold
-them. A window of a test item is looked up from its rarest terms: the rarest one's
-places, less its offset in the window, are the possible starts, intersected with
-those of the next rarest. For the documents that are left the index takes up all
-terms of the benchmark, and all lists of a window, adjusted by their offsets, are
-intersected at the starts found: a start in every list is an exact phrase. With
-``slop`` the second list may disagree by so many words; what is no exact phrase
-then is a proximity match.
+"""Benchmark decontamination on a positional inverted index of the training corpus.
+
+The documents are read once. Every few megabytes of them become a segment of the
+index, stored in the shared folder: all terms in order, and for each its places. A
+phrase lies in one document and so in one segment, which makes the lists that are
+intersected local, however frequent a term is. The benchmark's windows are looked up
+block by block, on the stored index alone: the terms of a block are counted over all
+segments, and of each window the places of its rarest term, less the offset in the
+window, are the possible starts, which the lists of the next rarest terms, adjusted
+by their offsets, thin out one after the other. What is left is an exact phrase. With
+``slop`` the second list may disagree by so many words; what is no exact phrase then
+is a proximity match.
 """
 
 from __future__ import annotations
@@ -17,15 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WordHashes, binaries, outer_id, runs, settled, slices, stage, staged, texts
+from tracemill.llm.common import WordHashes, outer_id, restored, runs, settled, slices, squeezed, stage, staged, texts
 from tracemill.llm.license_scan import folded_words
 
 WINDOW = 10
-#: Windows of the benchmark that one pass over the documents looks up; more are taken in further blocks.
+#: Windows of the benchmark that one pass over the index looks up; more are taken in further blocks.
 BLOCK = 50_000
 
 
@@ -48,118 +49,150 @@ def item_windows(n: int):
     return run
 
 
-class TermNumbers(dict):
-    """The number of a word among sorted terms, or -1; remembers recent words."""
+SEGMENT = "docs binary, ids binary, owns binary, lengths binary, terms binary, counts binary, places binary"
 
-    def __init__(self, terms: np.ndarray):
-        self.known = {t: k for k, t in enumerate(terms.view(np.uint64).tolist())}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        value = self[word] = self.known.get(xxhash.xxh3_64_intdigest(word), -1)
-        return value
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each few megabytes of text: its documents with their numbers of words, its terms in order, and the places of each, counted through the segment."""
+    memo = WordHashes()
+    names = [x.split()[0] for x in SEGMENT.split(", ")]
+    for batch, found in slices(batches):
+        words = [memo.of(folded_words(x)) for x in found]
+        flat = np.concatenate(words) if words else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable").astype(np.uint32)
+        flat = flat[order]
+        starts = runs(flat)
+        steps = np.diff(order, prepend=np.uint32(0))
+        steps[starts[:-1]] = order[starts[:-1]]
+        terms, counts = flat[starts[:-1]], np.diff(starts).astype(np.uint32)
+        owners = [batch.column(k).to_numpy().astype(np.int64) for k in range(3)]
+        packed = [*owners, np.array([len(x) for x in words], np.uint32), np.diff(terms, prepend=np.uint64(0)), counts, steps]
+        yield pa.RecordBatch.from_arrays([pa.array([squeezed(x)], pa.binary()) for x in packed], names)
+
+
+def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, _id, own, n_words) of the documents of each segment."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            columns = [restored(row[c], k).astype(np.int64) for c, k in (("docs", np.int64), ("ids", np.int64), ("owns", np.int64), ("lengths", np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "_id", "own", "n_words"])
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
+def held(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the ``wanted`` stands among the sorted ``terms``, and whether it does."""
+    at = np.searchsorted(terms, wanted)
+    inside = at < len(terms)
+    inside[inside] = terms[at[inside]] == wanted[inside]
+    return at, inside
 
-def counted(terms: np.ndarray):
-    """How often each of the sorted ``terms`` occurs."""
+
+def counted(wanted: np.ndarray):
+    """How often each of the sorted terms occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, total = TermNumbers(terms), np.zeros(len(terms) + 1, np.int64)
-        for _, found in slices(batches):
-            for text in found:
-                total += np.bincount(numbers.of(folded_words(text)) + 1, minlength=len(total))
-        total = total[1:]
+        total = np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                at, inside = held(np.cumsum(restored(row["terms"], np.uint64)), wanted)
+                total[inside] += restored(row["counts"], np.uint32)[at[inside]]
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(terms[some]), pa.array(total[some])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some])], ["term", "n"])
 
     return run
 
 
-def posted(terms: np.ndarray):
-    """The index: one row for each (term, document) with the places in order."""
+class Plan:
+    """A block's windows as arrays: for each its terms from the rarest on, with their offsets, padded to the longest window.
+
+    A window of which the documents lack a term cannot be a phrase; it is kept with the
+    terms that they have if ``slop`` asks for proximity, which takes two.
+    """
 
+    def __init__(self, windows: list, often: dict[int, int], slop: int):
+        rows = []
+        for w in windows:
+            known = sorted((k for k, t in enumerate(w.terms) if t in often), key=lambda k: (often[w.terms[k]], k))  # ties: the first
+            if len(known) == len(w.terms) or slop and len(known) > 1:
+                rows.append((w.win, len(w.terms), len(known), [w.terms[k] for k in known], known))
+        width = max((len(r[4]) for r in rows), default=0)
+        self.wins = np.array([r[0] for r in rows], np.int64)
+        self.length, self.known = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+        self.terms, self.offsets = np.zeros((len(rows), width), np.uint64), np.zeros((len(rows), width), np.int64)
+        for i, r in enumerate(rows):
+            self.terms[i, : len(r[3])] = np.array(r[3], np.int64).view(np.uint64)
+            self.offsets[i, : len(r[4])] = r[4]
+
+
+def looked_up(row: dict, plan: Plan, slop: int) -> tuple[np.ndarray, ...]:
+    """(document of the segment, window, start in the document, exact) of a segment's matches."""
+    terms, counts = np.cumsum(restored(row["terms"], np.uint64)), restored(row["counts"], np.uint32).astype(np.int64)
+    first = np.cumsum(counts) - counts
+    at, inside = held(terms, plan.terms[:, 0])
+    lists = np.zeros(len(at), np.int64)
+    lists[inside] = counts[at[inside]]
+    win = np.repeat(np.arange(len(plan.wins)), lists)
+    if not len(win):
+        return (np.empty(0, np.int64),) * 4
+    steps = restored(row["places"], np.uint32).astype(np.int64)
+    total = np.cumsum(steps)
+    places = total - np.repeat(total[first] - steps[first], counts)
+    listed = np.repeat(np.arange(len(terms)), counts) << 32 | places  # in order, so that a search tells what a list holds
+    lengths = restored(row["lengths"], np.uint32).astype(np.int64)
+    ends = np.cumsum(lengths)
+    nth = np.arange(len(win)) - np.repeat(np.cumsum(lists) - lists, lists)
+    place = places[first[at[win]] + nth]
+    doc = np.searchsorted(ends, place, "right")
+    begin = (ends - lengths)[doc]
+    start = place - plan.offsets[win, 0]
+
+    def there(which: np.ndarray, column: int, by: int = 0) -> np.ndarray:
+        """Whether the list of each window's term in ``column`` has its place, adjusted by the offset, in the same document."""
+        spot = start[which] + plan.offsets[win[which], column] + by
+        number, known = held(terms, plan.terms[win[which], column])
+        wanted = np.where(known, number, 0) << 32 | np.maximum(spot, 0)
+        near = np.minimum(np.searchsorted(listed, wanted), len(listed) - 1)
+        return known & (spot >= begin[which]) & (spot < ends[doc[which]]) & (listed[near] == wanted)
+
+    everything = np.arange(len(win))
+    second = np.minimum(1, plan.known[win] - 1)  # a window of one term is its own second
+    straight = np.where(second == 1, there(everything, 1), True) if plan.terms.shape[1] > 1 else np.ones(len(win), bool)
+    kept = straight.copy()
+    for by in (b for b in range(-slop, slop + 1) if b):
+        if plan.terms.shape[1] > 1:
+            kept |= np.where(second == 1, there(everything, 1, by), False)
+        alone = np.flatnonzero(second == 0)
+        kept[alone] |= there(alone, 0, by)
+    exact = straight & (plan.known[win] == plan.length[win]) & (start >= begin) & (start + plan.length[win] <= ends[doc])
+    for column in range(2, plan.terms.shape[1]):
+        left = np.flatnonzero(exact & (plan.length[win] > column))
+        exact[left] = there(left, column)
+    return doc[kept], plan.wins[win[kept]], (start - begin)[kept], exact[kept]
+
+
+def matched(plan: Plan, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = TermNumbers(terms)
-        for batch, found in slices(batches):
-            ids, where, which = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), found, strict=True):
-                at = numbers.of(folded_words(text))
-                hits = np.flatnonzero(at >= 0)
-                if len(hits):
-                    where.append(hits)
-                    which.append(terms[at[hits]])
-                    ids.append(np.full(len(hits), doc, np.int64))
-            if not ids:
-                continue
-            ids, where, which = np.concatenate(ids), np.concatenate(where), np.concatenate(which)
-            order = np.lexsort((where, which, ids))
-            ids, where, which = ids[order], where[order], which[order]
-            starts = np.union1d(runs(ids), runs(which))
-            yield pa.RecordBatch.from_arrays([pa.array(which[starts[:-1]]), pa.array(ids[starts[:-1]]), binaries(where.astype(np.int32), starts)], ["term", "_id", "places"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                doc, win, start, exact = looked_up(row, plan, slop)
+                if len(doc):
+                    keys = restored(row["docs"], np.int64)[doc]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(win), pa.array(start.astype(np.int32)), pa.array(exact)], ["_id", "win", "start", "exact"])
 
     return run
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        places = [np.frombuffer(x, np.int32) for x in batch.column("places").to_pylist()]
-        n = np.array([len(x) for x in places], np.int64)
-        place = np.concatenate(places) if places else np.empty(0, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("term").to_numpy(), n), pa.int64()), pa.array(np.repeat(batch.column("_id").to_numpy(), n), pa.int64()), pa.array(place, pa.int32())], ["term", "_id", "place"])
-
-
-def rarest(windows: list, often: dict[int, int], slop: int) -> list[tuple]:
-    """(win, rarest term, its offset, next rarest, its offset less the first's) of each window that can match at all."""
-    out = []
-    for w in windows:
-        known = sorted((k for k, t in enumerate(w.terms) if t in often), key=lambda k: (often[w.terms[k]], k))  # ties: the first
-        if len(known) == len(w.terms) or slop and len(known) > 1:  # an exact phrase needs all terms, proximity two
-            a, b = known[0], known[min(1, len(known) - 1)]
-            out.append((w.win, w.terms[a], a, w.terms[b], b - a))
-    return out
-
-
-def index_of(docs: DataFrame, terms: np.ndarray, name: str) -> DataFrame:
-    """(term, _id, place) of the terms, from postings stored in the shared folder."""
-    return stage(docs.mapInArrow(posted(terms), "term long, _id long, places binary"), name).mapInArrow(unpacked, "term long, _id long, place int")
-
-
-def block_matches(docs: DataFrame, windows: list, slop: int) -> DataFrame:
-    """(_id, win, start, exact) of the windows in (_id, text), of which each row is a document of its own."""
-    spark = docs.sparkSession
-    nothing = spark.createDataFrame([], "_id long, win long, start int, exact boolean")
-    terms = np.unique(np.array([t for w in windows for t in w.terms], np.int64))
-    if not len(terms):
-        return nothing
-    found = docs.mapInArrow(counted(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    often = {r.term: r.n for r in found.collect()}  # at most BLOCK windows' terms
-    rare = rarest(windows, often, slop)
-    if not rare:
-        return nothing
-    places = index_of(docs, np.unique(np.array([t for r in rare for t in (r[1], r[3])], np.int64)), "postings")
-    rows = F.broadcast(spark.createDataFrame(rare, "win long, term long, off int, next long, step int"))  # at most BLOCK rows
-    first = places.join(rows, "term").select("_id", "win", (F.col("place") - F.col("off")).alias("start"), F.col("next").alias("term"), (F.col("place") + F.col("step")).alias("second"))
-    wanted = first.withColumn("by", F.explode(F.sequence(F.lit(-slop), F.lit(slop))))
-    wanted = wanted.select("_id", "win", "start", "term", "by", (F.col("second") + F.col("by")).alias("place"))
-    starts = wanted.join(places, ["term", "_id", "place"], "left_semi").groupBy("_id", "win", "start").agg(F.bool_or(F.col("by") == 0).alias("straight"))
-    starts = stage(starts, "starts")
-    straight = stage(starts.where("straight").select("_id").distinct(), "straight-ids")  # ids alone are small, so few texts are moved
-    left = docs.join(straight, "_id", "left_semi")
-    lists = index_of(left, np.array(sorted(often), np.int64), "postings-left")
-    listed = F.broadcast(spark.createDataFrame([(w.win, w.terms) for w in windows], "win long, terms array<long>"))  # at most BLOCK rows
-    asked = starts.where("straight").join(listed, "win").select("_id", "win", "start", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
-    held = asked.withColumn("place", F.col("start") + F.col("off")).join(lists, ["term", "_id", "place"], "left_semi")
-    exact = held.groupBy("_id", "win", "start", "n").agg(F.count("*").alias("lists")).where("lists = n").select("_id", "win", "start", F.lit(True).alias("exact"))
-    return starts.join(exact, ["_id", "win", "start"], "left").select("_id", "win", "start", F.coalesce("exact", F.lit(False)).alias("exact"))
-
-
-def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, found in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(folded_words(x)) for x in found], pa.int64())], ["key", "_id", "own", "n_words"])
+def block_matches(index: DataFrame, windows: list, slop: int) -> DataFrame:
+    """(_id, win, start, exact) of the windows in the segments of the index."""
+    spark = index.sparkSession
+    wanted = np.unique(np.array([t for w in windows for t in w.terms], np.int64).view(np.uint64))
+    often = {}
+    if len(wanted):
+        found = index.select("terms", "counts").mapInArrow(counted(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        often = {r.term: r.n for r in found.collect()}  # at most BLOCK windows' terms
+    plan = Plan(windows, often, slop)
+    if not len(plan.wins):
+        return spark.createDataFrame([], "_id long, win long, start int, exact boolean")
+    return index.select("docs", "lengths", "terms", "counts", "places").mapInArrow(matched(plan, slop), "_id long, win long, start int, exact boolean")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -182,10 +215,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     windows = stage(items.mapInArrow(item_windows(window), "item string, win long, terms array<long>"), "items")
     distinct = stage(windows.groupBy("win").agg(F.first("terms").alias("terms")), "windows")
     blocks = max(1, -(-distinct.count() // BLOCK))
+    index = stage(keyed.mapInArrow(segments, SEGMENT), "index")  # the only time that the documents are read
     found = None
     for k in range(blocks):  # the benchmark is a stated set of queries, looked up in blocks
         block = distinct.where(F.pmod("win", F.lit(blocks)) == k).select("win", "terms").collect()
-        part = stage(block_matches(keyed.select(F.col("key").alias("_id"), "text"), block, slop), "matches")
+        part = stage(block_matches(index, block, slop), "matches")
         found = part if found is None else found.union(part)
     exact = found.where("exact")
     words = exact.join(distinct.select("win", F.size("terms").alias("n")), "win").select("_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("place"))
@@ -194,9 +228,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     holding = holding.groupBy("_id").agg(F.array_sort(F.collect_list("item")).alias("items"))  # as many as the benchmark has, once each
     near = found.where("NOT exact").groupBy("_id").agg(F.count("*").alias("n_near"))
     judged = stage(hit.join(holding, "_id", "full").join(near, "_id", "full").withColumnRenamed("_id", "key"), "judged")
-    sized = keyed.mapInArrow(counted_words, "key long, _id long, own long, n_words long").join(judged, "key", "left")
+    documents = index.select("docs", "ids", "owns", "lengths").mapInArrow(sized, "key long, _id long, own long, n_words long").join(judged, "key", "left")
     none = F.array().cast("array<string>")
-    out = sized.select(outer_id().alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "own")
+    out = documents.select(outer_id().alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "own")
     return settled(out, "contamination", begun)
 
 
