@@ -247,3 +247,25 @@ def manifest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = nations.groupBy("grp").agg(F.count("*").cast("int").alias("n_roi"))
     groups = tables.grouped_manifest(nations.join(sizes, "grp"), "grp", "n_roi", "tif")
     return tables.manifest_rows(groups).groupBy("matfile", "n_roi").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("trial", "tif"))), lambda x: x["tif"]), ",").alias("tifs"))
+
+
+@query(
+    """SELECT n_name AS nation, count(*)::DOUBLE AS n, round(sum(c_acctbal), 4) + 0.0 AS total, round(max(c_acctbal) - min(c_acctbal), 4) + 0.0 AS spread, count(DISTINCT c_mktsegment)::INT AS segments, [1, count(*)]::INT[] AS shape, min(c_mktsegment) AS first FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name"""
+)
+def container_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's customers saved as a container, of which some variables are loaded again."""
+    import uuid
+
+    from tracemill.jobs.registry import delete, shared_dir
+    from tracemill.sources.containers import variables, write_containers
+
+    folder = f"{shared_dir(spark)}/containers-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # a row a nation
+    saved = rows.groupBy(F.concat(F.lit("n"), F.col("n_nationkey"), F.lit(".mat")).alias("file"), F.col("n_name").alias("nation")).agg(F.struct(F.collect_list("c_acctbal").alias("balance"), F.count("*").cast("double").alias("n")).alias("params"), F.array_sort(F.collect_set("c_mktsegment")).alias("segments"), F.collect_list("c_custkey").alias("unused"))
+    write_containers(saved, folder)
+    found = variables(spark, folder, {"nation": ("nation", "string"), "n": ("params.n", "double"), "balance": ("params.balance", "array<double>"), "shape": ("params.balance", "array<int>"), "own": ("segments", "array<string>")})
+    total = F.aggregate("balance", F.lit(0.0), lambda a, v: a + v)
+    out = found.select("nation", "n", (F.round(total, 4) + 0.0).alias("total"), (F.round(F.array_max("balance") - F.array_min("balance"), 4) + 0.0).alias("spread"), F.size("own").alias("segments"), "shape", F.element_at("own", 1).alias("first"))
+    out.write.parquet(f"{folder}-read")
+    delete(spark, folder)
+    return spark.read.parquet(f"{folder}-read")

@@ -52,6 +52,15 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def listed(path: str, pattern: str) -> list[tuple[str, int]]:
+    """(path, length) of the files below a folder, or of the file itself, whose names fit the pattern."""
+    store, inner = opened(path)
+    info = store.get_file_info(inner)
+    found = [info] if info.is_file else store.get_file_info(fs.FileSelector(inner, recursive=True))
+    prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    return sorted((prefix + x.path, x.size) for x in found if x.is_file and fnmatch.fnmatch(x.base_name, pattern) and not x.base_name.startswith(("_", ".")))
+
+
 class StackFile:
     """Directories of an open stack, read by seeking."""
 
@@ -174,15 +183,8 @@ class StackReader(DataSourceReader):
         self.what = options.get("what", "frames")
         self.split, self.group = int(options.get("split", 256 << 20)), int(options.get("files", 16))
 
-    def listed(self) -> list[tuple[str, int]]:
-        store, inner = opened(self.path)
-        info = store.get_file_info(inner)
-        found = [info] if info.is_file else store.get_file_info(fs.FileSelector(inner, recursive=True))
-        prefix = self.path[: len(self.path) - len(inner)] if self.path.endswith(inner) else ""
-        return sorted((prefix + x.path, x.size) for x in found if x.is_file and fnmatch.fnmatch(x.base_name, self.pattern) and not x.base_name.startswith(("_", ".")))
-
     def partitions(self) -> list[InputPartition]:
-        files = self.listed()
+        files = listed(self.path, self.pattern)
         if self.what != "frames":
             return [Files(files[k : k + self.group]) for k in range(0, len(files), self.group)]
         return [Range(path, n, at, min(n, at + self.split)) for path, n in files for at in range(0, n, self.split)]
@@ -260,25 +262,59 @@ class Written(WriterCommitMessage):
     attempt: str
 
 
-class StackWriter(DataSourceArrowWriter):
-    """Options: path (the folder), wide (64-bit offsets, false). Frames of a file must come together and in order."""
+class CommittedFiles(DataSourceArrowWriter):
+    """Files written by task attempts beside their final names, which the driver gives to those that Spark committed."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
-        self.path, self.wide, self.overwrite = options["path"], options.get("wide", "false").lower() == "true", overwrite
+        self.path, self.overwrite = options["path"], overwrite
         self.job = f"_temporary-{uuid.uuid4().hex}"
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+    def attempt(self, context: TaskContext) -> tuple[fs.FileSystem, str]:
+        """The file system and a folder of this attempt alone."""
+        store, folder = opened(self.path)
+        return store, f"{folder}/{self.job}/{context.partitionId()}-{context.taskAttemptId()}"
+
+    def checked(self, name: str | None, files: list[str]) -> str:
+        if name in files or not name or "/" in name or name.startswith(("_", ".")):
+            raise ValueError(f"not a file's name, or its rows do not come together: {name}")
+        return name
+
+    def commit(self, messages: list[Written | None]) -> None:
+        """Rename what the committed attempts wrote; two that wrote one file, or a file that is there already, undo all."""
+        store, folder = opened(self.path)
+        done = [m for m in messages if m is not None and m.files]
+        names = [n for m in done for n in m.files]
+        there = {} if self.overwrite else {x.base_name for x in store.get_file_info([f"{folder}/{n}" for n in names]) if x.is_file}
+        if len(set(names)) < len(names) or there:
+            self.abort(messages)
+            raise ValueError(f"files written twice: {sorted(there or {n for n in names if names.count(n) > 1})[:3]}")
+        for m in done:
+            for name in m.files:
+                store.move(f"{m.attempt}/{name}", f"{folder}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
         store, folder = opened(self.path)
-        context = TaskContext.get()
-        attempt = f"{folder}/{self.job}/{context.partitionId()}-{context.taskAttemptId()}"
+        if store.get_file_info(f"{folder}/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{folder}/{self.job}")
+
+
+class StackWriter(CommittedFiles):
+    """Options: path (the folder), wide (64-bit offsets, false). Frames of a file must come together and in order."""
+
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        super().__init__(options, overwrite)
+        self.wide = options.get("wide", "false").lower() == "true"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, attempt = self.attempt(TaskContext.get())
         files: list[str] = []
         stream: StackStream | None = None
         try:
             for batch in iterator:
                 for name, h, w, px, note in zip(*(batch.column(c).to_pylist() for c in ("file", "h", "w")), batch.column("px"), batch.column("note").to_pylist(), strict=True):
                     if not files or name != files[-1]:
-                        if name in files or not name or "/" in name or name.startswith(("_", ".")):
-                            raise ValueError(f"not a file's name, or its frames do not come together: {name}")
+                        name = self.checked(name, files)
                         if stream:
                             stream.close()
                         if not files:
@@ -296,25 +332,6 @@ class StackWriter(DataSourceArrowWriter):
             raise
         return Written(files, attempt)
 
-    def commit(self, messages: list[Written | None]) -> None:
-        """Rename what the committed attempts wrote; two that wrote one file, or a file that is there already, undo all."""
-        store, folder = opened(self.path)
-        done = [m for m in messages if m is not None and m.files]
-        names = [n for m in done for n in m.files]
-        there = {} if self.overwrite else {x.base_name for x in store.get_file_info([f"{folder}/{n}" for n in names]) if x.is_file}
-        if len(set(names)) < len(names) or there:
-            self.abort(messages)
-            raise ValueError(f"files written twice: {sorted(there or {n for n in names if names.count(n) > 1})[:3]}")
-        for m in done:
-            for name in m.files:
-                store.move(f"{m.attempt}/{name}", f"{folder}/{name}")
-        self.abort(messages)
-
-    def abort(self, messages: list[Written | None]) -> None:
-        store, folder = opened(self.path)
-        if store.get_file_info(f"{folder}/{self.job}").type == fs.FileType.Directory:
-            store.delete_dir(f"{folder}/{self.job}")
-
 
 class StackSource(DataSource):
     @classmethod
