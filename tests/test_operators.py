@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import struct
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -277,11 +278,30 @@ def test_stacks_are_split_and_cut_back(spark, tmp_path):
     assert sorted((r.tif, r.frame, r.px) for r in tiff.cut_back(stack, recorded, "grp", "tif").collect()) == [("a", 1, [0]), ("a", 2, [1]), ("b", 1, [2]), ("b", 2, [3]), ("b", 3, [4])]
 
 
+def test_crops_find_their_source(spark):
+    """Named sources before nearer ones, nearer ones before others; none, ties and other geometry are errors."""
+    columns = "animal string, condition string, has_rois boolean, rows int, cols int, zoom double, fast double, shift_x double, shift_y double, rotation double, pitch_x double, pitch_y double"
+    field = lambda name, has, rows, cols, pitch=1.0, turn=0.0: ("a", name, has, rows, cols, 1.0, 1.0, 0.0, 0.0, turn, pitch, pitch)
+    full = [field("preZX", True, 256, 256), field("postZX", True, 300, 256)]
+    sources = lambda *more: {r.condition: (r.source, r.up, r.left) for r in roi.crop_sources(spark.createDataFrame([*full, *more], columns), ["animal"]).collect()}
+    assert sources(field("postZX_128", False, 128, 256), field("other", False, 128, 200)) == {"postZX_128": ("postZX", 86, 0), "other": ("preZX", 64, 28)}
+    for more, what in ((field("odd", False, 127, 256), "no source"), (field("zoomed", False, 128, 256, 0.5), "no source"), (field("turned", False, 128, 256, 1.0, 3.0), "no source")):
+        with pytest.raises(roi.Unmappable, match=what):
+            sources(more)
+    with pytest.raises(roi.Unmappable, match="2 sources as near"):
+        sources(field("none", True, 256, 256), field("x", False, 128, 256))
+    pixels = spark.createDataFrame([("a", "preZX", "in", 65, 1, False), ("a", "preZX", "in", 192, 256, False), ("a", "preZX", "out", 64, 5, False), ("a", "preZX", "gone", 100, 5, True), ("a", "postZX", "elsewhere", 100, 5, False)], "animal string, condition string, roi string, row int, col int, deleted boolean")
+    got = roi.remapped_everywhere(pixels, spark.createDataFrame([*full, field("x", False, 128, 256)], columns), ["animal"], "roi").collect()
+    assert sorted((r.condition, r.source, r.roi, r.row, r.col) for r in got) == [("x", "preZX", "in", 1, 1), ("x", "preZX", "in", 128, 256)]
+
+
 def test_versions_and_region_files(spark, tmp_path):
     rows = spark.createDataFrame([(1,)], "x int")
-    for _ in range(2):
-        tables.append_version(rows, f"{tmp_path}/out")
-    assert sorted(r.version for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+    assert [tables.append_version(rows, f"{tmp_path}/out") for _ in range(2)] == [1, 2]
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda _: tables.append_version(rows, f"{tmp_path}/out"), range(6)))
+    assert sorted(numbers) == [3, 4, 5, 6, 7, 8]
+    assert sorted(r.version for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(1, 9))
     (tmp_path / "sets").mkdir()
     (tmp_path / "sets" / "a.json").write_text(json.dumps({"nTifs": 2, "tifNames": ["a", "b"], "roi": ["p", "q", "r"]}))
     r = tables.roi_sets(spark, f"{tmp_path}/sets").first()

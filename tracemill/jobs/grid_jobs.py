@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,26 @@ def fra_dprime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grids.selectivity(grids.response_grid(trials(spark, sf_dir), CELL), CELL), "dprime", digits=2)
 
 
+def poisson_sql(share: str, rate: str, most: int = 7) -> str:
+    """How many of the first cumulative chances of a Poisson number lie at or below ``share``."""
+    terms = [f"({share} >= exp(-{rate}) * (" + " + ".join(f"{rate} ** {j} / {math.factorial(j)}" for j in range(k)) + "))::INT" for k in range(1, most + 1)]
+    return "(" + " + ".join(terms) + ")"
+
+
+@query(
+    f"""WITH {GRID}, ax AS (SELECT cell, sig_pk AS v, dense_rank() OVER (PARTITION BY cell ORDER BY db) AS i, dense_rank() OVER (PARTITION BY cell ORDER BY freq) AS j, count(*) OVER (PARTITION BY cell) AS n FROM grid),
+top AS (SELECT cell, i AS ti, j AS tj FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY v DESC NULLS LAST, j, i) AS k FROM ax WHERE v IS NOT NULL) WHERE k = 1),
+sized AS (SELECT a.*, avg(v) FILTER (abs(i - ti) + abs(j - tj) <= 1) OVER w AS around, (count(*) FILTER (abs(i - ti) + abs(j - tj) <= 1) OVER w)::DOUBLE / n AS rate FROM ax a LEFT JOIN top USING (cell) WINDOW w AS (PARTITION BY a.cell)),
+u AS (SELECT *, ('0x' || substr(md5(cell || ':' || i || ':' || j || ':' || r), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS share FROM sized, range(1, 101) q(r) WHERE v IS NOT NULL),
+draw AS (SELECT *, {poisson_sql("share", "rate")} AS times FROM u),
+d AS (SELECT cell, r, max(around) - sum(times * v) / nullif(sum(times), 0) AS d FROM draw GROUP BY ALL HAVING sum(times) > 0)
+SELECT cell, count(*) AS rounds, round(avg(d), 2) + 0.0 AS dprime, round(stddev_samp(d), 2) + 0.0 AS se, round(quantile_cont(d, 0.025), 2) + 0.0 AS low, round(quantile_cont(d, 0.975), 2) + 0.0 AS high FROM d GROUP BY cell"""
+)
+def fra_dprime_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selectivity of each cell against a hundred rounds of random draws, with what 95 % of the rounds hold."""
+    return rounded(grids.resampled_selectivity(grids.response_grid(trials(spark, sf_dir), CELL), CELL), "dprime", "se", "low", "high", digits=2)
+
+
 @query(f"WITH {GRID}, p AS (SELECT db, freq, avg(sig_pk) AS r FROM grid GROUP BY ALL) SELECT freq::INT AS freq, round(avg(r), 2) + 0.0 AS r FROM p GROUP BY freq")
 def fra_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tuning curve over all cells."""

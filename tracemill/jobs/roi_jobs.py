@@ -98,6 +98,25 @@ def channel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.groupBy("label", "chan").agg(F.count("*").alias("n"), F.max("frame").alias("frames"), r6(F.avg("v")).alias("f"))
 
 
+@query(
+    """WITH p AS (SELECT label, vec_id, (i - 1) // 8 + 1 AS r, (i - 1) % 8 + 1 AS c FROM embeddings, range(1, 65) t(i) WHERE embedding[i]::DOUBLE > 0.1 AND (vec_id % 4 = 0 OR (i - 1) // 8 + 1 BETWEEN 2 + vec_id % 4 AND 7 - vec_id % 4)),
+b AS (SELECT label, vec_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM p GROUP BY ALL),
+t AS (SELECT * FROM (VALUES ('low', 2, 0, 4, 8, true), ('mid', 1, 0, 6, 8, true), ('box', 1, 1, 6, 6, false)) t(name, up, lft, h, w, named))
+SELECT label::INT AS label, name || '_' || CASE WHEN named THEN 'pre' ELSE 'x' END AS condition, 'pre' AS source, vec_id, (r - up)::INT AS "row", (c - lft)::INT AS col FROM p JOIN b USING (label, vec_id), t WHERE r0 > up AND r1 <= up + h AND c0 > lft AND c1 <= lft + w"""
+)
+def remap_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions drawn on each label's full field carried over to all its cropped conditions; another full field lies further off or has another pitch."""
+    long = images(spark, sf_dir).select("label", "vec_id", F.posexplode("px").alias("at", "v"))
+    row, odd = (F.floor(F.col("at") / SIDE) + 1).cast("int"), F.col("vec_id") % 4
+    held = long.where((F.col("v") > 0.1) & ((odd == 0) | row.between(2 + odd, 7 - odd)))
+    pixels = held.select("label", F.lit("pre").alias("condition"), "vec_id", row.alias("row"), (F.col("at") % SIDE + 1).cast("int").alias("col"), F.lit(False).alias("deleted"))
+    fields = [("pre", True, 8, 8, 1.0), ("wide", True, 12, 8, 1.0), ("fine", True, 8, 8, 0.5), ("low_pre", False, 4, 8, 1.0), ("mid_pre", False, 6, 8, 1.0), ("box_x", False, 6, 6, 1.0)]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("condition"), F.lit(has).alias("has_rois"), F.lit(h).alias("rows"), F.lit(w).alias("cols"), F.lit(pitch).alias("pitch_x"), F.lit(pitch).alias("pitch_y")) for n, has, h, w, pitch in fields]))
+    same = {"zoom": 1.0, "fast": 1.0, "shift_x": 0.0, "shift_y": 0.0, "rotation": 0.0}
+    acquisitions = long.select("label").distinct().select("label", each.alias("x")).select("label", "x.*", *[F.lit(v).alias(k) for k, v in same.items()])
+    return roi.remapped_everywhere(pixels, acquisitions, ["label"], "vec_id")
+
+
 @query(
     """WITH f AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS image FROM embeddings),
 p AS (SELECT label, image, i, floor(embedding[i]::DOUBLE * 1000)::BIGINT AS v FROM f, range(1, 65) t(i))

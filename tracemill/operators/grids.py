@@ -44,6 +44,39 @@ def selectivity(grid: DataFrame, cell: list[str], value: str = "sig_pk") -> Data
     return axes.withColumn("top", peak).groupBy(*cell).agg((F.avg(F.when(near, F.col("v"))) - F.avg("v")).alias("dprime"))
 
 
+def drawn_times(row: Column, draw: Column, rate: Column, most: int = 7) -> Column:
+    """How often a round draws a row: a Poisson number of the rate, from the hash of both; up to ``most``."""
+    share = F.conv(F.substring(F.md5(F.concat(row, F.lit(":"), draw.cast("string"))), 1, 12), 16, 10).cast("double") / float(16**12)
+    chance, upto, times = F.exp(-rate), F.exp(-rate), F.lit(0)
+    for k in range(1, most + 1):
+        times = times + (share >= upto).cast("int")
+        chance = chance * rate / k
+        upto = upto + chance
+    return times
+
+
+def resampled_selectivity(grid: DataFrame, cell: list[str], value: str = "sig_pk", rounds: int = 100) -> DataFrame:
+    """(cell, rounds, dprime, se, low, high): ``selectivity`` against ``rounds`` random draws of as many responses as the peak has neighbours.
+
+    A round draws each point of a cell's grid a Poisson number of times, told by the
+    hash of its place and the round, so that no round needs the others' draws or a
+    size to be kept, and a rerun draws the same. Points without a response are drawn,
+    too, and count for nothing; rounds that draw no response are left out. low and high
+    hold 95 % of the rounds.
+    """
+    own = Window.partitionBy(*cell)
+    axes = grid.select(*cell, "db", "freq", F.col(value).alias("v"), F.dense_rank().over(own.orderBy("db")).alias("i"), F.dense_rank().over(own.orderBy("freq")).alias("j"), F.count("*").over(own).alias("n"))
+    peak = F.max(F.when(F.col("v").isNotNull(), F.struct("v", (-F.col("j")).alias("j"), (-F.col("i")).alias("i")))).over(own)
+    near = F.coalesce(F.abs(F.col("i") + F.col("top.i")) + F.abs(F.col("j") + F.col("top.j")) <= 1, F.lit(False))
+    marked = axes.withColumn("top", peak).withColumn("near", near)
+    sized = marked.withColumns({"around": F.avg(F.when(F.col("near"), F.col("v"))).over(own), "rate": F.sum(F.col("near").cast("double")).over(own) / F.col("n")})
+    place = F.concat_ws(":", *[F.col(c).cast("string") for c in (*cell, "i", "j")])
+    draws = sized.where(F.col("v").isNotNull()).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("times", drawn_times(place, F.col("round"), F.col("rate")))
+    each = draws.groupBy(*cell, "round").agg((F.max("around") - F.try_divide(F.sum(F.col("times") * F.col("v")), F.sum("times"))).alias("d")).where("d IS NOT NULL")
+    at = lambda q: F.percentile("d", q)  # noqa: E731  a cell has ``rounds`` values
+    return each.groupBy(*cell).agg(F.count("*").alias("rounds"), F.avg("d").alias("dprime"), F.stddev_samp("d").alias("se"), at(0.025).alias("low"), at(0.975).alias("high"))
+
+
 def tuning_curve(grid: DataFrame, cell: list[str], value: str = "sig_pk") -> DataFrame:
     """(freq, mean over levels of the mean over cells)."""
     pairs = grid.groupBy("db", "freq").agg(F.avg(value).alias("r"))

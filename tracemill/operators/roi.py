@@ -108,6 +108,48 @@ def remapped(pixels: DataFrame, roi: list[str], source: dict, target: dict, marg
     return kept.select(*roi, (F.col("row") - up).alias("row"), (F.col("col") - left).alias("col"))
 
 
+def crop_sources(acquisitions: DataFrame, group: list[str]) -> DataFrame:
+    """(group, condition, source, up, left, rows, cols): for each target acquisition the one that it takes its regions from.
+
+    ``acquisitions`` (group, condition, has_rois, rows, cols, zoom, fast, shift_x,
+    shift_y, rotation, pitch_x, pitch_y) are nodes; a clean centred crop of one with
+    regions is an edge. A target, which has none of its own, takes the nearest: a source
+    whose name holds its own or is held by it before others, then the one that the crop
+    cuts least. No source at all, or two as near, raise Unmappable.
+    """
+    source = acquisitions.where("has_rois").select(*group, *[F.col(c).alias(f"s_{c}") for c in acquisitions.columns if c not in (*group, "has_rois")])
+    target = acquisitions.where("NOT has_rois")
+    s, t = (lambda c: F.col(f"s_{c}")), F.col
+    still = [F.abs(t(c)) <= 1e-9 for c in ("shift_x", "shift_y", "rotation")] + [F.abs(s(c)) <= 1e-9 for c in ("shift_x", "shift_y", "rotation")]
+    alike = [F.abs(s(c) - t(c)) <= 1e-9 for c in ("zoom", "fast")] + [F.abs(s(c) - t(c)) <= 1e-9 * F.abs(t(c)) for c in ("pitch_x", "pitch_y")]
+    inside = [(s(c) >= t(c)) & ((s(c) - t(c)) % 2 == 0) for c in ("rows", "cols")]
+    edges = target.join(source, group)
+    for test in (*still, *alike, *inside):
+        edges = edges.where(test)
+    named = (s("condition").contains(t("condition")) | t("condition").contains(s("condition"))).cast("int")
+    near = edges.withColumn("_near", F.struct((-named).alias("named"), (s("rows") * s("cols") - t("rows") * t("cols")).alias("cut")))
+    least = near.groupBy(*group, "condition").agg(F.min("_near").alias("_near"))
+    found = near.join(least, [*group, "condition", "_near"])
+    doubtful = target.join(found, [*group, "condition"], "left").groupBy(*group, "condition").agg(F.count("s_condition").alias("n")).where("n <> 1").limit(3).collect()
+    if doubtful:
+        raise Unmappable("; ".join(f"{tuple(r)[:-1]}: {'no source of which it is a clean crop' if not r.n else f'{r.n} sources as near'}" for r in doubtful))
+    return found.select(*group, "condition", s("condition").alias("source"), ((s("rows") - t("rows")) / 2).cast("int").alias("up"), ((s("cols") - t("cols")) / 2).cast("int").alias("left"), "rows", "cols")
+
+
+def remapped_everywhere(pixels: DataFrame, acquisitions: DataFrame, group: list[str], roi: str, margin: int = 0) -> DataFrame:
+    """(group, condition, source, roi, row, col): the live regions of all sources in the coordinates of all targets that hold them wholly, less a margin; ids stay.
+
+    ``pixels`` (group, condition, roi, row, col, deleted). One plan for all conditions of
+    all groups; the regions of a source go to each of its targets.
+    """
+    crops = crop_sources(acquisitions, group)
+    live = pixels.where(~F.coalesce("deleted", F.lit(False))).withColumnRenamed("condition", "source")
+    box = live.groupBy(*group, "source", roi).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    held = box.join(crops, [*group, "source"]).where((F.col("r0") > F.col("up") + margin) & (F.col("r1") <= F.col("up") + F.col("rows") - margin) & (F.col("c0") > F.col("left") + margin) & (F.col("c1") <= F.col("left") + F.col("cols") - margin))
+    kept = live.join(held.select(*group, "condition", "source", roi, "up", "left"), [*group, "source", roi])
+    return kept.select(*group, "condition", "source", roi, (F.col("row") - F.col("up")).alias("row"), (F.col("col") - F.col("left")).alias("col"))
+
+
 def remapped_outlines(pixels: DataFrame, roi: list[str], source: dict, target: dict, margin: int = 0) -> DataFrame:
     """(roi, n, ring): outlines of the regions in the target's coordinates, worked out anew."""
     return on_curve(outline(remapped(pixels, roi, source, target, margin), roi), roi)

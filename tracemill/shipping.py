@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     if root.is_dir():  # else the driver itself runs from a zip that was shipped
-        path = Path(tempfile.mkdtemp(prefix="tracemill-")) / "tracemill_sources.zip"
+        folder = tempfile.mkdtemp(prefix="tracemill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = Path(folder) / "tracemill_sources.zip"
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
             for source in sorted(root.rglob("*.py")):
                 out.write(source, f"tracemill/{source.relative_to(root)}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +62,37 @@ def roi_sets(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("nTifs").alias("n_tifs"), F.col("tifNames").alias("tif_names"), F.size("roi").alias("n_roi"))
 
 
-def append_version(rows: DataFrame, path: str) -> None:
-    """Rows appended as the next version of an output; earlier ones stay."""
-    spark = rows.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    last = spark.read.parquet(path).agg(F.max("version")).first()[0] if there else 0
-    rows.withColumn("version", F.lit((last or 0) + 1)).write.mode("append").parquet(path)
+def created(spark: SparkSession, store: JavaObject, path: JavaObject) -> bool:
+    """Create an empty file; False if it is there already. One of many callers gets True."""
+    if store.getScheme() == "file":  # whose other way to create files looks first and creates then
+        return spark._jvm.java.io.File(path.toUri().getPath()).createNewFile()
+    try:
+        store.create(path, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def claimed_version(spark: SparkSession, path: str) -> int:
+    """The next number of an output, which no other writer gets: a marker that the store creates only if it is not there yet.
+
+    Two writers that come to the same number try to create one marker; the one that
+    fails goes on with the next. A number whose rows were never written stays unused.
+    """
+    markers = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
+    store = markers.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(markers)
+    taken = [int(x.getPath().getName()) for x in store.listStatus(markers) if x.getPath().getName().isdigit()]
+    n = max(taken, default=0) + 1
+    while not created(spark, store, spark._jvm.org.apache.hadoop.fs.Path(markers, str(n))):
+        n += 1
+    return n
+
+
+def append_version(rows: DataFrame, path: str) -> int:
+    """Rows written as the next version of an output, which is returned; earlier ones stay, and readers find it as the column version."""
+    n = claimed_version(rows.sparkSession, path)
+    rows.write.mode("errorifexists").parquet(f"{path}/version={n}")
+    return n
