@@ -278,6 +278,38 @@ def test_stacks_are_split_and_cut_back(spark, tmp_path):
     assert sorted((r.tif, r.frame, r.px) for r in tiff.cut_back(stack, recorded, "grp", "tif").collect()) == [("a", 1, [0]), ("a", 2, [1]), ("b", 1, [2]), ("b", 2, [3]), ("b", 3, [4])]
 
 
+def test_polygons_are_filled_by_the_even_odd_rule(spark):
+    """Against a test of each pixel's centre; rings that cross themselves, with repeated corners, of one point, and outside of the image."""
+    rng = np.random.default_rng(5)
+    rings = {k: rng.uniform(-1, 11, (n, 2)) for k, n in enumerate([3, 4, 5, 9, 20])} | {7: np.array([[2, 2], [7, 2], [7, 2], [7, 6], [2, 6]]), 8: np.array([[3, 3]]), 9: np.array([[1, 1], [9, 1]])}
+    rows = [(k, i, float(x), float(y)) for k, ring in rings.items() for i, (x, y) in enumerate(ring)]
+    found = {}
+    for r in roi.filled(spark.createDataFrame(rows, "roi int, n int, x double, y double").repartition(3), ["roi"]).collect():
+        found.setdefault(r.roi, []).extend((r.row, c) for c in range(r.first, r.last + 1))
+
+    def inside(ring, row, col):
+        crossings = [x1 + (row - y1) * (x2 - x1) / (y2 - y1) for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0), strict=True) if (y1 <= row) != (y2 <= row)]
+        return any(a <= col <= b for a, b in zip(sorted(crossings)[::2], sorted(crossings)[1::2], strict=True))
+
+    for k, ring in rings.items():
+        assert sorted(set(found.get(k, []))) == [(r, c) for r in range(-2, 13) for c in range(-2, 13) if inside(np.asarray(ring, float), r, c)]
+    px = rng.normal(size=100)
+    frames = spark.createDataFrame([(1, px.tolist())], "frame int, px array<double>")
+    spans = spark.createDataFrame([(1, "a", 2, 3, 5), (1, "a", 4, 0, 2), (1, "a", 11, 1, 5), (1, "b", 1, 9, 14)], "frame int, roi string, row int, first int, last int")
+    got = {r.roi: r.f for r in roi.interval_means(frames, spans, ["frame"], ["frame", "roi"], 10).collect()}
+    assert got == pytest.approx({"a": np.mean([*px[12:15], *px[30:32]]), "b": np.mean(px[8:10])})
+
+
+def test_cohort_notices_and_first_matches(spark, tmp_path):
+    rows = spark.createDataFrame([("AA0001", "CGC", 1), ("AA0002", "BPN", 2)], "animal string, family string, x int")
+    tables.write_cohort(rows, f"{tmp_path}/cohort")
+    told = tables.cohort_notices(spark, f"{tmp_path}/cohort", "CGC", ["AA0001", "AA0002", "AA0003", "mouse"]).collect()
+    assert {r.animal: r.notice for r in told} == {"AA0002": "no CGC", "AA0003": "no folder", "mouse": "no animal's name"}
+    assert tables.columns_by_shape(rows.withColumn("f", F.array("x"))) == (["animal", "family", "x"], ["f"])
+    several = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("a", 0, None), ("b", 1, None)], "k string, n int, v string")
+    assert [tuple(r) for r in relations.first_match(several, ["k"], ["n"], F.col("v").isNotNull()).collect()] == [("a", 1, "x")]
+
+
 def test_crops_find_their_source(spark):
     """Named sources before nearer ones, nearer ones before others; none, ties and other geometry are errors."""
     columns = "animal string, condition string, has_rois boolean, rows int, cols int, zoom double, fast double, shift_x double, shift_y double, rotation double, pitch_x double, pitch_y double"

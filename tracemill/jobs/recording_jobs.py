@@ -66,16 +66,16 @@ CHANGE = "'25msDRC_5-52kHz_50-60dB_to_40-70dB_' || l_linenumber || 's_sEach_' ||
 
 @query(
     f"""WITH s AS (SELECT o_custkey AS animal, o_orderkey AS tif, {SETS} AS pulseset, CASE WHEN o_orderkey % 2 = 0 THEN 'pre' ELSE 'post' END AS treatment FROM orders), f AS (SELECT *, {FAMILY} AS family FROM s),
-c AS (SELECT animal, family, count(*) > 1 AS several FROM f GROUP BY ALL), n AS (SELECT l_orderkey AS tif, count(*) AS total FROM lineitem GROUP BY 1),
-p AS (SELECT f.animal, f.tif, treatment, f.family, several AND f.family <> 'pupil' AS processed, coalesce(total, 0)::INT AS total_pulses, l_linenumber AS k, CASE f.family WHEN 'CGC' THEN {TONE} WHEN 'BPN' THEN {BURST} WHEN 'Spont' THEN {QUIET} WHEN 'dContrast' THEN {CHANGE} ELSE 'led_' || l_linenumber END AS raw
-FROM f JOIN c ON c.animal = f.animal AND c.family = f.family LEFT JOIN n ON n.tif = f.tif LEFT JOIN lineitem ON l_orderkey = f.tif)
-SELECT animal, tif, treatment, family, processed, total_pulses, row_number() OVER (PARTITION BY tif ORDER BY k)::INT AS pulse, raw AS raw_pulse,
-CASE family WHEN 'CGC' THEN 4000 + 10 * k END::DOUBLE AS freq_hz, CASE family WHEN 'CGC' THEN 20 + k WHEN 'BPN' THEN 30 + k END::DOUBLE AS db, CASE family WHEN 'CGC' THEN 1.5 WHEN 'BPN' THEN 1 END::DOUBLE AS onset_s,
-CASE family WHEN 'BPN' THEN 500 + k WHEN 'Spont' THEN 1000 + k END::DOUBLE AS stim_ms, CASE family WHEN 'BPN' THEN '5-' || (10 + k) WHEN 'CGC' THEN '5-52' WHEN 'dContrast' THEN '5-52' END AS band_khz, CASE family WHEN 'CGC' THEN 8 WHEN 'dContrast' THEN 2 * k END::DOUBLE AS total_s,
-CASE family WHEN 'dContrast' THEN true END AS increase FROM p WHERE family IS NOT NULL AND raw IS NOT NULL"""
+c AS (SELECT animal, family, count(*) > 1 AS several FROM f GROUP BY ALL), heard AS (SELECT * FROM lineitem WHERE l_orderkey % 13 <> 0), n AS (SELECT l_orderkey AS tif, count(*) AS total FROM heard GROUP BY 1),
+p AS (SELECT f.animal, f.tif, treatment, f.family, several AND f.family <> 'pupil' AS processed, coalesce(total, 0)::INT AS total_pulses, l_linenumber AS k, CASE f.family WHEN 'CGC' THEN {TONE} WHEN 'BPN' THEN {BURST} WHEN 'Spont' THEN {QUIET} WHEN 'dContrast' THEN {CHANGE} ELSE 'led_' || l_linenumber END AS raw, CASE WHEN l_linenumber IS NULL THEN '' ELSE f.family END AS told
+FROM f JOIN c ON c.animal = f.animal AND c.family = f.family LEFT JOIN n ON n.tif = f.tif LEFT JOIN heard ON l_orderkey = f.tif)
+SELECT animal, tif, treatment, family, processed, 0.5 * (tif % 3)::DOUBLE AS trig_delay, 1.0 + (tif % 4)::DOUBLE AS isi, total_pulses, CASE WHEN k IS NOT NULL THEN row_number() OVER (PARTITION BY tif ORDER BY k) END::INT AS pulse, raw AS raw_pulse,
+CASE told WHEN 'CGC' THEN 4000 + 10 * k END::DOUBLE AS freq_hz, CASE told WHEN 'CGC' THEN 20 + k WHEN 'BPN' THEN 30 + k END::DOUBLE AS db, CASE told WHEN 'CGC' THEN 1.5 WHEN 'BPN' THEN 1 END::DOUBLE AS onset_s,
+CASE told WHEN 'BPN' THEN 500 + k WHEN 'Spont' THEN 1000 + k END::DOUBLE AS stim_ms, CASE told WHEN 'BPN' THEN '5-' || (10 + k) WHEN 'CGC' THEN '5-52' WHEN 'dContrast' THEN '5-52' END AS band_khz, CASE told WHEN 'CGC' THEN 8 WHEN 'dContrast' THEN 2 * k END::DOUBLE AS total_s,
+CASE told WHEN 'dContrast' THEN true END AS increase FROM p WHERE family IS NOT NULL"""
 )
 def stim_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pulses of every recording with the parameters that its family's names tell."""
+    """Pulses of every recording with the parameters that its family's names tell; one in thirteen has none and keeps a row."""
     k = F.col("l_linenumber")
     text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
     names = {
@@ -88,11 +88,10 @@ def stim_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = text("led_", k)
     for family, v in names.items():
         name = F.when(F.col("family") == family, v).otherwise(name)
-    pulses = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tif"), "l_linenumber").join(sets.select("tif", "family"), "tif")
+    pulses = table(spark, sf_dir, "lineitem").where("l_orderkey % 13 <> 0").select(F.col("l_orderkey").alias("tif"), "l_linenumber").join(sets.select("tif", "family"), "tif")
     listed = pulses.groupBy("tif").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", name.alias("name")))), lambda x: x["name"]).alias("pulses"))
-    rows = sets.join(listed, "tif", "left").select("animal", "tif", F.when(F.col("tif") % 2 == 0, "pre").otherwise("post").alias("treatment"), F.col("pulseset").alias("pulse_set"), F.lit(1.0).alias("trig_delay"), F.lit(2.0).alias("isi"), "pulses")
-    found = stimuli.stimulus_table(rows).where("raw_pulse IS NOT NULL")
-    return found.select("animal", "tif", "treatment", "family", "processed", "total_pulses", "pulse", "raw_pulse", "freq_hz", "db", "onset_s", "stim_ms", "band_khz", "total_s", "increase")
+    rows = sets.join(listed, "tif", "left").select("animal", "tif", F.when(F.col("tif") % 2 == 0, "pre").otherwise("post").alias("treatment"), F.col("pulseset").alias("pulse_set"), (F.col("tif") % 3 * 0.5).alias("trig_delay"), (F.col("tif") % 4 + 1.0).alias("isi"), "pulses")
+    return stimuli.stimulus_table(rows).select("animal", "tif", "treatment", "family", "processed", "trig_delay", "isi", "total_pulses", "pulse", "raw_pulse", "freq_hz", "db", "onset_s", "stim_ms", "band_khz", "total_s", "increase")
 
 
 SOURCE = {"rows": 8, "cols": 8, "zoom": 2.0, "fast": 1.0, "shift_x": 0.0, "shift_y": 0.0, "rotation": 0.0, "pitch_x": 0.5, "pitch_y": 0.5}

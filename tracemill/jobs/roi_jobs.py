@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,3 +139,21 @@ def stack_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read.join(told, "label").write.parquet(f"{folder}-read")
     delete(spark, folder)
     return spark.read.parquet(f"{folder}-read")
+
+
+@query(
+    """WITH v AS (SELECT label, vec_id, n, 4.5 + (2 + 2 * abs(embedding[n]::DOUBLE)) * cos(n * pi() / 4) AS x, 4.5 + (2 + 2 * abs(embedding[n]::DOUBLE)) * sin(n * pi() / 4) AS y FROM embeddings, range(1, 9) t(n)),
+e AS (SELECT *, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM v WINDOW w AS (PARTITION BY vec_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+pix AS (SELECT e.label, e.vec_id, r, c FROM e, range(1, 9) a(r), range(1, 9) b(c) WHERE (y <= r) <> (y2 <= r) AND x + (r - y) * (x2 - x) / (y2 - y) < c GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT p.label, p.vec_id, count(*)::BIGINT AS n, round(avg(f.embedding[(r - 1) * 8 + c]::DOUBLE), 6) + 0.0 AS f FROM pix p JOIN embeddings f USING (vec_id) GROUP BY ALL"""
+)
+def polygon_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of images inside of a polygon each, filled row by row."""
+    rows = images(spark, sf_dir)
+    corner = F.explode(F.transform(F.slice("px", 1, SIDE), lambda v, i: F.struct((i + 1).alias("n"), (2 + 2 * F.abs(v)).alias("r"))))
+    turned = rows.select("label", "vec_id", corner.alias("c")).select("label", "vec_id", "c.*")
+    angle = F.col("n") * math.pi / 4
+    spans = roi.filled(turned.select("label", "vec_id", "n", (4.5 + F.col("r") * F.cos(angle)).alias("x"), (4.5 + F.col("r") * F.sin(angle)).alias("y")), ["label", "vec_id"])
+    sizes = spans.where("row BETWEEN 1 AND 8").groupBy("label", "vec_id").agg(F.sum(F.least("last", F.lit(SIDE)) - F.greatest("first", F.lit(1)) + 1).alias("n"))
+    found = roi.interval_means(rows, spans, ["label", "vec_id"], ["label", "vec_id"], SIDE)
+    return rounded(found.join(sizes, ["label", "vec_id"]), "f")

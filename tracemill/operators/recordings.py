@@ -80,21 +80,23 @@ def split_trials(rows: DataFrame, group: list[str], order: str, is_map: Column)
     return marked.withColumn("trial", F.row_number().over(Window.partitionBy(*group, "is_map").orderBy(order)))
 
 
-def pieces_of(name: Column) -> Column:
-    """All substrings of a name, as many as the square of its length at most."""
+def pieces_of(name: Column, lengths: Column) -> Column:
+    """The substrings of a name that have one of the ``lengths``."""
     n = F.length(name)
-    starts = F.sequence(F.lit(1), n)
-    return F.array_distinct(F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), n - a + 1), lambda k: F.substring(name, a, k)))))
+    at = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda a: F.substring(name, a, k))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda k: k <= n), at)))
 
 
 def containing_matches(wanted: DataFrame, sources: DataFrame, name: str, source: str) -> DataFrame:
     """(name, n, source): the source whose name holds the other's or is held by it, NULL unless there is one.
 
-    Names are taken apart and joined on equality, so no pair is tried.
+    Names are taken apart and joined on equality, so no pair is tried; a name gives
+    pieces of the other side's lengths alone.
     """
     a, b = wanted.select(name).distinct().where(F.length(name) > 0), sources.select(source).distinct().where(F.length(source) > 0)
-    held = b.select(source, F.explode(pieces_of(F.col(source))).alias(name)).join(a, name)
-    holding = a.select(name, F.explode(pieces_of(F.col(name))).alias(source)).join(b, source)
+    apart = lambda whole, other, c, k: whole.join(F.broadcast(other.agg(F.array_sort(F.collect_set(F.length(k))).alias("_lengths")))).select(c, F.explode(pieces_of(F.col(c), F.col("_lengths"))).alias(k))  # noqa: E731  one row of lengths
+    held = apart(b, a, source, name).join(a, name)
+    holding = apart(a, b, name, source).join(b, source)
     pairs = held.select(name, source).union(holding.select(name, source)).distinct()
     return wanted.select(name).distinct().join(pairs, name, "left").groupBy(name).agg(F.count(source).alias("n"), F.when(F.count(source) == 1, F.min(source)).alias(source))
 

@@ -20,6 +20,14 @@ def require_partners(rows: DataFrame, partners: DataFrame, keys: list[str]) -> D
     return rows
 
 
+def first_match(rows: DataFrame, keys: list[str], order: list[str], test: Column | None = None) -> DataFrame:
+    """For each key the first row by ``order`` that passes the test; keys without one are left out."""
+    passing = rows if test is None else rows.where(test)
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
+    return passing.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*rows.columns)
+
+
 def with_dimension(facts: DataFrame, dimension: DataFrame, keys: list[str], columns: list[str], test: Column) -> DataFrame:
     """Inner join with the dimension's rows that pass ``test``, of which only ``columns`` come along."""
     return facts.join(dimension.where(test).select(*keys, *columns), keys, "inner")

@@ -6,6 +6,7 @@ from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 FAMILIES = ("CGC", "BPN", "Spont", "dContrast", "FRA")
 MANIFEST = "matfile string, nROI int, tifNames array<string>"
@@ -41,6 +42,23 @@ def read_cohort(spark: SparkSession, path: str, family: str, animals: list[str]
     return rows.where(F.col("animal").isin(*animals)) if animals else rows
 
 
+def cohort_notices(spark: SparkSession, path: str, family: str, animals: list[str]) -> DataFrame:
+    """(animal, notice) of the wanted animals that a cohort does not have, or not of this family; those are what ``read_cohort`` passes over.
+
+    Names that are not two letters and four digits are no animals. Partition names alone are read.
+    """
+    names = spark.createDataFrame([(x,) for x in dict.fromkeys(animals)], "animal string")
+    there = spark.read.parquet(path).select(F.col("animal").cast("string"), "family").groupBy("animal").agg(F.bool_or(F.col("family") == family).alias("has"))
+    notice = F.when(~F.col("animal").rlike("^[A-Z]{2}[0-9]{4}$"), "no animal's name").when(F.col("has").isNull(), "no folder").when(~F.col("has"), F.lit(f"no {family}"))
+    return names.join(there, "animal", "left").select("animal", notice.alias("notice")).where("notice IS NOT NULL")
+
+
+def columns_by_shape(rows: DataFrame) -> tuple[list[str], list[str]]:
+    """Names of the columns that hold one value a row, and of those that hold lists."""
+    lists = [f.name for f in rows.schema if isinstance(f.dataType, ArrayType)]
+    return [c for c in rows.columns if c not in lists], lists
+
+
 def renamed(rows: DataFrame) -> DataFrame:
     """Older column names brought up to date; a table that has the new ones is returned as it is."""
     return rows.withColumnsRenamed(RENAMED)
