@@ -242,3 +242,31 @@ def ols_origin_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "grp")
     fit = st.least_squares(rows, ["grp"], F.col("o_custkey").cast("double"), F.col("o_totalprice") / 1000)
     return rounded(st.line_band(fit, ["grp"], 25, intercept=False), "x", "y", "low", "high")
+
+
+TUNED = """m AS (SELECT l_suppkey AS cell, l_linenumber <= 3 AS pre, month(l_shipdate) AS freq, avg(l_extendedprice) AS r FROM lineitem GROUP BY ALL),
+bf AS (SELECT cell, pre, freq FROM m QUALIFY row_number() OVER (PARTITION BY cell, pre ORDER BY r DESC, freq) = 1),
+level AS (SELECT l_suppkey AS cell, avg(l_extendedprice) FILTER (l_linenumber <= 3) AS before, avg(l_extendedprice) FILTER (l_linenumber > 3) AS later FROM lineitem GROUP BY 1),
+cells AS (SELECT a.cell, abs(log2(b.freq / a.freq::DOUBLE)) <= 0.25 AS grp, later / before AS ratio, log2(later / before) AS x FROM bf a JOIN bf b ON b.cell = a.cell AND NOT b.pre JOIN level ON level.cell = a.cell WHERE a.pre)"""
+
+
+@query(
+    f"""WITH {TUNED}, {darling("SELECT grp, x FROM cells")},
+n AS (SELECT grp, x AS d, abs(x) AS size FROM cells WHERE x <> 0), r AS (SELECT grp, d, rank() OVER (PARTITION BY grp ORDER BY size) + (count(*) OVER (PARTITION BY grp, size) - 1) / 2.0::DOUBLE AS k, count(*) OVER (PARTITION BY grp, size) AS ties FROM n),
+w AS (SELECT grp, count(*)::DOUBLE AS n, coalesce(sum(k) FILTER (d > 0), 0) AS w, sum(ties * ties - 1)::DOUBLE AS tied FROM r GROUP BY grp),
+sz AS (SELECT grp, (w - n * (n + 1) / 4 - sign(w - n * (n + 1) / 4) * 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48) AS z FROM w),
+t AS (SELECT grp, count(x) AS n, avg(ratio) AS ratio, avg(x) / nullif(stddev_samp(x) / sqrt(count(x)), 0) AS t, count(x) - 1 AS df FROM cells GROUP BY 1),
+j AS (SELECT t.*, z, coalesce(a2 * (1 + 0.75 / ad.n + 2.25 / (ad.n * ad.n)) < 0.752, false) AS normal FROM t JOIN ad USING (grp) LEFT JOIN sz USING (grp)),
+p AS (SELECT *, CASE WHEN normal THEN {two_sided_sql("t", "df")} ELSE 2 * {tail_sql("z")} END AS p FROM j)
+SELECT grp AS tuned, n, round(ratio, 6) + 0.0 AS ratio, CASE WHEN normal THEN 't' ELSE 'signed rank' END AS test, round(CASE WHEN normal THEN t ELSE z END, 6) + 0.0 AS stat, round(p, 6) + 0.0 AS p, coalesce(p < 0.05, false) AS sig FROM p"""
+)
+def tuned_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much cells change from low to high levels, apart for those whose best frequency stays within a quarter octave, tested against no change."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cell"), (F.col("l_linenumber") <= 3).alias("pre"), F.month("l_shipdate").alias("freq"), F.col("l_extendedprice").alias("v"))
+    means = rows.groupBy("cell", "pre", "freq").agg(F.avg("v").alias("r")).groupBy("cell").agg(*[F.max(F.when(F.col("pre") == when, F.struct("r", (-F.col("freq")).alias("f"))))["f"].alias(name) for name, when in (("before_f", True), ("later_f", False))])
+    level = rows.groupBy("cell").agg((F.avg(F.when(~F.col("pre"), F.col("v"))) / F.avg(F.when(F.col("pre"), F.col("v")))).alias("ratio"))
+    cells = means.join(level, "cell").where("before_f IS NOT NULL AND later_f IS NOT NULL")
+    cells = cells.select((F.abs(F.log2(F.col("later_f") / F.col("before_f"))) <= 0.25).alias("tuned"), "ratio", F.log2("ratio").alias("x"))
+    found = st.significant_shift(cells, ["tuned"], "x").select("tuned", "test", "stat", "p", "sig")
+    sizes = cells.groupBy("tuned").agg(F.count("x").alias("n"), F.avg("ratio").alias("ratio"))
+    return rounded(sizes.join(found, "tuned").select("tuned", "n", "ratio", "test", "stat", "p", "sig"), "ratio", "stat", "p")
