@@ -203,11 +203,12 @@ def sum_distribution(scores: np.ndarray, size: int) -> np.ndarray:
     chance = np.zeros((size + 1, most + 1))
     chance[0, 0] = 1.0
     n = len(scores)
-    for i, x in enumerate(np.sort(scores).tolist()):
-        take = ((size - np.arange(size + 1)) / (n - i))[:, None]
-        taken = chance * np.clip(take, 0.0, 1.0)
-        chance -= taken
-        chance[1:, x:] += taken[:-1, : most + 1 - x]
+    for i, x in enumerate(np.sort(scores).tolist()):  # in rising order, so that few of the sums are reached at first
+        rows, width = min(i + 1, size) + 1, min(most, size * x) + 1
+        take = np.clip((size - np.arange(rows)) / (n - i), 0.0, 1.0)[:, None]
+        taken = chance[: rows - 1, : width - x] * take[:-1]
+        chance[:rows, :width] *= 1.0 - take
+        chance[1:rows, x:width] += taken
     return chance[size]
 
 
@@ -239,6 +240,8 @@ def counted_permutation_test(rows: DataFrame, keys: list[str], x: str, first: Co
     ship(rows.sparkSession)
     times = scored.groupBy(*keys, "_x").agg(F.count("*").alias("_times"))
     exact = times.join(sizes.where("_exact"), keys).groupBy(*keys).applyInArrow(counted, f"{kinds}, n long, difference double, p double")  # a row for each unit
+    if not sizes.where("NOT _exact").limit(1).count():
+        return exact
     large = scored.join(sizes.where("NOT _exact").select(*keys), keys, "left_semi").withColumn("_x", F.col("_x") * unit)
     return exact.unionByName(permutation_test(large, keys, "_x", F.col("_first"), "_row", rounds))
 
