@@ -33,20 +33,22 @@ def components(links: DataFrame) -> DataFrame:
     Each round hangs the larger neighbours of every node on its smallest one, then
     the smaller ones likewise. Links only ever become stars, so their number never
     exceeds the number given, and rounds grow with the logarithm of a path's length.
+    They end when no node with a smaller neighbour has another one: then every
+    component is a star around its smallest node.
     """
     edges = stage(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    seen = None
     while True:
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a"))
-        low = both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("sign"))
-        total, sign, most = low.agg(F.sum("n"), F.bit_xor("sign"), F.max("n")).first()
-        if (total, sign) == seen or not total:
+        low = both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        total, most, unsettled = low.agg(F.sum("n"), F.max("n"), F.count_if((F.col("m") < F.col("v")) & (F.col("n") > 1))).first()
+        if not unsettled:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        seen = (total, sign)
         low = low.select("v", F.least("v", "m").alias("m"), "n")
         hot = most > max(LEAST, total * HOT)
         met = (lambda rows, summary, key: beside(rows, summary, key, total)) if hot else (lambda rows, summary, key: rows.join(summary.drop("n"), key))
-        large = met(both, low, "v").where("u > v").select("m", "u").distinct()
+        large = met(both, low, "v").where("u > v").select("m", "u")
+        if hot:  # read four times below
+            large = stage(large, "links-large")
         least = large.groupBy("u").agg(F.min("m").alias("root"), F.count("*").alias("n"))
         hung = met(large, least, "u").where("m <> root").select(F.col("root").alias("a"), F.col("m").alias("b"))
         edges = stage(hung.union(least.select("root", "u")).distinct(), "links")
