@@ -197,6 +197,20 @@ def test_header_is_split_not_run(spark):
     assert df.select(tiff.header_map(F.col("t"))).first()[0] == {"SI.a": "2", "SI.b": "'x = y'"}
 
 
+def test_header_of_many_lines(spark):
+    """Work in proportion to the lines: 600 of them, each key twice, in both dialects, within seconds."""
+    import time
+
+    lines = [f"SI.k{i % 300} = {i}" for i in range(600)] + ["SI.hRoiManager.scanFrameRate = 5", "SI.hRoiManager.scanFrameRate = 30", "SI.hChannels.channelSave = [1;2]"]
+    df = spark.createDataFrame([("\n".join(lines), None), (None, "\r".join(["state.acq.zoomFactor=2", "state.acq.numberOfChannelsSave=1"])), (None, None)] * 20, "software string, description string")
+    start = time.perf_counter()
+    got = tiff.with_header_fields(df, F.col("description"), F.col("software")).select("rate", "zoom", "channels").collect()
+    assert [tuple(r) for r in got] == [(30.0, None, 2), (None, 2.0, 1), (None, None, None)] * 20
+    assert time.perf_counter() - start < 20
+    kept = df.limit(1).select(tiff.header_map(F.col("software"))).first()[0]
+    assert len(kept) == 302 and kept["SI.k7"] == "307"
+
+
 def test_manifest_and_cohort(spark, tmp_path):
     groups = [{"matfile": "g1/matlab.mat", "nROI": 18, "tifNames": ["b.tif", "a.tif"]}, {"matfile": "g2/matlab.mat", "nROI": 11, "tifNames": ["c.tif"]}]
     (tmp_path / "groups.json").write_text(json.dumps(groups, indent=1))

@@ -26,8 +26,8 @@ def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     newer = F.concat_ws("\n", *[F.concat(F.lit(f"{tiff.NEWER[k]} = "), v.cast("string")) for k, v in values.items()], F.concat(F.lit("SI.hChannels.channelSave = "), saved))
     older = F.concat_ws("\r", *[F.concat(F.lit(f"{tiff.OLDER[k]}="), v.cast("string")) for k, v in values.items()], F.concat(F.lit("state.acq.numberOfChannelsSave="), F.when(key % 3 == 0, "2").otherwise("1")))
     rows = table(spark, sf_dir, "part").select(key.alias("id"), F.when(key % 2 == 0, newer).alias("software"), F.when(key % 2 == 1, older).alias("description"))
-    found = tiff.header_fields(F.col("description"), F.col("software"))
-    return rows.select("id", *[found[k].alias(k) for k in ("rate", "zoom", "rows", "cols", "channels", "n_frames")])
+    found = tiff.with_header_fields(rows, F.col("description"), F.col("software"))
+    return found.select("id", "rate", "zoom", "rows", "cols", "channels", "n_frames")
 
 
 @query(

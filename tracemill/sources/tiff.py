@@ -23,20 +23,23 @@ def inventory(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataF
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", (F.col("length") > 11_000_000).alias("likely_map"))
 
 
-def header_fields(description: Column, software: Column) -> dict[str, Column]:
-    """Frame rate, zoom, size, scan geometry, frames and saved channels out of a header's text, newer dialect or older; NULL where it does not say."""
-    newer, older = header_map(software), header_map(description)
-    known = F.coalesce(newer, F.create_map().cast("map<string,string>")), F.coalesce(older, F.create_map().cast("map<string,string>"))
-    out = {k: F.coalesce(F.try_element_at(known[0], F.lit(NEWER[k])), F.try_element_at(known[1], F.lit(NEWER[k])), F.try_element_at(known[1], F.lit(OLDER[k]))).try_cast("double") for k in NEWER}
-    saved = F.coalesce(F.try_element_at(known[0], F.lit("SI.hChannels.channelSave")), F.try_element_at(known[1], F.lit("SI.hChannels.channelSave")))
-    out["channels"] = F.coalesce(F.size(F.regexp_extract_all(saved, F.lit(r"\d+"), 0)), F.try_element_at(known[1], F.lit("state.acq.numberOfChannelsSave")).try_cast("int"))
-    return out
+def with_header_fields(rows: DataFrame, description: Column, software: Column) -> DataFrame:
+    """``rows`` and what a header's text says, newer dialect or older: frame rate, zoom, size, scan geometry, frames and saved channels; NULL where it does not say.
+
+    Both texts are taken apart once per row, not once for each field.
+    """
+    split = rows.withColumns({"_newer": header_map(software), "_older": header_map(description)})
+    at = lambda text, name: F.try_element_at(text, F.lit(name))
+    out = {k: F.coalesce(at("_newer", NEWER[k]), at("_older", NEWER[k]), at("_older", OLDER[k])).try_cast("double") for k in NEWER}
+    saved = F.coalesce(at("_newer", "SI.hChannels.channelSave"), at("_older", "SI.hChannels.channelSave"))
+    out["channels"] = F.coalesce(F.size(F.regexp_extract_all(saved, F.lit(r"\d+"), 0)), at("_older", "state.acq.numberOfChannelsSave").try_cast("int"))
+    return split.withColumns(out).drop("_newer", "_older")
 
 
 def headers(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFrame:
-    """(path, h, w, the fields of ``header_fields``, copyright) of every file, from its first directory alone."""
+    """(path, h, w, the fields of ``with_header_fields``, copyright) of every file, from its first directory alone."""
     read = stacks(spark, folder, "headers", pattern)
-    return read.select("path", "h", "w", *[v.alias(k) for k, v in header_fields(F.col("description"), F.col("software")).items()], "copyright")
+    return with_header_fields(read, F.col("description"), F.col("software")).select("path", "h", "w", *NEWER, "channels", "copyright")
 
 
 def image_counts(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFrame:
@@ -75,8 +78,13 @@ def channel_of(image: Column, channels: int) -> tuple[Column, Column]:
 
 
 def header_map(text: Column) -> Column:
-    """Lines ``key = value`` as a map; the last of a repeated key holds."""
+    """Lines ``key = value`` as a map; the last of a repeated key holds.
+
+    Sorted by key and line, so that a line is compared with the next one only; a
+    lambda's body is evaluated for each element, so the lines are handed to it ready.
+    """
     lines = F.filter(F.split(text, r"[\r\n]+"), lambda x: x.contains("="))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^=]*)=", 1)).alias("k"), F.trim(F.regexp_extract(x, r"=(.*)$", 1)).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    pairs = F.transform(lines, lambda x, i: F.struct(F.trim(F.regexp_extract(x, r"^([^=]*)=", 1)).alias("k"), i.alias("i"), F.trim(F.regexp_extract(x, r"=(.*)$", 1)).alias("v")))
+    last = lambda p: F.filter(p, lambda q, i: ~F.get(p, i + 1)["k"].eqNullSafe(q["k"]))
+    entries = lambda p: F.transform(last(p), lambda q: F.struct(q["k"], q["v"]))
+    return F.map_from_entries(F.transform(F.array(F.array_sort(pairs)), entries)[0])
