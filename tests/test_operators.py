@@ -111,6 +111,25 @@ def test_counted_permutations(spark):
     assert set(drawn) == {"a", "b"} and all(abs(drawn[g] - found[g].p) < 0.12 for g in drawn)
 
 
+def test_exact_permutations_tie_whatever_the_order(spark):
+    """Samples whose sums depend on the order of the rows: the given one ties with itself, equal ones with each other."""
+    from itertools import combinations
+
+    cents = [44_170_911, 9_216_707, 21_555_503, 49_999_999, 30_000_001, 44_170_911, 12_345_679, 47_000_013, 33_333_337]
+    rows = [(g, (c + g) / 100, k % 5 != 1) for g in range(200) for k, c in enumerate(cents)]
+    rng = np.random.default_rng(0)
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(g), float(x), bool(f)) for g, x, f in rows], "g int, x double, first boolean").repartition(7)
+    found = {r.g: r for r in st.exact_permutation_test(df, ["g"], "x", F.col("first"), 10, 0.01).collect()}
+    n, m = len(cents), sum(k % 5 != 1 for k in range(len(cents)))
+    for g in range(200):
+        xs = [c + g for c in cents]
+        gap = lambda s, xs=xs: abs(s * n - sum(xs) * m)
+        given = gap(sum(x for k, x in enumerate(xs) if k % 5 != 1))
+        every = [gap(sum(c)) >= given for c in combinations(xs, m)]
+        assert found[g].p == sum(every) / len(every)
+
+
 def test_statistics(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(0, 1, 40), rng.normal(2, 1, 30)
