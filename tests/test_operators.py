@@ -130,6 +130,25 @@ def test_exact_permutations_tie_whatever_the_order(spark):
         assert found[g].p == sum(every) / len(every)
 
 
+def test_draws_exchange_edges_only(spark):
+    """A round's draw against the plain order by hash, and what the plan exchanges: blocks of rounds, not every draw."""
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    rows = [(g, float(x), bool(k < m), f"{g}{k}") for g, n, m in (("a", 300, 40), ("b", 7, 6), ("c", 5, 5)) for k, x in enumerate(rng.normal(0, 10, n))]
+    df = spark.createDataFrame(rows, "g string, x double, first boolean, id string")
+    found = {r.g: r for r in st.permutation_test(df, ["g"], "x", F.col("first"), "id", 45, block=10).collect()}
+    assert set(found) == {"a", "b"}
+    for g in found:
+        own = [r for r in rows if r[0] == g]
+        n, m, total = len(own), sum(r[2] for r in own), sum(r[1] for r in own)
+        gap = lambda s, n=n, m=m, total=total: s / m - (total - s) / (n - m)
+        given = gap(sum(r[1] for r in own if r[2]))
+        order = lambda r, k: (hashlib.md5(f"{r[3]}:{k}".encode()).hexdigest()[:15], r[3])
+        draws = [gap(sum(r[1] for r in sorted(own, key=lambda r, k=k: order(r, k))[:m])) for k in range(1, 46)]
+        assert found[g].p == pytest.approx((sum(abs(d) >= abs(given) - 1e-9 for d in draws) + 1) / 46) and found[g].difference == pytest.approx(given)
+
+
 def test_statistics(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(0, 1, 40), rng.normal(2, 1, 30)
