@@ -130,6 +130,21 @@ def test_exact_permutations_tie_whatever_the_order(spark):
         assert found[g].p == sum(every) / len(every)
 
 
+def test_sums_by_transform():
+    """Against the table of all sizes and sums: smooth, two-valued, even but for one, and far outlying scores; and a sample too large for the table."""
+    rng = np.random.default_rng(11)
+    for scores, size in ((rng.integers(0, 111, 900), 70), (rng.integers(0, 2, 300) * 7, 100), (np.append(rng.integers(0, 20, 400) * 2, 3), 90), (np.append(rng.integers(0, 5, 500), 400), 250), (rng.integers(0, 30, 130), 65), (np.zeros(200, int), 80)):
+        scores = scores - scores.min()
+        want = st.sum_distribution(scores, size)
+        got, start = st.transformed_distribution(*np.unique(scores, return_counts=True), size)
+        inside = want[start : start + len(got)]
+        assert np.abs(got[: len(inside)] - inside).max() < 1e-12 and want.sum() - inside.sum() < 1e-12 and abs(got.sum() - 1) < 1e-10
+    many, start = st.transformed_distribution(np.arange(111), np.full(111, 2000), 14_000)
+    sums = start + np.arange(len(many))
+    mean, p = float((sums * many).sum()), 14_000 / 222_000
+    assert mean == pytest.approx(55 * 14_000) and float(((sums - mean) ** 2 * many).sum()) == pytest.approx(14_000 * (1 - p) * (111**2 - 1) / 12 * 222_000 / 221_999)
+
+
 def test_draws_exchange_edges_only(spark):
     """A round's draw against the plain order by hash, and what the plan exchanges: blocks of rounds, not every draw."""
     import hashlib
