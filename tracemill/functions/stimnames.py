@@ -10,8 +10,13 @@ FAMILIES = {"PTinContrast": "CGC", "contrastChange": "dContrast", "BPN": "BPN",
 
 
 def number(name: Column, pattern: str) -> Column:
-    """The first group as a number, NULL where it is not found."""
-    return F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).try_cast("double")
+    """The first group as a number, NULL where it is not found: an empty text is none. The pattern is matched once."""
+    return F.regexp_extract(name, pattern, 1).try_cast("double")
+
+
+def part(name: Column, pattern: str) -> Column:
+    """The first group, NULL where it is not found; the pattern is matched once."""
+    return F.get(F.filter(F.array(F.regexp_extract(name, pattern, 1)), lambda x: x != ""), F.lit(0))
 
 
 def family(pulse_set: Column) -> Column:
@@ -23,7 +28,7 @@ def family(pulse_set: Column) -> Column:
 
 def base_name(name: Column) -> Column:
     """The name without a repetition number from 1 to 9 at its end."""
-    return F.regexp_replace(name, "_[1-9]$", "")
+    return F.when(F.substring(name, -2, 1) == "_", F.regexp_replace(name, "_[1-9]$", "")).otherwise(name)
 
 
 def width(text: Column) -> Column:
@@ -38,7 +43,7 @@ def noise_burst(name: Column) -> dict[str, Column]:
         "db": number(name, r"_(\d+)dB"),
         "pulse_ms": number(name, r"_(\d+)msPulse"),
         "stim_ms": number(name, r"_(\d+)msTotal"),
-        "band_khz": F.nullif(F.regexp_extract(name, r"BPN_(\d+-\d+)kHz", 1), F.lit("")),
+        "band_khz": part(name, r"BPN_(\d+-\d+)kHz"),
     }
 
 
@@ -53,22 +58,22 @@ def pure_tone(name: Column) -> dict[str, Column]:
     return {
         "freq_hz": F.coalesce(number(name, r"(\d{4,5})Hz"), khz * 1000),
         "db": number(name, r"_(\d{1,2})dB_\d{2,3}ms_at"),
-        "onset_s": F.nullif(onset, F.lit("")).try_cast("double"),
+        "onset_s": onset.try_cast("double"),
         "tone_ms": number(name, r"(\d{2,3})ms_at"),
     }
 
 
 def noise_contrast(name: Column) -> dict[str, Column]:
     """Level range and its width, band (5-25 for the two old ranges without one), chord and total length (twice for sEach)."""
-    levels = F.nullif(F.regexp_extract(name, r"(\d{2}-\d{2})dB", 1), F.lit(""))
-    band = F.nullif(F.regexp_extract(name, r"_(\d-\d{2})kHz", 1), F.lit(""))
+    levels = part(name, r"(\d{2}-\d{2})dB")
+    band = part(name, r"_(\d-\d{2})kHz")
     total = number(name, r"_(\d{1,2})s_")
     return {
         "range_db": levels,
         "delta_db": width(levels),
         "band_khz": F.coalesce(band, F.when(levels.isin("45-55", "35-65"), F.lit("5-25"))),
         "chord_ms": number(name, r"(\d+)msDRC"),
-        "total_s": F.when(name.contains("sEach"), total * 2).otherwise(total),
+        "total_s": total * F.when(name.contains("sEach"), 2).otherwise(1),
     }
 
 

@@ -32,13 +32,15 @@ def stimulus_table(recordings: DataFrame) -> DataFrame:
     ``recordings`` (animal, tif, treatment, pulse_set, trig_delay, isi, pulses: names
     in order). Recordings of no family are left out, those without pulses keep one
     row with NULL. Families of which an animal has one recording are not processed;
-    pupil recordings are listed alone.
+    pupil recordings are listed alone. Recordings are read once and counted by a
+    window before their pulses become rows. A NULL animal's recordings are kept out.
     """
-    rows = recordings.withColumn("family", stimnames.family(F.col("pulse_set"))).where("family IS NOT NULL")
+    rows = recordings.withColumn("family", stimnames.family(F.col("pulse_set"))).where("family IS NOT NULL AND animal IS NOT NULL")
+    several = F.count("*").over(Window.partitionBy("animal", "family")) > 1
+    rows = rows.withColumn("processed", several & (F.col("family") != "pupil"))
     listed = F.posexplode_outer(null_if_empty(F.col("pulses"))).alias("at", "raw_pulse")
-    long = rows.select("animal", "tif", "treatment", "family", "trig_delay", "isi", F.coalesce(F.size("pulses"), F.lit(0)).alias("total_pulses"), listed)
-    counts = rows.groupBy("animal", "family").agg((F.count("*") > 1).alias("processed"))
-    base = long.join(counts, ["animal", "family"]).withColumns({"pulse": F.col("at") + 1, "base": stimnames.base_name(F.col("raw_pulse")), "processed": F.col("processed") & (F.col("family") != "pupil")})
+    long = rows.select("animal", "tif", "treatment", "family", "processed", "trig_delay", "isi", F.coalesce(F.size("pulses"), F.lit(0)).alias("total_pulses"), listed)
+    base = long.withColumns({"pulse": F.col("at") + 1, "base": stimnames.base_name(F.col("raw_pulse"))})
     parameters = by_family(F.col("family"), F.col("base"))
     return base.select("animal", "tif", "treatment", "family", "processed", "trig_delay", "isi", "total_pulses", "pulse", "raw_pulse", "base", *[v.alias(k) for k, v in parameters.items()])
 
