@@ -130,6 +130,18 @@ def test_exact_permutations_tie_whatever_the_order(spark):
         assert found[g].p == sum(every) / len(every)
 
 
+def test_draws_by_limits(spark):
+    """Poisson numbers by comparing digits against the sums of chances; a rate of 0, small, large and one at which all draws pass."""
+    from tracemill.operators import grids
+
+    rng = np.random.default_rng(2)
+    rows = [(float(rate), f"{int(h):012x}") for rate in (0.0, 1e-20, 0.05, 1.0, 5.0) for h in (0, 16**12 - 1, *rng.integers(0, 16**12, 200))]
+    df = spark.createDataFrame(rows, "rate double, share string").withColumn("limits", grids.draw_limits(F.col("rate")))
+    for r in df.withColumn("times", grids.drawn_times(F.col("share"), F.col("limits"))).collect():
+        chances = np.cumsum([math.exp(-r.rate) * r.rate**k / math.factorial(k) for k in range(7)])
+        assert r.times == sum(int(r.share, 16) / 16**12 >= c for c in chances)
+
+
 def test_sums_by_transform():
     """Against the table of all sizes and sums: smooth, two-valued, even but for one, and far outlying scores; and a sample too large for the table."""
     rng = np.random.default_rng(11)

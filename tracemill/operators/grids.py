@@ -44,14 +44,22 @@ def selectivity(grid: DataFrame, cell: list[str], value: str = "sig_pk") -> Data
     return axes.withColumn("top", peak).groupBy(*cell).agg((F.avg(F.when(near, F.col("v"))) - F.avg("v")).alias("dprime"))
 
 
-def drawn_times(row: Column, draw: Column, rate: Column, most: int = 7) -> Column:
-    """How often a round draws a row: a Poisson number of the rate, from the hash of both; up to ``most``."""
-    share = F.conv(F.substring(F.md5(F.concat(row, F.lit(":"), draw.cast("string"))), 1, 12), 16, 10).cast("double") / float(16**12)
-    chance, upto, times = F.exp(-rate), F.exp(-rate), F.lit(0)
+def draw_limits(rate: Column, most: int = 7) -> Column:
+    """The least hashes, as twelve hexadecimal digits, at which a Poisson number of the rate is 1, 2, ... up to ``most``; 'g', above all, where there is none."""
+    chance, upto, limits = F.exp(-rate), F.exp(-rate), []
     for k in range(1, most + 1):
-        times = times + (share >= upto).cast("int")
+        least = F.ceil(upto * float(16**12)).cast("long")
+        limits.append(F.when(least < 16**12, F.lower(F.lpad(F.hex(least), 12, "0"))).otherwise("g"))
         chance = chance * rate / k
         upto = upto + chance
+    return F.array(*limits)
+
+
+def drawn_times(share: Column, limits: Column, most: int = 7) -> Column:
+    """How often a round draws a row: a Poisson number, from the hash of both and the rate's limits, which are in rising order."""
+    times = F.lit(most)
+    for k in reversed(range(most)):
+        times = F.when(share < F.get(limits, F.lit(k)), k).otherwise(times)
     return times
 
 
@@ -70,8 +78,11 @@ def resampled_selectivity(grid: DataFrame, cell: list[str], value: str = "sig_pk
     near = F.coalesce(F.abs(F.col("i") + F.col("top.i")) + F.abs(F.col("j") + F.col("top.j")) <= 1, F.lit(False))
     marked = axes.withColumn("top", peak).withColumn("near", near)
     sized = marked.withColumns({"around": F.avg(F.when(F.col("near"), F.col("v"))).over(own), "rate": F.sum(F.col("near").cast("double")).over(own) / F.col("n")})
-    place = F.concat_ws(":", *[F.col(c).cast("string") for c in (*cell, "i", "j")])
-    draws = sized.where(F.col("v").isNotNull()).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("times", drawn_times(place, F.col("round"), F.col("rate")))
+    place = F.concat_ws(":", *[F.col(c).cast("string") for c in (*cell, "i", "j")], F.lit(""))
+    points = sized.where(F.col("v").isNotNull()).select(*cell, "v", "around", place.alias("place"), draw_limits(F.col("rate")).alias("limits"))  # once a point
+    rows = points.select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    hashed = rows.withColumn("share", F.substring(F.md5(F.concat("place", F.col("round").cast("string"))), 1, 12))
+    draws = hashed.withColumn("times", drawn_times(F.col("share"), F.col("limits")))
     each = draws.groupBy(*cell, "round").agg((F.max("around") - F.try_divide(F.sum(F.col("times") * F.col("v")), F.sum("times"))).alias("d")).where("d IS NOT NULL")
     at = lambda q: F.percentile("d", q)  # noqa: E731  a cell has ``rounds`` values
     return each.groupBy(*cell).agg(F.count("*").alias("rounds"), F.avg("d").alias("dprime"), F.stddev_samp("d").alias("se"), at(0.025).alias("low"), at(0.975).alias("high"))
