@@ -176,6 +176,37 @@ def test_draws_exchange_edges_only(spark):
         assert found[g].p == pytest.approx((sum(abs(d) >= abs(given) - 1e-9 for d in draws) + 1) / 46) and found[g].difference == pytest.approx(given)
 
 
+def test_draws_send_nothing_through_the_driver(spark, sf):
+    """Parquet's sizes made the rows, once for each block of rounds, the side to broadcast."""
+    from tracemill.jobs import catalog
+
+    found = catalog.queries()["perm_draws"](spark, sf)
+    assert found.count() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_far_from_the_size_are_summed(spark):
+    """Draws below, near and above the expected hash; rows that share their hashes or have none, of which the size is reached elsewhere."""
+    import hashlib
+
+    rng = np.random.default_rng(6)
+    ids = {"all": str, "few": lambda k: str(k // 100), "one": lambda k: "same", "none": lambda k: None if k % 2 else str(k)}
+    rows = [(g, float(x), bool(k < m), ids[g](k)) for g, n, m in (("all", 2000, 900), ("few", 400, 150), ("one", 300, 200), ("none", 600, 400)) for k, x in enumerate(rng.normal(0, 10, n))]
+    df = spark.createDataFrame(rows, "g string, x double, first boolean, id string").repartition(5)
+    low, high = spark.range(1).select(*st.near_limits(F.lit(2000), F.lit(900))).first()
+    assert 0.3 < int(low, 16) / 16**15 < 0.45 < int(high, 16) / 16**15 < 0.6
+    found = {r.g: r for r in st.permutation_test(df, ["g"], "x", F.col("first"), "id", 25, block=4).collect()}
+    for g in ids:
+        own = [r for r in rows if r[0] == g]
+        n, m, total = len(own), sum(r[2] for r in own), sum(r[1] for r in own)
+        gap = lambda s, n=n, m=m, total=total: s / m - (total - s) / (n - m)
+        given = gap(sum(r[1] for r in own if r[2]))
+        order = lambda r, k: (hashlib.md5(f"{r[3]}:{k}".encode()).hexdigest()[:15], r[3], r[1]) if r[3] else ("g", "", r[1])
+        draws = [gap(sum(r[1] for r in sorted(own, key=lambda r, k=k: order(r, k))[:m])) for k in range(1, 26)]
+        assert found[g].n == n and found[g].p == pytest.approx((sum(abs(d) >= abs(given) - 1e-9 for d in draws) + 1) / 26) and found[g].difference == pytest.approx(given)
+
+
 def test_statistics(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(0, 1, 40), rng.normal(2, 1, 30)
